@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plexivec.llm.exact_dedup import exact_dedup
 from plexivec.llm.line_dedup import dedup_lines
 from plexivec.llm.mixing import mix_sources
+from plexivec.llm.near_dedup import near_duplicates
 from plexivec.sources.tables import table
 
 
@@ -24,6 +25,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), n_words=2, percent=80).drop("text_hash")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -61,6 +67,18 @@ o AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || doc_
 SELECT doc_id, size, source_size, target,
   (least(size, greatest(floor(target)::BIGINT - before, 0)) + least(size, greatest(floor(target)::BIGINT - source_size - before, 0)))::BIGINT AS taken
 FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source""",
+    "op9_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 2 THEN [w[1]]
+  ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM x),
+e AS (SELECT doc_id, unnest(s) AS sh FROM x),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN m USING (doc_id)""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, (count(*) OVER g)::BIGINT AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
