@@ -8,17 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexivec.llm.exact_dedup import exact_dedup
+from plexivec.llm.language import held_out, identify_language, learn_profiles
 from plexivec.llm.line_dedup import dedup_lines
 from plexivec.llm.mixing import mix_sources
 from plexivec.llm.near_dedup import near_duplicates
+from plexivec.llm.quality import fit_scorer, score_quality
+from plexivec.llm.urls import fit_url_model, judge_urls
 from plexivec.sources.tables import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    profiles = learn_profiles(docs.filter(~F.col("held_out")))
+    return identify_language(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, fit_scorer(docs)).select("doc_id", "quality", "kept")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, fit_url_model(spark)).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = mix_sources(table(spark, sf_dir, "documents"))
     one = copies.groupBy("doc_id", "source", "seq").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
@@ -34,7 +53,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op5_quality": op5_quality,
+    "op6_url_filter": op6_url_filter,
     "op8_source_mix": op8_source_mix,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
