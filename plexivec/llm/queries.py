@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexivec.llm.decontaminate import find_items
 from plexivec.llm.exact_dedup import exact_dedup
 from plexivec.llm.language import held_out, identify_language, learn_profiles
 from plexivec.llm.line_dedup import dedup_lines
@@ -38,6 +39,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, fit_url_model(spark)).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = mix_sources(table(spark, sf_dir, "documents"))
     one = copies.groupBy("doc_id", "source", "seq").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
+    "op7_decontaminate": op7_decontaminate,
     "op8_source_mix": op8_source_mix,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
