@@ -15,12 +15,14 @@ sentence) occur in the document's words around the passage.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,16 +193,10 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     ``MAX_ITEMS`` items and ``MAX_INDEX_BYTES`` of text, and the documents once for each part.  Other
     columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    wanted = items.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
-    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    parts = max(1, -(-size["n"] * 5 // (4 * MAX_ITEMS)) if size["n"] > MAX_ITEMS else 1, -(-size["b"] * 5 // (4 * MAX_INDEX_BYTES)) if size["b"] > MAX_INDEX_BYTES else 1)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     schema = "doc_id bigint, text_hash bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     found = []
-    for part in range(parts):
-        rows = wanted.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(build_index([r["item_id"] for r in rows], [r["text"] for r in rows], least_score, n_words))
+    for shared in _indexes(items, item_col, item_text_col, least_score, n_words):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -214,6 +210,42 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
+def _indexes(items: DataFrame, item_col: str, item_text_col: str, least_score: float, n_words: int) -> list[Broadcast]:
+    """The items as broadcast indexes of bounded size."""
+    wanted = items.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    share = max(size["n"] / MAX_ITEMS, size["b"] / MAX_INDEX_BYTES)
+    parts = 1 if share <= 1 else math.ceil(1.25 * share)
+    out = []
+    for part in range(parts):
+        rows = wanted.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
+        index = build_index([r["item_id"] for r in rows], [r["text"] for r in rows], least_score, n_words)
+        out.append(items.sparkSession.sparkContext.broadcast(index))
+    return out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP, n_words: int = N_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any item, as ``find_items`` finds them, in one pass and without a shuffle."""
+    schema = "doc_id bigint, text_hash bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
+    for shared in _indexes(items, item_col, item_text_col, least_score, n_words):
+        docs = docs.filter(_clean(shared, least_score, least_overlap, schema)(F.col(text_col)))
+    return docs
+
+
+def _clean(shared: Broadcast, least_score: float, least_overlap: float, schema: str):
+    """A function of texts: whether they are without any item of one index."""
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        at = pa.array(range(len(texts)), pa.int64())
+        batch = pa.RecordBatch.from_arrays([at, at, texts], ["doc_id", "text_hash", "text"])
+        with np.errstate(over="ignore"):
+            hit = set(_found(batch, shared.value, least_score, least_overlap, schema).column("doc_id").to_pylist())
+        return pa.array([i not in hit for i in range(len(texts))], pa.bool_())
+
+    return clean
+
+
 def _found(batch: pa.RecordBatch, index: Index, least_score: float, least_overlap: float, schema: str) -> pa.RecordBatch:
     raw, offsets = text_bytes(batch.column("text"))
     best: dict[tuple[int, int], tuple[float, float, float]] = {}

@@ -78,3 +78,12 @@ def mix_sources(docs: DataFrame, repeats: int = 2, **kwargs) -> DataFrame:
     room = F.greatest(F.floor("target") - start, F.lit(0))
     copies = copies.withColumn("finish", F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target"))).withColumn("taken", F.least("size", room).cast("long"))
     return copies.orderBy(F.col("finish").asc_nulls_last(), "source", "epoch", "before", "seq")
+
+
+def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
+    """The documents of the mix, whole, in training order, as often as they are taken, with the columns of ``docs``.
+
+    A copy that the end of the budget cuts in two is taken if more than half of its words are within.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *[c for c in ("doc_id", "text", "source")])
+    return mix_sources(rows, carry=["row"], **kwargs).filter(F.col("taken") * 2 > F.col("size")).select("row.*")

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from plexivec.llm.decontaminate import find_items
 from plexivec.llm.exact_dedup import exact_dedup
 from plexivec.llm.language import held_out, identify_language, learn_profiles
+from plexivec.llm.licenses import scan_licences
 from plexivec.llm.line_dedup import dedup_lines
 from plexivec.llm.mixing import mix_sources
 from plexivec.llm.near_dedup import near_duplicates
 from plexivec.llm.quality import fit_scorer, score_quality
+from plexivec.llm.token_shards import token_manifest
 from plexivec.llm.urls import fit_url_model, judge_urls
 from plexivec.sources.tables import table
 
@@ -24,11 +26,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str, tokenizer_path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    return token_manifest(table(spark, sf_dir, "documents"), tokenizer_path)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, fit_scorer(docs)).select("doc_id", "quality", "kept")
@@ -59,7 +69,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_token_shards": op2_token_shards,
     "op3_line_dedup": op3_line_dedup,
+    "op4_licences": op4_licences,
     "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
     "op7_decontaminate": op7_decontaminate,
