@@ -7,9 +7,13 @@
    common phrase.  ``least_shared`` bounds the number of keys two similar sets share from below.
 3. Lists of up to ``long_list`` classes give pairs with the number of lists they share.  A class with so
    few long lists that a similar class must meet it in short ones leaves the long lists.  In those, each
-   class is paired with the list's most listed class first; later, classes outside the list's largest
-   component are paired with the rest of it, so that no pair within a large group is formed.
-4. Pairs are filtered by the estimate from the sketch of the union, then verified on the full sets.
+   class is paired with the list's most listed class only.  Where that leaves a group in several
+   components, the classes outside the largest are compared with all of the group, block by block.
+4. Pairs are filtered by the estimate from the sketch of the union, then verified on the full sets,
+   the best pair of each class first; pairs within a component need not be verified any more.
+
+Large groups of near copies cost a comparison with one class each, as long as most are linked to it.  A
+large group of texts that are all just too different costs the square of its size, in tasks of two blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +36,10 @@ from plexivec.plans.staging import staged
 K = 64
 #: Chance that two sets at the threshold share fewer keys than ``least_shared`` says.
 MISS = 1e-9
-#: Classes in a list from which it is long.
-LONG_LIST = 64
+#: Classes in a list up to which it gives pairs.
+LONG_LIST = 16
+#: Classes in a block of the comparison within groups.
+BLOCK_CLASSES = 256
 HALF = np.uint64(2**63 - 1)
 
 
@@ -74,17 +81,19 @@ def sketches(docs: DataFrame, n_words: int, k: int = K) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
+def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of the wanted classes: the text of the class's row with the largest id."""
+    who = nodes.join(wanted.distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash"))
+    found = docs.withColumn("_text_hash", F.xxhash64("text")).join(who, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    return found.groupBy("node").agg(F.first("text").alias("text"))  # rows may repeat an id and a text
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose full sets have the similarity.
 
     The texts of the classes in question are read again and written once; each pair then meets both.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    who = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash"))
-    texts = docs.withColumn("_text_hash", F.xxhash64("text")).join(who, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    t = staged(texts.select("node", "text"), "texts")
-    if t.count() != wanted.count():  # rows that repeat an id and a text
-        t = t.groupBy("node").agg(F.first("text").alias("text"))
+    t = staged(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, nodes), "texts")
     both = pairs.select("a", "b").join(t.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,15 +108,15 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int,
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``a, b, sure`` for pairs that can reach the similarity; ``sure`` where the sketches hold the whole sets and it is reached."""
+    """The pairs ``a, b`` that can reach the similarity, with ``sure`` and the ``shared`` sketch values; ``sure`` where the sketches hold the whole sets and it is reached."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    p = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    p = pairs.join(side("a"), "a").join(side("b"), "b")
     p = p.filter((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
     p = p.withColumn("both", F.array_intersect("s_a", "s_b")).withColumn("all", F.array_union("s_a", "s_b"))
     whole = (F.col("n_a") <= K) & (F.col("n_b") <= K)
     union = F.slice(F.array_sort("all"), 1, K)
     enough = F.when(whole, F.size("both") * 100 >= F.size("all") * percent).otherwise(F.size(F.array_intersect("both", union)) * 200 >= F.size(union) * percent)
-    return p.filter(enough).select("a", "b", whole.alias("sure"), F.size("both").alias("shared"))
+    return p.filter(enough).select(*pairs.columns, whole.alias("sure"), F.size("both").alias("shared"))
 
 
 def _keys(sketch: Column) -> Column:
@@ -120,8 +129,7 @@ def links(docs: DataFrame, nodes: DataFrame, n_words: int, percent: int, long_li
     """Verified links ``a, b`` between classes that give all components."""
     keyed = nodes.filter("n > 1").select("node", "n", F.explode(_keys(F.col("sketch"))).alias("key"))
     lists = staged(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "lists")
-    total = lists.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    listed = staged(lookup(keyed, lists, ["key"], "m", total, F.xxhash64("node", "key"), "inner"), "listed")
+    listed = staged(lookup(keyed, lists, ["key"], "m", _total(lists, "m"), F.xxhash64("node", "key"), "inner"), "listed")
 
     s = percent / 100
     allowed = F.least(F.lit(least_shared(s)), F.ceil(F.col("n") * F.lit(2 * s - 1) - 1)) - 2
@@ -134,31 +142,85 @@ def links(docs: DataFrame, nodes: DataFrame, n_words: int, percent: int, long_li
     other = short.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
     met = short.join(other, "key").filter((F.col("node") < F.col("b")) & near("n", "n_b")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k")).filter("k > 1").select("a", "b")
     leaders = staged(long.groupBy("key").agg(F.max(F.struct("met", "node")).alias("top"), F.count("*").alias("m")).select("key", F.col("top.node").alias("lead"), "m"), "leaders")
-    n_long = leaders.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    led = lookup(long, leaders, ["key"], "m", n_long, F.xxhash64("node", "key"), "inner").filter(F.col("lead") != F.col("node"))
-    led = led.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
-    cand = staged(_estimated(met.unionByName(led).distinct(), nodes, percent), "pairs")
+    led = lookup(long, leaders, ["key"], "m", _total(leaders, "m"), F.xxhash64("node", "key"), "inner").filter(F.col("lead") != F.col("node"))
+    pairs = met.withColumn("short", F.lit(1)).unionByName(led.select(F.col("lead").alias("a"), F.col("node").alias("b"), F.lit(0).alias("short")))
+    cand = staged(_estimated(pairs.groupBy("a", "b").agg(F.max("short").alias("short")), nodes, percent), "pairs")
 
     best = cand.filter("not sure").groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
     first = staged(cand.filter("sure").select("a", "b").unionByName(verified(best, docs, nodes, n_words, percent)), "links")
     comp = components(first)
     label = lambda df, x: df.join(comp.select(F.col("node").alias(x), F.col("comp").alias(f"_{x}")), x, "left").withColumn(f"_{x}", F.coalesce(F.col(f"_{x}"), F.col(x)))
     apart = F.col("_a") != F.col("_b")
-    rest = label(label(cand.filter("not sure").select("a", "b"), "a"), "b").filter(apart).select("a", "b")
-
-    placed = staged(label(long.select("key", F.col("node").alias("a"), "n"), "a"), "placed")
-    split = placed.groupBy("key", "_a").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "_a")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("m")).filter("parts > 1")
-    split = staged(split.select("key", F.col("top._a").alias("largest"), "m"), "split")
-    n_split = split.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    open_ = staged(lookup(placed, split, ["key"], "m", n_split, F.xxhash64("a", "key"), "inner"), "open")
-    strangers = open_.filter(F.col("_a") != F.col("largest")).select("key", "a", "n", "_a")
-    members = open_.select("key", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("_a").alias("_b"), (F.col("_a") == F.col("largest")).alias("in_largest"))
-    cross = strangers.join(members, "key").filter(apart & near("n", "n_b") & (F.col("in_largest") | (F.col("a") < F.col("b"))))
-    cross = cross.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("k")).filter("k > 1").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    more = _estimated(cross, nodes, percent)
-    second = staged(more.select("a", "b", "sure").unionByName(rest.withColumn("sure", F.lit(False))).distinct(), "pairs")
-    last = second.filter("sure").select("a", "b").unionByName(verified(second.filter("not sure"), docs, nodes, n_words, percent))
-    return first.unionByName(last)
+    rest = label(label(cand.filter("short = 1 and not sure").select("a", "b"), "a"), "b").filter(apart).select("a", "b")
+
+    last = verified(rest, docs, nodes, n_words, percent)
+    return first.unionByName(last).unionByName(_within_groups(long, leaders, comp, docs, nodes, n_words, percent))
+
+
+def _within_groups(long: DataFrame, leaders: DataFrame, comp: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """Links that are left among classes which meet in long lists only, as a forest for each pair of blocks.
+
+    Classes that meet in long lists form groups.  A group of one component is done.  In the others the
+    classes outside the largest component are compared with all of the group in blocks of about
+    ``BLOCK_CLASSES``; a task has two blocks, skips pairs that are connected and returns only the links
+    that connect something, so that no pair is ever a row.
+    """
+    met = lookup(long, leaders, ["key"], "m", _total(leaders, "m"), F.xxhash64("node", "key"), "inner").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    groups = components(met).withColumnRenamed("comp", "g")
+    placed = staged(groups.join(comp, "node", "left").select("node", "g", F.coalesce("comp", "node").alias("comp")), "groups")
+    split = placed.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("m")).filter("parts > 1")
+    split = staged(split.select("g", F.col("top.comp").alias("largest"), (F.col("m") - F.col("top.c")).alias("outside"), "m"), "split")
+    open_ = lookup(placed, split, ["g"], "m", _total(split, "m"), F.xxhash64("node"), "inner")
+    n_out, n_all = F.ceil(F.col("outside") / BLOCK_CLASSES), F.ceil(F.col("m") / BLOCK_CLASSES)
+    of = lambda n: F.pmod(F.xxhash64("node"), n)
+    out = open_.filter(F.col("comp") != F.col("largest")).withColumn("j", F.explode(F.sequence(F.lit(0), n_all - 1))).select("g", of(n_out).alias("i"), "j", "node", "comp", F.lit(True).alias("outside"))
+    all_ = open_.withColumn("i", F.explode(F.sequence(F.lit(0), n_out - 1))).select("g", "i", of(n_all).alias("j"), "node", "comp", F.lit(False).alias("outside"))
+    rows = out.unionByName(all_).join(_texts(open_.select("node"), docs, nodes), "node").join(nodes.select("node", "n", "sketch"), "node")
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        return _forest(x[x["outside"]], x[~x["outside"]], n_words, percent)
+
+    return rows.groupBy("g", "i", "j").applyInPandas(run, "a bigint, b bigint")
+
+
+def _forest(left: pd.DataFrame, right: pd.DataFrame, n_words: int, percent: int) -> pd.DataFrame:
+    """Links between two blocks of classes that connect different components, most similar sketches first."""
+    values = np.unique(np.concatenate([*left["sketch"], *right["sketch"]]) if len(left) and len(right) else np.zeros(0, np.int64))
+
+    def held(x: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(x), len(values)), np.float32)
+        for i, s in enumerate(x["sketch"]):
+            out[i, np.searchsorted(values, s)] = 1
+        return out
+
+    common = held(left) @ held(right).T
+    n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+    can = (100 * n >= percent * m) & (100 * m >= percent * n) & (200 * common >= percent * np.minimum(np.minimum(n, m), K))
+    a, b = np.nonzero(can)
+    order = np.argsort(-common[a, b], kind="stable")
+    sets = [list(shingle_sets(pa.array(x["text"], pa.string()), n_words)) for x in (left, right)]
+    comps, nodes = [x["comp"].to_numpy() for x in (left, right)], [x["node"].to_numpy() for x in (left, right)]
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    links = []
+    for i, j in zip(a[order].tolist(), b[order].tolist()):
+        x, y = top(int(comps[0][i])), top(int(comps[1][j]))
+        if x != y:
+            s, t = sets[0][i], sets[1][j]
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * both >= percent * (len(s) + len(t) - both):
+                parent[x] = y
+                links.append((int(nodes[0][i]), int(nodes[1][j])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _total(df: DataFrame, column: str) -> int:
+    return df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, long_list: int = LONG_LIST) -> DataFrame:
@@ -181,8 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(links(base, nodes, n_words, percent, long_list))
     named = staged(comp.join(nodes.select("node", "first_id"), "node"), "components")
     least = staged(named.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("m")), "names")
-    n_named = least.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    names = lookup(named, least, ["comp"], "m", n_named, F.xxhash64("node")).select(F.col("node").alias("_node"), "component_id")
+    names = lookup(named, least, ["comp"], "m", _total(least, "m"), F.xxhash64("node")).select(F.col("node").alias("_node"), "component_id")
     labelled = nodes.join(names, F.col("node") == F.col("_node"), "left").select("d1", "d2", "n", "copies", F.coalesce("component_id", "first_id").alias("component_id"))
     labelled = staged(labelled, "labelled")
     out = lookup(rows.drop("sketch"), labelled, ["d1", "d2", "n"], "copies", rows.count(), F.xxhash64("doc_id", "text_hash"))
