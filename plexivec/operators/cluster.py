@@ -50,14 +50,14 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float | None = None, min_s
 
 def _from_pairs(points: DataFrame, key: str, pairs: DataFrame, min_samples: int) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    core = points.select(F.col(key).alias("id")).join(degree, "id", "left").filter(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id")
+    degree = both.groupBy(F.col("a").alias("_id")).agg(F.count("*").alias("n"))
+    core = points.select(F.col(key).alias("_id")).join(degree, "_id", "left").filter(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("_id")
     core = staged(core, "core")
-    edges = pairs.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b").select("a", "b")
+    edges = pairs.join(core.withColumnRenamed("_id", "a"), "a").join(core.withColumnRenamed("_id", "b"), "b").select("a", "b")
     comp = components(edges)
-    labelled = staged(core.join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("comp", "id").alias("cluster")), "labels")
-    border = both.join(labelled.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
-    out = points.join(labelled, F.col(key) == labelled["id"], "left").drop("id").join(border, F.col(key) == border["id"], "left").drop("id")
+    labelled = staged(core.join(comp, F.col("_id") == F.col("node"), "left").select("_id", F.coalesce("comp", "_id").alias("cluster")), "labels")
+    border = both.join(labelled.withColumnRenamed("_id", "b"), "b").groupBy(F.col("a").alias("_id")).agg(F.min("cluster").alias("near"))
+    out = points.join(labelled, F.col(key) == labelled["_id"], "left").drop("_id").join(border, F.col(key) == border["_id"], "left").drop("_id")
     return out.select(key, F.coalesce("cluster", "near", F.lit(-1).cast("long")).alias("cluster"))
 
 

@@ -163,24 +163,31 @@ def correct_batch(df: DataFrame, key: str, vector: str, batch: str, covariates:
         cov = np.stack(x["c"].to_numpy()).astype(float).reshape(len(x), -1)
         return np.concatenate([np.ones((len(x), 1)), np.eye(len(names))[b][:, 1:], cov], 1)
 
-    width, dims = None, len(center)
+    dims, n_cov = len(center), len(rows.first()["c"])
+    width = 1 + n_batch + n_cov
+    beta = np.zeros((len(centers), n_batch, dims))
 
-    def sums(x: pd.DataFrame, v: np.ndarray, b: np.ndarray, r: np.ndarray) -> np.ndarray:
-        d = design(x, b)
-        return np.concatenate([np.concatenate([(d * r[:, [k]]).T @ d, (d * r[:, [k]]).T @ v], 1) for k in range(r.shape[1])], 0)
+    def moved(x: pd.DataFrame, b: np.ndarray, r: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        return np.einsum("nk,nb,kbd->nd", r, design(x, b)[:, 1 : 1 + n_batch], beta)
 
-    flat = pooled(weight, sums)
-    width = int(round((-dims + np.sqrt(dims * dims + 4 * len(flat) / len(centers))) / 2))
-    m = flat.reshape(len(centers), width, width + dims)
-    penalty = np.diag([0.0] + [ridge] * n_batch + [0.0] * (width - 1 - n_batch)) + 1e-9 * np.eye(width)
-    beta = np.stack([np.linalg.solve(k[:, :width] + penalty, k[:, width:]) for k in m])[:, 1 : 1 + n_batch]
+    penalty = np.diag([0.0] + [ridge] * n_batch + [0.0] * n_cov) + 1e-9 * np.eye(width)
+    for _ in range(max_iter):  # regressions on what the rounds before have left
+
+        def sums(x: pd.DataFrame, v: np.ndarray, b: np.ndarray, r: np.ndarray, beta: np.ndarray = beta) -> np.ndarray:
+            d, left = design(x, b), v - moved(x, b, r, beta)
+            return np.concatenate([np.concatenate([(d * r[:, [k]]).T @ d, (d * r[:, [k]]).T @ left], 1) for k in range(r.shape[1])], 0)
+
+        m = pooled(weight, sums).reshape(len(centers), width, width + dims)
+        step = np.stack([np.linalg.solve(k[:, :width] + penalty, k[:, width:]) for k in m])[:, 1 : 1 + n_batch]
+        beta = beta + step
+        if np.abs(step).max() < 1e-6:
+            break
 
     def corrected(batches):
         for x in batches:
             if len(x):
                 v, b, r = memberships(x, weight, centers)
-                off = np.einsum("nk,nb,kbd->nd", r, design(x, b)[:, 1 : 1 + n_batch], beta)
-                yield pd.DataFrame({"_k": x["key"], "_x": list(v - off)})
+                yield pd.DataFrame({"_k": x["key"], "_x": list(v - moved(x, b, r, beta))})
 
     kind = df.schema[key].dataType.simpleString()
     fixed = rows.mapInPandas(corrected, f"_k {kind}, _x array<double>")

@@ -21,10 +21,10 @@ BLOCK = 2048
 
 
 def _block_pairs(left: DataFrame, right: DataFrame, run: Callable, schema: str, block: int = BLOCK) -> DataFrame:
-    """``run(left block, right block)`` for all pairs of blocks; both sides have ``id, v`` and what else ``run`` needs."""
+    """``run(left block, right block)`` for all pairs of blocks; both sides have ``_id, v`` and what else ``run`` needs."""
     n, m = max(1, -(-left.count() // block)), max(1, -(-right.count() // block))
-    a = left.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n).cast("long"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    b = right.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(m).cast("long"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    a = left.withColumn("i", F.pmod(F.xxhash64("_id"), F.lit(n).cast("long"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    b = right.withColumn("j", F.pmod(F.xxhash64("_id"), F.lit(m).cast("long"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, schema)
 
 
@@ -41,17 +41,17 @@ def ball_counts(left: DataFrame, right: DataFrame, key: str, vector: str, radius
 
     The radius is one squared number, or a squared radius for each left row.
     """
-    a = left.select(F.col(key).alias("id"), F.col(vector).alias("v"), (F.col(radius_col) if radius_col else F.lit(float(radius2))).alias("r2"))
-    b = right.select(F.col(key).alias("id"), F.col(vector).alias("v"), (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("w"))
+    a = left.select(F.col(key).alias("_id"), F.col(vector).alias("v"), (F.col(radius_col) if radius_col else F.lit(float(radius2))).alias("r2"))
+    b = right.select(F.col(key).alias("_id"), F.col(vector).alias("v"), (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("w"))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "n": []})
-        return pd.DataFrame({"id": x["id"], "n": (_d2(x, y) <= x["r2"].to_numpy()[:, None]) @ y["w"].to_numpy()})
+            return pd.DataFrame({"_id": [], "n": []})
+        return pd.DataFrame({"_id": x["_id"], "n": (_d2(x, y) <= x["r2"].to_numpy()[:, None]) @ y["w"].to_numpy()})
 
-    found = _block_pairs(a, b, run, "id bigint, n double", block).groupBy("id").agg(F.sum("n").alias("_n"))
+    found = _block_pairs(a, b, run, "_id bigint, n double", block).groupBy("_id").agg(F.sum("n").alias("_n"))
     kind = "double" if weight_col else "long"
-    return left.select(F.col(key)).join(found, F.col(key) == F.col("id"), "left").select(key, F.coalesce("_n", F.lit(0.0)).cast(kind).alias(output))
+    return left.select(F.col(key)).join(found, F.col(key) == F.col("_id"), "left").select(key, F.coalesce("_n", F.lit(0.0)).cast(kind).alias(output))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, skip_self: bool = False, block: int = BLOCK) -> DataFrame:
@@ -61,21 +61,21 @@ def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, sk
     """
     from pyspark.sql import Window as W
 
-    a, b = (x.select(F.col(key).alias("id"), F.col(vector).alias("v")) for x in (left, right))
+    a, b = (x.select(F.col(key).alias("_id"), F.col(vector).alias("v")) for x in (left, right))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "neighbor": [], "d2": []})
-        d, ids = _d2(x, y), y["id"].to_numpy()
+            return pd.DataFrame({"_id": [], "neighbor": [], "d2": []})
+        d, ids = _d2(x, y), y["_id"].to_numpy()
         if skip_self:
-            d[x["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+            d[x["_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
         order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        out = pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), order.shape[1]), "neighbor": ids[order].ravel(), "d2": np.take_along_axis(d, order, 1).ravel()})
+        out = pd.DataFrame({"_id": np.repeat(x["_id"].to_numpy(), order.shape[1]), "neighbor": ids[order].ravel(), "d2": np.take_along_axis(d, order, 1).ravel()})
         return out[np.isfinite(out["d2"])]
 
-    found = _block_pairs(a, b, run, "id bigint, neighbor bigint, d2 double", block)
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("d2", "neighbor"))).filter(F.col("rank") <= k)
-    return ranked.select(F.col("id").alias(key), "neighbor", "d2", "rank")
+    found = _block_pairs(a, b, run, "_id bigint, neighbor bigint, d2 double", block)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("_id").orderBy("d2", "neighbor"))).filter(F.col("rank") <= k)
+    return ranked.select(F.col("_id").alias(key), "neighbor", "d2", "rank")
 
 
 def pairs_within(df: DataFrame, key: str, vector: str, radius2: float, pivots: int = 16) -> DataFrame:

@@ -15,6 +15,7 @@ def windowed_descriptor(stream: DataFrame, time: str, sample: str, item: str, wi
     the window, the second sums weights of those counts.  Rows later than ``late`` are dropped.  Works on a
     batch frame alike.
     """
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     counts = stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), sample, item).agg(F.count("*").alias("a"))
     g = size_weight(F.col("a").cast("double"), weight)
     return counts.groupBy(F.window("w", window).alias("w"), sample).agg(F.count("*").alias("n_items"), (F.sum(g) * F.sum(g) / F.sum(g * g)).alias("n_eff")).select(F.col("w.start").alias("window_start"), sample, "n_items", "n_eff")
