@@ -1,7 +1,7 @@
 """Neighbour joins of vectors: counts in balls, k nearest, pairs within a radius.
 
 Vectors of dozens of dimensions leave nothing to a grid, so both sides are dealt to blocks and every
-pair of blocks is one task: a matrix product on a few thousand vectors.  What leaves a task is one row
+pair of blocks is one task: a matrix of distances of a few thousand vectors.  What leaves a task is one row
 for each left vector (a count, or its k nearest so far), never a row for each pair.
 """
 
@@ -78,13 +78,34 @@ def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, sk
     return ranked.select(F.col("_id").alias(key), "neighbor", "d2", "rank")
 
 
-def pairs_within(df: DataFrame, key: str, vector: str, radius2: float, pivots: int = 16) -> DataFrame:
-    """``a, b, d2``, a < b, of all pairs within the radius, by an equi-join.
+#: Dimensions from which bands of distances exclude next to nothing, and blocks are compared instead.
+MANY_DIMENSIONS = 20
 
-    A vector belongs to the nearest of a few pivots and to a band of distances from it, one radius wide.
-    By the triangle inequality its partners are, for every pivot, in three neighbouring bands of their
-    own distances to that pivot.  Pivots are a fixed number of rows and so may be broadcast.
+
+def pairs_within(df: DataFrame, key: str, vector: str, radius2: float, pivots: int = 16, block: int = BLOCK) -> DataFrame:
+    """``a, b, d2``, a < b, of all pairs within the radius.
+
+    Up to ``MANY_DIMENSIONS``, by an equi-join: a vector belongs to the nearest of a few pivots and to a band
+    of distances from it, one radius wide; by the triangle inequality its partners are, for every pivot,
+    in three neighbouring bands of their own distances to that pivot.  Pivots are a fixed number of rows
+    and so may be broadcast.  Beyond, by pairs of blocks, of which only pairs within the radius come out.
     """
+    first = df.select(F.size(vector)).first()
+    if first and first[0] > MANY_DIMENSIONS:
+        left, right = (df.select(F.col(key).alias("_id"), F.col(vector).alias("v")) for _ in range(2))
+
+        def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(y):
+                return pd.DataFrame({"a": [], "b": [], "d2": []})
+            d = _d2(x, y)
+            i, j = np.nonzero((d <= radius2) & (x["_id"].to_numpy()[:, None] < y["_id"].to_numpy()[None, :]))
+            return pd.DataFrame({"a": x["_id"].to_numpy()[i], "b": y["_id"].to_numpy()[j], "d2": d[i, j]})
+
+        return _block_pairs(left, right, run, "a bigint, b bigint, d2 double", block)
+    return _pairs_by_bands(df, key, vector, radius2, pivots)
+
+
+def _pairs_by_bands(df: DataFrame, key: str, vector: str, radius2: float, pivots: int) -> DataFrame:
     r = float(np.sqrt(radius2))
     own = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
     chosen = own.orderBy(F.xxhash64("id"), "id").limit(pivots).select(F.col("id").alias("pivot"), F.col("v").alias("pv"))

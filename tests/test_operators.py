@@ -91,7 +91,7 @@ def test_projection_invariants(spark, tmp_path):
         basis.same_basis(basis.transform(df, b, "v", "z"), basis.transform(df, other, "v", "z"), "z")
 
 
-def test_neighbours_against_brute_force(spark):
+def test_neighbours_against_brute_force(spark, monkeypatch):
     df, x = cloud(spark, 200)
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     got = dict(map(tuple, neighbors.ball_counts(df, df, "id", "v", 3.0, block=64).collect()))
@@ -101,6 +101,8 @@ def test_neighbours_against_brute_force(spark):
     assert {(r.id, r.neighbor) for r in near.itertuples()} == {(i, int(j)) for i in range(200) for j in np.argsort(d[i])[:3]}
     pairs = {(r.a, r.b) for r in neighbors.pairs_within(df, "id", "v", 2.0).collect()}
     assert pairs == {(i, j) for i in range(200) for j in range(i + 1, 200) if d[i, j] <= 2.0}
+    monkeypatch.setattr(neighbors, "MANY_DIMENSIONS", 2)
+    assert pairs == {(r.a, r.b) for r in neighbors.pairs_within(df, "id", "v", 2.0, block=64).collect()}
 
 
 @pytest.mark.parametrize("test", ["poisson", "binomial"])
