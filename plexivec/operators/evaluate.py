@@ -37,8 +37,9 @@ def average_rank(df: DataFrame, column: str, output: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row ``rho``."""
-    return average_rank(average_rank(df, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"))
+    """One row ``rho``; null if one of the columns is constant."""
+    ranked = average_rank(average_rank(df, a, "_ra"), b, "_rb")
+    return ranked.agg(F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("rho"))
 
 
 def held_out_auc(train: DataFrame, test: DataFrame, vector: str, label: str, pca_cols: int = 0) -> float:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plexivec.functions.names import allele_to_major, allele_with_default, strip_allele, tokens, tokens_to_sequence
 from plexivec.functions.stats import benjamini_hochberg, fisher_combine, poisson_tail, size_weight
 from plexivec.functions.vectors import l2sq
-from plexivec.operators import basis, cluster, cohort, density, embedding, evaluate, neighbors, repertoire, strings
+from plexivec.operators import basis, cluster, cohort, density, embedding, evaluate, neighbors, repertoire, strings, theory
 from plexivec.sources.formats import allele_counts, antigen_subset, generate_background, library_consistency, load_labels
 from plexivec.sources.tables import table
 from plexivec.streaming.incremental import windowed_descriptor
@@ -538,6 +538,23 @@ def codec_losslessness(spark, sf_dir):
     return out.select("n", *[r6(c) for c in ("collision_rate", "ceiling", "exact_match", "mean_edit")])
 
 
+@query()
+def embedding_distance_correlation(spark, sf_dir):
+    return theory.distance_correlation(junctions(spark, sf_dir).filter("p_partkey < 300"), "p_partkey", "seq")
+
+
+@query()
+def mutation_drift(spark, sf_dir):
+    s = junctions(spark, sf_dir)
+    return theory.mutation_drift(s, s.filter("p_partkey < 50").withColumn("proto_idx", F.col("p_partkey")), "seq", 4, 2)
+
+
+@query()
+def neighbour_convergence(spark, sf_dir):
+    s = junctions(spark, sf_dir, DENSE)
+    return theory.neighbour_convergence(s, s.filter("p_partkey < 100").withColumn("proto_idx", F.col("p_partkey")), "p_partkey", "seq", 10)
+
+
 # ---- A-07 and the stream
 
 

@@ -25,6 +25,7 @@ def test_alleles(spark, name, gene, full, major):
 def test_aliases():
     assert n.normalize_species("Homo sapiens") == "human" and n.normalize_species("HSA") == "human"
     assert n.normalize_locus("heavy") == "IGH" and n.normalize_locus("T-beta") == "TRB"
+    assert n.preset("hsa", "beta") == (2000, 65, 260) and n.preset("mouse", "IGH") == n.FALLBACK_PRESET
     for f in (n.normalize_species, n.normalize_locus):
         with pytest.raises(ValueError):
             f("frog")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plexivec.operators import basis, cluster, cohort, density, embedding, evaluate, neighbors, repertoire
+from plexivec.operators import basis, cluster, cohort, density, embedding, evaluate, neighbors, repertoire, theory
 from plexivec.plans.components import components
 from plexivec.sources import formats
 from plexivec.streaming.incremental import windowed_descriptor
@@ -318,3 +318,16 @@ def test_cli(spark, tmp_path, capsys):
     assert e.count() == 20 and "e5" in e.columns
     cli.main(["embed", "repertoires", str(tmp_path / "s1.tsv"), str(tmp_path / "s2.tsv"), "--prototypes", str(tmp_path / "p.tsv"), "-o", str(tmp_path / "phi.parquet"), "--mmd", str(tmp_path / "mmd.parquet"), "--n-rff", "16", "--n-components", "3"])
     assert spark.read.parquet(str(tmp_path / "phi.parquet")).count() == 2 and spark.read.parquet(str(tmp_path / "mmd.parquet")).count() == 2
+
+
+def test_theory(spark):
+    pool = formats.generate_background(spark, 60, (["V1"], ["J1"]), lengths=(10, 10)).withColumnRenamed("row_id", "id").persist()
+    protos = pool.filter("id < 20").withColumn("proto_idx", F.col("id"))
+    r = theory.distance_correlation(pool, "id", "junction_aa").first()
+    assert r["n_pairs"] == 60 * 59 / 2 and r["r"] > 0.1
+    drift = {x["k"]: x for x in theory.mutation_drift(pool, protos, "junction_aa", max_mut=3, n_rep=2).collect()}
+    assert drift[0]["mean"] == drift[0]["std"] == 0 and drift[1]["mean"] < drift[3]["mean"]
+    same = theory.prototype_correlation(pool, protos, protos, "id", "junction_aa").first()["r"]
+    assert same == pytest.approx(1.0)
+    c = theory.neighbour_convergence(pool, protos, "id", "junction_aa", n_components=5, scales=(1.0, 2.0)).toPandas()
+    assert list(c["scale"]) == [1.0, 2.0] and (c["radius"] > 0).all()
