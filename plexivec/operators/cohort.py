@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -9,13 +10,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexivec.functions.stats import benjamini_hochberg, fisher_exact
 from plexivec.functions.vectors import mean_vector, subtract
-from plexivec.operators.basis import fit_projection, transform
-from plexivec.operators.repertoire import sample_embedding
+from plexivec.operators.basis import Basis, fit_projection, transform
+from plexivec.operators.repertoire import class_witness, sample_embedding, witness
+from plexivec.operators.strings import one_mismatch_pairs
+from plexivec.plans.components import components
+from plexivec.plans.staging import staged
 
 
 @dataclass
@@ -194,29 +198,85 @@ def correct_batch(df: DataFrame, key: str, vector: str, batch: str, covariates:
     return df.drop(vector).join(fixed, F.col(key) == F.col("_k")).withColumnRenamed("_x", vector).drop("_k")
 
 
-def donor_embeddings(cloud: DataFrame, donors: DataFrame, donor: str, locus: str, count: str, features: str, loci: Sequence[str], id_pca: int = 8, min_clones: int = 5) -> tuple[DataFrame, ChannelSpec, dict]:
-    """Blocks ``locus:identity``, ``locus:diversity``, ``locus:coverage`` of every donor as one matrix.
-
-    A chain with fewer than ``min_clones`` clones leaves holes, filled with medians.  The identity of a locus
-    is the projection of its kernel means to ``id_pca`` components; with no more donors than that the
-    locus has no identity, at fitting and later.  Returns the matrix, its channels and the projections.
-    """
-    if not loci:
-        raise ValueError("no loci")
-    build, bases = ChannelBuilder(donors, donor), {}
+@dataclass(frozen=True)
+class DonorSpace:
+    """What turns donors into rows that can be compared: the loci's bases and the columns' statistics."""
+
+    loci: tuple[str, ...]
+    id_pca: int
+    min_clones: int
+    bases: dict[str, Basis | None]
+    medians: list[float]
+    means: list[float]
+    deviations: list[float]
+    spec: ChannelSpec
+
+    def transform(self, cloud: DataFrame, donors: DataFrame, donor: str, locus: str, count: str, features: str) -> DataFrame:
+        """``donor, x`` of other donors, by the stored parameters only.
+
+        A locus without an identity at fitting has none here; a missing chain gets the stored medians.
+        """
+        raw = _blocks(cloud, donors, donor, locus, count, features, self.loci, self.min_clones, self.bases)[0]
+        row = lambda v: F.array(*[F.lit(float(x)) for x in v])
+        filled = F.zip_with("x", row(self.medians), lambda x, m: F.when(x.isNull() | F.isnan(x), m).otherwise(x))
+        centred = F.zip_with(filled, row(self.means), lambda x, m: x - m)
+        return raw.withColumn("x", F.zip_with(centred, row(self.deviations), lambda x, s: x / s))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write all parameters as one JSON line, bases with their fingerprints."""
+        record = {k: getattr(self, k) for k in ("loci", "id_pca", "min_clones", "medians", "means", "deviations")}
+        record |= {"channels": self.spec.channels, "attributable": sorted(self.spec.attributable)}
+        record["bases"] = {k: None if b is None else b.record() | {"fingerprint": b.fingerprint} for k, b in self.bases.items()}
+        spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, verify: bool = True) -> DonorSpace:
+        """Read the parameters; ValueError if a basis is not the one that was saved."""
+        r = json.loads(spark.read.text(path).first()[0])
+        spec = ChannelSpec(r.pop("channels"), frozenset(r.pop("attributable")))
+        bases = {}
+        for name, b in r.pop("bases").items():
+            said = b.pop("fingerprint") if b else None
+            bases[name] = Basis(**{k: v if k == "meta" or v is None else np.array(v) for k, v in b.items()}) if b else None
+            if verify and b and bases[name].fingerprint != said:
+                raise ValueError("basis fingerprint mismatch")
+        return DonorSpace(bases=bases, spec=spec, **r | {"loci": tuple(r["loci"])})
+
+
+def _blocks(cloud: DataFrame, donors: DataFrame, donor: str, locus: str, count: str, features: str, loci: Sequence[str], min_clones: int, bases: dict, id_pca: int | None = None) -> tuple[DataFrame, ChannelSpec]:
+    """The blocks of all donors side by side, with holes; with ``id_pca`` the bases are fitted into ``bases``."""
+    build = ChannelBuilder(donors, donor)
     for name in loci:
         own = cloud.filter(F.col(locus) == name)
         enough = own.groupBy(donor).agg(F.count("*").alias("n")).filter(F.col("n") >= min_clones).select(donor)
         own = own.join(enough, donor)
         e = sample_embedding(own, donor, count, features, blocks=("mean", "diversity"))
-        if e.count() > id_pca:
-            bases[name] = fit_projection(e, "mean", id_pca)
+        if id_pca is not None:
+            bases[name] = fit_projection(e, "mean", id_pca) if e.count() > id_pca else None
+        if bases[name] is not None:
             build.add(f"{name}:identity", transform(e, bases[name], "mean", "z"), "z", bases[name].loadings.shape[1], True)
         build.add(f"{name}:diversity", e, "diversity", 4)
-        mass = own.groupBy(donor).agg(F.array(F.log1p(F.sum(count).cast("double"))).alias("mass"))
-        build.add(f"{name}:coverage", mass, "mass", 1)
-    out, spec = build.build()
-    return out, spec, bases
+        build.add(f"{name}:coverage", own.groupBy(donor).agg(F.array(F.log1p(F.sum(count).cast("double"))).alias("mass")), "mass", 1)
+    return build.build(standardize=False, impute=False)
+
+
+def fit_donors(cloud: DataFrame, donors: DataFrame, donor: str, locus: str, count: str, features: str, loci: Sequence[str], id_pca: int = 8, min_clones: int = 5) -> DonorSpace:
+    """Fit the blocks ``locus:identity``, ``locus:diversity``, ``locus:coverage`` of donors.
+
+    A chain with fewer than ``min_clones`` clones leaves holes, filled with the columns' medians.  The
+    identity of a locus is the projection of its kernel means to ``id_pca`` components; with no more donors
+    than that it has none.  Columns are standardised (population deviation, 0 as 1).
+    """
+    if not loci:
+        raise ValueError("no loci")
+    bases: dict[str, Basis | None] = {}
+    raw, spec = _blocks(cloud, donors, donor, locus, count, features, loci, min_clones, bases, id_pca)
+    x = [F.col("x")[i] for i in range(spec.width)]
+    first = raw.agg(*[F.coalesce(F.median(v), F.lit(0.0)).alias(f"m{i}") for i, v in enumerate(x)]).first()
+    filled = [F.coalesce(v, F.lit(float(first[i]))) for i, v in enumerate(x)]
+    stats = raw.agg(*[F.avg(v).alias(f"a{i}") for i, v in enumerate(filled)], *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(filled)]).first()
+    w = spec.width
+    return DonorSpace(tuple(loci), id_pca, min_clones, bases, list(first), list(stats[:w]), [s if s and s > 1e-12 else 1.0 for s in stats[w:]], spec)
 
 
 def channel_report(df: DataFrame, spec: ChannelSpec, scorer: Callable[[DataFrame, list[int]], float], base: float | None = None, mode: str = "in", permuted: Callable[[DataFrame, int], DataFrame] | None = None, n_permutations: int = 0) -> DataFrame:
@@ -252,8 +312,36 @@ def channel_report(df: DataFrame, spec: ChannelSpec, scorer: Callable[[DataFrame
     return df.sparkSession.createDataFrame(table, "channel string, n_columns int, score double, delta double, delta_out double, attributable boolean, rank int, pvalue double").orderBy("rank")
 
 
-def incidence_biomarkers(df: DataFrame, feature: str, subject: str, positive: str, min_incidence: int = 3) -> DataFrame:
-    """``feature, n_pos, n_neg, odds_ratio, pvalue, qvalue, direction``: Fisher's test of who carries a feature."""
+def channel_drivers(spec: ChannelSpec, channel: str, positive: DataFrame, negative: DataFrame, candidates: DataFrame, features: str, key: str, top: int = 30) -> DataFrame:
+    """The records that drive a channel: ``class_witness`` with the channel's name; ValueError if it cannot be traced to records."""
+    spec[channel]
+    if channel not in spec.attributable:
+        raise ValueError(f"channel {channel!r} is not attributable")
+    return class_witness(candidates, features, key, witness(positive, negative), top).withColumn("channel", F.lit(channel))
+
+
+def merge_one_mismatch(df: DataFrame, feature: str) -> DataFrame:
+    """``df`` with sequences that are linked by single mismatches under one name, the smallest of them."""
+    pairs = one_mismatch_pairs(df, feature)
+    names = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    ids = staged(names.withColumn("node", F.monotonically_increasing_id()), "features")
+    a, b = ids.toDF("a", "na"), ids.toDF("b", "nb")
+    comp = components(pairs.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    named = comp.join(ids, "node")
+    least = named.groupBy("comp").agg(F.min("s").alias("_name"))
+    new = named.join(least, "comp").select(F.col("s").alias("_s"), "_name")
+    return df.join(new, F.col(feature) == F.col("_s"), "left").withColumn(feature, F.coalesce("_name", feature)).drop("_s", "_name")
+
+
+def incidence_biomarkers(df: DataFrame, feature: str, subject: str, positive: str, min_incidence: int = 3, match: str = "exact") -> DataFrame:
+    """``feature, n_pos, n_neg, odds_ratio, pvalue, qvalue, direction``: Fisher's test of who carries a feature.
+
+    With ``match`` ``1mm`` sequences that are linked by single mismatches are one feature.
+    """
+    if match not in ("exact", "1mm"):
+        raise ValueError(f"unknown match {match!r}")
+    if match == "1mm":
+        df = merge_one_mismatch(df, feature)
     subjects = df.select(subject, positive).distinct()
     total = {r[0]: r[1] for r in subjects.groupBy(positive).count().collect()}
     pos, neg = total.get(True, 0), total.get(False, 0)

@@ -116,3 +116,17 @@ def _pairs_by_bands(df: DataFrame, key: str, vector: str, radius2: float, pivots
     away = far.select(F.col("id").alias("a"), F.col("v").alias("va"), "pivot", F.explode(bands).alias("band"))
     met = away.join(home, ["pivot", "band"]).filter("a <> b").withColumn("d2", l2sq("va", "vb")).filter(F.col("d2") <= radius2)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d2").distinct()
+
+
+def ann_ball_counts(left: DataFrame, right: DataFrame, key: str, vector: str, radius2: float, bucket: float | None = None, tables: int = 5, seed: int = 0, output: str = "n") -> DataFrame:
+    """``key, output``: right vectors within the radius that random projections find (Spark's); never too many, some may lack."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    side = lambda x: x.select(F.col(key).alias("_id"), array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    r = float(np.sqrt(radius2))
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket or r, numHashTables=tables, seed=seed).fit(side(right))
+    # the join keeps distances below its bound: one just above the radius, then the radius itself
+    found = model.approxSimilarityJoin(side(left), side(right), r * (1 + 1e-9), "_d").filter(F.col("_d") <= r)
+    n = found.groupBy(F.col("datasetA._id").alias("_k")).agg(F.count("*").alias("_n"))
+    return left.select(key).join(n, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("_n", F.lit(0)).alias(output))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexivec.functions.names import allele_to_major, allele_with_default, strip_allele, tokens, tokens_to_sequence
+from plexivec.functions.names import prototype_hash as names_hash
 from plexivec.functions.stats import benjamini_hochberg, fisher_combine, poisson_tail, size_weight
 from plexivec.functions.vectors import l2sq
 from plexivec.operators import basis, cluster, cohort, density, embedding, evaluate, neighbors, repertoire, strings, theory
@@ -124,6 +125,12 @@ def allele_cascade(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", embedding.resolve_allele(name, F.array(*map(F.lit, _KNOWN))).alias("resolved"))
 
 
+@query(f"""SELECT substr(sha256(string_agg({_JUNCTION} || chr(0), '' ORDER BY p_partkey)), 1, 16) AS hash FROM part WHERE p_partkey < 100""")
+def prototype_hash(spark, sf_dir):
+    p = junctions(spark, sf_dir).filter("p_partkey < 100").select(F.col("p_partkey").alias("proto_idx"), F.col("seq").alias("junction_aa"))
+    return p.agg(names_hash(p).alias("hash"))
+
+
 @query(f"""WITH s AS (SELECT p_partkey, {_JUNCTION} || CASE WHEN p_partkey % 3 = 0 THEN repeat('AB', 17) ELSE '' END AS s FROM part),
 t AS (SELECT p_partkey, list_transform(string_split(s, ''), lambda c: CASE WHEN instr('ACDEFGHIKLMNPQRSTVWY', c) > 0 THEN instr('ACDEFGHIKLMNPQRSTVWY', c) - 1 ELSE 20 END) AS c, length(s) AS n FROM s),
 u AS (SELECT p_partkey, CASE WHEN n <= 7 THEN c || list_transform(range(40 - n), lambda i: 20) ELSE c[1:4] || c[5:least(n - 3, 37)] || list_transform(range(40 - 7 - (least(n - 3, 37) - 4)), lambda i: 20) || c[n - 2:n] END AS ids FROM t)
@@ -435,8 +442,15 @@ def channel_report(spark, sf_dir):
 @query()
 def donor_fusion(spark, sf_dir):
     cloud = features(spark, sf_dir).withColumn("donor", F.col("vec_id") % 12).withColumn("locus", F.when(F.col("label") < 5, "TRA").otherwise("TRB"))
-    x, _, _ = cohort.donor_embeddings(cloud, cloud.select("donor").distinct(), "donor", "locus", "a", "psi", ["TRA", "TRB"], id_pca=3)
-    return x
+    args = (cloud.select("donor").distinct(), "donor", "locus", "a", "psi")
+    return cohort.fit_donors(cloud, *args, ["TRA", "TRB"], id_pca=3).transform(cloud, *args)
+
+
+@query()
+def channel_drivers(spark, sf_dir):
+    m = kernel_means(spark, sf_dir).persist()
+    spec = cohort.ChannelSpec({"identity": [0, 1]}, frozenset({"identity"}))
+    return cohort.channel_drivers(spec, "identity", m.filter("label < 5"), m.filter("label >= 5"), features(spark, sf_dir), "psi", "vec_id")
 
 
 _INCIDENCE = "i AS (SELECT DISTINCT l_partkey AS part, o_custkey AS cust, c_mktsegment = 'BUILDING' AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
@@ -460,6 +474,19 @@ def incidence_fisher(spark, sf_dir):
     return cohort.incidence_biomarkers(_incidence(spark, sf_dir), "part", "cust", "pos")
 
 
+@query()
+def incidence_one_mismatch(spark, sf_dir):
+    j = junctions(spark, sf_dir, DENSE).select("p_partkey", "seq")
+    i = _incidence(spark, sf_dir).join(j, F.col("part") == F.col("p_partkey"))
+    return cohort.incidence_biomarkers(i, "seq", "cust", "pos", match="1mm")
+
+
+@query()
+def ann_counts(spark, sf_dir):
+    o, b = sides(spark, sf_dir)
+    return neighbors.ann_ball_counts(o, b, "vec_id", "embedding", RADIUS2)
+
+
 # ---- K: scorers and survival
 
 

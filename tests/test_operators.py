@@ -227,6 +227,41 @@ def test_cohort(spark):
     assert np.abs(means[0] - means[2]).mean() < 0.7
 
 
+def test_donors(spark, tmp_path):
+    df = sample(spark).withColumn("donor", F.col("i") % 10).withColumn("locus", F.when(F.col("s") == 1, "TRA").otherwise("TRB")).filter("not (donor = 4 and locus = 'TRA')")
+    args = (df.select("donor").distinct(), "donor", "locus", "a", "psi")
+    space = cohort.fit_donors(df, *args, ["TRA", "TRB"], id_pca=2, min_clones=3)
+    x = {r["donor"]: np.array(r["x"]) for r in space.transform(df, *args).collect()}
+    m = np.stack(list(x.values()))
+    assert m.shape == (10, space.spec.width) and np.allclose(m.mean(0), 0, atol=1e-9) and np.isfinite(m).all()
+    space.save(spark, str(tmp_path / "d"))
+    again = cohort.DonorSpace.load(spark, str(tmp_path / "d"))
+    few = again.transform(df.filter("donor < 3"), df.select("donor").distinct().filter("donor < 3"), *args[1:])
+    assert all(np.allclose(r["x"], x[r["donor"]]) for r in few.collect())
+    few = cohort.fit_donors(df, *args, ["TRA"], id_pca=20)
+    assert "TRA:identity" not in few.spec
+    with pytest.raises(ValueError):
+        cohort.fit_donors(df, *args, [])
+
+
+def test_drivers_and_mismatches(spark):
+    e = repertoire.sample_embedding(sample(spark), "s", "a", "psi", blocks=("mean",)).persist()
+    spec = cohort.ChannelSpec({"a": [0], "b": [1]}, frozenset({"a"}))
+    got = cohort.channel_drivers(spec, "a", e.filter("s = 1"), e.filter("s > 1"), sample(spark).filter("s = 1"), "psi", "i", top=3)
+    assert got.count() == 3 and got.first()["channel"] == "a"
+    with pytest.raises(ValueError, match="attributable"):
+        cohort.channel_drivers(spec, "b", e, e, sample(spark), "psi", "i")
+    df = spark.createDataFrame([(s,) for s in ("CAF", "CSF", "CSW", "AAAA")], "f string")
+    assert sorted(r[0] for r in cohort.merge_one_mismatch(df, "f").collect()) == ["AAAA", "CAF", "CAF", "CAF"]
+
+
+def test_approximate_neighbours_undercount(spark):
+    df, _ = cloud(spark, 200)
+    exact = dict(map(tuple, neighbors.ball_counts(df, df, "id", "v", 2.0).collect()))
+    got = dict(map(tuple, neighbors.ann_ball_counts(df, df, "id", "v", 2.0).collect()))
+    assert all(got[i] <= exact[i] for i in exact) and sum(got.values()) > 0.9 * sum(exact.values())
+
+
 def test_channels(spark):
     ids = spark.createDataFrame([(i,) for i in range(5)], "k int")
     a = spark.createDataFrame([(i, [float(i), None if i == 2 else 1.0 * i]) for i in range(4)], "k int, a array<double>")
