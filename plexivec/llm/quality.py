@@ -19,7 +19,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexivec.functions.text import BLANK
 from plexivec.llm.charhash import SPAN, code_points, trigram_buckets
 from plexivec.llm.wordhash import text_bytes, words
 from plexivec.plans.staging import staged
@@ -33,49 +32,55 @@ EM_ROUNDS = 200
 MARKS = "[#$%&*|<>{}=~^_/\\\\]"
 
 
-def labellers(text: Column) -> dict[str, tuple[Column, Column]]:
-    """For each heuristic: when it votes bad, and when it votes good; else it does not vote."""
-    chars = F.greatest(F.char_length(text), F.lit(1))
-    tokens = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    n = F.greatest(F.size(tokens), F.lit(1))
-    marks = F.regexp_count(text, F.lit(MARKS)) / chars
-    capitals = F.regexp_count(text, F.lit("\\p{Lu}")) / chars
-    same = F.size(F.filter(F.zip_with(F.slice(tokens, 1, n - 1), F.slice(tokens, 2, n), lambda a, b: a == b), lambda x: x)) / n
-    parts = F.filter(F.split(text, "[.!?\\n]+"), lambda s: F.char_length(s) > 1)
-    n_parts = F.greatest(F.size(parts), F.lit(1))
-    distinct_parts = F.size(F.array_distinct(parts)) / n_parts
-    distinct = F.size(F.array_distinct(tokens)) / n
-    cries = F.regexp_count(text, F.lit("!")) / n
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    ended = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANK)).rlike("[.!?:]$"))) / F.greatest(F.size(lines), F.lit(1))
+def _parts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the texts cut once into words and sentences for all labellers: ``_text, _words, _sentences``."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    cut = docs.withColumn("_text", text).withColumn("_words", F.array_remove(F.split("_text", "[\\x20\\x09-\\x0D]+"), ""))
+    return cut.withColumn("_sentences", F.array_remove(F.split("_text", "[.!?\\n]+ *"), ""))
+
+
+def labellers() -> dict[str, tuple[Column, Column]]:
+    """For each heuristic: when it votes bad, and when it votes good; else it does not vote.  Over ``_parts``."""
+    count = lambda pattern: F.regexp_count("_text", F.lit(pattern))
+    chars = F.greatest(F.char_length("_text"), F.lit(1))
+    n = F.greatest(F.size("_words"), F.lit(1))
+    n_sentences = F.greatest(F.size("_sentences"), F.lit(1))
     enough = n >= 8
-    marked = F.size(F.filter(tokens, lambda w: w.rlike(MARKS))) / n
-    runs = F.regexp_count(text, F.lit("([#$%&*!=~|])\\1|[^ ] [|] [^ ]")) / n
-    odd_ends = F.size(F.filter(tokens, lambda w: ~w.rlike("[\\p{L}\\p{N}][.,;:?)\"']*$"))) / n
+    marks = count(MARKS) / chars
+    marked = count(f"{MARKS}+[^\\x20\\x09-\\x0D]*") / n
+    runs = count("([#$%&*!=~|])\\1|[^ ] [|] [^ ]") / n
+    odd_ends = count("[^\\p{L}\\p{N}\\x20\\x09-\\x0D.,;:?)\"'][\\x20\\x09-\\x0D]") / n
+    capitals = count("\\p{Lu}") / chars
+    pairs = F.zip_with(F.slice("_words", 1, n - 1), F.slice("_words", 2, n), lambda a, b: a == b)
+    same = F.size(F.filter(pairs, lambda x: x)) / n
+    distinct_sentences = F.size(F.array_distinct("_sentences")) / n_sentences
+    distinct = F.size(F.array_distinct("_words")) / n
+    cries = count("!") / n
+    ended = count("[.!?:][\\x20\\x09\\x0D]*(\\n|$)") / F.greatest(count("[^\\n]+"), F.lit(1))
     return {
-        "blank": (F.size(tokens) == 0, F.lit(False)),
+        "blank": (F.size("_words") == 0, F.lit(False)),
         "marks": (marks > 0.03, marks < 0.005),
         "marked_words": (enough & (marked > 0.2), marked < 0.05),
         "mark_runs": (enough & (runs > 0.15), runs < 0.03),
         "word_ends": (enough & (odd_ends > 0.2), odd_ends < 0.08),
         "capitals": (enough & (capitals > 0.3), capitals < 0.1),
         "stutter": (enough & (same > 0.25), same < 0.1),
-        "repeated_sentences": ((n_parts >= 4) & (distinct_parts < 0.5), distinct_parts > 0.9),
+        "repeated_sentences": ((n_sentences >= 4) & (distinct_sentences < 0.5), distinct_sentences > 0.9),
         "vocabulary": ((n >= 30) & (distinct < 0.25), distinct > 0.45),
         "cries": (enough & (cries > 0.3), cries < 0.05),
         "line_ends": (enough & (ended < 0.3), ended > 0.7),
     }
 
 
-def votes(text: Column) -> Column:
-    """The votes of all labellers on a text (1 good, -1 bad, 0 none); a null text is empty."""
-    t = F.coalesce(text, F.lit(""))
-    return F.array(*[F.when(bad, -1).when(good, 1).otherwise(0) for bad, good in labellers(t).values()])
+def with_votes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``votes``: all labellers' on the text (1 good, -1 bad, 0 none); a null text is empty."""
+    votes = F.array(*[F.when(bad, -1).when(good, 1).otherwise(0) for bad, good in labellers().values()])
+    return _parts(docs, text_col).withColumn("votes", votes).drop("_text", "_words", "_sentences")
 
 
 def vote_patterns(docs: DataFrame, text_col: str = "text") -> pd.DataFrame:
     """Distinct vote patterns with their number of documents: at most 3 ** labellers rows, whatever the corpus."""
-    return docs.select(votes(F.col(text_col)).alias("votes")).groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").toPandas()
+    return with_votes(docs.select(text_col), text_col).groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").toPandas()
 
 
 def posterior(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
@@ -168,7 +173,7 @@ def fit_scorer(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_
             out.append(x)
         return pd.Series(out)
 
-    train = staged(drawn.withColumn("votes", votes(F.col("text"))).join(F.broadcast(label), "votes").select(vector("text").alias("x"), "good"), "quality")
+    train = staged(with_votes(drawn).join(F.broadcast(label), "votes").select(vector("text").alias("x"), "good"), "quality")
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight"))))
     rows = train.select(array_to_vector(F.col("x")).alias("features"), both.alias("y")).select("features", "y.*").filter("weight > 1e-4")
     if rows.select("label").distinct().count() < 2:
