@@ -94,8 +94,9 @@ def identify_language(docs: DataFrame, profiles: Profiles, text_col: str = "text
         for texts in batches:
             yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.withColumn("_p", predicted(F.col(text_col)))
-    return out.withColumn("lang_pred", F.col("_p.lang_pred")).withColumn("score", F.col("_p.score")).drop("_p")
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    out = docs.select(F.struct(*rest).alias("row"), predicted(F.col(text_col)).alias("found"))
+    return out.select("row.*", "found.lang_pred", "found.score")
 
 
 def held_out(id_col: str = "doc_id"):
