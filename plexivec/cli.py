@@ -10,28 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import plexivec
+from plexivec.functions.names import preset
 from plexivec.operators.basis import fit_projection, transform, with_random_features
-from plexivec.operators.embedding import sequence_distances
+from plexivec.operators.embedding import clonotype_embed, sequence_distances
 from plexivec.operators.repertoire import mmd_matrix, sample_embedding
 from plexivec.sources.formats import exploded, load_prototypes, pick_locus, read_clonotypes, write_table
 
 WIDE = 500
 
 
-def _embedded(spark: SparkSession, args: argparse.Namespace, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def _read(spark: SparkSession, args: argparse.Namespace, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     df = reduce(DataFrame.unionByName, [read_clonotypes(spark, p).select("sample_id", "locus", "v_call", "j_call", "junction_aa", "duplicate_count") for p in paths])
-    protos = load_prototypes(spark, args.prototypes, args.n_prototypes)
-    return df, protos
+    return df, load_prototypes(spark, args.prototypes, args.n_prototypes)
+
+
+def _embed(df: DataFrame, protos: DataFrame, spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, int]:
+    """``df`` with the vector ``e``, and its width: junctions alone, or three slots with a table of germline distances."""
+    n = protos.count()
+    if not args.germline:
+        return sequence_distances(df, protos, output="e", metric=args.metric), n
+    out = clonotype_embed(df, protos, spark.read.parquet(args.germline), mode=args.mode, metric=args.metric)
+    return out.withColumnRenamed("embedding", "e"), 3 * n
 
 
 def cmd_clonotypes(spark: SparkSession, args: argparse.Namespace) -> None:
     """One row a clonotype: its id columns and its vector."""
-    df, protos = _embedded(spark, args, [args.input])
+    df, protos = _read(spark, args, [args.input])
     df = df.filter(F.col("locus") == pick_locus(df, args.locus))
     if not df.take(1):
         raise SystemExit("no clonotypes of this locus")
-    out = sequence_distances(df, protos, output="e", metric=args.metric)
-    width = protos.count()
+    out, width = _embed(df, protos, spark, args)
     if args.pca:
         basis = fit_projection(out, "e", args.pca)
         out, width = transform(out.withColumnRenamed("e", "raw"), basis, "raw", "e").drop("raw"), basis.loadings.shape[1]
@@ -42,13 +50,13 @@ def cmd_clonotypes(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def cmd_repertoires(spark: SparkSession, args: argparse.Namespace) -> None:
     """One row a sample and locus: its blocks; with ``--mmd`` also the distances, a file a locus."""
-    df, protos = _embedded(spark, args, args.input)
+    df, protos = _read(spark, args, args.input)
     blocks = args.blocks.split(",")
     loci = [args.locus] if args.locus else sorted(r[0] for r in df.select("locus").distinct().collect())
     results = []
     for locus in loci:
-        e = sequence_distances(df.filter(F.col("locus") == locus), protos, output="e", metric=args.metric)
-        basis = fit_projection(e, "e", args.n_components, seed=args.seed)
+        e, _ = _embed(df.filter(F.col("locus") == locus), protos, spark, args)
+        basis = fit_projection(e, "e", args.n_components or preset(args.species, locus)[1], seed=args.seed)
         basis = with_random_features(basis, args.length_scale, args.n_rff, args.n_rff_second if "second" in blocks else 0, seed=args.seed)
         cloud = transform(e, basis, "e", "z", "f1", "f2" if "second" in blocks else None)
         phi = sample_embedding(cloud, "sample_id", "duplicate_count", "f1", "f2" if "second" in blocks else None, args.weight, blocks).withColumn("locus", F.lit(locus)).persist()
@@ -73,7 +81,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--blocks", default="mean,diversity")
     r.add_argument("--n-rff", type=int, default=1024)
     r.add_argument("--n-rff-second", type=int, default=128)
-    r.add_argument("--n-components", type=int, default=60)
+    r.add_argument("--n-components", type=int)
     r.add_argument("--length-scale", type=float, default=1.0)
     r.add_argument("--mmd")
     r.add_argument("--seed", type=int, default=0)
@@ -83,6 +91,9 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--prototypes", required=True)
         x.add_argument("--n-prototypes", type=int)
         x.add_argument("--locus")
+        x.add_argument("--species", default="human")
+        x.add_argument("--germline", help="parquet of component, a, b, d")
+        x.add_argument("--mode", choices=("vjcdr3", "cdr123"), default="vjcdr3")
         x.add_argument("--metric", choices=("squared", "sqrt"), default="squared")
     return p
 

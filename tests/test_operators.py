@@ -351,6 +351,10 @@ def test_cli(spark, tmp_path, capsys):
     cli.main(["embed", "clonotypes", str(tmp_path / "s1.tsv"), "--prototypes", str(tmp_path / "p.tsv"), "-o", str(tmp_path / "e.parquet")])
     e = spark.read.parquet(str(tmp_path / "e.parquet"))
     assert e.count() == 20 and "e5" in e.columns
+    genes = spark.createDataFrame([("V", f"V{i}*01", "ACDEF"[i % 5] * 3) for i in range(6)] + [("J", "J1*01", "FFF")], "component string, allele string, seq string")
+    embedding.bake_germline(genes).write.parquet(str(tmp_path / "g.parquet"))
+    cli.main(["embed", "clonotypes", str(tmp_path / "s1.tsv"), "--prototypes", str(tmp_path / "p.tsv"), "--germline", str(tmp_path / "g.parquet"), "--pca", "2", "-o", str(tmp_path / "z.parquet")])
+    assert spark.read.parquet(str(tmp_path / "z.parquet")).columns[-1] == "e1"
     cli.main(["embed", "repertoires", str(tmp_path / "s1.tsv"), str(tmp_path / "s2.tsv"), "--prototypes", str(tmp_path / "p.tsv"), "-o", str(tmp_path / "phi.parquet"), "--mmd", str(tmp_path / "mmd.parquet"), "--n-rff", "16", "--n-components", "3"])
     assert spark.read.parquet(str(tmp_path / "phi.parquet")).count() == 2 and spark.read.parquet(str(tmp_path / "mmd.parquet")).count() == 2
 
