@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from plexivec.plans.staging import staged
+
 
 def size_weight(count: Column, weight: str) -> Column:
     """Weight of a clone by its size: ``distinct``, ``log1p`` or ``anscombe``."""
@@ -102,21 +104,21 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
     return pd.Series(out, dtype=float)
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank", buckets: int = 256) -> DataFrame:
-    """``df`` with its row number in a total order, without gathering all rows in one task.
+def running_sums(df: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    """``df`` with ``<value>_upto`` for each value: its sum over all rows up to this one, equal ones included.
 
-    Rows are range-partitioned and sorted; a partition's first rank is the number of rows in the
-    partitions before it, a table of one row a partition.
+    Rows are range-partitioned, so that equal ones are together; each partition has its own running sum, and
+    what the partitions before it add up to is a table of one row a partition.
     """
-    n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    from plexivec.plans.staging import staged
-
-    ranged = df.repartitionByRange(min(int(n), buckets), *order).withColumn("_part", F.spark_partition_id())
-    ranged = staged(ranged, "ranked")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = ranged.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    return inner.join(F.broadcast(ahead), "_part").withColumn(name, F.col("_row") + F.col("_ahead")).drop("_part", "_row", "_ahead")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = totals.select(F.col("_part"), *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    out = ranged.join(F.broadcast(ahead), "_part")
+    for v in values:
+        out = out.withColumn(f"{v}_upto", F.sum(v).over(W.partitionBy("_part").orderBy(*order)) + F.col(f"_{v}"))
+    return out.drop("_part", *[f"_{v}" for v in values])
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "pvalue", q: str = "qvalue") -> DataFrame:
@@ -125,14 +127,11 @@ def benjamini_hochberg(df: DataFrame, p: str = "pvalue", q: str = "qvalue") -> D
     Distinct p-values are ranked (ties share the largest rank, which leaves the minimum as it is); their
     running minimum is taken within partitions of the range sort and across partitions' minima.
     """
-    from plexivec.plans.staging import staged
-
-    counts = staged(df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")), "pvalues")
+    counts = df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    here = running_sums(counts, [F.col("_p")], ["_n"]).withColumn("_rank", F.col("_n_upto"))
+    total = here.agg(F.max("_rank")).first()[0] or 0
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = staged(counts.repartitionByRange(parts, "_p").withColumn("_part", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_m"))
-    ahead = totals.select("_part", F.coalesce(F.sum("_m").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"), F.sum("_m").over(W.partitionBy()).alias("_all"))
-    here = ranged.join(F.broadcast(ahead), "_part").withColumn("_rank", F.sum("_n").over(W.partitionBy("_part").orderBy("_p")) + F.col("_ahead"))
+    here = here.withColumn("_all", F.lit(total)).repartitionByRange(parts, "_p").withColumn("_part", F.spark_partition_id())
     here = staged(here.withColumn("_raw", F.col("_p") * F.col("_all") / F.col("_rank")), "raw")
     later = here.groupBy("_part").agg(F.min("_raw").alias("_least"))
     after = later.select("_part", F.min("_least").over(W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)).alias("_after"))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plexivec.functions.stats import benjamini_hochberg, binomial_tail, fisher_combine, gamma_tail, global_rank, poisson_tail, size_weight
+from plexivec.functions.stats import benjamini_hochberg, binomial_tail, fisher_combine, gamma_tail, poisson_tail, running_sums, size_weight
 from plexivec.operators.neighbors import ball_counts, nearest
 from plexivec.plans.staging import staged
 
@@ -81,11 +80,9 @@ def _level(rows: DataFrame, seen: str, expected: str) -> float:
 
 def size_survival(rows: DataFrame, size: str, output: str) -> DataFrame:
     """``rows`` with the share of rows whose ``size`` is at least theirs; counts of distinct sizes are ranked, not rows."""
-    sizes = staged(rows.groupBy(F.col(size).alias("_size")).agg(F.count("*").alias("_n")), "sizes")
-    total = sizes.agg(F.sum("_n")).first()[0]
-    ranked = global_rank(sizes, [F.desc("_size")], "_rank")
-    # a running sum over distinct values: few in practice (counts), each with one row
-    upto = ranked.select("_size", F.sum("_n").over(W.orderBy(F.desc("_size"))).alias("_more"))
+    sizes = rows.groupBy(F.col(size).alias("_size")).agg(F.count("*").alias("_n"))
+    upto = staged(running_sums(sizes, [F.desc("_size")], ["_n"]).select("_size", F.col("_n_upto").alias("_more")), "sizes")
+    total = upto.agg(F.max("_more")).first()[0]
     return rows.join(upto, F.col(size) == F.col("_size")).withColumn(output, F.col("_more") / F.lit(total)).drop("_size", "_more")
 
 

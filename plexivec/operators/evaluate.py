@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plexivec.functions.stats import chi2_tail
+from plexivec.functions.stats import chi2_tail, running_sums
 from plexivec.operators.basis import fit_projection, transform
 
 
@@ -23,16 +23,16 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
     Rows are counted by distinct score first; the running sum is over those.
     """
-    s = _spectrum(df, F.col(score), F.col(label).cast("boolean"))
-    below = F.sum("n").over(W.orderBy("s")) - F.col("n")
+    s = running_sums(_spectrum(df, F.col(score), F.col(label).cast("boolean")), [F.col("s")], ["n"])
+    below = F.col("n_upto") - F.col("n")
     won = s.select((F.col("p") * (below + F.col("n") / 2.0)).alias("w"), "p", "n").agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return won.select((F.col("w") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
 def average_rank(df: DataFrame, column: str, output: str) -> DataFrame:
     """``df`` with ranks from 1, ties with their mean rank."""
-    s = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    r = s.select("_v", (F.sum("_n").over(W.orderBy("_v")) - (F.col("_n") - 1) / 2.0).alias(output))
+    s = running_sums(df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n")), [F.col("_v")], ["_n"])
+    r = s.select("_v", (F.col("_n_upto") - (F.col("_n") - 1) / 2.0).alias(output))
     return df.join(r, F.col(column) == F.col("_v")).drop("_v")
 
 
