@@ -39,7 +39,9 @@ MISS = 1e-9
 #: Classes in a list up to which it gives pairs.
 LONG_LIST = 16
 #: Classes in a block of the comparison within groups.
-BLOCK_CLASSES = 256
+BLOCK_CLASSES = 1024
+#: Of these, classes compared at once.
+CHUNK_CLASSES = 128
 HALF = np.uint64(2**63 - 1)
 
 
@@ -133,10 +135,12 @@ def links(docs: DataFrame, nodes: DataFrame, n_words: int, percent: int, long_li
 
     s = percent / 100
     allowed = F.least(F.lit(least_shared(s)), F.ceil(F.col("n") * F.lit(2 * s - 1) - 1)) - 2
-    weight = listed.groupBy("node").agg(F.first("n").alias("n"), F.count_if(F.col("m") > long_list).alias("n_long"), F.sum("m").alias("met"))
-    stay = weight.filter(F.col("n_long") > allowed).select("node", "met")
+    # a class has fewer keys than its sketch has values, so its lists fit in a row
+    held = listed.groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("key", "m")).alias("keys"))
+    held = held.withColumn("longs", F.filter("keys", lambda k: k["m"] > long_list)).filter(F.size("longs") > allowed)
+    met_in = F.aggregate("keys", F.lit(0).cast("long"), lambda total, k: total + k["m"])
+    long = staged(held.select("node", "n", met_in.alias("met"), F.explode("longs").alias("k")).select("k.key", "node", "n", "met"), "long")
     short = listed.filter(F.col("m") <= long_list).select("key", "node", "n")
-    long = staged(listed.filter(F.col("m") > long_list).join(stay, "node").select("key", "node", "n", "met"), "long")
 
     near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     other = short.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
@@ -185,16 +189,21 @@ def _within_groups(long: DataFrame, leaders: DataFrame, comp: DataFrame, docs: D
 
 def _forest(left: pd.DataFrame, right: pd.DataFrame, n_words: int, percent: int) -> pd.DataFrame:
     """Links between two blocks of classes that connect different components, most similar sketches first."""
-    values = np.unique(np.concatenate([*left["sketch"], *right["sketch"]]) if len(left) and len(right) else np.zeros(0, np.int64))
-
-    def held(x: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(x), len(values)), np.float32)
-        for i, s in enumerate(x["sketch"]):
-            out[i, np.searchsorted(values, s)] = 1
-        return out
-
-    common = held(left) @ held(right).T
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
     n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+    common = np.zeros((len(left), len(right)), np.float32)
+    flat, owner = np.concatenate(left["sketch"].to_list()), np.repeat(np.arange(len(left)), left["sketch"].map(len))
+    for at in range(0, len(right), CHUNK_CLASSES):
+        chunk = right["sketch"].iloc[at : at + CHUNK_CLASSES]
+        values, where = np.unique(np.concatenate(chunk.to_list()), return_inverse=True)
+        b = np.zeros((len(chunk), len(values)), np.float32)
+        b[np.repeat(np.arange(len(chunk)), chunk.map(len)), where] = 1
+        found = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+        hit = values[found] == flat
+        a = np.zeros((len(left), len(values)), np.float32)
+        a[owner[hit], found[hit]] = 1
+        common[:, at : at + CHUNK_CLASSES] = a @ b.T
     can = (100 * n >= percent * m) & (100 * m >= percent * n) & (200 * common >= percent * np.minimum(np.minimum(n, m), K))
     a, b = np.nonzero(can)
     order = np.argsort(-common[a, b], kind="stable")
@@ -253,6 +262,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, **kwargs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"))
+    found = near_duplicates(docs, id_col, text_col, **kwargs).filter("not kept").select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_near_hash"))
     return docs.join(found, same, "left_anti")
