@@ -27,7 +27,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))
     long = lambda k: F.char_length(k) >= min_chars
-    held = base.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(line_keys(F.col("text")), long), hashed))).alias("k"))
+    held = base.select("doc_id", F.explode(F.transform(F.array_distinct(F.filter(line_keys(F.col("text")), long)), hashed)).alias("k"))
     counted = held.groupBy("k.h1", "k.h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
     repeated = staged(counted.filter(F.col("n_docs") >= min_docs), "lines")
     total = repeated.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
@@ -41,8 +41,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = base.withColumn("text_hash", F.xxhash64("text")).join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     none = F.array().cast("array<int>")
     out = joined.select("doc_id", "text", F.split("text", "\n", -1).alias("lines"), F.coalesce("lost", none).alias("lost"))
-    starts = F.concat(F.array(F.lit(0)), F.transform("lost", lambda p: p + 1))
-    ends = F.concat("lost", F.array(F.size("lines")))
-    spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
-    kept = F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(F.col("lines"), s["a"] + 1, s["n"]))), "\n")
+    # sets of integers are hashed and keep their order: linear in the number of lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+    kept = F.array_join(F.transform(stay, lambda p: F.get(F.col("lines"), p)), "\n")
     return out.select("doc_id", F.when(F.size("lost") == 0, F.col("text")).otherwise(kept).alias("text"), F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"))

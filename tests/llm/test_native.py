@@ -59,6 +59,13 @@ def test_lines_need_length_and_documents(spark):
     assert got[0] == ("nineteen characters", 1) and got[2][1] == 0 and got[9][1] == 0
 
 
+def test_lines_of_a_very_long_text(spark):
+    many = "\n".join(f"a line that comes again {i % 20000} times" for i in range(60_000))
+    rows = [(1, many), (2, many), (3, many + "\nlast")]
+    got = {i: (t, n, d) for i, t, n, d in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == ("", 60_000, 60_000) and got[3] == (many + "\nlast", 60_001, 0)
+
+
 def test_targets(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 500), (None, 40)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in source_targets(sizes, (3, 1, 2), 1.5, 2).collect()}
