@@ -133,8 +133,9 @@ def links(docs: DataFrame, nodes: DataFrame, n_words: int, percent: int, long_li
     lists = staged(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "lists")
     listed = staged(lookup(keyed, lists, ["key"], "m", _total(lists, "m"), F.xxhash64("node", "key"), "inner"), "listed")
 
-    s = percent / 100
-    allowed = F.least(F.lit(least_shared(s)), F.ceil(F.col("n") * F.lit(2 * s - 1) - 1)) - 2
+    # n - 1 keys, two lost with each of n * (100 - percent) / 100 values; rounded up in integers, as floats give one more at 5, 10, 15
+    sure = F.expr(f"(n * {2 * percent - 100} - 1) div 100")
+    allowed = F.least(F.lit(least_shared(percent / 100)).cast("long"), sure) - 2
     # a class has fewer keys than its sketch has values, so its lists fit in a row
     held = listed.groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("key", "m")).alias("keys"))
     held = held.withColumn("longs", F.filter("keys", lambda k: k["m"] > long_list)).filter(F.size("longs") > allowed)

@@ -77,6 +77,18 @@ def test_large_families(spark):
     check(df, 2, long_list=4)
 
 
+def test_short_texts_at_the_threshold(spark):
+    """Families around the long-list limit, each a text of 4, 8 or 12 shingles and others with 1, 2 or 3 more (4/5, 8/10, 12/15)."""
+    docs = []
+    for shingles, more in ((4, 1), (8, 2), (12, 3)):
+        for size in range(17, 61, 3):
+            base = [f"f{len(docs)}w{i}" for i in range(shingles + 1)]
+            docs.append((len(docs), " ".join(base)))
+            for _ in range(size - 1):
+                docs.append((len(docs), " ".join(base + [f"d{len(docs)}x{i}" for i in range(more)])))
+    check(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "z"), (3, None), (None, None)]
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n_words=2).collect()
