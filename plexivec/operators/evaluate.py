@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plexivec.functions.stats import chi2_tail, running_sums
 from plexivec.operators.basis import fit_projection, transform
+from plexivec.plans.staging import staged
 
 
 def _spectrum(df: DataFrame, score: Column, label: Column) -> DataFrame:
@@ -79,18 +80,65 @@ def cv_auc(df: DataFrame, key: str, vector: str, label: str, pca_cols: int = 0,
     return float(np.mean(out)), float(np.std(out))
 
 
-def concordance(df: DataFrame, time: str, event: str, risk: str, key: str) -> DataFrame:
+def _won(stage: np.ndarray, event: np.ndarray, risk: np.ndarray, count: np.ndarray) -> tuple[int, int]:
+    """Pairs of an event with a row of a later stage and a lower, or the same, risk; a tree of sums over the risks."""
+    values, at = np.unique(risk, return_inverse=True)
+    tree, here, won, tied, waiting, now = [0] * (len(values) + 1), [0] * len(values), 0, 0, [], None
+    order = np.argsort(-stage, kind="stable")
+    for s, e, k, c in zip(stage[order].tolist(), event[order].tolist(), at[order].tolist(), count[order].tolist()):
+        if s != now:
+            for j, n in waiting:
+                here[j] += n
+                j += 1
+                while j < len(tree):
+                    tree[j] += n
+                    j += j & -j
+            waiting, now = [], s
+        waiting.append((k, c))
+        if e:
+            tied += c * here[k]
+            while k:
+                won += c * tree[k]
+                k -= k & -k
+    return won, tied
+
+
+def concordance(df: DataFrame, time: str, event: str, risk: str, key: str, block: int = 20_000, grid: int = 256) -> DataFrame:
     """One row ``concordant, tied, comparable, cindex`` (Harrell; higher risk should fail earlier).
 
     A pair is comparable if the earlier one had the event, or both times are equal and just one had.
-    Rows meet as counts by (time, event, risk), so repeated values cost nothing.
+    Rows meet as counts by (time, event, risk), so repeated values cost nothing.  Times and risks are cut
+    into at most about ``grid`` blocks: pairs that differ in both blocks are counted from the blocks'
+    totals, pairs of one block of times or of risks in its task, so that no pair is ever a row.
     """
-    g = df.groupBy(F.col(time).alias("t"), F.col(event).cast("boolean").alias("e"), F.col(risk).alias("r")).agg(F.count("*").alias("c"))
-    a, b = g.filter("e").toDF("t1", "e1", "r1", "c1"), g.toDF("t2", "e2", "r2", "c2")
-    p = a.join(b, (F.col("t1") < F.col("t2")) | ((F.col("t1") == F.col("t2")) & ~F.col("e2")))
-    w = F.col("c1") * F.col("c2")
-    s = p.agg(F.sum(F.when(F.col("r1") > F.col("r2"), w).otherwise(0)).alias("concordant"), F.sum(F.when(F.col("r1") == F.col("r2"), w).otherwise(0)).alias("tied"), F.sum(w).alias("comparable"))
-    return s.select("concordant", "tied", "comparable", ((F.col("concordant") + F.col("tied") / 2.0) / F.col("comparable")).alias("cindex"))
+    g = df.groupBy(F.col(time).alias("t"), F.col(event).cast("boolean").alias("e"), F.col(risk).alias("r")).agg(F.count("*").alias("c")).filter("t is not null")
+    g = staged(g.withColumn("e1", F.coalesce("e", F.lit(False))).withColumn("e0", F.coalesce(~F.col("e"), F.lit(False))), "counts")
+    size = max(block, -(-g.count() // grid))
+    times = running_sums(g.groupBy("t").agg(F.count("*").alias("n"), F.sum("c").alias("all"), F.sum(F.when(F.col("e1"), F.col("c")).otherwise(0)).alias("d"), F.sum(F.when(F.col("e0"), F.col("c")).otherwise(0)).alias("o")), [F.col("t")], ["n", "all"])
+    total = F.lit(g.agg(F.sum("c")).first()[0])
+    comparable = times.agg(F.sum(F.col("d") * (total - F.col("all_upto") + F.col("o")))).first()[0]
+    risks = running_sums(g.filter("r is not null").groupBy("r").agg(F.count("*").alias("n")), [F.col("r")], ["n"])
+    place = lambda x, v, at: x.select(v, F.col("n_upto").alias(at), F.expr(f"(n_upto - 1) div {size}").alias(f"b{at}"))
+    rows = staged(g.join(place(times, "t", "i"), "t").join(place(risks, "r", "k"), "r").select("i", "bi", "k", "bk", F.col("e1").alias("e"), F.col("e0"), "c"), "placed")
+
+    def in_times(x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([_won(2 * x["i"].to_numpy() + x["e0"].to_numpy(), x["e"].to_numpy(), x["k"].to_numpy(), x["c"].to_numpy())], columns=["won", "tied"])
+
+    def in_risks(x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([_won(x["bi"].to_numpy(), x["e"].to_numpy(), x["k"].to_numpy(), x["c"].to_numpy())], columns=["won", "tied"])
+
+    met = rows.groupBy("bi").applyInPandas(in_times, "won bigint, tied bigint").unionByName(rows.groupBy("bk").applyInPandas(in_risks, "won bigint, tied bigint"))
+    won, tied = met.agg(F.coalesce(F.sum("won"), F.lit(0)), F.coalesce(F.sum("tied"), F.lit(0))).first()
+    cells = rows.groupBy("bi", "bk").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("e"), F.col("c")).otherwise(0)).alias("d")).collect()
+    if cells:
+        shape = max(r["bi"] for r in cells) + 1, max(r["bk"] for r in cells) + 1
+        every, events = np.zeros(shape, object), np.zeros(shape, object)
+        for r in cells:
+            every[r["bi"], r["bk"]], events[r["bi"], r["bk"]] = r["c"], r["d"]
+        upto = every[::-1].cumsum(0)[::-1].cumsum(1)  # this and later times, this and lower risks
+        won += int((events[:-1, 1:] * upto[1:, :-1]).sum())
+    row = (won, tied, comparable, (won + tied / 2.0) / comparable) if comparable else (None,) * 4
+    return df.sparkSession.createDataFrame([row], "concordant bigint, tied bigint, comparable bigint, cindex double")
 
 
 def logrank_table(df: DataFrame, time: str, event: str, group: str) -> DataFrame:

@@ -505,23 +505,36 @@ def spearman(spark, sf_dir):
 
 _SURVIVAL = "v AS (SELECT l_orderkey * 10 + l_linenumber AS id, abs(date_diff('day', o_orderdate, l_shipdate)) + 1 AS t, l_returnflag = 'R' AS e, l_quantity AS r, l_linestatus || l_returnflag AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey <= 2000)"
 
+#: The rows of the SQL above; queries without SQL take all.
+_SQL_ROWS = "o_orderkey <= 2000"
 
-def survival(spark, sf_dir):
-    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").filter("o_orderkey <= 2000"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+def survival(spark, sf_dir, rows="true"):
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").filter(rows), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.abs(F.datediff("l_shipdate", "o_orderdate")) + 1).alias("t"), (F.col("l_returnflag") == "R").alias("e"), F.col("l_quantity").alias("r"), F.concat("l_linestatus", F.lit("")).alias("g"))
 
 
 @query(f"""WITH {_SURVIVAL}, g AS (SELECT t, e, r, count(*) AS c FROM v GROUP BY 1, 2, 3), p AS (SELECT a.c * b.c AS w, a.r AS ra, b.r AS rb FROM g a JOIN g b ON a.e AND (a.t < b.t OR (a.t = b.t AND NOT b.e)))
 SELECT sum(CASE WHEN ra > rb THEN w ELSE 0 END)::BIGINT AS concordant, sum(CASE WHEN ra = rb THEN w ELSE 0 END)::BIGINT AS tied, sum(w)::BIGINT AS comparable, round(((sum(CASE WHEN ra > rb THEN w ELSE 0 END) + sum(CASE WHEN ra = rb THEN w ELSE 0 END) / 2.0::DOUBLE) / sum(w))::DOUBLE, 6) AS cindex FROM p""")
 def concordance(spark, sf_dir):
-    return evaluate.concordance(survival(spark, sf_dir), "t", "e", "r", "id").withColumn("cindex", F.round("cindex", 6))
+    return evaluate.concordance(survival(spark, sf_dir, _SQL_ROWS), "t", "e", "r", "id").withColumn("cindex", F.round("cindex", 6))
+
+
+@query()
+def concordance_all(spark, sf_dir):
+    return evaluate.concordance(survival(spark, sf_dir), "t", "e", "r", "id")
 
 
 @query(f"""WITH {_SURVIVAL.replace("l_linestatus || l_returnflag", "l_linestatus")}, c AS (SELECT t, g, count(*) AS n, count(*) FILTER (WHERE e) AS d FROM v GROUP BY 1, 2), x AS (SELECT t, g, coalesce(n, 0) AS n, coalesce(d, 0) AS d FROM (SELECT DISTINCT t FROM c) CROSS JOIN (SELECT DISTINCT g FROM c) LEFT JOIN c USING (t, g)),
 k AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY t DESC) AS risk FROM x), y AS (SELECT t, sum(d) AS dt, sum(risk) AS rt FROM k GROUP BY 1)
 SELECT g AS "group", sum(d)::BIGINT AS observed, round(sum(CASE WHEN rt > 0 THEN dt * risk / rt ELSE 0 END)::DOUBLE, 6) AS expected FROM k JOIN y USING (t) GROUP BY 1""")
 def logrank_table(spark, sf_dir):
-    return evaluate.logrank_table(survival(spark, sf_dir), "t", "e", "g").select("group", "observed", r6("expected"))
+    return evaluate.logrank_table(survival(spark, sf_dir, _SQL_ROWS), "t", "e", "g").select("group", "observed", r6("expected"))
+
+
+@query()
+def logrank_table_all(spark, sf_dir):
+    return evaluate.logrank_table(survival(spark, sf_dir), "t", "e", "g")
 
 
 @query()

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plexivec import registry
 from plexivec.operators import basis, cluster, cohort, density, embedding, evaluate, neighbors, repertoire, theory
 from plexivec.plans.components import components
 from plexivec.sources import formats
@@ -370,3 +371,20 @@ def test_theory(spark):
     assert same == pytest.approx(1.0)
     c = theory.neighbour_convergence(pool, protos, "id", "junction_aa", n_components=5, scales=(1.0, 2.0)).toPandas()
     assert list(c["scale"]) == [1.0, 2.0] and (c["radius"] > 0).all()
+
+
+def test_concordance_blocks(spark):
+    """Many blocks of times and risks, ties, nulls and NaN against a join of all pairs."""
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 30)), [True, False, None][rng.integers(0, 3)], [None, float("nan"), float(rng.integers(0, 40))][min(2, rng.integers(0, 20))]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, t int, e boolean, r double").unionByName(spark.createDataFrame([(-1, None, True, 1.0)], "id long, t int, e boolean, r double"))
+    p = df.filter("e").alias("a").join(df.alias("b"), F.expr("a.t < b.t or (a.t = b.t and not b.e)"))
+    want = tuple(p.agg(F.expr("count_if(a.r > b.r)"), F.expr("count_if(a.r = b.r)"), F.count("*")).first())
+    for block in (7, 50, 20_000):
+        assert tuple(evaluate.concordance(df, "t", "e", "r", "id", block=block).first())[:3] == want
+    assert evaluate.concordance(df.filter("not e"), "t", "e", "r", "id").first()["cindex"] is None
+
+
+def test_survival_queries_take_all_rows(spark):
+    whole, cut = (registry.survival(spark, "/root/testdata/sf0.01", *rows).count() for rows in ((), (registry._SQL_ROWS,)))
+    assert whole == spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count() > cut
