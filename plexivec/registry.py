@@ -557,6 +557,14 @@ def library_consistency_query(spark, sf_dir):
     return library_consistency(j.filter("l_linestatus = 'F'"), j.filter("l_linestatus = 'O'"), ["brand"], "part")
 
 
+@query("""WITH a AS (SELECT DISTINCT p_brand AS brand, l_partkey AS part FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F'), b AS (SELECT DISTINCT p_brand AS brand, l_partkey AS part FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O')
+SELECT coalesce(a.brand, b.brand) AS brand, count(*) FILTER (WHERE a.part IS NOT NULL AND b.part IS NOT NULL)::BIGINT AS n_both, count(*) FILTER (WHERE b.part IS NULL)::BIGINT AS n_only_a, count(*) FILTER (WHERE a.part IS NULL)::BIGINT AS n_only_b, count(a.part) > 0 AND count(b.part) > 0 AS in_both
+FROM a FULL JOIN b ON a.brand = b.brand AND a.part = b.part GROUP BY 1""")
+def library_consistency_all(spark, sf_dir):
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("brand"), F.col("l_partkey").alias("part"), "l_linestatus")
+    return library_consistency(j.filter("l_linestatus = 'F'"), j.filter("l_linestatus = 'O'"), ["brand"], "part")
+
+
 @query("""SELECT 'x' AS species, p_type AS locus, p_brand AS gene, count(*)::BIGINT AS n_alleles, count(*) FILTER (WHERE p_size % 3 = 1)::BIGINT AS n_major FROM part GROUP BY ALL""")
 def allele_counts_query(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.lit("x").alias("species"), F.col("p_type").alias("locus"), F.col("p_brand").alias("gene"), F.concat("p_brand", F.lit("*0"), (F.col("p_size") % 3).cast("string")).alias("allele"))

@@ -388,3 +388,10 @@ def test_concordance_blocks(spark):
 def test_survival_queries_take_all_rows(spark):
     whole, cut = (registry.survival(spark, "/root/testdata/sf0.01", *rows).count() for rows in ((), (registry._SQL_ROWS,)))
     assert whole == spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count() > cut
+
+
+def test_libraries_are_whole(spark):
+    """Every brand and part of a line item is in a library, whatever its order."""
+    got = registry.QUERIES["library_consistency_all"](spark, "/root/testdata/sf0.01")
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").filter("l_linestatus in ('F', 'O')")
+    assert got.selectExpr("sum(n_both + n_only_a + n_only_b)").first()[0] == lines.select("l_partkey").distinct().count()
