@@ -54,6 +54,35 @@ def ball_counts(left: DataFrame, right: DataFrame, key: str, vector: str, radius
     return left.select(F.col(key)).join(found, F.col(key) == F.col("_id"), "left").select(key, F.coalesce("_n", F.lit(0.0)).cast(kind).alias(output))
 
 
+def sums_of_pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    """One row of the sums that a correlation needs."""
+    return pd.DataFrame([(float(len(x)), x.sum(), y.sum(), x @ x, y @ y, x @ y)], columns=["n", "x", "y", "xx", "yy", "xy"])
+
+
+PAIR_SUMS = "n double, x double, y double, xx double, yy double, xy double"
+
+
+def correlation(sums: DataFrame) -> DataFrame:
+    """One row ``r, n_pairs`` of rows of ``PAIR_SUMS``."""
+    n, x, y, xx, yy, xy = (F.col(c) for c in ("n", "x", "y", "xx", "yy", "xy"))
+    s = sums.agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    return s.select(F.try_divide(n * xy - x * y, F.sqrt(n * xx - x * x) * F.sqrt(n * yy - y * y)).alias("r"), F.coalesce(n, F.lit(0.0)).cast("long").alias("n_pairs"))
+
+
+def distance_corr(df: DataFrame, key: str, one: str, other: str, block: int = BLOCK) -> DataFrame:
+    """One row ``r, n_pairs``: correlation over all pairs of rows of the distances of two vectors; a row of sums a pair of blocks."""
+    a, b = (df.select(F.col(key).alias("_id"), F.col(one).alias("v"), F.col(other).alias("u")) for _ in range(2))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return sums_of_pairs(np.zeros(0), np.zeros(0))
+        pair = x["_id"].to_numpy()[:, None] < y["_id"].to_numpy()[None, :]
+        u = lambda d: d[["u"]].rename(columns={"u": "v"})
+        return sums_of_pairs(np.sqrt(_d2(x, y)[pair]), np.sqrt(_d2(u(x), u(y))[pair]))
+
+    return correlation(_block_pairs(a, b, run, PAIR_SUMS, block))
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, skip_self: bool = False, block: int = BLOCK) -> DataFrame:
     """``key, neighbor, d2, rank``: the ``k`` nearest right vectors of each left one, ties by id.
 

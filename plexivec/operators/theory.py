@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from plexivec.functions.vectors import l2sq
 from plexivec.operators.basis import fit_projection, transform
 from plexivec.operators.embedding import sequence_distances
 from plexivec.operators.evaluate import spearman
-from plexivec.operators.neighbors import ball_counts
+from plexivec.operators.neighbors import PAIR_SUMS, _block_pairs, _d2, ball_counts, correlation, sums_of_pairs
 from plexivec.operators.strings import one_mismatch_counts
 from plexivec.plans.staging import staged
 
@@ -23,13 +25,25 @@ def _pairs(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return side(1).join(side(2), F.col("k1") < F.col("k2"))
 
 
-def distance_correlation(df: DataFrame, key: str, sequence: str, **kwargs) -> DataFrame:
-    """One row ``r, n_pairs``: correlation of the sequences' distances with those of their embeddings, each by all others."""
-    order = df.select(F.col(key).alias("proto_idx"), sequence)
+def distance_correlation(df: DataFrame, key: str, sequence: str, prototypes: DataFrame | None = None, **kwargs) -> DataFrame:
+    """One row ``r, n_pairs``: correlation of the sequences' distances with those of their embeddings.
+
+    Pairs are all rows with ``prototypes`` (rows of ``df``; all of them if none are named), each pair once.
+    """
+    order = (df if prototypes is None else prototypes).select(F.col(key).alias("proto_idx"), sequence)
     e = staged(sequence_distances(df.select(key, sequence), order, sequence, "e", **kwargs), "theory")
-    place = order.select(F.col("proto_idx").alias("k2"), (F.rank().over(_all("proto_idx"))).cast("int").alias("at"))
-    p = _pairs(e, key, ["e"]).join(F.broadcast(place), "k2")
-    return p.agg(F.corr(F.element_at("e1", F.col("at")).cast("double"), F.sqrt(l2sq("e1", "e2"))).alias("r"), F.count("*").alias("n_pairs"))
+    place = order.select(F.col("proto_idx").alias("_id"), F.rank().over(_all("proto_idx")).cast("int").alias("at"))
+    rows = e.select(F.col(key).alias("_id"), F.col("e").alias("v")).join(F.broadcast(place), "_id", "left").fillna(0, ["at"])
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return sums_of_pairs(np.zeros(0), np.zeros(0))
+        one, other = x["_id"].to_numpy()[:, None], y["_id"].to_numpy()[None, :]
+        pair = (one < other) | ((x["at"].to_numpy()[:, None] == 0) & (one != other))
+        return sums_of_pairs(np.stack(x["v"].to_numpy()).astype(float)[:, y["at"].to_numpy() - 1][pair], np.sqrt(_d2(x, y)[pair]))
+
+    protos = rows.filter("at > 0").select(*[F.col(c).alias(c) for c in rows.columns])
+    return correlation(_block_pairs(rows, protos, run, PAIR_SUMS))
 
 
 def _all(column: str):

@@ -209,6 +209,12 @@ def pairwise_corr(spark, sf_dir):
     return p.agg(F.corr(F.sqrt(l2sq("embedding", "eb")), F.sqrt(l2sq(F.slice("embedding", 1, 32), F.slice("eb", 1, 32)))).alias("r")).select(r6("r"))
 
 
+@query()
+def pairwise_corr_all(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumn("half", F.slice("embedding", 1, 32))
+    return neighbors.distance_corr(v, "vec_id", "embedding", "half")
+
+
 # ---- E: fit and transform
 
 
@@ -282,6 +288,13 @@ def weighted_mass(spark, sf_dir):
     return m.select("vec_id", r6(F.when(F.abs(F.col("m") - F.col("g")) > 1e-9, F.col("m") - F.col("g")), "mass"))
 
 
+@query(f"""SELECT x.vec_id, round(sum(ln(1 + (y.vec_id % 7 + 1))) FILTER (WHERE y.vec_id <> x.vec_id AND {_D2.format('x.embedding', 'y.embedding')} <= {RADIUS2}), 6) AS mass FROM embeddings x, embeddings y GROUP BY 1""")
+def weighted_mass_all(spark, sf_dir):
+    o = vectors(spark, sf_dir).withColumn("g", F.log1p(F.col("vec_id") % 7 + 1))
+    m = neighbors.ball_counts(o, o, "vec_id", "embedding", RADIUS2, weight_col="g", output="m").join(o.select("vec_id", "g"), "vec_id")
+    return m.select("vec_id", r6(F.when(F.abs(F.col("m") - F.col("g")) > 1e-9, F.col("m") - F.col("g")), "mass"))
+
+
 @query(f"""WITH {_CLONES}, s AS (SELECT sample, clone, a, (count(*) OVER (ORDER BY a DESC RANGE UNBOUNDED PRECEDING))::DOUBLE / count(*) OVER () AS p FROM clones)
 SELECT sample, clone, round(p, 6) AS p_size, round(exp(ln(p) + ln(0.5::DOUBLE)) * (1 - ln(p) - ln(0.5::DOUBLE)), 6) AS p_fisher FROM s""")
 def size_survival(spark, sf_dir):
@@ -588,7 +601,8 @@ def codec_losslessness(spark, sf_dir):
 
 @query()
 def embedding_distance_correlation(spark, sf_dir):
-    return theory.distance_correlation(junctions(spark, sf_dir).filter("p_partkey < 300"), "p_partkey", "seq")
+    s = junctions(spark, sf_dir)
+    return theory.distance_correlation(s, "p_partkey", "seq", s.filter("p_partkey < 300"))
 
 
 @query()

@@ -395,3 +395,27 @@ def test_libraries_are_whole(spark):
     got = registry.QUERIES["library_consistency_all"](spark, "/root/testdata/sf0.01")
     lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").filter("l_linestatus in ('F', 'O')")
     assert got.selectExpr("sum(n_both + n_only_a + n_only_b)").first()[0] == lines.select("l_partkey").distinct().count()
+
+
+def test_distance_correlations_take_all_rows(spark):
+    """Sums over blocks against all pairs, and the queries' numbers of pairs."""
+    sf = "/root/testdata/sf0.001"
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id < 60")
+    x = np.stack(v.orderBy("vec_id").toPandas()["embedding"].to_list()).astype(float)
+    i, j = np.triu_indices(len(x), 1)
+    want = np.corrcoef(*[np.sqrt(((z[i] - z[j]) ** 2).sum(1)) for z in (x, x[:, :32])])[0, 1]
+    got = neighbors.distance_corr(v.withColumn("u", F.slice("embedding", 1, 32)), "vec_id", "embedding", "u", block=16).first()
+    assert got["n_pairs"] == len(i) and got["r"] == pytest.approx(want)
+
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert registry.QUERIES["pairwise_corr_all"](spark, sf).first()["n_pairs"] == n * (n - 1) // 2
+    assert registry.QUERIES["weighted_mass_all"](spark, sf).count() == n
+
+    s = registry.junctions(spark, "/root/testdata/sf0.01").filter("p_partkey < 90")
+    few = s.filter("p_partkey < 20")
+    got = theory.distance_correlation(s, "p_partkey", "seq", few).first()
+    e = embedding.sequence_distances(s.select("p_partkey", "seq"), few.select(F.col("p_partkey").alias("proto_idx"), "seq"), "seq", "e").orderBy("p_partkey").toPandas()
+    x, p = np.stack(e["e"].to_list()).astype(float), few.count()
+    pairs = [(a, b) for a in range(len(x)) for b in range(p) if a < b or a >= p]
+    a, b = np.array(pairs).T
+    assert got["n_pairs"] == len(pairs) and got["r"] == pytest.approx(np.corrcoef(x[a, b], np.sqrt(((x[a] - x[b]) ** 2).sum(1)))[0, 1])
