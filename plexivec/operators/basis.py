@@ -67,11 +67,12 @@ def same_basis(a: DataFrame, b: DataFrame, column: str) -> None:
         raise ValueError(f"vectors of different bases: {x} and {y}")
 
 
-def fit_projection(df: DataFrame, vector: str, n_components: int = 50, scale: bool = True, cap: int | None = 200_000, seed: int = 0, key: str | None = None) -> Basis:
+def fit_projection(df: DataFrame, vector: str, n_components: int = 50, scale: bool = True, cap: int | None = None, seed: int = 0, key: str | None = None) -> Basis:
     """Standardise (population deviation, 0 as 1), then principal components, signs with the largest loading positive.
 
     Moments are summed by Spark, one matrix a partition; the driver gets a dimensions x dimensions
-    matrix.  Beyond ``cap`` rows a sample by the hash of ``key`` is used, about ``cap`` rows.
+    matrix.  All rows count, unless the caller sets ``cap``: then beyond it a sample by the hash of ``key``
+    is used, about ``cap`` rows.
     """
     rows = df.select(F.col(vector).alias("v"), *([F.col(key).alias("k")] if key else []))
     n = rows.count()

@@ -419,3 +419,10 @@ def test_distance_correlations_take_all_rows(spark):
     pairs = [(a, b) for a in range(len(x)) for b in range(p) if a < b or a >= p]
     a, b = np.array(pairs).T
     assert got["n_pairs"] == len(pairs) and got["r"] == pytest.approx(np.corrcoef(x[a, b], np.sqrt(((x[a] - x[b]) ** 2).sum(1)))[0, 1])
+
+
+def test_projection_fits_all_rows(spark):
+    """A third of the rows are equal vectors: the mean is that of all rows, also of a large table without a key."""
+    df = spark.range(210_000).select(F.when(F.col("id") % 3 == 0, F.array(F.lit(9.0), F.lit(-9.0))).otherwise(F.array(F.col("id") % 7 * 1.0, F.col("id") % 11 * 1.0)).alias("v"))
+    want = df.agg(F.avg(F.col("v")[0]), F.avg(F.col("v")[1])).first()
+    assert basis.fit_projection(df, "v", 2).mean == pytest.approx(tuple(want), rel=1e-12)
