@@ -22,25 +22,59 @@ def size_weight(count: Column, weight: str) -> Column:
     return kinds[weight]
 
 
-def _terms(first: Column, ratio, upto: Column) -> Column:
-    """Sum of ``first`` and the terms that follow by ``ratio(k)``, k from 1 to ``upto``."""
-    state = F.struct(first.alias("term"), first.alias("sum"))
-    step = lambda s, k: F.struct((s["term"] * ratio(k)).alias("term"), (s["sum"] + s["term"] * ratio(k)).alias("sum"))
-    return F.aggregate(F.sequence(F.lit(1), upto), state, step, lambda s: s["sum"])
+def _gamma_head(x: float, shape: float) -> float:
+    """Regularised lower incomplete gamma, small values without cancellation."""
+    if x <= 0:
+        return 0.0
+    if x >= shape + 1:
+        return max(0.0, 1.0 - _log_gamma_tail(x, shape))
+    term = total = 1.0 / shape
+    k = shape
+    while term > 1e-16 * total:
+        k += 1
+        term *= x / k
+        total += term
+    return min(1.0, total * math.exp(-x + shape * math.log(x) - math.lgamma(shape)))
+
+
+def _beta_head(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta by its continued fraction, from the side where that converges."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return max(0.0, 1.0 - _beta_head(1 - x, b, a))
+    c, d = 1.0, 1.0 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    h = d
+    for m in range(1, 1_000_000):
+        before = h
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1 + t * d or 1e-300)
+            c = 1 + t / c or 1e-300
+            h *= c * d
+        if abs(h - before) <= 1e-15 * abs(h):
+            break
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return min(1.0, math.exp(front) * h / a)
+
+
+@F.pandas_udf(DoubleType())
+def _poisson(n: pd.Series, mean: pd.Series) -> pd.Series:
+    return pd.Series([None if math.isnan(k + m) else 1.0 if k <= 0 else _gamma_head(m, k) for k, m in zip(n, mean)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def _binomial(n: pd.Series, trials: pd.Series, p: pd.Series) -> pd.Series:
+    return pd.Series([None if math.isnan(k + t + q) else 1.0 if k <= 0 else 0.0 if k > t else _beta_head(q, k, t - k + 1) for k, t, q in zip(n, trials, p)], dtype=float)
 
 
 def poisson_tail(n: Column, mean: Column) -> Column:
-    """P(X >= n) for a Poisson variable; 1 at n = 0.  One minus the finite sum of the terms below n."""
-    below = F.when(n >= 2, _terms(F.exp(-mean), lambda k: mean / k, F.greatest(n - 1, F.lit(1)).cast("int"))).otherwise(F.exp(-mean))
-    return F.when(n <= 0, 1.0).otherwise(F.greatest(1.0 - below, F.lit(0.0)))
+    """P(X >= n) for a Poisson variable; 1 at n = 0.  In logs, so that no mean is too large."""
+    return _poisson(n.cast("double"), mean.cast("double"))
 
 
 def binomial_tail(n: Column, trials: Column, p: Column) -> Column:
     """P(X >= n) for a binomial variable with ``trials`` and ``p`` in 0 .. 1."""
-    odds = p / (1.0 - p)
-    first = F.pow(1.0 - p, trials)
-    below = F.when(n >= 2, _terms(first, lambda k: odds * (trials - k + 1) / k, F.greatest(n - 1, F.lit(1)).cast("int"))).otherwise(first)
-    return F.when(n <= 0, 1.0).when(p >= 1, F.when(n <= trials, 1.0).otherwise(0.0)).otherwise(F.greatest(1.0 - below, F.lit(0.0)))
+    return _binomial(n.cast("double"), trials.cast("double"), p.cast("double"))
 
 
 def fisher_combine(p: Column, q: Column) -> Column:

@@ -101,3 +101,18 @@ def test_vectors(spark):
         v.require_columns(df, ["z", "a", "y"])
     with pytest.raises(ValueError):
         st.size_weight(F.lit(1), "cube")
+
+
+def test_tails_of_large_means(spark):
+    """Sums of the terms in logs, at means where exp(-mean) is 0."""
+    from math import exp, lgamma, log
+
+    rows = [(n, m) for m in (1000.0, 5000.0) for n in (0, 1, int(m * 0.97), int(m), int(m * 1.05), int(m * 3))]
+    trials = 20_000
+    df = spark.createDataFrame(rows, "k int, m double")
+    got = df.select("k", "m", st.poisson_tail(F.col("k"), F.col("m")).alias("p"), st.binomial_tail(F.col("k"), F.lit(trials), F.col("m") / trials).alias("b")).collect()
+    for r in got:
+        k, m, q = r["k"], r["m"], r["m"] / trials
+        p = sum(exp(-m + i * log(m) - lgamma(i + 1)) for i in range(k, k + 30_000))
+        b = sum(exp(lgamma(trials + 1) - lgamma(i + 1) - lgamma(trials - i + 1) + i * log(q) + (trials - i) * log(1 - q)) for i in range(k, trials + 1))
+        assert r["p"] == pytest.approx(p, rel=1e-8, abs=1e-300) and r["b"] == pytest.approx(b, rel=1e-8, abs=1e-300)
