@@ -20,22 +20,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines with a key of at least ``min_chars`` code points found in at least ``min_docs`` documents are
     dropped everywhere but in the document with the largest id that holds the key.  A null or empty
-    text is one empty line.  A document that loses all lines keeps the empty text.  Each row counts as
-    a document: rows that repeat an id hold a line together and all keep it if theirs is the largest
-    id; null ids are smaller than all others.  Other columns are ignored, whatever their names.
+    text is one empty line.  A document that loses all lines keeps the empty text.  Documents are counted
+    by id: rows that repeat an id hold a line as one document, and all keep it if theirs is the largest
+    id; rows without an id are one document, smaller than all others.  Other columns are ignored,
+    whatever their names.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))
     long = lambda k: F.char_length(k) >= min_chars
-    held = base.select("doc_id", F.explode(F.transform(F.array_distinct(F.filter(line_keys(F.col("text")), long)), hashed)).alias("k"))
-    counted = held.groupBy("k.h1", "k.h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+    held = base.select("doc_id", F.explode(F.transform(F.filter(line_keys(F.col("text")), long), hashed)).alias("k"))
+    in_doc = held.groupBy("k.h1", "k.h2", "doc_id").agg(F.count("*").alias("n"))  # combined before the shuffle
+    counted = in_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_lines"), F.max("doc_id").alias("keeper"))
     repeated = staged(counted.filter(F.col("n_docs") >= min_docs), "lines")
-    total = repeated.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    total = repeated.agg(F.coalesce(F.sum("n_lines"), F.lit(0))).first()[0]
 
     row = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
     at = base.select(*row, F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).filter(long(F.col("key")))
     at = at.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
-    lost = lookup(at, repeated, ["h1", "h2"], "n_docs", total, F.xxhash64("doc_id", "text_hash", "pos"), "inner").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lost = lookup(at, repeated, ["h1", "h2"], "n_lines", total, F.xxhash64("doc_id", "text_hash", "pos"), "inner").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set("pos")).alias("lost"))
 
     joined = base.withColumn("text_hash", F.xxhash64("text")).join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
