@@ -1,52 +1,50 @@
-"""Exact deduplication by two passes over Bloom filters, DataFrame functions only.
+"""Exact deduplication by two passes over a Bloom filter, DataFrame functions only.
 
-The first pass sets, for every row's text hash, a few positions of a filter and keeps the positions
-that were set more than once: the second filter.  The second pass tests every row against that
-filter.  Rows with a position that nobody else set are unique for certain and pass straight through;
-only the others are shuffled by their hash to be grouped.
+The first pass sets, for every row's text hash, one position of a filter and keeps the positions that
+were set more than once: the second filter.  The second pass tests every row against that filter.
+Rows with a position that nobody else set are unique for certain and pass straight through; only the
+others are shuffled by their hash to be grouped.
+
+What the first pass shuffles is one number for each distinct position of a task, never a row.  Bitmaps
+made inside the tasks would be larger: a block of 32,768 bits is 4 KB in every task that sets one of its
+bits, as much as 512 positions, and at 32 bits a row it has 1,024 rows of the whole table; from three
+tasks on the numbers are fewer bytes.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexivec.plans.skew import lookup
 from plexivec.plans.staging import staged
 
-#: Filter bits for a row, and positions for a row: about 1.5 % of unique rows are tested in vain.
-BITS_PER_ROW = 16
-POSITIONS = 2
-#: The filter is broadcast up to this many bytes; beyond, its blocks are joined by a shuffle of hashes.
+#: Filter bits for a row: about 3 % of unique rows are tested in vain.
+BITS_PER_ROW = 32
+#: The filter is broadcast up to this many bytes; beyond, its blocks are looked up by a shuffle of hashes.
 BROADCAST_BYTES = 64 << 20
 BLOCK_BITS = 32768
 
 
-def _positions(bits: int) -> list[Column]:
-    return [F.pmod(F.col("h1") + F.lit(k) * F.col("h2"), F.lit(bits)) for k in range(POSITIONS)]
-
-
-def repeated_positions(rows: DataFrame, bits: int) -> DataFrame:
-    """The second filter: blocks (``block``, ``bits``) of the positions set by two rows or more."""
-    set_ = rows.select(F.explode(F.array(*_positions(bits))).alias("p"))
-    twice = set_.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1")
-    return twice.groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("bits"))
+def repeated_positions(rows: DataFrame) -> DataFrame:
+    """The second filter: blocks (``block``, ``bits``) of the positions set by two rows or more, with the number of such rows."""
+    twice = rows.groupBy("position").agg(F.count("*").alias("n")).filter("n > 1")
+    block = F.expr("bitmap_bucket_number(position + 1)").alias("block")
+    return twice.groupBy(block).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(position + 1))").alias("bits"), F.sum("n").alias("n_rows"))
 
 
-def may_repeat(rows: DataFrame, blocks: DataFrame, bits: int) -> DataFrame:
+def may_repeat(rows: DataFrame, blocks: DataFrame, bits: int, total: int) -> DataFrame:
     """``rows`` with a boolean ``maybe``: false only if no other row has the same hash."""
-    small = bits // 8 <= BROADCAST_BYTES
-    out = rows.withColumn("maybe", F.lit(True))
-    for k, p in enumerate(_positions(bits)):
-        side = blocks.select(F.col("block").alias("_block"), F.col("bits").alias("_bits"))
-        out = out.withColumn("_p", p).withColumn("_at", F.expr("bitmap_bucket_number(_p + 1)")).withColumn("_bit", F.expr("bitmap_bit_position(_p + 1)"))
-        out = out.join(F.broadcast(side) if small else side, F.col("_at") == F.col("_block"), "left")
-        byte = F.conv(F.hex(F.expr("substring(_bits, int(_bit div 8) + 1, 1)")), 16, 10).cast("int")
-        hit = F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")), F.lit(0)) == 1
-        out = out.withColumn("maybe", F.col("maybe") & hit).select(*rows.columns, "maybe")
-    return out
+    at = rows.withColumn("block", F.expr("bitmap_bucket_number(position + 1)")).withColumn("bit", F.expr("bitmap_bit_position(position + 1)"))
+    if bits // 8 <= BROADCAST_BYTES:
+        found = at.join(F.broadcast(blocks), "block", "left")
+    else:  # a text with a third of all rows makes its block a hot one
+        found = lookup(at, blocks, ["block"], "n_rows", total, F.xxhash64("row"))
+    byte = F.conv(F.hex(F.expr("substring(bits, int(bit div 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")), F.lit(0)) == 1
+    return found.select(*rows.columns, hit.alias("maybe"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,9 +62,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumn("h1", part(1)).withColumn("h2", part(8))
     total = rows.count()
     bits = max(BLOCK_BITS, 1 << math.ceil(math.log2(BITS_PER_ROW * total + 1)))
-    tested = may_repeat(rows, repeated_positions(rows, bits), bits)
+    rows = rows.withColumn("position", F.pmod("h1", F.lit(bits)))
+    tested = may_repeat(rows, staged(repeated_positions(rows), "filter"), bits, total)
     unique = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    again = staged(tested.filter("maybe").drop("maybe"), "maybe")
+    again = staged(tested.filter("maybe").drop("maybe", "position"), "maybe")
     groups = staged(again.groupBy("h1", "h2", "sha").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("last")), "groups")
     found = lookup(again, groups, ["h1", "h2", "sha"], "group_size", total, F.xxhash64("row"))
     grouped = found.select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "sha")
