@@ -12,7 +12,7 @@ from plexivec.llm.exact_dedup import exact_dedup
 from plexivec.llm.language import held_out, identify_language, learn_profiles
 from plexivec.llm.licenses import scan_licences
 from plexivec.llm.line_dedup import dedup_lines
-from plexivec.llm.mixing import mix_sources
+from plexivec.llm.mixing import served
 from plexivec.llm.near_dedup import near_duplicates
 from plexivec.llm.quality import fit_scorer, score_quality
 from plexivec.llm.token_shards import token_manifest
@@ -54,8 +54,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = mix_sources(table(spark, sf_dir, "documents"))
-    one = copies.groupBy("doc_id", "source", "seq").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
+    pieces = served(table(spark, sf_dir, "documents"))
+    one = pieces.groupBy("doc_id", "source", "seq").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
     return one.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -1,6 +1,7 @@
 """Exact dedup, line dedup and mixing: edge cases against plain Python."""
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from plexivec.llm import queries
 from plexivec.llm.exact_dedup import exact_dedup
 from plexivec.llm.line_dedup import dedup_lines
-from plexivec.llm.mixing import fair_schedule, mix_sources, mixed_documents, source_targets
+from plexivec.llm.mixing import fair_schedule, mix_sources, mixed_documents, served, source_targets
 from plexivec.plans.skew import lookup
 from tests.compare import same
 from tests.conftest import SMALL
@@ -59,6 +60,14 @@ def test_lines_need_length_and_documents(spark):
     assert got[0] == ("nineteen characters", 1) and got[2][1] == 0 and got[9][1] == 0
 
 
+def test_lines_count_documents_not_rows(spark):
+    rows = [(9, LONG), (9, LONG), (9, f"{LONG}\nmore"), (10, LONG), (None, "another line, longer than twenty"), (None, "another line, longer than twenty"), (1, "another line, longer than twenty")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))).collect()
+    assert len(got) == 7 and all(r["n_dropped"] == 0 for r in got)
+    more = spark.createDataFrame([*rows, (11, LONG)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in dedup_lines(more).filter("doc_id >= 9").collect()) == [(9, 1), (9, 1), (9, 1), (10, 1), (11, 0)]
+
+
 def test_lines_of_a_very_long_text(spark):
     many = "\n".join(f"a line that comes again {i % 20000} times" for i in range(60_000))
     rows = [(1, many), (2, many), (3, many + "\nlast")]
@@ -95,6 +104,33 @@ def test_mix(docs):
     assert sorted(map(repr, copies[key].astype(object).values.tolist())) == sorted(map(repr, again[key].astype(object).values.tolist()))
 
 
+def test_mix_takes_what_the_queues_serve(spark):
+    """Every source's words are its target to the word, by the sum over the sorted pieces."""
+    docs = spark.createDataFrame([(i, "w " * (i * 7 % 90), f"s{i % 5}") for i in range(400)], "doc_id long, text string, source string")
+    p = served(docs).toPandas()
+    by = p.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (by["taken"] == by["target"].apply(math.floor)).all()
+    p = p.sort_values(["finish", "over"], kind="stable")
+    assert p["taken"].sum() == by["target"].apply(math.floor).sum() and (p[p["taken"] > 0]["finish"] <= 1).all()
+    assert (p.groupby(["doc_id"])["taken"].sum() <= 2 * p.groupby("doc_id")["size"].first()).all()
+
+
+def test_exact_beyond_the_broadcast_limit(docs, monkeypatch):
+    want = sorted(map(repr, exact_dedup(docs).collect()))
+    monkeypatch.setattr("plexivec.llm.exact_dedup.BROADCAST_BYTES", 0)
+    assert sorted(map(repr, exact_dedup(docs).collect())) == want
+
+
+def test_mixed_documents_by_either_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 9), ["a", "b", None][i % 3], "x") for i in range(300)], "doc_id long, text string, source string, _rows string")
+    rows = sorted(map(repr, mixed_documents(docs).collect()))
+    taken = mix_sources(docs).filter("taken > 0 and taken * 2 > size").groupBy("doc_id").count()
+    want = {r["doc_id"]: r["count"] for r in taken.collect()}
+    assert Counter(r["doc_id"] for r in mixed_documents(docs).collect()) == want
+    monkeypatch.setattr("plexivec.llm.mixing.BROADCAST_SOURCES", 0)
+    assert sorted(map(repr, mixed_documents(docs).collect())) == rows
+
+
 def test_mixed_documents(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "ab"[i % 3 > 0], "x") for i in range(300)], "doc_id long, text string, source string, lang string")
     out = mixed_documents(docs)
