@@ -18,34 +18,52 @@ MAX_RULES = 2000
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 BUCKETS = 1 << 14
 
-# The small labelled URL table.
+# The small labelled URL table, names of hosts of kinds that are commonly blocked, and of others.
 BLOCK_HOSTS = """
-casino-win.example.com www.casino-royal.example.org casino-bonus.test.com play-casino.site.org online-casino.example.info
-cheap-pills.example.org buy-pills-now.example.com pills-discount.test.org cheap-meds.example.com cheap-viagra.test.com
-spam-farm.example.org link-spam.example.com spam-links.test.org seo-spam.example.com content-farm.test.org
-ads-track.example.com track-ads.example.org ads-server.test.com click-track.example.org adtrack.test.com
-adult-x.example.com adult-cams.example.org xxx-adult.test.com hot-adult-x.example.info adult-video-x.test.org
-free-bets.example.org free-bets-now.test.com bets-online.example.com best-bets.example.org free-poker.test.com
-free-prize-win.example.com win-money-fast.test.org lottery-win.example.com payday-loans-fast.example.org cheap-replica-watches.test.com
+luckyspin-casino royalcasino24 vegas-slots-online jackpot-slots onlinecasino-bonus blackjack-roulette
+pokerstarsroom texas-poker-chips sportsbetting-odds bestbets-football bet365days betting-tips-vip free-bet-codes
+cheap-viagra-online buy-cialis-now canadian-pharmacy-rx discountpills24 no-prescription-pills weightloss-pills cheapmeds-store
+xxx-videos-hd free-porn-tube adultcams-live hot-adult-chat sexdating-club adult-toys-xxx nude-webcam-girls escort-adult-ads
+seo-link-farm buy-backlinks-cheap spam-mailer-pro linkfarm-directory autoblog-spam article-spinner-farm bulk-email-spam
+ads.doubleserve adserver.clickbank-media track.clicks-redirect popup-ads-network tracking.pixel-ads banner-ads-exchange adtracker
+ads.tracker-metrics ad-tracking trackads-pixel ads-delivery mobile-ads-tracker freebets sports-bets lucky-bets
+free-iphone-winner claim-prize-now win-free-giftcards lottery-winner-claim get-rich-quick-money payday-loans-instant easy-cash-loans
+replica-watches-cheap fake-rolex-store cheap-handbags-outlet warez-cracks-keygen torrent-movies-free serial-keygen-download
 """.split()
 ALLOW_HOSTS = """
-www.example.com blog.example.org m.example.com news.example.org docs.example.com wiki.test.org www.library.example.org
-blog.garden.example.com m.weather.test.com www.museum.example.org university.example.com physics.school.test.org
-therion.example.com blog.thander.example.org www.rething.example.com m.onshed.test.org tionble.example.com
-www.cooking.example.org history.test.com blog.travel.example.com m.recipes.example.org science.example.com
-www.council.test.org blog.inather.example.com m.erandhe.example.org thingly.test.com www.ouresth.example.com
-sports.example.org music.test.com archive.example.org www.hospital.test.org forum.example.com maps.example.org
+cityuniversity library.state news.daily-herald gardeners docs.python-tutorial en.encyclopedia
+nature-journal weather-service physics.college history.museum recipes.homecooking forum.woodworking
+cityhall parks.county school.district wiki.linux-users developer.opensource healthcare-clinic
+theguardianpost economics.institute travel.mountains bookstore poetry.writers science.academy
+maps.transport railways photographer art.gallery music.conservatory theatre
+sports.local-league farmers-market archive.newspaper law.court astronomy-club knitting
+cinema-reviews electricians thoughtful-essays engineering.society childrens-hospital notes.mathematics
+language.dictionary gardening-advice cycling.touring botanical-gardens softwarecraft hiking-trails
 """.split()
-BLOCK_PATHS = ["/en/12", "/win/bonus", "/buy/cheap-pills.html", "/free/spins", "/xxx/2", "/de/7.html", "/es/3/", "/track/click"]
-ALLOW_PATHS = ["/en/12", "/fr/825", "/de/7.html", "/es/3/", "/about", "/news/2020/item.html", "/wiki/page", "/articles/5/"]
+# Letters that are frequent together in English, of which ordinary names are made up.
+PIECES = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
+MADE_UP = 200
+# Beginnings and ends of hosts and paths that say nothing of the kind of a site, and paths that do.
+BEGINNINGS = ["", "www.", "m.", "blog."]
+ENDS = ["com", "org", "net", "info", "co.uk"]
+PATHS = ["/", "/en/12", "/about", "/de/7.html", "/news/2020/item.html", "/fr/825/", "/page?id=3", "/es/"]
+BLOCK_PATHS = ["/bonus/signup", "/buy/online-order.html", "/free/spins/2", "/xxx/gallery/12", "/track/click", "/win/claim"]
+ALLOW_PATHS = ["/wiki/page", "/articles/5/", "/docs/intro.html", "/posts/2019/03/", "/library/catalogue", "/contact"]
+
+
+def made_up_names() -> list[str]:
+    """Names of 3 to 6 pieces, by a rule: most hosts of the web are names that no table has."""
+    return ["".join(PIECES[(i * 31 + k * k * 17 + i * k * 7) % len(PIECES)] for k in range(3 + i % 4)) for i in range(MADE_UP)]
 
 
 def labelled_urls() -> list[tuple[str, float]]:
-    """The labelled table: every host of a kind with two of the paths of its kind; label 1 is block."""
+    """The labelled table, label 1 is block: every name with beginnings, ends and paths that say nothing, in turn, and one path of its kind."""
     out = []
-    for hosts, paths, label in ((BLOCK_HOSTS, BLOCK_PATHS, 1.0), (ALLOW_HOSTS, ALLOW_PATHS, 0.0)):
+    for hosts, own, label in ((BLOCK_HOSTS, BLOCK_PATHS, 1.0), (ALLOW_HOSTS + made_up_names(), ALLOW_PATHS, 0.0)):
         for i, host in enumerate(hosts):
-            out += [(f"http://{host}{paths[k % len(paths)]}", label) for k in (i, i + 3)]
+            for k in (i, i + 3, i + 6):
+                out.append((f"http://{BEGINNINGS[k % len(BEGINNINGS)]}{host}.{ENDS[k % len(ENDS)]}{PATHS[k % len(PATHS)]}", label))
+            out.append((f"http://{BEGINNINGS[(i + 1) % len(BEGINNINGS)]}{host}.{ENDS[(i + 2) % len(ENDS)]}{own[i % len(own)]}", label))
     return out
 
 
@@ -81,13 +99,15 @@ def _grams(text: str, mark: str) -> str:
 
 
 def fit_url_model(spark: SparkSession, table: Sequence[tuple[str, float]] | None = None) -> PipelineModel:
-    """Logistic regression on hashed character n-grams of host and path, fitted on the labelled table."""
-    rows = spark.createDataFrame(list(table or labelled_urls()), "url string, label double")
+    """Logistic regression on hashed character n-grams of host and path, fitted on the labelled table, both labels of equal weight."""
+    given = list(table or labelled_urls())
+    share = {label: sum(y == label for _, y in given) / len(given) for _, label in given}
+    rows = spark.createDataFrame([(u, y, 0.5 / share[y]) for u, y in given], "url string, label double, weight double")
     host, path = host_and_path(F.col("url"))
     grams = SQLTransformer(statement=f"SELECT *, concat({_grams('host', 'h')}, {_grams('path', 'p')}) AS grams FROM __THIS__")
     hashed = HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features", binary=True)
-    fit = LogisticRegression(regParam=0.02, maxIter=100, standardization=False, probabilityCol="probability")
-    return Pipeline(stages=[grams, hashed, fit]).fit(rows.coalesce(1).select(host.alias("host"), path.alias("path"), "label"))
+    fit = LogisticRegression(regParam=0.005, maxIter=100, standardization=False, weightCol="weight", probabilityCol="probability")
+    return Pipeline(stages=[grams, hashed, fit]).fit(rows.coalesce(1).select(host.alias("host"), path.alias("path"), "label", "weight"))
 
 
 def judge_urls(pages: DataFrame, model: PipelineModel, url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -95,7 +115,8 @@ def judge_urls(pages: DataFrame, model: PipelineModel, url_col: str = "url", rul
 
     The verdict is the best rule's, or the classifier's: block from a probability of 0.5.  A null URL or
     one without ``://`` has an empty host and path, which no rule fits, and is judged by the classifier
-    like any other.  Repeated rows have equal results.  Columns of these names are replaced.
+    like any other.  URLs of any length are read whole.  Repeated rows have equal results; an empty table
+    gives an empty result.  Columns of these names are replaced.
     """
     host, path = host_and_path(F.col(url_col))
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
