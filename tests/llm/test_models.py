@@ -119,6 +119,29 @@ def test_url_model_on_pages(spark):
         urls.best_rule(F.col("host"), F.col("path"), [("a/", "block")] * (urls.MAX_RULES + 1))
 
 
+def test_url_model_against_numpy(spark):
+    """The fitted weights on the same n-grams, hashed by the same function, in plain Python."""
+    model = urls.fit_url_model(spark)
+    hashing, logistic = model.stages[1], model.stages[2]
+    given = ["http://www.luckyspin-casino.com/bonus", "http://a.b/", "no scheme", "https://docs.site.org/intro/page.html?q=1", "http://x.com/" + "long/" * 30_000, "http://é.com/ü"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "page_id long, url string").withColumn("block_score", F.lit("clash"))
+    weights, bias = logistic.coefficients.toArray(), logistic.intercept
+    for r in urls.judge_urls(df, model).collect():
+        grams = {m + t[i : i + n] for m, x in (("h", r["host"]), ("p", r["path"])) for t in [f"^{x}$"] for n in (3, 4, 5) for i in range(max(len(t) - n + 1, 1))}
+        z = bias + sum(weights[b] for b in {hashing.indexOf(g) for g in grams})
+        assert r["block_score"] == pytest.approx(1 / (1 + np.exp(-z)))
+    assert urls.judge_urls(df.limit(0), model).count() == 0
+
+
+def test_url_model_on_held_out_hosts(spark):
+    """Every fifth host is left out of the table; the model tells most of them by their n-grams."""
+    held = set(sorted(urls.BLOCK_HOSTS)[::5] + sorted(urls.ALLOW_HOSTS)[::5])
+    rows = [(u, y, any(f"/{b}{h}." in u for h in held for b in urls.BEGINNINGS)) for u, y in urls.labelled_urls()]
+    model = urls.fit_url_model(spark, [(u, y) for u, y, out in rows if not out])
+    got = urls.judge_urls(spark.createDataFrame([(u, y) for u, y, out in rows if out], "url string, label double"), model, rules=()).toPandas()
+    assert ((got["block_score"] >= 0.5) == (got["label"] > 0.5)).mean() > 0.8
+
+
 def test_licences(spark):
     for rule in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0"):
         names = next(r for n, r in licenses.RULES if n == rule)
@@ -133,6 +156,42 @@ def test_licences(spark):
     assert licenses.scan_licences(df.limit(0)).count() == 0
 
 
+def brute_sentences(text):
+    """All words of the text, sentence ends between them, every known sentence at every start."""
+    low = text.lower()
+    words = list(re.finditer(r"[^\W_]+", low))
+    ends = [m.start() for m in re.finditer(r"[.!?;:](?=\s|$)|\n", low)]
+    known = {licenses.sentence_words(s): n for n, s in licenses.SENTENCES.items()}
+    edge = lambda i: i in (0, len(words)) or any(words[i - 1].end() <= e < words[i].start() for e in ends)
+    out, i = [], 0
+    while i < len(words):
+        fits = [k for k in known if edge(i) and tuple(w.group() for w in words[i : i + len(k)]) == k and edge(i + len(k))]
+        if fits:
+            k = max(fits, key=len)
+            out.append((known[k], words[i].start(), words[i + len(k) - 1].end()))
+            i += len(k)
+        else:
+            i += 1
+    return out
+
+
+def test_licence_sentences_against_brute_force():
+    rng = np.random.default_rng(11)
+    pieces = [*licenses.SENTENCES.values(), "Some words.", "copyright (c) 2020 A_B", "1.", "\n\n", "and licensed", "Permission is hereby granted,", "  * "]
+    for _ in range(150):
+        text = " ".join(pieces[k].replace(" ", "\n" if rng.random() < 0.1 else " ") for k in rng.integers(0, len(pieces), 12))
+        assert licenses.sentences(text) == brute_sentences(text), text
+
+
+def test_licence_rules_need_near_sentences():
+    grant, notice = licenses.SENTENCES["mit-grant"], licenses.SENTENCES["mit-notice"]
+    assert [x[1] for x in licenses.licences(f"{grant}\n\n{notice}")] == ["mit-grant mit-notice"]
+    assert [x[1] for x in licenses.licences(f"{grant}\n{'Other words. ' * 800}\n{notice}")] == ["mit-grant"]
+    long = f"{grant}\n\n{notice}\n" + "word words_and more; " * 200_000 + f"\n{licenses.SENTENCES['cc0']}."
+    assert [x[0] for x in licenses.licences(long)] == ["MIT", "CC0-1.0"]
+    assert all(n in licenses.SENTENCES for _, rule in licenses.RULES for n in rule)
+
+
 def test_licences_on_documents(spark):
     lines = {"Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0", "Released under the MIT License": "MIT", "Licensed under the Apache License, Version 2.0": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3": "GPL-3.0-only"}
     want = {(r["doc_id"], lic) for r in table(spark, SF, "documents").collect() for line, lic in lines.items() if line in r["text"]}
@@ -171,6 +230,36 @@ def test_token_round_trip(spark, tmp_path):
         assert np.frombuffer(f.read(layout.stride), layout.dtype, 64, token_shards.HEAD.itemsize).tolist() == rows[2]["ids"]
 
 
+def test_places_are_a_permutation():
+    for n_docs, n_parts in ((1, 1), (7, 3), (1000, 2), (3, 1000), (64, 64)):
+        d, p = (x.ravel() for x in np.meshgrid(np.arange(n_docs), np.arange(n_parts)))
+        a, b = token_shards.places(d, p, n_docs, n_parts, 9)
+        assert sorted(zip(a.tolist(), b.tolist())) == sorted(zip(d.tolist(), p.tolist()))
+    wide = np.array([0, 1, 2**63, 2**64 - 1] * 50, np.uint64), np.repeat(np.arange(50), 4)
+    a, b = token_shards.places(*wide, 1 << 64, 1 << 30, 9)
+    assert len(set(zip(a.tolist(), b.tolist()))) == 200 and b.max() < 1 << 30 and a.max() > 1 << 62
+
+
+def test_tokens_of_wide_ids_and_clashing_columns(spark, tmp_path):
+    ids = [-(2**63), 2**63 - 1, 0, None, -1]
+    docs = spark.createDataFrame([(i, f"text number {k} " * 40) for k, i in enumerate(ids)], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("shard", "high", "low", "record", "part")})
+    rows = token_shards.token_manifest(docs, TOKENIZER, seq_len=16, shard_bytes=1 << 9).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and {r["doc_id"] for r in rows} == {-1, 0, -(2**63), 2**63 - 1}
+    assert len({(r["sha256"], r["part"]) for r in rows}) == len(rows) and len({r["shard"] for r in rows}) > 2
+
+
+def test_copies_go_apart_however_rows_are_dealt(spark):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    twice = docs.unionByName(docs.filter("doc_id % 2 = 0"))
+    m = token_shards.token_manifest(twice, TOKENIZER, shard_bytes=1 << 16, copies=2).toPandas()
+    again = token_shards.token_manifest(twice.repartition(7), TOKENIZER, shard_bytes=1 << 16, copies=2).toPandas()
+    key = ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "sha256"]
+    assert sorted(map(tuple, m[key].values.tolist())) == sorted(map(tuple, again[key].values.tolist()))
+    gap = m[m.doc_id % 2 == 0].groupby(["doc_id", "part"])["slot"].agg(lambda s: s.max() - s.min())
+    assert gap.min() > len(m) / 8 and len(gap) * 2 == (m.doc_id % 2 == 0).sum()
+
+
 def test_token_order_is_shuffled(spark):
     m = token_shards.token_manifest(table(spark, SMALL, "documents"), TOKENIZER).toPandas()
     assert abs(np.corrcoef(m["slot"], m["doc_id"])[0, 1]) < 0.1
