@@ -21,8 +21,8 @@ from plexivec.functions.text import WORD, word_count
 from plexivec.plans.skew import lookup
 from plexivec.plans.staging import staged
 
-#: Hexadecimal digits of the shuffled order that make a bucket: 65,536 buckets of every source.
-BUCKET_DIGITS = 4
+#: Hexadecimal digits of the shuffled order that make a bucket: 4,096 buckets of every source.
+BUCKET_DIGITS = 3
 #: One row a source is broadcast up to this many sources.
 BROADCAST_SOURCES = 100_000
 
