@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexivec.plans.staging import staged
+from plexivec.plans.skew import lookup
+from plexivec.plans.staging import dropped, staged
 
 MAX_ROUNDS = 60
 
@@ -15,17 +16,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round gives a node the smallest label among its neighbours, then the label of its label, so
     that the number of rounds grows with the logarithm of the longest path.  Labels are a written table
-    after every round; no node's edges need to meet in one task, because minima are combined before
-    the shuffle and both sides of the join are plain shuffles that adaptive execution can split.
+    after every round, which replaces the one before.  Minima are combined before the shuffle, and both
+    joins are lookups that spread a node with many edges and a label with many nodes.
     """
     both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"), F.count("*").alias("degree"))
+    labels = staged(first, "labels")
+    n_edges, n_nodes = both.count(), labels.count()
     for _ in range(MAX_ROUNDS):
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
-        near = labels.join(heard, "node").select("node", F.least("comp", "heard").alias("comp"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        new = staged(near.join(jump, "comp").select("node", F.least("comp", "further").alias("comp"), (F.least("comp", "further") < F.col("old")).alias("moved")), "labels")
+        by_neighbour = labels.select(F.col("node").alias("b"), "comp", "degree")
+        met = lookup(both, by_neighbour, ["b"], "degree", n_edges, F.xxhash64("a", "b"), "inner")
+        heard = met.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
+        near = labels.join(heard, "node").select("node", "degree", F.least("comp", "heard").alias("near"), F.col("comp").alias("old"))
+        near = staged(near, "near")
+        sizes = near.groupBy("near").agg(F.count("*").alias("m"))
+        jump = sizes.join(labels.select(F.col("node").alias("near"), F.col("comp").alias("further")), "near")
+        new = lookup(near, jump, ["near"], "m", n_nodes, F.xxhash64("node"))
+        comp = F.least("near", "further")
+        new = staged(new.select("node", "degree", comp.alias("comp"), (comp < F.col("old")).alias("moved")), "labels")
+        dropped(labels), dropped(near)
         labels = new.drop("moved")
         if not new.filter("moved").take(1):
-            return labels
+            return labels.select("node", "comp")
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
