@@ -96,7 +96,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int,
     The texts of the classes in question are read again and written once; each pair then meets both.
     """
     t = staged(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, nodes), "texts")
-    both = pairs.select("a", "b").join(t.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = pairs.select("a", "b")
+    for x in "ab":  # one class may be in a third of all pairs
+        both = _with_class(both, t.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,10 +111,17 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int,
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _with_class(pairs: DataFrame, of: DataFrame, x: str) -> DataFrame:
+    """``pairs`` with the columns of the class ``x`` of each; classes in many pairs are looked up apart."""
+    other = F.xxhash64(*pairs.columns)
+    sizes = pairs.groupBy(x).agg(F.count("*").alias("_pairs"))
+    return lookup(pairs, of.join(sizes, x), [x], "_pairs", pairs.count(), other, "inner").drop("_pairs")
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that can reach the similarity, with ``sure`` and the ``shared`` sketch values; ``sure`` where the sketches hold the whole sets and it is reached."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    p = pairs.join(side("a"), "a").join(side("b"), "b")
+    p = _with_class(_with_class(pairs, side("a"), "a"), side("b"), "b")
     p = p.filter((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
     p = p.withColumn("both", F.array_intersect("s_a", "s_b")).withColumn("all", F.array_union("s_a", "s_b"))
     whole = (F.col("n_a") <= K) & (F.col("n_b") <= K)
@@ -149,14 +158,14 @@ def links(docs: DataFrame, nodes: DataFrame, n_words: int, percent: int, long_li
     leaders = staged(long.groupBy("key").agg(F.max(F.struct("met", "node")).alias("top"), F.count("*").alias("m")).select("key", F.col("top.node").alias("lead"), "m"), "leaders")
     led = lookup(long, leaders, ["key"], "m", _total(leaders, "m"), F.xxhash64("node", "key"), "inner").filter(F.col("lead") != F.col("node"))
     pairs = met.withColumn("short", F.lit(1)).unionByName(led.select(F.col("lead").alias("a"), F.col("node").alias("b"), F.lit(0).alias("short")))
-    cand = staged(_estimated(pairs.groupBy("a", "b").agg(F.max("short").alias("short")), nodes, percent), "pairs")
+    cand = staged(_estimated(staged(pairs.groupBy("a", "b").agg(F.max("short").alias("short")), "met"), nodes, percent), "pairs")
 
-    best = cand.filter("not sure").groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
+    best = staged(cand.filter("not sure").groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select(F.col("top.a").alias("a"), "b"), "best")
     first = staged(cand.filter("sure").select("a", "b").unionByName(verified(best, docs, nodes, n_words, percent)), "links")
     comp = components(first)
     label = lambda df, x: df.join(comp.select(F.col("node").alias(x), F.col("comp").alias(f"_{x}")), x, "left").withColumn(f"_{x}", F.coalesce(F.col(f"_{x}"), F.col(x)))
     apart = F.col("_a") != F.col("_b")
-    rest = label(label(cand.filter("short = 1 and not sure").select("a", "b"), "a"), "b").filter(apart).select("a", "b")
+    rest = staged(label(label(cand.filter("short = 1 and not sure").select("a", "b"), "a"), "b").filter(apart).select("a", "b"), "rest")
 
     last = verified(rest, docs, nodes, n_words, percent)
     return first.unionByName(last).unionByName(_within_groups(long, leaders, comp, docs, nodes, n_words, percent))
@@ -167,8 +176,9 @@ def _within_groups(long: DataFrame, leaders: DataFrame, comp: DataFrame, docs: D
 
     Classes that meet in long lists form groups.  A group of one component is done.  In the others the
     classes outside the largest component are compared with all of the group in blocks of about
-    ``BLOCK_CLASSES``; a task has two blocks, skips pairs that are connected and returns only the links
-    that connect something, so that no pair is ever a row.
+    ``BLOCK_CLASSES``, first by their sketches: a task has two blocks and returns the classes, not the
+    pairs, that are close to one of the other block.  Only those are compared by their texts; a task skips
+    pairs that are connected and returns only the links that connect something.
     """
     met = lookup(long, leaders, ["key"], "m", _total(leaders, "m"), F.xxhash64("node", "key"), "inner").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     groups = components(met).withColumnRenamed("comp", "g")
@@ -178,9 +188,22 @@ def _within_groups(long: DataFrame, leaders: DataFrame, comp: DataFrame, docs: D
     open_ = lookup(placed, split, ["g"], "m", _total(split, "m"), F.xxhash64("node"), "inner")
     n_out, n_all = F.ceil(F.col("outside") / BLOCK_CLASSES), F.ceil(F.col("m") / BLOCK_CLASSES)
     of = lambda n: F.pmod(F.xxhash64("node"), n)
-    out = open_.filter(F.col("comp") != F.col("largest")).withColumn("j", F.explode(F.sequence(F.lit(0), n_all - 1))).select("g", of(n_out).alias("i"), "j", "node", "comp", F.lit(True).alias("outside"))
-    all_ = open_.withColumn("i", F.explode(F.sequence(F.lit(0), n_out - 1))).select("g", "i", of(n_all).alias("j"), "node", "comp", F.lit(False).alias("outside"))
-    rows = out.unionByName(all_).join(_texts(open_.select("node"), docs, nodes), "node").join(nodes.select("node", "n", "sketch"), "node")
+    open_ = staged(open_.join(nodes.select("node", "n", "sketch"), "node"), "open")
+    kept = ["node", "comp", "n", "sketch"]
+    out = open_.filter(F.col("comp") != F.col("largest")).withColumn("j", F.explode(F.sequence(F.lit(0), n_all - 1))).select("g", of(n_out).alias("i"), "j", *kept, F.lit(True).alias("outside"))
+    all_ = open_.withColumn("i", F.explode(F.sequence(F.lit(0), n_out - 1))).select("g", "i", of(n_all).alias("j"), *kept, F.lit(False).alias("outside"))
+
+    def near(x: pd.DataFrame) -> pd.DataFrame:
+        """The rows of two blocks whose sketch is close to one of the other block and another component."""
+        left, right = x[x["outside"]], x[~x["outside"]]
+        can = (_common(left, right, percent) > 0) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
+        return pd.concat([left[can.any(1)], right[can.any(0)]])
+
+    blocks_ = out.unionByName(all_)
+    # sketches decide which classes' texts are read at all, and by which pairs of blocks
+    close = staged(blocks_.groupBy("g", "i", "j").applyInPandas(near, blocks_.schema), "close")
+    texts = staged(_texts(close.select("node"), docs, nodes), "close_texts")
+    rows = _with_class(close, texts, "node")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         return _forest(x[x["outside"]], x[~x["outside"]], n_words, percent)
@@ -188,12 +211,12 @@ def _within_groups(long: DataFrame, leaders: DataFrame, comp: DataFrame, docs: D
     return rows.groupBy("g", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
-def _forest(left: pd.DataFrame, right: pd.DataFrame, n_words: int, percent: int) -> pd.DataFrame:
-    """Links between two blocks of classes that connect different components, most similar sketches first."""
+def _common(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> np.ndarray:
+    """Sketch values that pairs of two blocks have in common, 0 for pairs that cannot reach the similarity."""
+    common = np.zeros((len(left), len(right)), np.float32)
     if not len(left) or not len(right):
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        return common
     n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    common = np.zeros((len(left), len(right)), np.float32)
     flat, owner = np.concatenate(left["sketch"].to_list()), np.repeat(np.arange(len(left)), left["sketch"].map(len))
     for at in range(0, len(right), CHUNK_CLASSES):
         chunk = right["sketch"].iloc[at : at + CHUNK_CLASSES]
@@ -206,7 +229,15 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, n_words: int, percent: int)
         a[owner[hit], found[hit]] = 1
         common[:, at : at + CHUNK_CLASSES] = a @ b.T
     can = (100 * n >= percent * m) & (100 * m >= percent * n) & (200 * common >= percent * np.minimum(np.minimum(n, m), K))
-    a, b = np.nonzero(can)
+    return np.where(can, common, 0)
+
+
+def _forest(left: pd.DataFrame, right: pd.DataFrame, n_words: int, percent: int) -> pd.DataFrame:
+    """Links between two blocks of classes that connect different components, most similar sketches first."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    common = _common(left, right, percent)
+    a, b = np.nonzero(common)
     order = np.argsort(-common[a, b], kind="stable")
     sets = [list(shingle_sets(pa.array(x["text"], pa.string()), n_words)) for x in (left, right)]
     comps, nodes = [x["comp"].to_numpy() for x in (left, right)], [x["node"].to_numpy() for x in (left, right)]
