@@ -58,10 +58,15 @@ def _span(c: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([part[:n][~space[:n]], two[:n], three[:n][~space[1:-1][:n]]]), return_counts=True)
 
 
+def trigram_codes(c: np.ndarray, bits: int) -> np.ndarray:
+    """Hashed buckets of the trigrams of a run of code points."""
+    p = c.astype(np.uint64)
+    code = (p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:]
+    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
 def trigram_buckets(text: str, bits: int) -> Iterator[np.ndarray]:
     """Hashed buckets of all character trigrams of a whole text (one space before and after), a span at a time."""
-    c = code_points(f" {text} ").astype(np.uint64)
+    c = code_points(f" {text} ")
     for at in range(0, max(len(c) - 2, 0), SPAN):
-        p = c[at : at + SPAN + 2]
-        code = (p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:]
-        yield (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+        yield trigram_codes(c[at : at + SPAN + 2], bits)

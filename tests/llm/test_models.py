@@ -1,6 +1,7 @@
 """Language, quality, URLs, licences, tokens and the pipeline."""
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -73,6 +74,82 @@ def test_em_recovers_accuracies():
     assert ((p > 0.5) == good).mean() > 0.93 and p.mean() == pytest.approx(0.8, abs=0.03)
 
 
+def brute_votes(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    sentences = [s.lstrip(" \t\x0b\x0c\r") for s in re.split(r"[.!?\n]", text)]
+    sentences = [s for s in sentences if s]
+    lines = [x for x in text.split("\n") if x]
+    n, chars, ns = max(len(words), 1), max(len(text), 1), max(len(sentences), 1)
+    runs = sum(len(m.group()) // 2 for m in re.finditer(r"([#$%&*!=~|])\1+", text)) + len(re.findall(r"(?<= )\|(?= )", text))
+    odd = sum(not (z.isalpha() or unicodedata.category(z)[0] == "N" or unicodedata.category(z)[0] == "L" or z in ".,;:?)\"'") for z in re.findall(r"[^\x20\x09-\x0D](?=[\x20\x09-\x0D])", text))
+    ended = sum(x.rstrip(" \t\x0b\x0c\r")[-1:] in tuple(".!?:") for x in lines) / max(len(lines), 1)
+    enough = n >= 8
+    rates = {
+        "marks": (sum(x in quality.MARKS for x in text) / chars, 0.03, 0.005, True),
+        "marked_words": (sum(any(x in quality.MARKS for x in w) for w in words) / n, 0.2, 0.05, enough),
+        "mark_runs": (runs / n, 0.15, 0.03, enough),
+        "word_ends": (odd / n, 0.2, 0.08, enough),
+        "capitals": (sum(unicodedata.category(x) == "Lu" for x in text) / chars, 0.3, 0.1, enough),
+        "stutter": (sum(a == b for a, b in zip(words, words[1:])) / n, 0.25, 0.1, enough),
+        "repeated_sentences": (1 - len(set(sentences)) / ns, 0.5, 0.1, ns >= 4),
+        "vocabulary": (1 - len(set(words)) / n, 0.75, 0.55, n >= 30),
+        "cries": (text.count("!") / n, 0.3, 0.05, enough),
+        "line_ends": (1 - ended, 0.7, 0.3, enough),
+    }
+    votes = {"blank": -1 if not words else 0} | {k: -1 if r > bad and sure else 1 if r < good else 0 for k, (r, bad, good, sure) in rates.items()}
+    return [votes[k] for k in quality.LABELLERS]
+
+
+ODD_TEXTS = ["", " ", "\n", "a", "a | b | c |", "##### ** a == b", "A B C D E F G H I", "É É é. Ü! ??\n x", "w w w w w w w w w", "x.\n\ny!  \nz: \t\nlast", ". . . . . a. a. a. a.", "| | | | | | | |", "a|\n|b ~~~", "漢字 かな 123 ½ \U0001f600 !", "end#"]
+
+
+def test_votes_against_plain_python(spark):
+    texts = [r["text"] or "" for r in table(spark, SMALL, "documents").select("text").collect()] + ODD_TEXTS * 2
+    got = np.concatenate([quality.label_votes(b) for b in quality._blocks(texts)])
+    for text, votes in zip(texts, got.tolist()):
+        assert votes == brute_votes(text), text[:200]
+
+
+def test_scorer_against_plain_features():
+    rng = np.random.default_rng(4)
+    scorer = quality.Scorer(rng.standard_normal(1 << quality.BITS), 0.3)
+    texts = [None, *ODD_TEXTS, "some words some words here " * 30, "same same same"]
+    for text, score in zip(texts, scorer.scores(texts)):
+        z = scorer.intercept + sum(float(scorer.weights[b].sum()) * v for b, v in quality.features(text))
+        assert score == pytest.approx(1 / (1 + np.exp(-z)) if (text or "").strip() else 0.0, abs=1e-9)
+
+
+def test_quality_query_against_plain_python(spark):
+    """The query's scores are those of EM on plain votes and a fit on the documents that the hash draws."""
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    scorer = quality.fit_scorer(docs)
+    got = {r["doc_id"]: r["quality"] for r in queries.op5_quality(spark, SMALL).collect()}
+    rows = docs.collect()
+    votes = [tuple(brute_votes(r["text"] or "")) for r in rows]
+    patterns, counts = zip(*sorted(Counter(votes).items()))
+    good = dict(zip(patterns, quality.posterior(np.array(patterns), np.array(counts))))
+    for r in rows:
+        z = scorer.intercept + sum(float(scorer.weights[b].sum()) * v for b, v in quality.features(r["text"]))
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)) if (r["text"] or "").strip() else 0.0, abs=1e-6)
+    sure = [(good[v] > 0.5) == (got[r["doc_id"]] >= 0.5) for v, r in zip(votes, rows) if abs(good[v] - 0.5) > 0.4]
+    assert np.mean(sure) > 0.95
+
+
+def test_quality_draw_is_bounded(spark):
+    """A third of all rows are copies of one text: only their share is drawn, whatever the text's hash."""
+    from pyspark.sql import DataFrame
+
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "A hot text with some words. It is a copy.").otherwise(F.concat(F.lit("Text number "), F.col("id"), F.lit(" has words of its own. And an end."))).alias("text"))
+    seen = []
+    original = quality.staged
+    quality.staged = lambda df, name: seen.append(original(df, name)) or seen[-1]
+    try:
+        quality.fit_scorer(rows, train_docs=600)
+    finally:
+        quality.staged = original
+    assert isinstance(seen[0], DataFrame) and 400 < seen[0].count() < 800
+
+
 def test_quality_edges(spark):
     rows = [(1, None), (2, " \n"), (3, "Plain words in a sentence."), (3, "Plain words in a sentence."), (4, "a " * 200_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("votes", F.lit("clash"))
