@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from plexivec.llm.charhash import SPAN, code_points, trigram_buckets, trigram_codes
-from plexivec.llm.wordhash import _power, mix, text_bytes, words
+from plexivec.llm.wordhash import _power, blocks, mix, text_bytes, words
 from plexivec.plans.staging import staged
 
 #: Feature buckets: 2 ** BITS.
@@ -33,8 +33,8 @@ EM_ROUNDS = 200
 #: Marks that running text hardly has, marks that come in runs, and marks after which a word may well end.
 MARKS, RUNS, ENDS = "#$%&*|<>{}=~^_/\\", "#$%&*!=~|", ".,;:?)\"'"
 LABELLERS = ("blank", "marks", "marked_words", "mark_runs", "word_ends", "capitals", "stutter", "repeated_sentences", "vocabulary", "cries", "line_ends")
-#: Code points judged at once, about: texts in blocks, longer ones alone.
-BLOCK = 1 << 20
+#: Code points judged at once, about: texts in blocks, longer ones alone.  A task needs some 100 bytes for each.
+BLOCK = 1 << 17
 _kinds: list[np.ndarray] = []
 
 
@@ -115,6 +115,7 @@ def label_votes(texts: list[str]) -> np.ndarray:
         bar = bar[(bar > 0) & (bar < len(c) - 1)]
         bar = bar[(c[bar - 1] == 32) & (c[bar + 1] == 32)]
         runs = (pairs + per(bar)) / n
+        del same_next
         closed = end[(end < len(c))]
         closed = closed[~np.isin(closed, offsets)]  # a word at the end of its text has no blank after it
         z = c[closed - 1]
@@ -132,9 +133,9 @@ def label_votes(texts: list[str]) -> np.ndarray:
         distinct = _distinct(owner(a), _hashes(c, a, b), n_texts) / sentences
         a, b = _runs(c != 10, offsets)
         lines = np.maximum(per(a), 1)
-        last = np.maximum.accumulate(np.where(blank & (c != 10), -1, np.arange(len(c)))) if len(c) else np.zeros(0, np.int64)
-        tail = last[b - 1]
-        ended = per(a[(tail >= a) & _in(c[tail], ".!?:")]) / lines
+        solid = np.flatnonzero(~blank | (c == 10))  # the last character of a line that is not blank is the one before its end
+        tail = solid[np.maximum(np.searchsorted(solid, b) - 1, 0)] if len(solid) else a - 1
+        ended = per(a[(tail >= a) & _in(c[np.maximum(tail, 0)], ".!?:")]) / lines
         rates = {
             "marks": (per(np.flatnonzero(mark)) / chars, 0.03, 0.005, True),
             "marked_words": (marked / n, 0.2, 0.05, enough),
@@ -153,23 +154,18 @@ def label_votes(texts: list[str]) -> np.ndarray:
     return np.stack([out[name] for name in LABELLERS], 1).astype(np.int32)
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
-    """Texts of about ``BLOCK`` code points together, or one text."""
-    held, size = [], 0
-    for t in texts:
-        if held and size + len(t) > BLOCK:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield held
+def _blocks(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts of about ``BLOCK`` bytes together, or one text; a null text is empty."""
+    _, offsets = text_bytes(texts)
+    for i, j in blocks(offsets, BLOCK):
+        yield [t or "" for t in texts.slice(i, j - i).to_pylist()]
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _voted(texts: pd.Series) -> pd.Series:
-    parts = [label_votes(block) for block in _blocks([t or "" for t in texts])]
-    return pd.Series([row for part in parts for row in part], dtype=object)
+@F.arrow_udf(ArrayType(IntegerType()))
+def _voted(texts: pa.Array) -> pa.Array:
+    votes = np.concatenate([np.zeros((0, len(LABELLERS)), np.int32), *map(label_votes, _blocks(texts))])
+    ends = np.arange(len(votes) + 1, dtype=np.int32) * np.int32(len(LABELLERS))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(votes.ravel()))
 
 
 def with_votes(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -334,8 +330,8 @@ def score_quality(docs: DataFrame, scorer: Scorer, text_col: str = "text", least
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(list(texts)), dtype=float)
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *map(shared.value.scores, _blocks(texts))]))
 
     return docs.withColumn("quality", scored(F.col(text_col))).withColumn("kept", F.col("quality") >= least)

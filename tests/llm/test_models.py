@@ -5,6 +5,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ ODD_TEXTS = ["", " ", "\n", "a", "a | b | c |", "##### ** a == b", "A B C D E F
 
 def test_votes_against_plain_python(spark):
     texts = [r["text"] or "" for r in table(spark, SMALL, "documents").select("text").collect()] + ODD_TEXTS * 2
-    got = np.concatenate([quality.label_votes(b) for b in quality._blocks(texts)])
+    got = np.concatenate([quality.label_votes(b) for b in quality._blocks(pa.array(texts))])
     for text, votes in zip(texts, got.tolist()):
         assert votes == brute_votes(text), text[:200]
 
