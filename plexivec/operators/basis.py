@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexivec.functions.names import mutate
+from plexivec.functions.stats import exact_quantiles
+from plexivec.functions.vectors import l2sq, mean_vector
 
 
 @dataclass(frozen=True)
@@ -81,11 +83,13 @@ def fit_projection(df: DataFrame, vector: str, n_components: int = 50, scale: bo
     if cap is not None and n > cap:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "k" if key else "v"), F.lit(1 << 30)) < int(cap / n * (1 << 30)))
 
+    center = np.array(rows.agg(mean_vector("v").alias("m")).first()[0])  # sums of what is left are free of cancellation
+
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for x in batches:
             if len(x):
-                v = np.stack(x["v"].to_numpy()).astype(float)
+                v = np.stack(x["v"].to_numpy()).astype(float) - center
                 one = np.concatenate([np.ones((len(v), 1)), v], 1)
                 total = one.T @ one if total is None else total + one.T @ one
         if total is not None:
@@ -94,10 +98,15 @@ def fit_projection(df: DataFrame, vector: str, n_components: int = 50, scale: bo
     summed = rows.select("v").mapInPandas(moments, "row int, m array<double>").groupBy("row").agg(Summarizer.sum(array_to_vector("m")).alias("m")).orderBy("row").collect()
     m = np.array([r["m"].toArray() for r in summed])
     count = m[0, 0]
-    mean = m[0, 1:] / count
-    cov = m[1:, 1:] / count - np.outer(mean, mean)
-    dev = np.sqrt(np.maximum(np.diag(cov), 0)) if scale else np.ones(len(mean))
-    dev = np.where(dev > 1e-12, dev, 1.0)
+    shift = m[0, 1:] / count
+    mean = center + shift
+    cov = m[1:, 1:] / count - np.outer(shift, shift)
+    # rounding of the values themselves: what a constant column may differ from its mean
+    noise = (count * np.finfo(float).eps * np.abs(mean)) ** 2
+    constant = np.diag(cov) <= noise
+    cov[constant, :] = cov[:, constant] = 0.0
+    dev = np.sqrt(np.diag(cov)) if scale else np.ones(len(mean))
+    dev = np.where(constant, 1.0, dev)
     values, vectors = np.linalg.eigh(cov / np.outer(dev, dev))
     k = int(min(n_components, count, len(mean)))
     order = np.argsort(values)[::-1][:k]
@@ -152,9 +161,36 @@ def calibrate_radius(df: DataFrame, embed, basis: Basis, sequence: str = "juncti
     changed = df.withColumn("_row", F.xxhash64(*df.columns)).withColumn("_new", mutate(F.col(sequence), F.concat_ws(":", F.lit(str(seed)), F.col("_row").cast("string"))))
     old = transform(embed(changed), basis, "embedding", "_z0")
     new = transform(embed(old.drop("embedding").withColumn(sequence, F.col("_new"))), basis, "embedding", "_z1")
-    from plexivec.functions.vectors import l2sq
-
-    r = new.agg(F.percentile(F.sqrt(l2sq("_z0", "_z1")), F.lit(quantile))).first()[0]
+    r = exact_quantiles(new, F.sqrt(l2sq("_z0", "_z1")), [quantile])[0]
     if not r or r <= 0:
         raise ValueError("non-positive radius")
     return float(r)
+
+
+def fit_density_space(obs: DataFrame, bg: DataFrame, vector: str, n_components: int = 50, output: str = "z", cap: int | None = None, seed: int = 0) -> tuple[Basis, DataFrame, DataFrame]:
+    """One basis fitted on observed and background vectors together, and both of them in it.
+
+    Nothing is held at once: the fit is sums over both frames, and projecting is a map over batches.  With
+    ``cap`` the fit takes about as many rows, in proportion to the two frames.
+    """
+    basis = fit_projection(obs.select(vector).unionByName(bg.select(vector)), vector, n_components, cap=cap, seed=seed)
+    return basis, transform(obs, basis, vector, output), transform(bg, basis, vector, output)
+
+
+def fit_repertoire_space(pool: DataFrame, embed, n_components: int, n_rff: int = 2048, n_rff_second: int = 128, n_eigs: int | None = None, length_scale: float | None = None, sequence: str = "junction_aa", cap: int | None = None, seed: int = 0) -> Basis:
+    """One projection and one set of random features for the pooled records of all samples; counts play no part.
+
+    ``embed`` adds ``embedding`` to a frame.  Without ``length_scale`` the kernel is as wide as one
+    substitution moves a record (``calibrate_radius``), so that it tells single mutations apart.
+    """
+    if n_eigs is not None and not 0 < n_eigs <= n_rff_second:
+        raise ValueError("n_eigs must be in 1 .. n_rff_second")
+    basis = fit_projection(embed(pool), "embedding", n_components, cap=cap, seed=seed)
+    scale = calibrate_radius(pool, embed, basis, sequence, seed=seed) if length_scale is None else length_scale
+    return with_random_features(basis, scale, n_rff, n_rff_second, n_eigs, seed)
+
+
+def fit_repertoire_spaces(pool: DataFrame, embeds: dict, n_components: dict[str, int], locus: str = "locus", min_clonotypes: int = 50, **kwargs) -> dict[str, Basis]:
+    """A basis of its own for every locus of ``embeds`` with at least ``min_clonotypes`` pooled rows; others are left out."""
+    sizes = {r[0]: r[1] for r in pool.filter(F.col(locus).isin(list(embeds))).groupBy(locus).count().collect()}
+    return {name: fit_repertoire_space(pool.filter(F.col(locus) == name), embed, n_components[name], **kwargs) for name, embed in embeds.items() if sizes.get(name, 0) >= min_clonotypes}

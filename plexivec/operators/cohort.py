@@ -10,10 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexivec.functions.stats import benjamini_hochberg, fisher_exact
+from plexivec.functions.stats import benjamini_hochberg, fisher_exact, running_sums
 from plexivec.functions.vectors import mean_vector, subtract
 from plexivec.operators.basis import Basis, fit_projection, transform
 from plexivec.operators.repertoire import class_witness, sample_embedding, witness
@@ -88,9 +88,25 @@ class ChannelBuilder:
 
 def impute_median(df: DataFrame, vector: str, width: int) -> DataFrame:
     """Nulls and NaN become the exact median of the finite values at their place, 0 if there are none."""
-    finite = lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x)
-    medians = df.agg(*[F.coalesce(F.median(finite(F.col(vector)[i])), F.lit(0.0)).alias(f"m{i}") for i in range(width)]).select(F.array(*[f"m{i}" for i in range(width)]).alias("_m"))
-    return df.join(F.broadcast(medians)).withColumn(vector, F.zip_with(vector, "_m", lambda x, m: F.coalesce(finite(x), m))).drop("_m")
+    medians = vector_medians(df, vector, width)
+    row = F.array(*[F.lit(m) for m in medians])
+    return df.withColumn(vector, F.zip_with(vector, row, lambda x, m: F.coalesce(_finite(x), m)))
+
+
+def _finite(x: Column) -> Column:
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def vector_medians(df: DataFrame, vector: str, width: int) -> list[float]:
+    """Exact median of the finite values at every place, 0 if there are none: counts by place and value, ranked by a range sort."""
+    cells = df.select(F.posexplode(F.slice(vector, 1, width)).alias("i", "v")).select("i", _finite(F.col("v").cast("double")).alias("v")).filter("v is not null")
+    ranked = staged(running_sums(cells.groupBy("i", "v").agg(F.count("*").alias("n")), [F.col("i"), F.col("v")], ["n"]), "medians")
+    totals = ranked.groupBy("i").agg(F.sum("n").alias("all"), F.max("n_upto").alias("last"))
+    rank = F.col("n_upto") - (F.col("last") - F.col("all"))
+    at = lambda place: F.min(F.when(rank >= place, F.col("v")))
+    middle = ranked.join(F.broadcast(totals), "i").groupBy("i").agg(at(F.floor((F.col("all") + 1) / 2)).alias("a"), at(F.floor((F.col("all") + 2) / 2)).alias("b"))
+    found = {r["i"]: (r["a"] + r["b"]) / 2 for r in middle.collect()}
+    return [found.get(i, 0.0) for i in range(width)]
 
 
 def zscore(df: DataFrame, vector: str) -> DataFrame:
@@ -100,7 +116,9 @@ def zscore(df: DataFrame, vector: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     stats = stats.select(vector_to_array("_mean").alias("_mean"), F.transform(vector_to_array("_var"), lambda x: F.sqrt(x * (F.col("_n") - 1) / F.col("_n"))).alias("_sd"))
-    scaled = F.zip_with(subtract(vector, "_mean"), "_sd", lambda x, s: F.when(s > 1e-12, x / s).otherwise(0.0))
+    # a deviation that rounding explains is that of a constant column
+    stats = stats.withColumn("_sd", F.zip_with("_sd", "_mean", lambda s, m: F.when(s > 1e-12 + 1e-13 * F.abs(m), s).otherwise(0.0)))
+    scaled = F.zip_with(subtract(vector, "_mean"), "_sd", lambda x, s: F.when(s > 0, x / s).otherwise(0.0))
     return df.join(F.broadcast(stats)).withColumn(vector, scaled).drop("_mean", "_sd")
 
 
@@ -110,7 +128,7 @@ def residualize(df: DataFrame, vector: str, group: str) -> DataFrame:
     return df.join(means, F.col(group).eqNullSafe(F.col("_g"))).withColumn(vector, subtract(vector, "_m")).drop("_g", "_m")
 
 
-def correct_batch(df: DataFrame, key: str, vector: str, batch: str, covariates: str | None = None, n_clusters: int = 8, theta: float = 1.0, sigma: float = 0.1, max_iter: int = 10, ridge: float = 1.0, seed: int = 0, limit: int = 200_000) -> DataFrame:
+def correct_batch(df: DataFrame, key: str, vector: str, batch: str, covariates: str | None = None, n_clusters: int = 8, theta: float = 1.0, sigma: float = 0.1, max_iter: int = 10, ridge: float = 1.0, seed: int = 0) -> DataFrame:
     """Batch effects removed within soft clusters (after Korsunsky et al., 2019).
 
     With one cluster or ``theta`` 0 this is ``residualize``.  Else cosine k-means (Spark's) gives centres; in
@@ -210,13 +228,18 @@ class DonorSpace:
     means: list[float]
     deviations: list[float]
     spec: ChannelSpec
+    coverage: bool = True
+    extra_widths: dict[str, int] = field(default_factory=dict)
 
-    def transform(self, cloud: DataFrame, donors: DataFrame, donor: str, locus: str, count: str, features: str) -> DataFrame:
+    def transform(self, cloud: DataFrame, donors: DataFrame, donor: str, locus: str, count: str, features: str, extra: dict[str, tuple[DataFrame, str, int]] | None = None) -> DataFrame:
         """``donor, x`` of other donors, by the stored parameters only.
 
         A locus without an identity at fitting has none here; a missing chain gets the stored medians.
+        ``extra`` must have the channels of the fit, of the same widths; ValueError if not.
         """
-        raw = _blocks(cloud, donors, donor, locus, count, features, self.loci, self.min_clones, self.bases)[0]
+        if (got := {name: width for name, (_, _, width) in (extra or {}).items()}) != self.extra_widths:
+            raise ValueError(f"extra channels are {self.extra_widths}, not {got}")
+        raw = _blocks(cloud, donors, donor, locus, count, features, self.loci, self.min_clones, self.bases, None, self.coverage, extra)[0]
         row = lambda v: F.array(*[F.lit(float(x)) for x in v])
         filled = F.zip_with("x", row(self.medians), lambda x, m: F.when(x.isNull() | F.isnan(x), m).otherwise(x))
         centred = F.zip_with(filled, row(self.means), lambda x, m: x - m)
@@ -224,7 +247,7 @@ class DonorSpace:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write all parameters as one JSON line, bases with their fingerprints."""
-        record = {k: getattr(self, k) for k in ("loci", "id_pca", "min_clones", "medians", "means", "deviations")}
+        record = {k: getattr(self, k) for k in ("loci", "id_pca", "min_clones", "medians", "means", "deviations", "coverage", "extra_widths")}
         record |= {"channels": self.spec.channels, "attributable": sorted(self.spec.attributable)}
         record["bases"] = {k: None if b is None else b.record() | {"fingerprint": b.fingerprint} for k, b in self.bases.items()}
         spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(path)
@@ -243,7 +266,7 @@ class DonorSpace:
         return DonorSpace(bases=bases, spec=spec, **r | {"loci": tuple(r["loci"])})
 
 
-def _blocks(cloud: DataFrame, donors: DataFrame, donor: str, locus: str, count: str, features: str, loci: Sequence[str], min_clones: int, bases: dict, id_pca: int | None = None) -> tuple[DataFrame, ChannelSpec]:
+def _blocks(cloud: DataFrame, donors: DataFrame, donor: str, locus: str, count: str, features: str, loci: Sequence[str], min_clones: int, bases: dict, id_pca: int | None = None, coverage: bool = True, extra: dict[str, tuple[DataFrame, str, int]] | None = None) -> tuple[DataFrame, ChannelSpec]:
     """The blocks of all donors side by side, with holes; with ``id_pca`` the bases are fitted into ``bases``."""
     build = ChannelBuilder(donors, donor)
     for name in loci:
@@ -256,45 +279,57 @@ def _blocks(cloud: DataFrame, donors: DataFrame, donor: str, locus: str, count:
         if bases[name] is not None:
             build.add(f"{name}:identity", transform(e, bases[name], "mean", "z"), "z", bases[name].loadings.shape[1], True)
         build.add(f"{name}:diversity", e, "diversity", 4)
-        build.add(f"{name}:coverage", own.groupBy(donor).agg(F.array(F.log1p(F.sum(count).cast("double"))).alias("mass")), "mass", 1)
+        if coverage:
+            build.add(f"{name}:coverage", own.groupBy(donor).agg(F.array(F.log1p(F.sum(count).cast("double"))).alias("mass")), "mass", 1)
+    for name, (frame, vector, width) in (extra or {}).items():
+        build.add(name, frame, vector, width)
     return build.build(standardize=False, impute=False)
 
 
-def fit_donors(cloud: DataFrame, donors: DataFrame, donor: str, locus: str, count: str, features: str, loci: Sequence[str], id_pca: int = 8, min_clones: int = 5) -> DonorSpace:
+def fit_donors(cloud: DataFrame, donors: DataFrame, donor: str, locus: str, count: str, features: str, loci: Sequence[str], id_pca: int = 8, min_clones: int = 5, coverage: bool = True, extra: dict[str, tuple[DataFrame, str, int]] | None = None, standardize: bool = True) -> DonorSpace:
     """Fit the blocks ``locus:identity``, ``locus:diversity``, ``locus:coverage`` of donors.
 
     A chain with fewer than ``min_clones`` clones leaves holes, filled with the columns' medians.  The
     identity of a locus is the projection of its kernel means to ``id_pca`` components; with no more donors
-    than that it has none.  Columns are standardised (population deviation, 0 as 1).
+    than that it has none.  ``extra`` adds the caller's channels, a frame with the donor's vector, the
+    vector's column and width for each name.  Columns are standardised (population deviation, 0 as 1)
+    unless ``standardize`` is false.
     """
     if not loci:
         raise ValueError("no loci")
     bases: dict[str, Basis | None] = {}
-    raw, spec = _blocks(cloud, donors, donor, locus, count, features, loci, min_clones, bases, id_pca)
+    raw, spec = _blocks(cloud, donors, donor, locus, count, features, loci, min_clones, bases, id_pca, coverage, extra)
+    raw = staged(raw, "donors")
     x = [F.col("x")[i] for i in range(spec.width)]
-    first = raw.agg(*[F.coalesce(F.median(v), F.lit(0.0)).alias(f"m{i}") for i, v in enumerate(x)]).first()
+    first = vector_medians(raw, "x", spec.width)
     filled = [F.coalesce(v, F.lit(float(first[i]))) for i, v in enumerate(x)]
     stats = raw.agg(*[F.avg(v).alias(f"a{i}") for i, v in enumerate(filled)], *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(filled)]).first()
     w = spec.width
-    return DonorSpace(tuple(loci), id_pca, min_clones, bases, list(first), list(stats[:w]), [s if s and s > 1e-12 else 1.0 for s in stats[w:]], spec)
+    means = list(stats[:w]) if standardize else [0.0] * w
+    noise = [1e-9 * max(abs(m or 0.0), 1e-3) for m in stats[:w]]  # what rounding leaves of a constant column
+    scales = [s if standardize and s and s > least else 1.0 for s, least in zip(stats[w:], noise)]
+    widths = {name: width for name, (_, _, width) in (extra or {}).items()}
+    return DonorSpace(tuple(loci), id_pca, min_clones, bases, list(first), means, scales, spec, coverage, widths)
 
 
-def channel_report(df: DataFrame, spec: ChannelSpec, scorer: Callable[[DataFrame, list[int]], float], base: float | None = None, mode: str = "in", permuted: Callable[[DataFrame, int], DataFrame] | None = None, n_permutations: int = 0) -> DataFrame:
+def channel_report(df: DataFrame, spec: ChannelSpec, scorer: Callable[[DataFrame, list[int]], float], base: float | None = None, mode: str = "in", permuted: Callable[[DataFrame, int], DataFrame] | None = None, n_permutations: int = 0, channels: Sequence[str] | None = None) -> DataFrame:
     """Score of every channel alone (``in``), of all but it (``out``) or both, and their ranks.
 
     ``scorer(df, columns)`` is a Spark job of the caller's.  ``delta`` is the score over ``base``, ``delta_out``
     what the full score loses without the channel.  With ``n_permutations`` p-values count how often
-    frames from ``permuted(df, round)`` score as well; all channels share the permutations.
+    frames from ``permuted(df, round)`` score as well; all channels share the permutations.  ``channels``
+    restricts and orders the report; the full score is then that of their union.
     """
     if mode not in ("in", "out", "both"):
         raise ValueError(f"unknown mode {mode!r}")
-    if not spec.names:
+    names = spec.names if channels is None else list(channels)
+    if not names:
         raise ValueError("no channels")
-    full = scorer(df, spec.columns(spec.names))
+    full = scorer(df, spec.columns(names))
     rows = []
-    for name in spec.names:
+    for name in names:
         score = scorer(df, spec[name])
-        rest = spec.complement([name])
+        rest = spec.columns([n for n in names if n != name])
         without = (full - (scorer(df, rest) if rest else base or 0.0)) if mode != "in" else None
         rows.append([name, len(spec[name]), float(score), None if base is None else float(score - base), without, name in spec.attributable])
     ps = [None] * len(rows)
@@ -312,6 +347,11 @@ def channel_report(df: DataFrame, spec: ChannelSpec, scorer: Callable[[DataFrame
     return df.sparkSession.createDataFrame(table, "channel string, n_columns int, score double, delta double, delta_out double, attributable boolean, rank int, pvalue double").orderBy("rank")
 
 
+def report_summary(report: DataFrame, full: float, base: float | None = None) -> tuple[str, float | None]:
+    """The best channel of a report, and what all channels together gain over ``base``."""
+    return report.filter("rank = 1").first()["channel"], None if base is None else float(full - base)
+
+
 def channel_drivers(spec: ChannelSpec, channel: str, positive: DataFrame, negative: DataFrame, candidates: DataFrame, features: str, key: str, top: int = 30) -> DataFrame:
     """The records that drive a channel: ``class_witness`` with the channel's name; ValueError if it cannot be traced to records."""
     spec[channel]
