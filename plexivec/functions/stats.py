@@ -116,26 +116,53 @@ def gamma_tail(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
     return pd.Series([_log_gamma_tail(a / s, k) for a, k, s in zip(x, shape, scale)], dtype=float)
 
 
+@F.pandas_udf(DoubleType())
+def normal_cdf(z: pd.Series) -> pd.Series:
+    """P(Z <= z) for a standard normal variable."""
+    return pd.Series([0.5 * math.erfc(-x / math.sqrt(2)) for x in z], dtype=float)
+
+
 @F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, degrees: pd.Series) -> pd.Series:
     """P(X >= x) for chi-square."""
     return pd.Series([_log_gamma_tail(a / 2, k / 2) for a, k in zip(x, degrees)], dtype=float)
 
 
+_log_factorials = [np.zeros(1)]
+
+
+def _log_factorial(n: int) -> np.ndarray:
+    """Logs of the factorials of 0 .. ``n``, kept for the next batch."""
+    if len(_log_factorials[0]) <= n:
+        size = max(n + 1, 2 * len(_log_factorials[0]))
+        _log_factorials[0] = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, size)))])
+    return _log_factorials[0]
+
+
 @F.pandas_udf(DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Two-sided Fisher exact p of the table [[a, b], [c, d]]: all tables no more likely than this one."""
-    lf = lambda n: math.lgamma(n + 1)
-    out = []
-    for w, x, y, z in zip(a, b, c, d):
-        r, s, n = w + x, w + y, w + x + y + z
-        k = np.arange(max(0, r + s - n), min(r, s) + 1)
-        logs = np.array([lf(s) - lf(i) - lf(s - i) + lf(n - s) - lf(r - i) - lf(n - s - r + i) for i in k])
-        logs -= logs.max()
-        probs = np.exp(logs)
-        mine = probs[int(w - k[0])]
-        out.append(min(1.0, float(probs[probs <= mine * (1 + 1e-7)].sum() / probs.sum())))
-    return pd.Series(out, dtype=float)
+    """Two-sided Fisher exact p of the table [[a, b], [c, d]]: all tables no more likely than this one.
+
+    Different tables of a batch are computed once, and the likelihoods of all tables with the same margins
+    at once, from one table of log factorials.
+    """
+    cells = np.stack([x.to_numpy(np.int64) for x in (a, b, c, d)], 1)
+    tables, where = np.unique(cells, axis=0, return_inverse=True)
+    lf = _log_factorial(int(tables.sum(1).max(initial=0)))
+    out = np.ones(len(tables))
+    margins = np.stack([tables[:, 0] + tables[:, 1], tables[:, 0] + tables[:, 2], tables.sum(1)], 1)
+    for r, s, n in np.unique(margins, axis=0).tolist():
+        low = max(0, r + s - n)
+        k = np.arange(low, min(r, s) + 1)
+        logs = lf[s] - lf[k] - lf[s - k] + lf[n - s] - lf[r - k] - lf[n - s - r + k]
+        probs = np.exp(logs - logs.max())
+        probs /= probs.sum()
+        own = np.flatnonzero((margins == (r, s, n)).all(1))
+        order = np.argsort(probs)
+        upto = np.cumsum(probs[order])
+        mine = probs[tables[own, 0] - low]
+        out[own] = np.minimum(1.0, upto[np.searchsorted(probs[order], mine * (1 + 1e-7), "right") - 1])
+    return pd.Series(out[where.ravel()])
 
 
 def running_sums(df: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
@@ -155,6 +182,26 @@ def running_sums(df: DataFrame, order: list[Column], values: list[str]) -> DataF
     return out.drop("_part", *[f"_{v}" for v in values])
 
 
+def exact_quantiles(df: DataFrame, value: Column, at: list[float]) -> list[float | None]:
+    """The quantiles ``at`` of the values that are not null, linear between neighbouring ones, by counts over a range sort; null without values.
+
+    Distinct values are counted and ranked, so no task holds more than a partition of them.
+    """
+    counts = df.select(value.cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    ranked = staged(running_sums(counts, [F.col("v")], ["n"]), "ranked")
+    total = ranked.agg(F.max("n_upto")).first()[0]
+    if not total:
+        return [None] * len(at)
+    places = [q * (total - 1) for q in at]
+    wanted = sorted({int(p) for p in places} | {min(int(p) + 1, total - 1) for p in places})
+    found: dict[int, float] = {}
+    for k in range(0, len(wanted), 200):  # few numbers each, whatever the data
+        some = wanted[k : k + 200]
+        hit = ranked.agg(*[F.min(F.when(F.col("n_upto") > i, F.col("v"))).alias(f"q{i}") for i in some]).first()
+        found |= {i: hit[f"q{i}"] for i in some}
+    return [found[int(p)] + (p - int(p)) * (found[min(int(p) + 1, total - 1)] - found[int(p)]) for p in places]
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "pvalue", q: str = "qvalue") -> DataFrame:
     """``df`` with false-discovery rates: the least p * n / rank at this or a larger p-value, at most 1.
 

@@ -14,6 +14,8 @@ from plexivec.functions.vectors import as_metric, l2sq, require_columns
 
 #: Prototypes are a parameter of the coordinate system: no more than this many, so they may be broadcast.
 MAX_PROTOTYPES = 10_000
+#: Alleles of one component of a species: no more than this many, so names and distances may be broadcast.
+MAX_ALLELES = 5_000
 RESIDUES = "ARNDCQEGHILKMFPSTWYV"
 GAP_POSITIONS = (3, 4, -4, -3)
 # BLOSUM62 (Henikoff and Henikoff, 1992), lower triangle in the order of RESIDUES.
@@ -60,11 +62,13 @@ def gram(similarity: np.ndarray) -> np.ndarray:
 
 def _codes(sequences: Sequence[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Sequences by length: their places and letters as numbers; letters that are no residue count as the last."""
-    place = {c: i for i, c in enumerate(RESIDUES)}
+    table = np.full(0x110000, 19, np.int8)
+    table[[ord(c) for c in RESIDUES]] = np.arange(20)
     groups: dict[int, list[int]] = {}
     for i, s in enumerate(sequences):
         groups.setdefault(len(s or ""), []).append(i)
-    return {n: (np.array(at), np.array([[place.get(c, 19) for c in (sequences[i] or "")] for i in at], np.int64).reshape(len(at), n)) for n, at in groups.items()}
+    letters = lambda at: np.frombuffer("".join(sequences[i] or "" for i in at).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return {n: (np.array(at), table[letters(at)].reshape(len(at), n)) for n, at in groups.items()}
 
 
 def gapblock(queries: Sequence[str], refs: Sequence[str], cost: np.ndarray, positions: Sequence[int] = GAP_POSITIONS, gap_open: float = 8.0, gap_extend: float = 1.0) -> np.ndarray:
@@ -72,53 +76,113 @@ def gapblock(queries: Sequence[str], refs: Sequence[str], cost: np.ndarray, posi
 
     Equal lengths: the sum of ``cost``.  Else the shorter (length m) gets one block at one of
     ``positions`` (negative ones from its end, all kept within 0 .. m), for ``gap_open`` and
-    ``gap_extend`` for every gap but the first; the cheapest counts.
+    ``gap_extend`` for every gap but the first; the cheapest counts.  A letter costs the same wherever it
+    stands before the block or after it, so a sum over letters is a product of a matrix of costs by letter
+    and place with codes of the other side, and places that two blocks have in common are summed once.
     """
+    cost = np.asarray(cost, np.float32)
     out = np.zeros((len(queries), len(refs)), np.float32)
-    for n, (at, q) in _codes(queries).items():
-        for m, (to, r) in _codes(refs).items():
-            a, b, turned = (q, r, False) if n >= m else (r, q, True)
-            long, short = a.shape[1], b.shape[1]
-            gap = long - short
-            best = None
-            for p in {min(max(p if p >= 0 else short + p, 0), short) for p in positions} if gap else {short}:
-                c = cost[a[:, None, :p], b[None, :, :p]].sum(2) + cost[a[:, None, p + gap :], b[None, :, p:]].sum(2)
-                best = c if best is None else np.minimum(best, c)
-            if gap:
-                best = best + gap_open + (gap - 1) * gap_extend
-            out[np.ix_(at, to)] = best.T if turned else best
+    right = [(to, r, _one_hot(r)) for to, r in _codes(refs).values()]
+    for at, q in _codes(queries).values():
+        for to, r, hot in right:
+            n, m = q.shape[1], r.shape[1]
+            if n == m:
+                best = _sums(cost, q, hot, 0, 0, n)
+            else:
+                gap, short = abs(n - m), min(n, m)
+                cuts = sorted({min(max(p if p >= 0 else short + p, 0), short) for p in positions})
+                shift = (gap, 0) if n > m else (0, gap)  # the longer side's letters after the block are further on
+                heads = [_sums(cost, q, hot, a, a, b - a) for a, b in zip([0, *cuts], cuts)]
+                tails = [_sums(cost, q, hot, a + shift[0], a + shift[1], b - a) for a, b in zip(cuts, [*cuts[1:], short])]
+                total = heads[0] + sum(tails)
+                best = total
+                for k in range(1, len(cuts)):
+                    total = total + heads[k] - tails[k - 1]
+                    best = np.minimum(best, total)
+                best = best + np.float32(gap_open + (gap - 1) * gap_extend)
+            out[np.ix_(at, to)] = best
+    return out
+
+
+def _one_hot(codes: np.ndarray) -> np.ndarray:
+    """For each sequence 20 numbers a place, a single 1 among them."""
+    return np.eye(20, dtype=np.float32)[codes.reshape(-1)].reshape(len(codes), -1)
+
+
+def _sums(cost: np.ndarray, q: np.ndarray, hot: np.ndarray, i: int, j: int, n: int) -> np.ndarray:
+    """Sums of the costs of ``n`` letters from place ``i`` of every query with those from place ``j`` of every reference."""
+    if n <= 0:
+        return np.zeros((len(q), len(hot)), np.float32)
+    return cost[q[:, i : i + n]].reshape(len(q), -1) @ hot[:, 20 * j : 20 * (j + n)].T
+
+
+def _pairs_by_length(a: Sequence[str], b: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of sequences by their two lengths: their places in the lists and their letters as numbers."""
+    left, right = _codes(a), _codes(b)
+    out = []
+    for at, x in left.values():
+        for to, y in right.values():
+            both, i, j = np.intersect1d(at, to, assume_unique=True, return_indices=True)
+            if len(both):
+                out.append((both, x[i].astype(np.int64), y[j].astype(np.int64)))
+    return out
+
+
+def smith_waterman_scores(a: Sequence[str], b: Sequence[str], similarity: np.ndarray, gap: float = 1.0) -> np.ndarray:
+    """Best local alignment scores with linear gaps of each ``a`` with its ``b``; a step of the recursion is one for all pairs of the same lengths.
+
+    Along a row a gap costs the same for each letter, so the recursion from the left is a running maximum.
+    """
+    out = np.zeros(len(a))
+    for at, x, y in _pairs_by_length(a, b):
+        above, best = np.zeros((len(at), y.shape[1] + 1)), np.zeros(len(at))
+        slope = gap * np.arange(y.shape[1] + 1)
+        for i in range(x.shape[1]):
+            row = np.zeros_like(above)
+            row[:, 1:] = np.maximum(np.maximum(above[:, :-1] + similarity[x[:, i, None], y], above[:, 1:] - gap), 0)
+            row = np.maximum.accumulate(row + slope, axis=1) - slope
+            best, above = np.maximum(best, row.max(1)), row
+        out[at] = best
     return out
 
 
 def smith_waterman(a: str, b: str, similarity: np.ndarray, gap: float = 1.0) -> float:
     """Best local alignment score with linear gaps."""
-    place = {c: i for i, c in enumerate(RESIDUES)}
-    x, y = [place.get(c, 19) for c in a], [place.get(c, 19) for c in b]
-    above, best = np.zeros(len(y) + 1), 0.0
-    for i in x:
-        row = np.zeros(len(y) + 1)
-        for j, k in enumerate(y):
-            row[j + 1] = max(0.0, above[j] + similarity[i, k], above[j + 1] - gap, row[j] - gap)
-        best, above = max(best, row.max()), row
-    return float(best)
+    return float(smith_waterman_scores([a], [b], similarity, gap)[0])
+
+
+def needleman_wunsch_scores(a: Sequence[str], b: Sequence[str], similarity: np.ndarray, gap_open: float = 12.0, gap_extend: float = 1.0) -> np.ndarray:
+    """Best global alignment scores with affine gaps (Gotoh, 1982) of each ``a`` with its ``b``, pairs of the same lengths at once.
+
+    A gap along a row that is opened from another one costs no less than one gap from where the first
+    began, so the best is a running maximum.  ValueError if opening a gap costs less than extending one.
+    """
+    if gap_open < gap_extend:
+        raise ValueError("gap_open must not be below gap_extend")
+    out = np.zeros(len(a))
+    for at, x, y in _pairs_by_length(a, b):
+        n = y.shape[1]
+        reach = gap_open + gap_extend * (np.arange(n + 1) - 1.0)
+        reach[0] = 0.0
+        m = np.broadcast_to(-reach, (len(at), n + 1)).copy()
+        up = np.full((len(at), n + 1), -1e18)
+        slope = gap_extend * np.arange(n + 1)
+        for i in range(x.shape[1]):
+            up = np.maximum(m - gap_open, up - gap_extend)
+            row = np.empty_like(m)
+            row[:, 0] = -gap_open - gap_extend * i
+            row[:, 1:] = np.maximum(m[:, :-1] + similarity[x[:, i, None], y], up[:, 1:])
+            up[:, 0] = -1e18
+            best = np.maximum.accumulate(row + slope, axis=1)[:, :-1] - slope[1:] - gap_open + gap_extend
+            row[:, 1:] = np.maximum(row[:, 1:], best)
+            m = row
+        out[at] = m[:, -1]
+    return out
 
 
 def needleman_wunsch(a: str, b: str, similarity: np.ndarray, gap_open: float = 12.0, gap_extend: float = 1.0) -> float:
-    """Best global alignment score with affine gaps (Gotoh, 1982)."""
-    place = {c: i for i, c in enumerate(RESIDUES)}
-    x, y = [place.get(c, 19) for c in a], [place.get(c, 19) for c in b]
-    low = -1e18
-    m = [0.0] + [-gap_open - gap_extend * (j - 1) for j in range(1, len(y) + 1)]
-    up = [low] * (len(y) + 1)
-    for i, c in enumerate(x, 1):
-        row, left, new_up = [-gap_open - gap_extend * (i - 1)], low, [low]
-        for j, k in enumerate(y, 1):
-            u = max(m[j] - gap_open, up[j] - gap_extend)
-            left = max(row[j - 1] - gap_open, left - gap_extend)
-            row.append(max(m[j - 1] + similarity[c, k], u, left))
-            new_up.append(u)
-        m, up = row, new_up
-    return float(m[-1])
+    """Best global alignment score with affine gaps."""
+    return float(needleman_wunsch_scores([a], [b], similarity, gap_open, gap_extend)[0])
 
 
 def sequence_distances(df: DataFrame, prototypes: DataFrame, sequence: str = "junction_aa", output: str = "d_seq", metric: str = "squared", alignment: str = "gapblock", matrix: np.ndarray | None = None, positions: Sequence[int] = GAP_POSITIONS) -> DataFrame:
@@ -140,13 +204,15 @@ def sequence_distances(df: DataFrame, prototypes: DataFrame, sequence: str = "ju
     @F.pandas_udf("array<float>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         refs, s = shared.value
-        own = [smith_waterman(r, r, s) for r in refs] if alignment == "sw" else None
+        own = smith_waterman_scores(refs, refs, s) if alignment == "sw" else None
         for batch in batches:
             values, where = np.unique(batch.fillna("").to_numpy(str), return_inverse=True)
             if own is None:
                 d = gapblock(list(values), refs, gram(s), positions)
             else:
-                d = np.array([[smith_waterman(q, q, s) + own[k] - 2 * smith_waterman(q, r, s) for k, r in enumerate(refs)] for q in values], np.float32).reshape(len(values), len(refs))
+                mine = smith_waterman_scores(list(values), list(values), s)
+                met = smith_waterman_scores(np.repeat(values, len(refs)).tolist(), refs * len(values), s).reshape(len(values), len(refs))
+                d = (mine[:, None] + own[None, :] - 2 * met).astype(np.float32)
             d = np.sqrt(np.maximum(d, 0)) if metric == "sqrt" else d
             yield pd.Series(list(d[where]))
 
@@ -163,7 +229,9 @@ def _collected(prototypes: DataFrame, column: str) -> list[str]:
 def vector_embed(df: DataFrame, prototypes: DataFrame, key: str, vector: str, metric: str = "squared") -> DataFrame:
     """``key, proto_idx, d``: distances of vectors to the prototypes (``proto_idx``, ``vector``), a row a pair."""
     require_columns(df, [key, vector])
-    p = prototypes.filter(F.col("proto_idx") < MAX_PROTOTYPES).select("proto_idx", F.col(vector).alias("_proto"))
+    if len(prototypes.select("proto_idx").limit(MAX_PROTOTYPES + 1).collect()) > MAX_PROTOTYPES:
+        raise ValueError(f"more than {MAX_PROTOTYPES} prototypes")
+    p = prototypes.select("proto_idx", F.col(vector).alias("_proto"))
     return df.select(key, vector).join(F.broadcast(p)).select(key, "proto_idx", as_metric(l2sq(vector, "_proto"), metric).alias("d"))
 
 
@@ -173,6 +241,17 @@ def resolve_allele(name: Column, known: Column) -> Column:
     return F.coalesce(*[F.when(F.array_contains(known, c), c) for c in choices])
 
 
+#: Distances, 4 bytes each, of all alleles to all prototypes that are broadcast; beyond, arrays are joined by a shuffle.
+MAX_BROADCAST_CELLS = 16 << 20
+
+
+def _resolved(df: DataFrame, gene: str, names: list[str], output: str) -> DataFrame:
+    """``df`` with the known allele that stands for ``gene``: each different name is resolved once, by a table of the names."""
+    known = F.array(*map(F.lit, names))
+    different = df.select(F.col(gene).alias("_gene")).distinct().withColumn(output, resolve_allele(F.col("_gene"), known))
+    return df.join(different, F.col(gene).eqNullSafe(F.col("_gene")), "left").drop("_gene")
+
+
 def germline_distances(df: DataFrame, distances: DataFrame, prototypes: DataFrame, gene: str, output: str) -> DataFrame:
     """``df`` with the distances of ``gene`` to every prototype's gene, in order, as ``array<float>``.
 
@@ -181,14 +260,20 @@ def germline_distances(df: DataFrame, distances: DataFrame, prototypes: DataFram
     prototypes are small tables of a species; what joins ``df`` is one array for each allele.
     """
     table = distances.select("a", "b", F.col("d").cast("float").alias("d"))
-    known = F.array(*[F.lit(r["a"]) for r in table.select("a").distinct().orderBy("a").collect()])
+    names = [r["a"] for r in table.select("a").distinct().orderBy("a").limit(MAX_ALLELES + 1).collect()]
+    if len(names) > MAX_ALLELES:
+        raise ValueError(f"more than {MAX_ALLELES} alleles")
     most = float(table.agg(F.max("d")).first()[0])
-    p = prototypes.select("proto_idx", resolve_allele(F.col(gene), known).alias("b"))
-    rows = table.select("a").distinct().join(F.broadcast(p)).join(F.broadcast(table), ["a", "b"], "left")
+    p, n = _resolved(prototypes.select("proto_idx", gene), gene, names, "b").select("proto_idx", "b"), prototypes.count()
+    if n > MAX_PROTOTYPES:
+        raise ValueError(f"more than {MAX_PROTOTYPES} prototypes")
+    rows = table.select("a").distinct().join(F.broadcast(p)).join(table, ["a", "b"], "left")
     rows = rows.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("proto_idx", F.coalesce("d", F.lit(most).cast("float")).alias("d")))), lambda r: r["d"]).alias(output))
-    n = p.count()
     far = F.array_repeat(F.lit(most).cast("float"), n)
-    out = df.withColumn("_allele", resolve_allele(F.col(gene), known)).join(F.broadcast(rows.withColumnRenamed("a", "_allele")), "_allele", "left")
+    rows = rows.withColumnRenamed("a", "_allele")
+    if len(names) * n <= MAX_BROADCAST_CELLS:
+        rows = F.broadcast(rows)
+    out = _resolved(df, gene, names, "_allele").join(rows, "_allele", "left")
     return out.withColumn(output, F.coalesce(output, far)).drop("_allele")
 
 
@@ -203,7 +288,8 @@ def bake_germline(sequences: DataFrame) -> DataFrame:
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         s = substitution()
-        return pd.Series([needleman_wunsch(x, x, s) + needleman_wunsch(y, y, s) - 2 * needleman_wunsch(x, y, s) for x, y in zip(a, b)], dtype=float)
+        x, y = list(a), list(b)
+        return pd.Series(needleman_wunsch_scores(x, x, s) + needleman_wunsch_scores(y, y, s) - 2 * needleman_wunsch_scores(x, y, s))
 
     scored = pairs.withColumn("d", distance("seq", "other"))
     both = scored.unionByName(scored.filter("seq < other").select("component", F.col("other").alias("seq"), F.col("seq").alias("other"), "d"))
