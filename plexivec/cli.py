@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import plexivec
 from plexivec.functions.names import preset
-from plexivec.operators.basis import fit_projection, transform, with_random_features
+from plexivec.operators.basis import fit_projection, fit_repertoire_space, transform
 from plexivec.operators.embedding import clonotype_embed, sequence_distances
 from plexivec.operators.repertoire import mmd_matrix, sample_embedding
 from plexivec.sources.formats import exploded, load_prototypes, pick_locus, read_clonotypes, write_table
@@ -55,10 +55,13 @@ def cmd_repertoires(spark: SparkSession, args: argparse.Namespace) -> None:
     loci = [args.locus] if args.locus else sorted(r[0] for r in df.select("locus").distinct().collect())
     results = []
     for locus in loci:
-        e, _ = _embed(df.filter(F.col("locus") == locus), protos, spark, args)
-        basis = fit_projection(e, "e", args.n_components or preset(args.species, locus)[1], seed=args.seed)
-        basis = with_random_features(basis, args.length_scale, args.n_rff, args.n_rff_second if "second" in blocks else 0, seed=args.seed)
-        cloud = transform(e, basis, "e", "z", "f1", "f2" if "second" in blocks else None)
+        own = df.filter(F.col("locus") == locus)
+        if own.count() < args.min_clonotypes:
+            continue
+        embed = lambda x: _embed(x, protos, spark, args)[0].withColumnRenamed("e", "embedding")
+        n = args.n_components or preset(args.species, locus)[1]
+        basis = fit_repertoire_space(own, embed, n, args.n_rff, args.n_rff_second if "second" in blocks else 0, length_scale=args.length_scale, seed=args.seed)
+        cloud = transform(embed(own), basis, "embedding", "z", "f1", "f2" if "second" in blocks else None)
         phi = sample_embedding(cloud, "sample_id", "duplicate_count", "f1", "f2" if "second" in blocks else None, args.weight, blocks).withColumn("locus", F.lit(locus)).persist()
         if args.mmd:
             path = args.mmd if len(loci) == 1 else f"{args.mmd}.{locus}"
@@ -82,7 +85,8 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--n-rff", type=int, default=1024)
     r.add_argument("--n-rff-second", type=int, default=128)
     r.add_argument("--n-components", type=int)
-    r.add_argument("--length-scale", type=float, default=1.0)
+    r.add_argument("--length-scale", type=float, help="kernel width; by default what one substitution moves a record")
+    r.add_argument("--min-clonotypes", type=int, default=1, help="loci with fewer pooled rows are left out")
     r.add_argument("--mmd")
     r.add_argument("--seed", type=int, default=0)
     r.set_defaults(run=cmd_repertoires)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plexivec.functions.stats import exact_quantiles
 from plexivec.operators.neighbors import nearest, pairs_within
 from plexivec.plans.components import components
 from plexivec.plans.staging import staged
@@ -28,10 +29,10 @@ def knee(sorted_values: np.ndarray, degree: int = 7) -> float | None:
 def estimate_eps(df: DataFrame, key: str, vector: str, k: int = 4, points: int = 2000) -> float:
     """Knee of the curve of distances to the ``k``-th nearest, the point itself counted; the median without a knee.
 
-    The curve is read at ``points`` quantiles, so the driver gets a fixed number of values.
+    The curve is the quantile function, read at ``points`` even places whatever the number of rows.
     """
     d = nearest(df, df, key, vector, k).filter(F.col("rank") == k).select(F.sqrt("d2").alias("d"))
-    qs = d.agg(F.percentile("d", F.array(*[F.lit(float(q)) for q in np.linspace(0, 1, min(points, max(d.count(), 2)))]))).first()[0]
+    qs = exact_quantiles(d, F.col("d"), np.linspace(0, 1, points).tolist())
     found = knee(np.array(qs))
     return found if found is not None else float(np.median(qs))
 
@@ -85,7 +86,7 @@ def cluster_samples(distances: DataFrame, eps: float | None = None, min_samples:
         n = distances.select("id_a").distinct().count()
         rank = F.row_number().over(W.partitionBy("id_a").orderBy("dist", F.col("id_a") != F.col("id_b"), "id_b"))
         kth = distances.withColumn("r", rank).filter(F.col("r") == min(k, n - 1) + 1)
-        eps = kth.agg(F.median("dist")).first()[0] or 1.0
+        eps = exact_quantiles(kth, F.col("dist"), [0.5])[0] or 1.0
     pairs = staged(distances.filter((F.col("id_a") < F.col("id_b")) & (F.col("dist") <= eps)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "pairs")
     return _from_pairs(distances.select(F.col("id_a").alias("sample")).distinct(), "sample", pairs, min_samples)
 

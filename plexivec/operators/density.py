@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexivec.functions.stats import benjamini_hochberg, binomial_tail, fisher_combine, gamma_tail, poisson_tail, running_sums, size_weight
+from plexivec.functions.stats import benjamini_hochberg, binomial_tail, exact_quantiles, fisher_combine, gamma_tail, poisson_tail, running_sums, size_weight
 from plexivec.operators.neighbors import ball_counts, nearest
 from plexivec.plans.staging import staged
 
@@ -47,7 +47,7 @@ def neighbor_enrichment(obs: DataFrame, bg: DataFrame, key: str, vector: str, ra
     rows = own.join(counts, key).join(ball_counts(own, bg, key, vector, radius_col="_r2", output="n_bg"), key)
     p_bg = (F.col("n_bg") + pseudocount) / (n_bg + pseudocount)
     rows = rows.withColumn("_raw", F.lit(float(max(n_obs - 1, 1))) * p_bg)
-    radius = own.agg(F.median(F.sqrt("_r2"))).first()[0]
+    radius = float(radius2) ** 0.5 if radius2 is not None else exact_quantiles(own, F.sqrt("_r2"), [0.5])[0]
     if abundance:
         rows = rows.withColumn("_g", size_weight(F.col("_a"), weight))
         mass = ball_counts(rows.select(key, vector, "_r2", "_g"), rows.select(key, vector, "_g"), key, vector, radius_col="_r2", weight_col="_g", output="_mass")
@@ -74,7 +74,8 @@ def neighbor_enrichment(obs: DataFrame, bg: DataFrame, key: str, vector: str, ra
 
 def _level(rows: DataFrame, seen: str, expected: str) -> float:
     """The factor, at least 1, that brings the median expectation to the median observed."""
-    s, e = rows.filter(F.col(expected) > 0).agg(F.median(seen), F.median(expected)).first()
+    some = rows.filter(F.col(expected) > 0)
+    s, e = (exact_quantiles(some, F.col(c), [0.5])[0] for c in (seen, expected))
     return max(s / e, 1.0) if e else 1.0
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -10,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plexivec.functions.stats import chi2_tail, running_sums
+from plexivec.functions.names import FRAME, LEFT, RIGHT, tokens
+from plexivec.functions.stats import chi2_tail, gamma_tail, normal_cdf, running_sums
+from plexivec.functions.vectors import mean_vector
 from plexivec.operators.basis import fit_projection, transform
 from plexivec.plans.staging import staged
 
@@ -64,10 +68,16 @@ def held_out_auc(train: DataFrame, test: DataFrame, vector: str, label: str, pca
     return float(roc_auc(scored, "s", "y").first()[0])
 
 
-def with_folds(df: DataFrame, key: str, label: str, n_splits: int, seed: int) -> DataFrame:
-    """``df`` with ``fold``: within each label rows are dealt out by the order of a hash of the key."""
-    order = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key))
-    return df.withColumn("fold", (order - 1) % n_splits)
+def with_folds(df: DataFrame, key: str, label: str | None, n_splits: int, seed: int) -> DataFrame:
+    """``df`` with ``fold``: within each label, if one is named, rows are dealt out by the order of a hash of the key.
+
+    The order is a range sort over label, hash and key; a label's rows are numbered from its partitions' counts.
+    """
+    shuffled = df.withColumn("_hash", F.xxhash64(F.lit(seed), key)).withColumn("_one", F.lit(1))
+    order = [*([F.col(label)] if label else []), F.col("_hash"), F.col(key)]
+    rank = running_sums(shuffled, order, ["_one"])
+    # a constant for each label moves its folds round, and leaves them as even
+    return rank.withColumn("fold", ((F.col("_one_upto") - 1) % n_splits).cast("int")).drop("_hash", "_one", "_one_upto")
 
 
 def cv_auc(df: DataFrame, key: str, vector: str, label: str, pca_cols: int = 0, n_splits: int = 5, n_repeats: int = 10, seed: int = 0) -> tuple[float, float]:
@@ -179,24 +189,28 @@ def logrank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
 
 
 def cox_fit(df: DataFrame, time: str, event: str, vector: str, penalizer: float = 0.1, rounds: int = 25) -> np.ndarray:
-    """Coefficients of a ridge Cox regression (Breslow's ties), by Newton's method.
+    """Coefficients of a ridge Cox regression with Efron's ties, by Newton's method.
 
-    Each round is one Spark job: risk-set sums by distinct time, then a running sum over times; the driver
+    Each round is one Spark job: sums over the risk set and over the events of every time, then running
+    sums over times; of d events at one time the l-th sees the risk set less l/d of the events.  The driver
     gets a gradient and a matrix of covariates.
     """
     k = len(df.select(vector).first()[0])
     beta = np.zeros(k)
-    x = [F.col(vector)[i] for i in range(k)]
     n = df.count()
+    names = ["", *[str(i) for i in range(k)], *[f"{i}_{j}" for i in range(k) for j in range(i, k)]]
+    value = {"": F.lit(1.0)} | {str(i): F.col(vector)[i] for i in range(k)} | {f"{i}_{j}": F.col(vector)[i] * F.col(vector)[j] for i in range(k) for j in range(i, k)}
+    e = F.when(F.col(event).cast("boolean"), 1.0).otherwise(0.0)
+    later = W.orderBy(F.desc("t"))
     for _ in range(rounds):
-        risk = F.exp(sum((xi * float(b) for xi, b in zip(x, beta)), F.lit(0.0)))
-        e = F.when(F.col(event).cast("boolean"), 1.0).otherwise(0.0)
+        risk = F.exp(sum((F.col(vector)[i] * float(b) for i, b in enumerate(beta)), F.lit(0.0)))
+        by_time = df.groupBy(F.col(time).alias("t")).agg(F.sum(e).alias("d"), *[F.sum(e * value[str(i)]).alias(f"e{i}") for i in range(k)], *[F.sum(risk * value[m]).alias(f"s{m}") for m in names], *[F.sum(e * risk * value[m]).alias(f"f{m}") for m in names])
+        cum = by_time.select("d", *[f"e{i}" for i in range(k)], *[F.sum(f"s{m}").over(later).alias(f"s{m}") for m in names], *[f"f{m}" for m in names]).filter("d > 0")
+        tied = cum.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
+        left = {m: F.col(f"s{m}") - F.col("l") / F.col("d") * F.col(f"f{m}") for m in names}
+        mean = lambda i: left[str(i)] / left[""]
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        by_time = df.groupBy(F.col(time).alias("t")).agg(F.sum(e).alias("d"), *[F.sum(e * xi).alias(f"e{i}") for i, xi in enumerate(x)], F.sum(risk).alias("s"), *[F.sum(risk * xi).alias(f"s{i}") for i, xi in enumerate(x)], *[F.sum(risk * x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs])
-        later = W.orderBy(F.desc("t"))
-        cum = by_time.select("d", *[f"e{i}" for i in range(k)], F.sum("s").over(later).alias("s"), *[F.sum(f"s{i}").over(later).alias(f"s{i}") for i in range(k)], *[F.sum(f"s{i}_{j}").over(later).alias(f"s{i}_{j}") for i, j in pairs]).filter("d > 0")
-        mean = lambda i: F.col(f"s{i}") / F.col("s")
-        got = cum.agg(*[F.sum(F.col(f"e{i}") - F.col("d") * mean(i)).alias(f"g{i}") for i in range(k)], *[F.sum(F.col("d") * (F.col(f"s{i}_{j}") / F.col("s") - mean(i) * mean(j))).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        got = tied.agg(*[F.sum(F.col(f"e{i}") / F.col("d") - mean(i)).alias(f"g{i}") for i in range(k)], *[F.sum(left[f"{i}_{j}"] / left[""] - mean(i) * mean(j)).alias(f"h{i}_{j}") for i, j in pairs]).first()
         g = np.array([got[f"g{i}"] for i in range(k)]) / n - penalizer * beta
         h = np.zeros((k, k))
         for i, j in pairs:
@@ -208,32 +222,108 @@ def cox_fit(df: DataFrame, time: str, event: str, vector: str, penalizer: float
     return beta
 
 
-def cv_cindex(df: DataFrame, key: str, time: str, event: str, vector: str, n_splits: int = 5, seed: int = 0, penalizer: float = 0.1) -> float:
-    """Mean concordance over shuffled folds of Cox regressions on the covariates; folds that fail are left out."""
-    folded = with_folds(df.withColumn("_one", F.lit(1)), key, "_one", n_splits, seed).persist()
+def cv_cindex(df: DataFrame, key: str, time: str, event: str, vector: str | None = None, n_splits: int = 5, seed: int = 0, penalizer: float = 0.1, base: str | None = None, n_pc: int = 0) -> float:
+    """Mean concordance over shuffled folds of Cox regressions on the covariates; folds that fail are left out.
+
+    Covariates are those of the array ``base`` and those of the array ``vector``; with ``n_pc`` a wider
+    ``vector`` is projected to as many components, fitted on the fold's training rows.  Covariates that do
+    not vary among those are left out.  Without any covariate, or if all folds fail, the result is NaN.
+    """
+    if base is None and vector is None:
+        return float("nan")
+    folded = with_folds(df, key, None, n_splits, seed).persist()
+    width = len(df.select(vector).first()[0]) if vector else 0
     out = []
     for f in range(n_splits):
-        train, test = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
+        parts = [folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)]
+        block = vector
+        if n_pc and width > n_pc:
+            fitted = fit_projection(parts[0], vector, n_pc)
+            parts, block = [transform(x, fitted, vector, "_pc") for x in parts], "_pc"
+        design = F.concat(*[F.col(c).cast("array<double>") for c in (base, block) if c])
+        train, test = (x.withColumn("_x", design) for x in parts)
+        n = len(train.select("_x").first()[0])
+        spread = train.agg(*[F.stddev_samp(F.col("_x")[i]).alias(f"s{i}") for i in range(n)]).first()
+        keep = [i for i in range(n) if (spread[i] or 0.0) > 1e-9]
+        if not keep:
+            continue
+        train, test = (x.withColumn("_x", F.array(*[F.col("_x")[i] for i in keep])) for x in (train, test))
         try:
-            beta = cox_fit(train, time, event, vector, penalizer)
+            beta = cox_fit(train, time, event, "_x", penalizer)
         except np.linalg.LinAlgError:
             continue
-        risk = sum((F.col(vector)[i] * float(b) for i, b in enumerate(beta)), F.lit(0.0))
+        risk = sum((F.col("_x")[i] * float(b) for i, b in enumerate(beta)), F.lit(0.0))
         c = concordance(test.withColumn("_risk", risk), time, event, "_risk", key).first()["cindex"]
         out += [] if c is None else [c]
     folded.unpersist()
     return float(np.mean(out)) if out else float("nan")
 
 
+def _gev_terms(v: Column, mu: float, sigma: float, xi: float) -> tuple[Column, Column]:
+    """Log density and distribution function of the generalised extreme value distribution."""
+    s = (v - mu) / sigma
+    if abs(xi) < 1e-6:
+        t, inside = F.exp(-s), F.lit(True)
+        log_t = -s
+    else:
+        inside = 1 + xi * s > 0
+        log_t = F.when(inside, -F.log(F.greatest(1 + xi * s, F.lit(1e-300))) / xi)
+        t = F.exp(log_t)
+    density = F.when(inside, (xi + 1) * log_t - t - math.log(sigma)).otherwise(F.lit(-1e9))
+    return density, F.when(inside, F.exp(-t)).otherwise(F.lit(0.0 if xi > 0 else 1.0))
+
+
+def _fit_gev(df: DataFrame, v: Column, mean: float, var: float, skew: float, rounds: int = 60) -> tuple[float, float, float]:
+    """Maximum likelihood by Newton-like steps of a simplex whose corners are scored in one job a round."""
+    sigma = math.sqrt(6 * var) / math.pi
+    start = np.array([mean - 0.5772 * sigma, math.log(sigma), 0.1 if skew > 0 else -0.1])
+
+    def score(points: list[np.ndarray]) -> np.ndarray:
+        got = df.agg(*[F.sum(_gev_terms(v, float(p[0]), float(np.exp(p[1])), float(p[2]))[0]).alias(f"l{i}") for i, p in enumerate(points)]).first()
+        return -np.array([float(x) for x in got])
+
+    corners = [start] + [start + np.eye(3)[i] * (0.5 * sigma, 0.3, 0.2)[i] for i in range(3)]
+    values = score(corners)
+    for _ in range(rounds):
+        order = np.argsort(values)
+        corners, values = [corners[i] for i in order], values[order]
+        if values[-1] - values[0] <= 1e-7 * abs(values[0]):
+            break
+        middle = np.mean(corners[:-1], 0)
+        tries = [middle + t * (corners[-1] - middle) for t in (-2.0, -1.0, -0.5, 0.5)]
+        shrunk = [corners[0] + 0.5 * (c - corners[0]) for c in corners[1:]]
+        found = score(tries + shrunk)  # all that a round may need, in one job
+        best = int(np.argmin(found[:4]))
+        if found[best] < values[-1]:
+            corners[-1], values[-1] = tries[best], found[best]
+        else:
+            corners, values = [corners[0], *shrunk], np.concatenate([values[:1], found[4:]])
+    p = corners[int(np.argmin(values))]
+    return float(p[0]), float(np.exp(p[1])), float(p[2])
+
+
+def _ks(counts: DataFrame, cdf: Column, n: int) -> float:
+    """Largest gap between a distribution function of ``v`` and the empirical one."""
+    upto, before = F.col("n_upto") / F.lit(float(n)), (F.col("n_upto") - F.col("n")) / F.lit(float(n))
+    return float(counts.agg(F.max(F.greatest(F.abs(cdf - upto), F.abs(cdf - before)))).first()[0])
+
+
 def fit_distributions(df: DataFrame, value: str) -> pd.DataFrame:
-    """``name, a, b, loglik, aic`` of the normal and the gamma distribution, by moments and by maximum likelihood.
+    """``name, a, b, c, loglik, aic, ks`` of the normal, the gamma and the generalised extreme value distribution of the positive values.
 
-    Everything needed are four sums; the gamma's shape solves log(k) - digamma(k) = log(mean) - mean(log).
+    The normal is fitted by moments, the others by maximum likelihood: the gamma's shape (``a``; ``b`` is its
+    scale) solves log(k) - digamma(k) = log(mean) - mean(log), and location, scale and shape of the third
+    are searched for by sums over all values.  ``ks`` is the Kolmogorov-Smirnov statistic, from a running
+    count of the distinct values.
     """
     from math import lgamma, log, pi, sqrt
 
-    v = F.col(value)
-    n, mean, var, mlog = df.filter(v > 0).agg(F.count("*"), F.avg(v), F.var_pop(v), F.avg(F.log(v))).first()
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v > 0")
+    counts = staged(running_sums(rows.groupBy("v").agg(F.count("*").alias("n")), [F.col("v")], ["n"]), "values")
+    v, weight = F.col("v"), F.col("n")
+    n = counts.agg(F.sum("n")).first()[0]
+    mean, mlog = counts.select((F.sum(v * weight) / n).alias("m"), (F.sum(F.log(v) * weight) / n).alias("l")).first()
+    var, third = counts.select((F.sum((v - mean) ** 2 * weight) / n).alias("s"), (F.sum((v - mean) ** 3 * weight) / n).alias("t")).first()
     s = log(mean) - mlog
     k = (3 - s + sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
     digamma = lambda z: (lgamma(z + 1e-5) - lgamma(z - 1e-5)) / 2e-5
@@ -242,15 +332,23 @@ def fit_distributions(df: DataFrame, value: str) -> pd.DataFrame:
         slope = 1 / k - (digamma(k + 1e-3) - digamma(k - 1e-3)) / 2e-3
         k = max(k - f / slope, k / 2)
     theta = mean / k
-    rows = [("normal", mean, sqrt(var), -n / 2 * (log(2 * pi * var) + 1)), ("gamma", k, theta, n * ((k - 1) * mlog - mean / theta - k * log(theta) - lgamma(k)))]
-    return pd.DataFrame([(*r, 4 - 2 * r[3]) for r in rows], columns=["name", "a", "b", "loglik", "aic"])
+    mu, sigma, xi = _fit_gev(rows, v, mean, var, third)
+    likelihood, gev = _gev_terms(v, mu, sigma, xi)
+    z = (v - mean) / sqrt(2 * var)
+    fits = [
+        ("normal", mean, sqrt(var), None, -n / 2 * (log(2 * pi * var) + 1), _ks(counts, normal_cdf(z * sqrt(2.0)), n)),
+        ("gamma", k, theta, None, n * ((k - 1) * mlog - mean / theta - k * log(theta) - lgamma(k)), _ks(counts, 1 - gamma_tail(v, F.lit(k), F.lit(theta)), n)),
+        ("gev", mu, sigma, xi, counts.agg(F.sum(likelihood * weight)).first()[0], _ks(counts, gev, n)),
+    ]
+    return pd.DataFrame([(name, a, b, c, ll, 2 * (2 + (c is not None)) - 2 * ll, ks) for name, a, b, c, ll, ks in fits], columns=["name", "a", "b", "c", "loglik", "aic", "ks"])
 
 
 def codec_losslessness(df: DataFrame, key: str, sequence: str, code: str, recon: str | None = None, eps: float = 1e-6) -> DataFrame:
-    """One row ``n, collision_rate, ceiling`` and, with ``recon``, ``exact_match, mean_edit``.
+    """One row ``n, collision_rate, ceiling`` and, with ``recon``, ``exact_match, mean_edit, token_acc, anchor_acc, middle_acc, pos_acc``.
 
     Of rows with one sequence the one with the largest key counts.  A collision is another distinct sequence
-    with its code within ``eps``.
+    with its code within ``eps``.  Accuracies compare token frames place by place: all places, the anchors
+    at both ends, the middle, and an array of each place's.
     """
     from plexivec.operators.neighbors import pairs_within
 
@@ -261,5 +359,11 @@ def codec_losslessness(df: DataFrame, key: str, sequence: str, code: str, recon:
     rate = F.avg(F.coalesce("_hit", F.lit(0.0)))
     aggs = [F.count("*").alias("n"), rate.alias("collision_rate"), (1 - rate).alias("ceiling")]
     if recon:
-        aggs += [F.avg((F.col("_s") == F.col("_r")).cast("double")).alias("exact_match"), F.avg(F.levenshtein("_s", "_r").cast("double")).alias("mean_edit")]
+        aggs += [F.avg((F.col("_s") == F.col("_r")).cast("double")).alias("exact_match"), F.avg(F.levenshtein("_s", "_r").cast("double")).alias("mean_edit"), mean_vector("_same").alias("pos_acc")]
+        j = j.withColumn("_same", F.zip_with(tokens(F.col("_s")), tokens(F.col("_r")), lambda a, b: (a == b).cast("double")))
+        anchors = F.filter("pos_acc", lambda x, i: (i < LEFT) | (i >= FRAME - RIGHT))
+        middle = F.filter("pos_acc", lambda x, i: (i >= LEFT) & (i < FRAME - RIGHT))
+        share = lambda a, n: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
+        out = j.agg(*aggs)
+        return out.withColumn("token_acc", share(F.col("pos_acc"), FRAME)).withColumn("anchor_acc", share(anchors, LEFT + RIGHT)).withColumn("middle_acc", share(middle, FRAME - LEFT - RIGHT))
     return j.agg(*aggs)

@@ -93,15 +93,16 @@ def _at_coverage(x: np.ndarray, f: np.ndarray, level: float) -> tuple[float, flo
         d0 = s + f0 * (1 - (1 - f1 / (n * f0 + f1)) ** (m - n)) if f0 else s
         p = x / n
         return float(d0), float(np.exp(-(f * p * np.log(p)).sum())), float(1 / ((f * x * (x - 1)).sum() / (n * (n - 1)) * (m - 1) / m + 1 / m))
+    # a row of the spectrum alone: what it gives to each sum does not need the counts of the smaller sample side by side
     m = max(1.0, round(m))
-    ks = np.arange(1, int(m) + 1)
-    fk = np.zeros(len(ks))
     lnm = lf(n) - lf(m) - lf(n - m)
+    d0 = entropy = square = 0.0
     for xi, fi in zip(x, f):
-        k = ks[(ks <= xi) & (m - ks <= n - xi)]
-        fk[k - 1] += fi * np.exp(lf(xi) - lf(k) - lf(xi - k) + lf(n - xi) - lf(m - k) - lf(n - xi - m + k) - lnm)
-    p = ks / m
-    return float(fk.sum()), float(np.exp(-(fk * p * np.log(p)).sum())), float(1 / (fk * p * p).sum())
+        for lo in range(int(max(1, xi + m - n)), int(min(xi, m)) + 1, 1 << 16):
+            k = np.arange(lo, min(lo + (1 << 16), int(min(xi, m)) + 1))
+            p = fi * np.exp(lf(xi) - lf(k) - lf(xi - k) + lf(n - xi) - lf(m - k) - lf(n - xi - m + k) - lnm)
+            d0, entropy, square = d0 + p.sum(), entropy - (p * k / m * np.log(k / m)).sum(), square + (p * (k / m) ** 2).sum()
+    return float(d0), float(np.exp(entropy)), float(1 / square)
 
 
 def sample_embedding(df: DataFrame, sample: str, count: str, features: str | None = None, features2: str | None = None, weight: str = "log1p", blocks: Sequence[str] = BLOCKS, coverage: float | None = None, n_eigs: int | None = None) -> DataFrame:
@@ -142,8 +143,24 @@ def sample_embedding(df: DataFrame, sample: str, count: str, features: str | Non
 
 
 def stacked(embeddings: DataFrame) -> Column:
-    """The blocks of ``sample_embedding`` that are there, one after the other."""
-    return F.concat(*[b for b in BLOCKS if b in embeddings.columns])
+    """The blocks of ``sample_embedding`` that are there, one after the other; ValueError without any.
+
+    Rows whose blocks are not as wide as the first row's raise "widths differ".
+    """
+    there = [b for b in BLOCKS if b in embeddings.columns]
+    if not there:
+        raise ValueError(f"no blocks among {embeddings.columns}")
+    first = embeddings.select(*[F.size(b) for b in there]).first()
+    same = F.lit(True)
+    for b, width in zip(there, first or [0] * len(there)):
+        same = same & (F.size(b) == width)
+    return F.when(same, F.concat(*there)).otherwise(F.raise_error(F.lit("widths differ")).cast("array<double>"))
+
+
+def decode_metrics(vector: Sequence[float]) -> dict[str, float]:
+    """Names for a ``descriptor`` vector (log mass, log effective size, Simpson), and the effective size and diversity that follow."""
+    log_mass, log_neff, simpson = (float(x) for x in list(vector)[:3])
+    return {"log_mass": log_mass, "log_neff": log_neff, "simpson": simpson, "mass": float(np.expm1(log_mass)), "n_eff": float(np.exp(log_neff)), "diversity": float(np.exp(log_neff))}
 
 
 def mmd(mean_a: Column, neff_a: Column, mean_b: Column, neff_b: Column, unbiased: bool = False) -> Column:

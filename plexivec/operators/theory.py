@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexivec.functions.names import mutate
+from plexivec.functions.names import mutate, mutate_places
+from plexivec.functions.stats import exact_quantiles
 from plexivec.functions.vectors import l2sq
 from plexivec.operators.basis import fit_projection, transform
 from plexivec.operators.embedding import sequence_distances
@@ -53,12 +54,10 @@ def _all(column: str):
 
 
 def mutation_drift(df: DataFrame, prototypes: DataFrame, sequence: str, max_mut: int = 8, n_rep: int = 3, seed: int = 0, **kwargs) -> DataFrame:
-    """``k, mean, std``: how far ``k`` substitutions, which may hit the same place, move an embedding."""
+    """``k, mean, std``: how far ``k`` substitutions at different interior places move an embedding."""
     runs = df.select(F.col(sequence).alias("old")).withColumn("row", F.monotonically_increasing_id()).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max_mut)))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_rep))))
-    runs = staged(runs.withColumn("new", F.col("old")), "drift")
-    for step in range(max_mut):
-        changed = mutate(F.col("new"), F.concat_ws(":", F.lit(str(seed)), "old", F.col("row").cast("string"), F.col("rep").cast("string"), F.lit(str(step))), different=False)
-        runs = runs.withColumn("new", F.when(F.col("k") > step, changed).otherwise(F.col("new")))
+    seeded = F.concat_ws(":", F.lit(str(seed)), "old", F.col("row").cast("string"), F.col("rep").cast("string"))
+    runs = staged(runs.withColumn("new", mutate_places(F.col("old"), seeded, F.col("k"))), "drift")
     p = prototypes.select("proto_idx", F.col(sequence).alias("old"))
     out = sequence_distances(sequence_distances(runs, p, "old", "e0", **kwargs), p.withColumnRenamed("old", "new"), "new", "e1", **kwargs)
     return out.groupBy("k").agg(F.avg(F.sqrt(l2sq("e0", "e1"))).alias("mean"), F.stddev_pop(F.sqrt(l2sq("e0", "e1"))).alias("std")).orderBy("k")
@@ -80,7 +79,7 @@ def neighbour_convergence(df: DataFrame, prototypes: DataFrame, key: str, sequen
     e = sequence_distances(e, prototypes.select("proto_idx", F.col(sequence).alias("_new")), "_new", "e1")
     basis = fit_projection(e, "e0", n_components, key=key)
     z = staged(transform(transform(e, basis, "e0", "z0"), basis, "e1", "z1"), "theory")
-    r1 = z.agg(F.median(F.sqrt(l2sq("z0", "z1")))).first()[0]
+    r1 = exact_quantiles(z, F.sqrt(l2sq("z0", "z1")), [0.5])[0]
     near = one_mismatch_counts(df, key, sequence, "near")
     rows = []
     for scale in scales:

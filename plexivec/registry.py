@@ -17,6 +17,7 @@ from plexivec.functions.names import prototype_hash as names_hash
 from plexivec.functions.stats import benjamini_hochberg, fisher_combine, poisson_tail, size_weight
 from plexivec.functions.vectors import l2sq
 from plexivec.operators import basis, cluster, cohort, density, embedding, evaluate, neighbors, repertoire, strings, theory
+from plexivec.plans.staging import staged
 from plexivec.sources.formats import allele_counts, antigen_subset, generate_background, library_consistency, load_labels
 from plexivec.sources.tables import table
 from plexivec.streaming.incremental import windowed_descriptor
@@ -184,7 +185,7 @@ def clonotype_embedding(spark, sf_dir):
     distances = embedding.bake_germline(genes[0].unionByName(genes[1]).withColumn("seq", F.upper(F.translate("seq", "0123456789", "ACDEFGHIKL"))))
     j = j.withColumn("j_call", F.regexp_replace("j_call", " ", "_"))
     protos = j.filter("p_partkey < 10").withColumn("proto_idx", F.col("p_partkey"))
-    return embedding.clonotype_embed(j, protos, distances.persist())
+    return embedding.clonotype_embed(j, protos, staged(distances, "germline"))
 
 
 @query(f"""SELECT a.p_partkey, levenshtein(a.s, b.s)::INTEGER AS edits FROM (SELECT p_partkey, {_JUNCTION} AS s FROM part) a JOIN (SELECT p_partkey - 1 AS k, {_JUNCTION} AS s FROM part) b ON a.p_partkey = b.k""")
@@ -199,20 +200,11 @@ def hamming1(spark, sf_dir):
     return strings.one_mismatch_counts(junctions(spark, sf_dir, DENSE), "p_partkey", "seq")
 
 
-@query(f"""WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, {_D2.format('a.embedding', 'b.embedding')} AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 64),
-e AS (SELECT a.vec_id AS a, b.vec_id AS b, {_D2.format('a.embedding[1:32]', 'b.embedding[1:32]')} AS e FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 64)
-SELECT round(corr(sqrt(d), sqrt(e)), 6) AS r FROM d JOIN e USING (a, b)""")
+@query(f"""WITH p AS (SELECT {_D2.format('a.embedding', 'b.embedding')} AS d, {_D2.format('a.embedding[1:32]', 'b.embedding[1:32]')} AS e FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+SELECT round(corr(sqrt(d), sqrt(e)), 6) AS r, count(*)::BIGINT AS n_pairs FROM p""")
 def pairwise_corr(spark, sf_dir):
-    v = vectors(spark, sf_dir).filter("vec_id < 64")
-    w = v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    p = v.join(F.broadcast(w), F.col("vec_id") < F.col("b"))
-    return p.agg(F.corr(F.sqrt(l2sq("embedding", "eb")), F.sqrt(l2sq(F.slice("embedding", 1, 32), F.slice("eb", 1, 32)))).alias("r")).select(r6("r"))
-
-
-@query()
-def pairwise_corr_all(spark, sf_dir):
     v = vectors(spark, sf_dir).withColumn("half", F.slice("embedding", 1, 32))
-    return neighbors.distance_corr(v, "vec_id", "embedding", "half")
+    return neighbors.distance_corr(v, "vec_id", "embedding", "half").select(r6("r"), "n_pairs")
 
 
 # ---- E: fit and transform
@@ -280,16 +272,8 @@ def enrichment_weighted(spark, sf_dir):
     return density.neighbor_enrichment(o.withColumn("a", F.col("vec_id") % 7 + 1), b, "vec_id", "embedding", abundance="a")
 
 
-@query(f"""WITH {_SIDES} SELECT x.vec_id, round(sum(ln(1 + (y.vec_id % 7 + 1))) FILTER (WHERE y.vec_id <> x.vec_id AND {_D2.format('x.embedding', 'y.embedding')} <= {RADIUS2}), 6) AS mass FROM o x, o y GROUP BY 1""")
-def weighted_mass(spark, sf_dir):
-    o, _ = sides(spark, sf_dir)
-    o = o.withColumn("g", F.log1p(F.col("vec_id") % 7 + 1))
-    m = neighbors.ball_counts(o, o, "vec_id", "embedding", RADIUS2, weight_col="g", output="m").join(o.select("vec_id", "g"), "vec_id")
-    return m.select("vec_id", r6(F.when(F.abs(F.col("m") - F.col("g")) > 1e-9, F.col("m") - F.col("g")), "mass"))
-
-
 @query(f"""SELECT x.vec_id, round(sum(ln(1 + (y.vec_id % 7 + 1))) FILTER (WHERE y.vec_id <> x.vec_id AND {_D2.format('x.embedding', 'y.embedding')} <= {RADIUS2}), 6) AS mass FROM embeddings x, embeddings y GROUP BY 1""")
-def weighted_mass_all(spark, sf_dir):
+def weighted_mass(spark, sf_dir):
     o = vectors(spark, sf_dir).withColumn("g", F.log1p(F.col("vec_id") % 7 + 1))
     m = neighbors.ball_counts(o, o, "vec_id", "embedding", RADIUS2, weight_col="g", output="m").join(o.select("vec_id", "g"), "vec_id")
     return m.select("vec_id", r6(F.when(F.abs(F.col("m") - F.col("g")) > 1e-9, F.col("m") - F.col("g")), "mass"))
@@ -315,6 +299,13 @@ def poisson(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r6(poisson_tail(n, m), "p"))
 
 
+@query("""WITH x AS (SELECT p_partkey, 780 + p_partkey % 500 AS n, 750 + p_size AS m FROM part)
+SELECT p_partkey, round(log10(list_sum(list_transform(range(n, n + 2500), lambda i: exp(i * ln(m) - m - lgamma(i + 1) + n * 0.0)))), 4) AS log_p FROM x""")
+def poisson_far_tail(spark, sf_dir):
+    n, m = 780 + F.col("p_partkey") % 500, 750 + F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(F.log10(poisson_tail(n, m.cast("double"))), 4).alias("log_p"))
+
+
 # ---- G: clusters
 
 
@@ -398,7 +389,7 @@ def hla_mmd(spark, sf_dir):
 @query(f"""WITH {_MEANS}, w AS (SELECT list(x ORDER BY j) AS w FROM (SELECT j, avg(mean[j]) FILTER (WHERE label < 5) - avg(mean[j]) FILTER (WHERE label >= 5) AS x FROM m, range(1, 7) r(j) GROUP BY 1))
 SELECT vec_id, round({_DOT.format('psi', 'w')}, 6) AS score FROM f, w ORDER BY {_DOT.format('psi', 'w')} DESC, vec_id LIMIT 30""")
 def witness_topk(spark, sf_dir):
-    m = kernel_means(spark, sf_dir).persist()
+    m = staged(kernel_means(spark, sf_dir), "means")
     w = repertoire.witness(m.filter("label < 5"), m.filter("label >= 5"))
     return repertoire.class_witness(features(spark, sf_dir), "psi", "vec_id", w, 30).select("vec_id", r6("score"))
 
@@ -443,7 +434,7 @@ def correct_batch(spark, sf_dir):
 
 @query()
 def channel_report(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("vec_id", (F.col("label") < 5).alias("y"), F.col("embedding").cast("array<double>").alias("x")).persist()
+    v = vectors(spark, sf_dir).select("vec_id", (F.col("label") < 5).alias("y"), F.col("embedding").cast("array<double>").alias("x"))
     spec = cohort.ChannelSpec({"first": [0, 1], "second": [2, 3, 4]}, frozenset({"first"}))
 
     def scorer(df: DataFrame, columns: list[int]) -> float:
@@ -459,11 +450,12 @@ def donor_fusion(spark, sf_dir):
     return cohort.fit_donors(cloud, *args, ["TRA", "TRB"], id_pca=3).transform(cloud, *args)
 
 
-@query()
+@query(ORACLE_SQL["witness_topk"].replace("SELECT vec_id, round(", "SELECT 'identity' AS channel, vec_id, round("))
 def channel_drivers(spark, sf_dir):
-    m = kernel_means(spark, sf_dir).persist()
+    m = staged(kernel_means(spark, sf_dir), "means")
     spec = cohort.ChannelSpec({"identity": [0, 1]}, frozenset({"identity"}))
-    return cohort.channel_drivers(spec, "identity", m.filter("label < 5"), m.filter("label >= 5"), features(spark, sf_dir), "psi", "vec_id")
+    drivers = cohort.channel_drivers(spec, "identity", m.filter("label < 5"), m.filter("label >= 5"), features(spark, sf_dir), "psi", "vec_id")
+    return drivers.select("channel", "vec_id", r6("score"))
 
 
 _INCIDENCE = "i AS (SELECT DISTINCT l_partkey AS part, o_custkey AS cust, c_mktsegment = 'BUILDING' AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
@@ -482,9 +474,17 @@ def _incidence(spark, sf_dir):
     return j.select(F.col("l_partkey").alias("part"), F.col("o_custkey").alias("cust"), (F.col("c_mktsegment") == "BUILDING").alias("pos"))
 
 
-@query()
+_HYPER = "exp(lgamma(p + 1) - lgamma({0} + 1) - lgamma(p - {0} + 1) + lgamma(n + 1) - lgamma(k - {0} + 1) - lgamma(n - k + {0} + 1) - lgamma(p + n + 1) + lgamma(k + 1) + lgamma(p + n - k + 1))"
+
+
+@query(f"""WITH {_INCIDENCE}, t AS (SELECT count(DISTINCT cust) FILTER (WHERE pos) AS p, count(DISTINCT cust) FILTER (WHERE NOT pos) AS n FROM i), c AS (SELECT part, count(*) FILTER (WHERE pos) AS a, count(*) AS k FROM i GROUP BY 1 HAVING count(*) >= 3),
+u AS (SELECT DISTINCT a, k, p, n FROM c, t), x AS (SELECT a, k, {_HYPER.format('a')} AS own, {_HYPER.format('j')} AS other FROM (SELECT *, unnest(range(greatest(0, k - n), least(p, k) + 1)) AS j FROM u)),
+f AS (SELECT a, k, least(1, sum(other) FILTER (WHERE other <= own * (1 + 1e-7::DOUBLE)) / sum(other)) AS pvalue FROM x GROUP BY 1, 2),
+q AS (SELECT part, pvalue, count(*) OVER () AS m, count(*) OVER (ORDER BY round(pvalue, 12) RANGE UNBOUNDED PRECEDING) AS r FROM c JOIN f USING (a, k))
+SELECT part, round(pvalue, 6) AS pvalue, round(least(1, min(pvalue * m / r) OVER (ORDER BY round(pvalue, 12) DESC RANGE UNBOUNDED PRECEDING)), 5) AS qvalue FROM q""")
 def incidence_fisher(spark, sf_dir):
-    return cohort.incidence_biomarkers(_incidence(spark, sf_dir), "part", "cust", "pos")
+    out = cohort.incidence_biomarkers(_incidence(spark, sf_dir), "part", "cust", "pos")
+    return out.select("part", r6("pvalue"), F.round("qvalue", 5).alias("qvalue"))
 
 
 @query()
@@ -516,42 +516,37 @@ def spearman(spark, sf_dir):
     return evaluate.spearman(c, "a", "b").select(r6("rho"))
 
 
-_SURVIVAL = "v AS (SELECT l_orderkey * 10 + l_linenumber AS id, abs(date_diff('day', o_orderdate, l_shipdate)) + 1 AS t, l_returnflag = 'R' AS e, l_quantity AS r, l_linestatus || l_returnflag AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey <= 2000)"
-
-#: The rows of the SQL above; queries without SQL take all.
-_SQL_ROWS = "o_orderkey <= 2000"
+_SURVIVAL = "v AS (SELECT l_orderkey * 10 + l_linenumber AS id, abs(date_diff('day', o_orderdate, l_shipdate)) + 1 AS t, l_returnflag = 'R' AS e, l_quantity AS r, l_linestatus || l_returnflag AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-def survival(spark, sf_dir, rows="true"):
-    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").filter(rows), F.col("l_orderkey") == F.col("o_orderkey"))
+def survival(spark, sf_dir):
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.abs(F.datediff("l_shipdate", "o_orderdate")) + 1).alias("t"), (F.col("l_returnflag") == "R").alias("e"), F.col("l_quantity").alias("r"), F.concat("l_linestatus", F.lit("")).alias("g"))
 
 
 @query(f"""WITH {_SURVIVAL}, g AS (SELECT t, e, r, count(*) AS c FROM v GROUP BY 1, 2, 3), p AS (SELECT a.c * b.c AS w, a.r AS ra, b.r AS rb FROM g a JOIN g b ON a.e AND (a.t < b.t OR (a.t = b.t AND NOT b.e)))
 SELECT sum(CASE WHEN ra > rb THEN w ELSE 0 END)::BIGINT AS concordant, sum(CASE WHEN ra = rb THEN w ELSE 0 END)::BIGINT AS tied, sum(w)::BIGINT AS comparable, round(((sum(CASE WHEN ra > rb THEN w ELSE 0 END) + sum(CASE WHEN ra = rb THEN w ELSE 0 END) / 2.0::DOUBLE) / sum(w))::DOUBLE, 6) AS cindex FROM p""")
 def concordance(spark, sf_dir):
-    return evaluate.concordance(survival(spark, sf_dir, _SQL_ROWS), "t", "e", "r", "id").withColumn("cindex", F.round("cindex", 6))
-
-
-@query()
-def concordance_all(spark, sf_dir):
-    return evaluate.concordance(survival(spark, sf_dir), "t", "e", "r", "id")
+    return evaluate.concordance(survival(spark, sf_dir), "t", "e", "r", "id").withColumn("cindex", F.round("cindex", 6))
 
 
 @query(f"""WITH {_SURVIVAL.replace("l_linestatus || l_returnflag", "l_linestatus")}, c AS (SELECT t, g, count(*) AS n, count(*) FILTER (WHERE e) AS d FROM v GROUP BY 1, 2), x AS (SELECT t, g, coalesce(n, 0) AS n, coalesce(d, 0) AS d FROM (SELECT DISTINCT t FROM c) CROSS JOIN (SELECT DISTINCT g FROM c) LEFT JOIN c USING (t, g)),
 k AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY t DESC) AS risk FROM x), y AS (SELECT t, sum(d) AS dt, sum(risk) AS rt FROM k GROUP BY 1)
 SELECT g AS "group", sum(d)::BIGINT AS observed, round(sum(CASE WHEN rt > 0 THEN dt * risk / rt ELSE 0 END)::DOUBLE, 6) AS expected FROM k JOIN y USING (t) GROUP BY 1""")
 def logrank_table(spark, sf_dir):
-    return evaluate.logrank_table(survival(spark, sf_dir, _SQL_ROWS), "t", "e", "g").select("group", "observed", r6("expected"))
+    return evaluate.logrank_table(survival(spark, sf_dir), "t", "e", "g").select("group", "observed", r6("expected"))
 
 
-@query()
-def logrank_table_all(spark, sf_dir):
-    return evaluate.logrank_table(survival(spark, sf_dir), "t", "e", "g")
+@query(f"""WITH {_SURVIVAL.replace("l_linestatus || l_returnflag", "l_linestatus")}, c AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE e) AS d, count(*) FILTER (WHERE g = 'F') AS nf, count(*) FILTER (WHERE e AND g = 'F') AS df FROM v GROUP BY 1),
+k AS (SELECT d, df, (sum(n) OVER (ORDER BY t DESC))::DOUBLE AS r, (sum(nf) OVER (ORDER BY t DESC))::DOUBLE AS rf FROM c),
+u AS (SELECT sum(df - d * rf / r) AS u, sum(CASE WHEN r > 1 THEN d * (rf / r) * (1 - rf / r) * (r - d) / (r - 1) ELSE 0 END) AS w FROM k WHERE d > 0)
+SELECT round(u * u / w, 4) AS statistic FROM u""")
+def logrank(spark, sf_dir):
+    return evaluate.logrank(survival(spark, sf_dir), "t", "e", "g").select(F.round("statistic", 4).alias("statistic"))
 
 
 @query()
-def logrank(spark, sf_dir):
+def logrank_pvalue(spark, sf_dir):
     return evaluate.logrank(survival(spark, sf_dir), "t", "e", "g")
 
 
@@ -562,18 +557,10 @@ def cox(spark, sf_dir):
     return spark.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "j int, beta double")
 
 
-@query("""WITH a AS (SELECT DISTINCT p_brand AS brand, l_partkey AS part FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F' AND l_orderkey < 500), b AS (SELECT DISTINCT p_brand AS brand, l_partkey AS part FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O' AND l_orderkey < 500)
-SELECT coalesce(a.brand, b.brand) AS brand, count(*) FILTER (WHERE a.part IS NOT NULL AND b.part IS NOT NULL)::BIGINT AS n_both, count(*) FILTER (WHERE b.part IS NULL)::BIGINT AS n_only_a, count(*) FILTER (WHERE a.part IS NULL)::BIGINT AS n_only_b, count(a.part) > 0 AND count(b.part) > 0 AS in_both
-FROM a FULL JOIN b ON a.brand = b.brand AND a.part = b.part GROUP BY 1""")
-def library_consistency_query(spark, sf_dir):
-    j = table(spark, sf_dir, "lineitem").filter("l_orderkey < 500").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("brand"), F.col("l_partkey").alias("part"), "l_linestatus")
-    return library_consistency(j.filter("l_linestatus = 'F'"), j.filter("l_linestatus = 'O'"), ["brand"], "part")
-
-
 @query("""WITH a AS (SELECT DISTINCT p_brand AS brand, l_partkey AS part FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F'), b AS (SELECT DISTINCT p_brand AS brand, l_partkey AS part FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O')
 SELECT coalesce(a.brand, b.brand) AS brand, count(*) FILTER (WHERE a.part IS NOT NULL AND b.part IS NOT NULL)::BIGINT AS n_both, count(*) FILTER (WHERE b.part IS NULL)::BIGINT AS n_only_a, count(*) FILTER (WHERE a.part IS NULL)::BIGINT AS n_only_b, count(a.part) > 0 AND count(b.part) > 0 AS in_both
 FROM a FULL JOIN b ON a.brand = b.brand AND a.part = b.part GROUP BY 1""")
-def library_consistency_all(spark, sf_dir):
+def library_consistency_query(spark, sf_dir):
     j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("brand"), F.col("l_partkey").alias("part"), "l_linestatus")
     return library_consistency(j.filter("l_linestatus = 'F'"), j.filter("l_linestatus = 'O'"), ["brand"], "part")
 
@@ -599,6 +586,19 @@ def codec_losslessness(spark, sf_dir):
     return out.select("n", *[r6(c) for c in ("collision_rate", "ceiling", "exact_match", "mean_edit")])
 
 
+@query()
+def token_accuracy(spark, sf_dir):
+    s = junctions(spark, sf_dir).withColumn("code", F.array(F.col("p_partkey").cast("double"))).withColumn("recon", F.concat(F.lit("CA"), F.expr("substring(seq, 3)")))
+    return evaluate.codec_losslessness(s, "p_partkey", "seq", "code", "recon", eps=1e-3).select("n", "exact_match", "token_acc", "anchor_acc", "middle_acc")
+
+
+@query()
+def density_space(spark, sf_dir):
+    o, b = sides(spark, sf_dir)
+    _, z, _ = basis.fit_density_space(o.select("vec_id", "embedding"), b.select("vec_id", "embedding"), "embedding", 10)
+    return z.drop("embedding")
+
+
 @query()
 def embedding_distance_correlation(spark, sf_dir):
     s = junctions(spark, sf_dir)

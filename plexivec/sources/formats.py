@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plexivec.functions.names import CANONICAL, longest_common_suffix, with_locus
+from plexivec.functions.names import CANONICAL, allele_to_major, allele_with_default, strip_allele, with_locus
 from plexivec.functions.vectors import require_columns
 
 CLONOTYPE = ("v_call", "j_call", "junction_aa", "duplicate_count", "locus")
@@ -80,23 +80,47 @@ def exploded(df: DataFrame, vector: str, width: int, prefix: str) -> DataFrame:
 
 
 def load_prototypes(spark: SparkSession, path: str, n: int | None = None, most: int = 10_000) -> DataFrame:
-    """The first ``n`` prototypes of a tab-separated file in file order: ``proto_idx, v_call, j_call, junction_aa``.
+    """The first ``n`` prototypes of a tab-separated file in file order, or all: ``proto_idx, v_call, j_call, junction_aa``.
 
-    The file is at most ``most`` rows by contract, read as one partition so that its order is kept.
+    A set has at most ``most`` prototypes; ValueError for a longer file of which no ``n`` is named, and for one
+    with fewer than ``n``.  The file is read as one partition, so that its order is kept.
     """
     if n is not None and not 1 <= n <= most:
         raise ValueError(f"n must be in 1 .. {most}")
     raw = spark.read.csv(path, sep="\t", header=True).coalesce(1)
     rows = raw.select((F.monotonically_increasing_id()).alias("proto_idx"), "v_call", "j_call", "junction_aa")
-    return rows.filter(F.col("proto_idx") < (n or most))
+    found = rows.limit(most + 1).count()
+    if n is None and found > most:
+        raise ValueError(f"more than {most} prototypes in {path}; name how many")
+    if n is not None and found < n:
+        raise ValueError(f"only {found} prototypes in {path}")
+    return rows if n is None else rows.filter(F.col("proto_idx") < n)
+
+
+def list_available_prototypes(spark: SparkSession, folder: str) -> DataFrame:
+    """``species, locus, path`` of the prototype files ``<species>_<locus>.tsv`` (or gzip) of a folder, in order of species and locus."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_*.tsv*").load(folder).select("path")
+    name = lambda k: F.regexp_extract("path", r"([^/_]+)_([^/_.]+)\.tsv(?:\.gz)?$", k)
+    return files.select(name(1).alias("species"), name(2).alias("locus"), "path").filter("species <> ''").orderBy("species", "locus")
+
+
+def resource_path(spark: SparkSession, folder: str, name: str) -> str:
+    """The path of a resource below a folder; FileNotFoundError if it is not there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        raise FileNotFoundError(where.toString())
+    return where.toString()
 
 
 def make_prototypes(df: DataFrame, known: DataFrame | None = None, n: int = 10_000, seed: int = 42) -> DataFrame:
     """Prototypes from a pool: canonical junctions, distinct, genes that resolve, ``n`` of them by a seeded hash."""
     pool = df.filter(F.col("junction_aa").rlike(CANONICAL)).select("v_call", "j_call", "junction_aa").distinct()
     if known is not None:
-        for c in ("v_call", "j_call"):
-            pool = pool.join(known.select(F.col("allele").alias(c)).distinct(), c, "left_semi")
+        alleles = known.select(F.col("allele").alias("_allele")).distinct()
+        for c in ("v_call", "j_call"):  # the allele itself, allele 01, or the bare gene
+            tries = F.array_distinct(F.array(allele_with_default(F.col("_gene")), allele_to_major(F.col("_gene")), strip_allele(F.col("_gene"))))
+            genes = pool.select(F.col(c).alias("_gene")).distinct().withColumn("_allele", F.explode(tries))
+            pool = pool.join(genes.join(alleles, "_allele", "left_semi").select(F.col("_gene").alias(c)).distinct(), c, "left_semi")
     chosen = pool.orderBy(F.xxhash64(F.lit(seed), "junction_aa", "v_call", "j_call"), "junction_aa", "v_call", "j_call").limit(n)
     order = W.orderBy(F.xxhash64(F.lit(seed), "junction_aa", "v_call", "j_call"), "junction_aa", "v_call", "j_call")
     return chosen.withColumn("proto_idx", F.row_number().over(order) - 1)
@@ -132,7 +156,12 @@ def generate_background(spark: SparkSession, n: int, genes: tuple[list[str], lis
 def region_annotations(df: DataFrame) -> DataFrame:
     """One row for each V gene (its first regions by allele) and J gene (the common suffix of its junctions)."""
     v = df.groupBy("species", "locus", F.col("v_call").alias("gene")).agg(*[F.min_by(c, "row_id").alias(c) for c in ("fwr1_aa", "cdr1_aa", "fwr2_aa", "cdr2_aa", "fwr3_aa")])
-    j = df.groupBy("species", "locus", F.col("j_call").alias("gene")).agg(F.substring_index(longest_common_suffix(F.collect_set("junction_aa")), "X", -1).alias("jcdr3_aa"))
+    back = F.reverse(F.when(F.length("junction_aa") > 0, F.col("junction_aa")))
+    # what the first and the last of the reversed junctions share at the front, all share at the end
+    ends = df.groupBy("species", "locus", F.col("j_call").alias("gene")).agg(F.min(back).alias("_low"), F.max(back).alias("_high"))
+    same = F.filter(F.sequence(F.lit(0), F.least(F.length("_low"), F.length("_high"))), lambda n: F.left("_low", n) == F.left("_high", n))
+    suffix = F.coalesce(F.reverse(F.expr("left(_low, _n)")), F.lit(""))
+    j = ends.withColumn("_n", F.array_max(same)).withColumn("jcdr3_aa", F.substring_index(suffix, "X", -1)).drop("_low", "_high", "_n")
     return v.unionByName(j, allowMissingColumns=True)
 
 
