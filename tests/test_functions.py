@@ -116,3 +116,24 @@ def test_tails_of_large_means(spark):
         p = sum(exp(-m + i * log(m) - lgamma(i + 1)) for i in range(k, k + 30_000))
         b = sum(exp(lgamma(trials + 1) - lgamma(i + 1) - lgamma(trials - i + 1) + i * log(q) + (trials - i) * log(1 - q)) for i in range(k, trials + 1))
         assert r["p"] == pytest.approx(p, rel=1e-8, abs=1e-300) and r["b"] == pytest.approx(b, rel=1e-8, abs=1e-300)
+
+
+def test_small_batches(spark):
+    import pyarrow as pa
+
+    from plexivec.plans.batches import SETTING, small_batches
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    texts = spark.range(30, numPartitions=1).select(F.repeat(F.lit("x"), 1_000_000).alias("t"))
+    before = spark.conf.get(SETTING, None)
+    try:
+        spark.conf.unset(SETTING)
+        found = [r["n"] for r in small_batches(texts).mapInArrow(rows, "n bigint").collect()]
+        assert sum(found) == 30 and max(found) <= 5
+        spark.conf.set(SETTING, "1000")
+        assert [r["n"] for r in small_batches(texts).mapInArrow(rows, "n bigint").collect()] == [1] * 30  # the caller's size holds
+    finally:
+        spark.conf.unset(SETTING) if before is None else spark.conf.set(SETTING, before)
