@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexivec.llm.wordhash import blocks, shingles, text_bytes, words
+from plexivec.plans.batches import small_batches
 
 K1, B = 1.2, 0.75
 #: Items in a block of the index.
@@ -203,7 +204,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 with np.errstate(over="ignore"):
                     yield _found(batch, shared.value, least_score, least_overlap, schema)
 
-        found.append(base.mapInArrow(run, schema))
+        found.append(small_batches(base).mapInArrow(run, schema))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -228,7 +229,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     """The rows of ``docs`` without any item, as ``find_items`` finds them, in one pass and without a shuffle."""
     schema = "doc_id bigint, text_hash bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     for shared in _indexes(items, item_col, item_text_col, least_score, n_words):
-        docs = docs.filter(_clean(shared, least_score, least_overlap, schema)(F.col(text_col)))
+        docs = small_batches(docs).filter(_clean(shared, least_score, least_overlap, schema)(F.col(text_col)))
     return docs
 
 

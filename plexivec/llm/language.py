@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexivec.llm.charhash import counted
+from plexivec.plans.batches import small_batches
 
 #: n-grams in a profile, and most of a document's that are compared.
 PROFILE = 400
@@ -70,7 +71,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                 n = np.bincount(where, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
-    counts = known.filter(drawn).select("lang", "text").mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = small_batches(known.filter(drawn).select("lang", "text")).mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))
     top = counts.withColumn("rank", rank).filter(F.col("rank") <= size).toPandas()
     langs = sorted(share)
@@ -95,7 +96,7 @@ def identify_language(docs: DataFrame, profiles: Profiles, text_col: str = "text
             yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(F.struct(*rest).alias("row"), predicted(F.col(text_col)).alias("found"))
+    out = small_batches(docs).select(F.struct(*rest).alias("row"), predicted(F.col(text_col)).alias("found"))
     return out.select("row.*", "found.lang_pred", "found.score")
 
 

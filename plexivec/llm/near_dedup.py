@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexivec.llm.wordhash import blocks, shingles, text_bytes, words
+from plexivec.plans.batches import small_batches
 from plexivec.plans.components import components
 from plexivec.plans.skew import lookup
 from plexivec.plans.staging import staged
@@ -80,7 +81,7 @@ def sketches(docs: DataFrame, n_words: int, k: int = K) -> DataFrame:
             cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), lists]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n", "d1", "d2", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+    return small_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")).mapInArrow(run, schema)
 
 
 def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int,
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return small_batches(both).mapInArrow(run, "a bigint, b bigint")
 
 
 def _with_class(pairs: DataFrame, of: DataFrame, x: str) -> DataFrame:

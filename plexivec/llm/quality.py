@@ -23,6 +23,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from plexivec.llm.charhash import SPAN, code_points, trigram_buckets, trigram_codes
 from plexivec.llm.wordhash import _power, blocks, mix, text_bytes, words
+from plexivec.plans.batches import small_batches
 from plexivec.plans.staging import staged
 
 #: Feature buckets: 2 ** BITS.
@@ -170,7 +171,7 @@ def _voted(texts: pa.Array) -> pa.Array:
 
 def with_votes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``votes``: all labellers' on the text (1 good, -1 bad, 0 none); a null text is empty."""
-    return docs.withColumn("votes", _voted(F.col(text_col)))
+    return small_batches(docs).withColumn("votes", _voted(F.col(text_col)))
 
 
 def vote_patterns(docs: DataFrame, text_col: str = "text") -> pd.DataFrame:
@@ -334,4 +335,4 @@ def score_quality(docs: DataFrame, scorer: Scorer, text_col: str = "text", least
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array(np.concatenate([np.zeros(0), *map(shared.value.scores, _blocks(texts))]))
 
-    return docs.withColumn("quality", scored(F.col(text_col))).withColumn("kept", F.col("quality") >= least)
+    return small_batches(docs).withColumn("quality", scored(F.col(text_col))).withColumn("kept", F.col("quality") >= least)

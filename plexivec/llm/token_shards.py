@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexivec.llm.wordhash import mix
+from plexivec.plans.batches import small_batches
 from plexivec.plans.staging import new_path
 
 if TYPE_CHECKING:
@@ -214,7 +215,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
 
     order = ["shard", "high", "low", "record"]
     schema = "shard int, high bigint, low bigint, record binary"
-    rows = base.filter(F.length("text") > 0).mapInArrow(run, schema)
+    rows = small_batches(base.filter(F.length("text") > 0)).mapInArrow(run, schema)
     dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions(*order)
     if copies > 1:
 
