@@ -36,6 +36,8 @@ MARKS, RUNS, ENDS = "#$%&*|<>{}=~^_/\\", "#$%&*!=~|", ".,;:?)\"'"
 LABELLERS = ("blank", "marks", "marked_words", "mark_runs", "word_ends", "capitals", "stutter", "repeated_sentences", "vocabulary", "cries", "line_ends")
 #: Code points judged at once, about: texts in blocks, longer ones alone.  A task needs some 100 bytes for each.
 BLOCK = 1 << 17
+#: Training rows, of ``2 ** BITS`` features each, handed on at once.
+ROWS = 256
 _kinds: list[np.ndarray] = []
 
 
@@ -162,11 +164,14 @@ def _blocks(texts: pa.Array) -> Iterator[list[str]]:
         yield [t or "" for t in texts.slice(i, j - i).to_pylist()]
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])), pa.array(rows.ravel()))
+
+
 @F.arrow_udf(ArrayType(IntegerType()))
 def _voted(texts: pa.Array) -> pa.Array:
-    votes = np.concatenate([np.zeros((0, len(LABELLERS)), np.int32), *map(label_votes, _blocks(texts))])
-    ends = np.arange(len(votes) + 1, dtype=np.int32) * np.int32(len(LABELLERS))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(votes.ravel()))
+    return _lists(np.concatenate([np.zeros((0, len(LABELLERS)), np.int32), *map(label_votes, _blocks(texts))]))
 
 
 def with_votes(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -238,6 +243,19 @@ def features(text: str | None) -> Iterator[tuple[np.ndarray, float]]:
             yield np.full(again, 1, np.uint64), 1 / len(h)
 
 
+def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes on each text and its hashed features, by one Python worker for both."""
+    for batch in batches:
+        for texts in _blocks(batch.column("text")):
+            for at in range(0, len(texts), ROWS):
+                part = texts[at : at + ROWS]
+                x = np.zeros((len(part), 1 << BITS), np.float32)
+                for row, t in zip(x, part):
+                    for b, v in features(t):
+                        row += np.bincount(b.astype(np.int64), minlength=1 << BITS).astype(np.float32) * v
+                yield pa.RecordBatch.from_arrays([_lists(label_votes(part)), _lists(x)], ["votes", "x"])
+
+
 @dataclass(frozen=True)
 class Scorer:
     """Logistic scorer on the hashed features."""
@@ -298,22 +316,12 @@ def fit_scorer(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         return Scorer(np.zeros(1 << BITS), 0.0)
     good = posterior(np.array(found["votes"].tolist()), found["n"].to_numpy())
     spark = docs.sparkSession
-    label = spark.createDataFrame(pd.DataFrame({"votes": found["votes"].map(list), "good": good}), "votes array<int>, good double")
+    # Arrow tables reach the JVM as they are; rows of pandas would go through Python workers of a second pool
+    label = spark.createDataFrame(pa.table({"votes": pa.array(found["votes"].map(list).tolist(), pa.list_(pa.int32())), "good": pa.array(good)}))
     share = min(1.0, train_docs / found["n"].sum())
     one = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.lit("quality"), F.col(id_col), F.col(text_col)).alias("draw"))
     drawn = one.filter(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("draw").agg(F.first("text").alias("text"))
-
-    @F.pandas_udf("array<float>")
-    def vector(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            x = np.zeros(1 << BITS, np.float32)
-            for b, v in features(t):
-                x += np.bincount(b.astype(np.int64), minlength=1 << BITS).astype(np.float32) * v
-            out.append(x)
-        return pd.Series(out)
-
-    train = staged(with_votes(drawn).join(F.broadcast(label), "votes").select(vector("text").alias("x"), "good"), "quality")
+    train = staged(small_batches(drawn.select("text")).mapInArrow(_training_rows, "votes array<int>, x array<float>").join(F.broadcast(label), "votes").select("x", "good"), "quality")
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight"))))
     rows = train.select(array_to_vector(F.col("x")).alias("features"), both.alias("y")).select("features", "y.*").filter("weight > 1e-4")
     if rows.select("label").distinct().count() < 2:
