@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexivec.llm.conversation_trie import conversation_trie
 from plexivec.llm.decontaminate import find_items
 from plexivec.llm.exact_dedup import exact_dedup
 from plexivec.llm.language import held_out, identify_language, learn_profiles
@@ -14,9 +15,11 @@ from plexivec.llm.licenses import scan_licences
 from plexivec.llm.line_dedup import dedup_lines
 from plexivec.llm.mixing import served
 from plexivec.llm.near_dedup import near_duplicates
+from plexivec.llm.packing import pack_documents
 from plexivec.llm.quality import fit_scorer, score_quality
 from plexivec.llm.token_shards import token_manifest
 from plexivec.llm.urls import fit_url_model, judge_urls
+from plexivec.llm.vector_codes import vector_codes
 from plexivec.sources.tables import table
 
 
@@ -67,6 +70,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_shards": op2_token_shards,
@@ -78,8 +95,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_packing": op13_packing,
 }
 
+
+def _crc32_sql(text: str) -> str:
+    """DuckDB's expression for the CRC-32 of an ASCII string, bit by bit."""
+    byte = "list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), xor(a, x))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda a, x: {byte}, 4294967295::BIGINT), 4294967295)"
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd's rounds one after the other, every part against every entry; whole numbers in doubles are exact here."""
+    width = f"(SELECT max(len(v)) // {parts} FROM k)"
+    steps = [
+        "k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024::DOUBLE * x)) AS v FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))))",
+        f"x AS MATERIALIZED (SELECT vec_id, label, p::INT AS p, v[p * {width} + 1 : (p + 1) * {width}]::DOUBLE[] AS y FROM k, range({parts}) r(p))",
+        f"c0 AS MATERIALIZED (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1)::INT AS e, y FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"d{i} AS (SELECT x.vec_id, x.p, c.e, list_inner_product(x.y, x.y) - 2 * list_inner_product(x.y, c.y) + list_inner_product(c.y, c.y) AS d FROM x JOIN c{i} c ON x.p = c.p)")
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, p, min(d)::BIGINT AS d, arg_min(e, d * 256 + e) AS e FROM d{i} GROUP BY ALL)")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT p, e, i, floor(sum(z) / count(*)) AS m FROM (SELECT a.p, a.e, unnest(x.y) AS z, generate_subscripts(x.y, 1) AS i FROM a{i} a JOIN x USING (vec_id, p)) GROUP BY ALL)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.y, c.y) AS y FROM c{i} c LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS y FROM s{i} GROUP BY ALL) m ON c.p = m.p AND c.e = m.e)")
+    steps.append(f"h AS (SELECT sha256(string_agg(list_aggregate(list_transform(y, lambda z: (z::BIGINT)::VARCHAR), 'string_agg', ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})")
+    steps.append(f"o AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o JOIN k USING (vec_id), h"
+
+
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -122,4 +168,22 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, (count(*) OVER g)::BIGINT AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    # the trie by prefixes as lists; a subtree by the walks of its nodes' smallest conversations
+    "op11_conversation_trie": f"""
+WITH t AS (SELECT conv_id AS c, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(said ORDER BY pos) AS own FROM t GROUP BY c),
+h AS (SELECT *, c - c % 20 AS b, {_crc32_sql('c::VARCHAR')} % 4 AS h FROM o),
+w AS (SELECT h.c, list_concat(coalesce(z.own[1:h.h], []), h.own[h.h + 1:]) AS seq FROM h LEFT JOIN o z ON z.c = h.b),
+m AS MATERIALIZED (SELECT c, d, len(seq) AS n, seq[1:d] AS node FROM w, unnest(range(len(seq) + 1)) r(d)),
+v AS MATERIALIZED (SELECT node, any_value(d) AS depth, count(*) AS n_convs, min(c) AS conv_id,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n), '') AS ends, node[:-2] AS parent FROM m GROUP BY node),
+k AS (SELECT parent AS node, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY parent),
+i AS MATERIALIZED (SELECT v.*, coalesce(n_children, 0) AS n_children, p.conv_id AS parent_conv_id,
+    CASE WHEN v.depth = 0 THEN 0 ELSE (v.n_convs - 1) * len(regexp_extract_all(v.node[-1].t, '[^\\x20\\x09-\\x0D]+')) END AS saved
+  FROM v LEFT JOIN k ON k.node = v.node LEFT JOIN v p ON v.depth > 0 AND p.node = v.parent),
+s AS (SELECT m.node, sum(i.saved)::BIGINT AS saved_tokens, (count(*) FILTER (WHERE i.n_children = 0))::BIGINT AS n_leaves FROM i JOIN m ON m.c = i.conv_id AND m.d <= i.depth GROUP BY m.node)
+SELECT i.conv_id, i.depth::BIGINT AS depth, i.parent_conv_id, i.n_convs::BIGINT AS n_convs, i.n_children::BIGINT AS n_children, s.n_leaves, s.saved_tokens, sha256(i.ends) AS ends_sha256
+FROM i JOIN s ON s.node = i.node""",
+    "op12_vector_codes": _codes_sql(),
 }
