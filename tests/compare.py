@@ -6,7 +6,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def rows(frame, columns):
-    frame = frame[columns].astype(object)
+    # pandas has floats for whole numbers where some are null
+    frame = frame[columns].convert_dtypes(convert_string=False, convert_boolean=False).astype(object)
     return sorted(map(repr, frame.where(frame.notna(), None).values.tolist()))
 
 
