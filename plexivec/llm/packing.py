@@ -33,25 +33,26 @@ if TYPE_CHECKING:
 
 #: Bytes of a text cut into words at once, and words whose ids a task remembers.
 CUT = 1 << 20
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Bytes of ids that a task hands on at once.
 FLUSH = 4 << 20
 #: Sums of ranks (24 bytes each) that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
-_PLAIN = re.compile(rb"[!-~]+")
-_SPECIAL = b"<|"
-#: The words that the tokenizer's own pattern makes of a run of lower-case, visible ASCII characters.
-_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Visible ASCII and the letters of Latin-1 with marks, whose words the tokenizer's own pattern makes as follows; the
+#: letters are normal forms as they are.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_SPECIAL = "<|"
 
 
 @functools.lru_cache(maxsize=2)
 def _tokenizers(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray]:
     """The tokenizer of a file, the same for words that are ready for its merges, and which ids end a word."""
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    bare.normalizer = bare.pre_tokenizer = None
+    bare.normalizer, bare.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     vocabulary = whole.get_vocab()
     last = np.zeros(max(vocabulary.values()) + 1, bool)
     last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -63,20 +64,25 @@ class WordIds:
 
     def __init__(self, path: str, dtype: np.dtype):
         self.whole, self.bare, self.last = _tokenizers(path)
-        self.dtype, self.known = dtype, {}
+        self.dtype, self.known, self.pieces = dtype, {}, {}
 
     def _learn(self, words: set[bytes]) -> None:
-        """Ids of words: runs of visible ASCII are cut here and merged in one call, others take the tokenizer's whole path."""
-        plain = [w for w in words if _PLAIN.fullmatch(w) and _SPECIAL not in w]
-        other = list(words.difference(plain))
-        if plain:
-            pieces = [_PIECE.findall(w.lower()) for w in plain]
-            flat = [p.decode() for ps in pieces for p in ps]
-            found = self.bare.encode_batch_fast([flat], is_pretokenized=True, add_special_tokens=False)[0]
-            ids = np.array(found.ids, self.dtype)
-            ends = np.flatnonzero(self.last[ids])[np.cumsum([len(ps) for ps in pieces]) - 1] + 1
-            for word, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist()):
-                self.known[word] = ids[a:b].tobytes()
+        """Ids of words: common ones are cut here and new pieces merged in one call, others take the tokenizer's whole path."""
+        cut, other = {}, []
+        for word in words:
+            text = word.decode()
+            if _PLAIN.fullmatch(text) and _SPECIAL not in text:
+                low = text.lower()
+                cut[word] = [low] if low.isalpha() else _PIECE.findall(low)
+            else:
+                other.append(word)
+        new = list({p for ps in cut.values() for p in ps}.difference(self.pieces))
+        if new:
+            ids = np.array(self.bare.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()
+            self.pieces.update((piece, raw[a:b]) for piece, a, b in zip(new, [0, *ends], ends, strict=False))
+        get = self.pieces.__getitem__
+        self.known.update((word, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for word, ps in cut.items())
         if other:
             for word, found in zip(other, self.whole.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
                 self.known[word] = np.array(found.ids, self.dtype).tobytes()
@@ -109,6 +115,7 @@ class WordIds:
     def _ids(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.pieces.clear()
         new = set().union(*texts).difference(self.known)
         if new:
             self._learn(new)
@@ -225,6 +232,12 @@ def _pieces(plan: Plan, size: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np
         yield there, row[there]
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str, wide: bool) -> WordIds:
+    """The words that a Python worker knows, kept from task to task."""
+    return WordIds(path, np.dtype("<u4" if wide else "<u2"))
+
+
 ITEM = "part int, nth bigint, size int, doc_id bigint, start bigint, doc_tokens bigint, ids binary"
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
@@ -238,7 +251,7 @@ def token_items(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
     names = [c.split()[0] for c in ITEM.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = WordIds(tokenizer_path, dtype), TaskContext.get().partitionId()
+        words, part = word_ids(tokenizer_path, wide), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         rows, held = [], 0
 
