@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import plexivec
 from plexivec.functions.names import preset
+from plexivec.operators.cohort import stack_embeddings
 from plexivec.operators.basis import fit_projection, fit_repertoire_space, transform
 from plexivec.operators.embedding import clonotype_embed, sequence_distances
 from plexivec.operators.repertoire import mmd_matrix, sample_embedding
@@ -49,11 +50,11 @@ def cmd_clonotypes(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def cmd_repertoires(spark: SparkSession, args: argparse.Namespace) -> None:
-    """One row a sample and locus: its blocks; with ``--mmd`` also the distances, a file a locus."""
+    """One row a sample and locus: its clonotypes, effective size and blocks as ``phi`` columns; with ``--mmd`` also the unbiased distances, a file a locus."""
     df, protos = _read(spark, args, args.input)
     blocks = args.blocks.split(",")
     loci = [args.locus] if args.locus else sorted(r[0] for r in df.select("locus").distinct().collect())
-    results = []
+    results, width = [], 0
     for locus in loci:
         own = df.filter(F.col("locus") == locus)
         if own.count() < args.min_clonotypes:
@@ -65,9 +66,14 @@ def cmd_repertoires(spark: SparkSession, args: argparse.Namespace) -> None:
         phi = sample_embedding(cloud, "sample_id", "duplicate_count", "f1", "f2" if "second" in blocks else None, args.weight, blocks).withColumn("locus", F.lit(locus)).persist()
         if args.mmd:
             path = args.mmd if len(loci) == 1 else f"{args.mmd}.{locus}"
-            write_table(mmd_matrix(phi, "sample_id").groupBy("id_a").pivot("id_b").agg(F.first("dist")).orderBy("id_a"), path)
-        results.append(phi)
-    write_table(reduce(DataFrame.unionByName, results).orderBy("locus", "sample_id").select("sample_id", "locus", "n_eff", *[F.to_json(b).alias(b) for b in blocks]), args.output)
+            matrix = mmd_matrix(phi, "sample_id", unbiased=True).groupBy("id_a").pivot("id_b").agg(F.first("dist"))
+            write_table(matrix.withColumnRenamed("id_a", "sample_id").orderBy("sample_id"), path)
+        rows, spec = stack_embeddings(phi, "phi")
+        width = max(width, sum(map(len, (spec[b] for b in spec.names))))
+        results.append(rows.join(own.groupBy("sample_id").agg(F.count("*").alias("n_clonotypes")), "sample_id").select("sample_id", "locus", "n_clonotypes", "n_eff", "phi"))
+    if not results:
+        raise SystemExit("no samples or loci to embed: see the inputs, --locus and --min-clonotypes")
+    write_table(exploded(reduce(DataFrame.unionByName, results).orderBy("locus", "sample_id"), "phi", width, "phi"), args.output)
 
 
 def parser() -> argparse.ArgumentParser:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from plexivec.plans.skew import lookup_value
 from plexivec.plans.staging import staged
 
 
@@ -206,9 +207,10 @@ def benjamini_hochberg(df: DataFrame, p: str = "pvalue", q: str = "qvalue") -> D
     """``df`` with false-discovery rates: the least p * n / rank at this or a larger p-value, at most 1.
 
     Distinct p-values are ranked (ties share the largest rank, which leaves the minimum as it is); their
-    running minimum is taken within partitions of the range sort and across partitions' minima.
+    running minimum is taken within partitions of the range sort and across partitions' minima.  Rows without a
+    p-value stay, without a rate, and count for nothing.
     """
-    counts = df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
     here = running_sums(counts, [F.col("_p")], ["_n"]).withColumn("_rank", F.col("_n_upto"))
     total = here.agg(F.max("_rank")).first()[0] or 0
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -217,5 +219,5 @@ def benjamini_hochberg(df: DataFrame, p: str = "pvalue", q: str = "qvalue") -> D
     later = here.groupBy("_part").agg(F.min("_raw").alias("_least"))
     after = later.select("_part", F.min("_least").over(W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)).alias("_after"))
     done = here.join(F.broadcast(after), "_part").withColumn("_down", F.min("_raw").over(W.partitionBy("_part").orderBy(F.desc("_p"))))
-    qs = done.select("_p", F.least(F.col("_down"), F.coalesce("_after", F.lit(1.0)), F.lit(1.0)).alias(q))
-    return df.join(qs, F.col(p) == F.col("_p")).drop("_p")
+    qs = done.select(F.col("_p").alias(p), "_n", F.least(F.col("_down"), F.coalesce("_after", F.lit(1.0)), F.lit(1.0)).alias(q))
+    return lookup_value(df.drop(q) if q in df.columns else df, p, qs, "_n", total)

@@ -133,8 +133,19 @@ def with_random_features(basis: Basis, length_scale: float, n: int = 2048, n_sec
     return Basis(basis.mean, basis.scale, basis.loadings, basis.variances, omega, phase, omega2, phase2, basis.meta | {"length_scale": float(length_scale), "n_eigs": n_eigs})
 
 
+def _spread(rows: np.ndarray, places: np.ndarray, n: int) -> list[np.ndarray | None]:
+    """A list of ``n`` places with the rows in theirs and None elsewhere."""
+    out: list[np.ndarray | None] = [None] * n
+    for i, row in zip(places.tolist(), rows):
+        out[i] = row
+    return out
+
+
 def transform(df: DataFrame, basis: Basis, vector: str, output: str = "z", features: str | None = None, features2: str | None = None) -> DataFrame:
-    """``df`` with the projected vector and, if named, its random features; Arrow batches, one matrix product each."""
+    """``df`` with the projected vector and, if named, its random features; Arrow batches, one matrix product each.
+
+    Columns of these names are replaced.  A null vector has null results.
+    """
     shared = df.sparkSession.sparkContext.broadcast(basis)
     wanted = [output] + [c for c in (features, features2) if c]
 
@@ -142,17 +153,19 @@ def transform(df: DataFrame, basis: Basis, vector: str, output: str = "z", featu
     def projected(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         b = shared.value
         for v in batches:
-            x = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, len(b.mean)))
+            there = np.flatnonzero(v.notna().to_numpy())
+            x = np.stack(v.to_numpy()[there]).astype(float) if len(there) else np.zeros((0, len(b.mean)))
             z = (x - b.mean) / b.scale @ b.loadings
-            out = {output: list(z)}
+            out = pd.DataFrame({c: pd.Series([None] * len(v), dtype=object) for c in wanted})
+            out[output] = _spread(z, there, len(v))
             for name, o, p in ((features, b.omega, b.phase), (features2, b.omega2, b.phase2)):
                 if name:
-                    out[name] = list(np.sqrt(2 / len(p)) * np.cos(z @ o + p))
-            yield pd.DataFrame(out)
+                    out[name] = _spread(np.sqrt(2 / len(p)) * np.cos(z @ o + p), there, len(v))
+            yield out
 
     out = df.withColumn("_p", projected(F.col(vector)))
     for c in wanted:
-        out = out.withMetadata(c, {"basis": basis.fingerprint}) if c in df.columns else out.withColumn(c, F.col(f"_p.{c}")).withMetadata(c, {"basis": basis.fingerprint})
+        out = out.withColumn(c, F.col(f"_p.{c}")).withMetadata(c, {"basis": basis.fingerprint})
     return out.drop("_p")
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexivec.functions.stats import exact_quantiles
-from plexivec.operators.neighbors import nearest, pairs_within
+from plexivec.operators.neighbors import BLOCK, ball_counts, check_backend, join_within, nearest, within
 from plexivec.plans.components import components
 from plexivec.plans.staging import staged
 
@@ -37,16 +38,60 @@ def estimate_eps(df: DataFrame, key: str, vector: str, k: int = 4, points: int =
     return found if found is not None else float(np.median(qs))
 
 
-def dbscan(df: DataFrame, key: str, vector: str, eps: float | None = None, min_samples: int = 3, k: int = 4, eps_factor: float = 0.4) -> DataFrame:
+def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that connect whatever the matrix of links between rows and columns connects, fewer than rows and columns together."""
+    rows, columns = np.ones(linked.shape[0], bool), np.ones(linked.shape[1], bool)  # not yet met
+    out = []
+    for start in np.flatnonzero(linked.any(1)).tolist():
+        if not rows[start]:
+            continue
+        rows[start], stack = False, [(True, start)]
+        while stack:
+            is_row, i = stack.pop()
+            new = np.flatnonzero(linked[i] & columns if is_row else linked[:, i] & rows).tolist()
+            (columns if is_row else rows)[new] = False
+            out += [(i, j) if is_row else (j, i) for j in new]
+            stack += [(not is_row, j) for j in new]
+    return out
+
+
+def dbscan(df: DataFrame, key: str, vector: str, eps: float | None = None, min_samples: int = 3, k: int = 4, eps_factor: float = 0.4, backend: str = "kdtree", block: int = BLOCK) -> DataFrame:
     """``key, cluster``: the smallest core key of the cluster, -1 for noise.
 
     Core points have ``min_samples`` points within ``eps``, themselves counted; clusters are the components
     of core points within ``eps``; another point within ``eps`` of core points goes to the smallest cluster.
+    There is never a row for each pair: core points are told by counts, a pair of blocks of core points gives a
+    spanning forest of its links, and other points get the smallest cluster that a block has within ``eps``.
+    Rows with a null vector are noise.
     """
+    check_backend(backend)
     if eps is None:
         eps = estimate_eps(df, key, vector, k) * eps_factor
-    pairs = staged(pairs_within(df, key, vector, float(eps) ** 2).select("a", "b"), "pairs")
-    return _from_pairs(df.select(key), key, pairs, min_samples)
+    r2 = float(eps) ** 2
+    degree = ball_counts(df, df, key, vector, r2, output="_n", block=block, backend=backend)
+    points = staged(df.select(F.col(key).alias("_id"), F.col(vector).alias("v")).join(degree.withColumnRenamed(key, "_id"), "_id").withColumn("core", F.col("_n") >= min_samples), "points")
+    core = points.filter("core").select("_id", "v")
+
+    def forest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        links = np.array(spanning_links(within(x, y, r2)), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": x["_id"].to_numpy()[links[:, 0]], "b": y["_id"].to_numpy()[links[:, 1]]})
+
+    comp = components(join_within(core, core, forest, "a bigint, b bigint", float(eps), block, backend, once=True))
+    labelled = staged(core.join(comp.select(F.col("node").alias("_id"), F.col("comp").alias("cluster")), "_id"), "labels")
+
+    def least(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"_id": [], "near": []})
+        best = np.where(within(x, y, r2), y["cluster"].to_numpy()[None, :], np.iinfo(np.int64).max).min(1)
+        there = best < np.iinfo(np.int64).max
+        return pd.DataFrame({"_id": x["_id"].to_numpy()[there], "near": best[there]})
+
+    others = points.filter("not core and v is not null").select("_id", "v")
+    border = join_within(others, labelled, least, "_id bigint, near bigint", float(eps), block, backend).groupBy("_id").agg(F.min("near").alias("cluster"))
+    found = labelled.select("_id", "cluster").unionByName(border)
+    return points.select("_id").join(found, "_id", "left").select(F.col("_id").alias(key), F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 def _from_pairs(points: DataFrame, key: str, pairs: DataFrame, min_samples: int) -> DataFrame:

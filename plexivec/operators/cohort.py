@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from plexivec.functions.stats import benjamini_hochberg, fisher_exact, running_sums
 from plexivec.functions.vectors import mean_vector, subtract
 from plexivec.operators.basis import Basis, fit_projection, transform
-from plexivec.operators.repertoire import class_witness, sample_embedding, witness
+from plexivec.operators.repertoire import BLOCKS, class_witness, sample_embedding, witness
 from plexivec.operators.strings import one_mismatch_pairs
 from plexivec.plans.components import components
+from plexivec.plans.numbering import numbered, with_permuted
 from plexivec.plans.staging import staged
 
 
@@ -312,12 +313,39 @@ def fit_donors(cloud: DataFrame, donors: DataFrame, donor: str, locus: str, coun
     return DonorSpace(tuple(loci), id_pca, min_clones, bases, list(first), means, scales, spec, coverage, widths)
 
 
-def channel_report(df: DataFrame, spec: ChannelSpec, scorer: Callable[[DataFrame, list[int]], float], base: float | None = None, mode: str = "in", permuted: Callable[[DataFrame, int], DataFrame] | None = None, n_permutations: int = 0, channels: Sequence[str] | None = None) -> DataFrame:
+def row_permutations(df: DataFrame, vector: str, seed: int = 0) -> Callable[[DataFrame, int], DataFrame]:
+    """A function of (frame, round) to ``df`` with ``vector`` of another row in each row; rows are numbered once."""
+    own = numbered(df, "_number")
+    n = own.count()
+    return lambda _, i: with_permuted(own, "_number", vector, n, (seed << 32) + i).drop("_number")
+
+
+def stack_embeddings(embeddings: DataFrame, output: str = "x") -> tuple[DataFrame, ChannelSpec]:
+    """``embeddings`` with its blocks in one vector, as they are, and the channels ``mean``, ``diversity``, ``second`` that are there.
+
+    ``mean`` can be traced to records.  ValueError without rows, or if rows differ in their blocks or widths.
+    """
+    there = [b for b in BLOCKS if b in embeddings.columns]
+    if not there:
+        raise ValueError(f"no blocks among {embeddings.columns}")
+    sizes = embeddings.agg(F.count("*").alias("n"), *[f(F.coalesce(F.size(b), F.lit(-1))).alias(f"{b}_{k}") for b in there for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not sizes["n"]:
+        raise ValueError("no embeddings")
+    if odd := [b for b in there if sizes[f"{b}_lo"] != sizes[f"{b}_hi"]]:
+        raise ValueError(f"rows differ in {odd}")
+    there = [b for b in there if sizes[f"{b}_hi"] >= 0]
+    starts = np.cumsum([0, *[sizes[f"{b}_hi"] for b in there]]).tolist()
+    spec = ChannelSpec({b: list(range(x, y)) for b, x, y in zip(there, starts, starts[1:])}, frozenset({"mean"} & set(there)))
+    return embeddings.withColumn(output, F.concat(*there)), spec
+
+
+def channel_report(df: DataFrame, spec: ChannelSpec, scorer: Callable[[DataFrame, list[int]], float], base: float | None = None, mode: str = "in", permuted: Callable[[DataFrame, int], DataFrame] | None = None, n_permutations: int = 0, seed: int = 0, vector: str = "x", channels: Sequence[str] | None = None) -> DataFrame:
     """Score of every channel alone (``in``), of all but it (``out``) or both, and their ranks.
 
     ``scorer(df, columns)`` is a Spark job of the caller's.  ``delta`` is the score over ``base``, ``delta_out``
     what the full score loses without the channel.  With ``n_permutations`` p-values count how often
-    frames from ``permuted(df, round)`` score as well; all channels share the permutations.  ``channels``
+    frames from ``permuted(df, round)`` score as well; without it the rows' ``vector`` is dealt to other rows by a
+    permutation that ``seed`` and round give.  All channels share the permutations.  ``channels``
     restricts and orders the report; the full score is then that of their union.
     """
     if mode not in ("in", "out", "both"):
@@ -335,6 +363,8 @@ def channel_report(df: DataFrame, spec: ChannelSpec, scorer: Callable[[DataFrame
     ps = [None] * len(rows)
     if n_permutations:
         better = [0] * len(rows)
+        if permuted is None:
+            permuted = row_permutations(df, vector, seed)
         for i in range(n_permutations):
             other = permuted(df, i)
             for j, r in enumerate(rows):

@@ -16,6 +16,7 @@ from plexivec.functions.names import FRAME, LEFT, RIGHT, tokens
 from plexivec.functions.stats import chi2_tail, gamma_tail, normal_cdf, running_sums
 from plexivec.functions.vectors import mean_vector
 from plexivec.operators.basis import fit_projection, transform
+from plexivec.plans.skew import lookup_value
 from plexivec.plans.staging import staged
 
 
@@ -35,10 +36,10 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, column: str, output: str) -> DataFrame:
-    """``df`` with ranks from 1, ties with their mean rank."""
-    s = running_sums(df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n")), [F.col("_v")], ["_n"])
-    r = s.select("_v", (F.col("_n_upto") - (F.col("_n") - 1) / 2.0).alias(output))
-    return df.join(r, F.col(column) == F.col("_v")).drop("_v")
+    """``df`` with ranks from 1, ties with their mean rank; nulls stay and have none."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    r = staged(running_sums(counts, [F.col(column)], ["_n"]).select(column, "_n", (F.col("_n_upto") - (F.col("_n") - 1) / 2.0).alias(output)), "ranks")
+    return lookup_value(df, column, r, "_n", r.agg(F.sum("_n")).first()[0] or 0)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

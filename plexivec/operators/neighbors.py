@@ -1,8 +1,9 @@
 """Neighbour joins of vectors: counts in balls, k nearest, pairs within a radius.
 
-Vectors of dozens of dimensions leave nothing to a grid, so both sides are dealt to blocks and every
-pair of blocks is one task: a matrix of distances of a few thousand vectors.  What leaves a task is one row
-for each left vector (a count, or its k nearest so far), never a row for each pair.
+Both sides are dealt to blocks and a pair of blocks is one matrix of distances.  What leaves it is one row for each
+left vector (a count, or its k nearest so far), never a row for each pair.  The backend says which blocks meet:
+``kdtree``, the default, those that the metric index cannot rule out; ``exact`` all; ``ann`` a few near ones.  Rows
+with a null vector are nobody's neighbours and have none.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexivec.functions.vectors import l2sq
+from plexivec.operators.metric_index import CellIndex, distances2, stacked
+from plexivec.plans.staging import staged
 
 #: Vectors of a block.
 BLOCK = 2048
@@ -24,36 +27,94 @@ def _block_pairs(left: DataFrame, right: DataFrame, run: Callable, schema: str,
     """``run(left block, right block)`` for all pairs of blocks; both sides have ``_id, v`` and what else ``run`` needs."""
     n, m = max(1, -(-left.count() // block)), max(1, -(-right.count() // block))
     a = left.withColumn("i", F.pmod(F.xxhash64("_id"), F.lit(n).cast("long"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    b = right.withColumn("j", F.pmod(F.xxhash64("_id"), F.lit(m).cast("long"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    b = right.toDF(*right.columns).withColumn("j", F.pmod(F.xxhash64("_id"), F.lit(m).cast("long"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, schema)
 
 
+BACKENDS = ("kdtree", "exact", "ann")
+#: Relative error of a product's squared distance, far above rounding: nearer than that to a bound, differences decide.
+HAIR = 1e-9
+
+
+def check_backend(backend: str) -> None:
+    """ValueError for a backend that is not there."""
+    if backend not in BACKENDS:
+        raise ValueError(f"unknown backend {backend!r}; choose one of {BACKENDS}")
+
+
+def _differences2(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.empty(len(i))
+    for k in range(0, len(i), 65536):
+        out[k : k + 65536] = ((x[i[k : k + 65536]] - y[j[k : k + 65536]]) ** 2).sum(1)
+    return out
+
+
 def _d2(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    x, y = (np.stack(d["v"].to_numpy()).astype(float) for d in (a, b))
+    x, y = stacked(a["v"]), stacked(b["v"])
     out = np.empty((len(x), len(y)))
-    for k in range(0, len(x), 64):  # differences, not products: no cancellation at a radius
+    for k in range(0, len(x), 64):  # differences, not products: no cancellation
         out[k : k + 64] = ((x[k : k + 64, None, :] - y[None, :, :]) ** 2).sum(2)
     return out
 
 
-def ball_counts(left: DataFrame, right: DataFrame, key: str, vector: str, radius2: float | None = None, radius_col: str | None = None, weight_col: str | None = None, output: str = "n", block: int = BLOCK) -> DataFrame:
+def _within(x: np.ndarray, y: np.ndarray, r2: np.ndarray) -> np.ndarray:
+    """Which right rows lie within each left row's squared radius; products, and differences where a hair decides."""
+    d, size = distances2(x, y), (x * x).sum(1)[:, None] + (y * y).sum(1)
+    inside = d <= r2[:, None]
+    i, j = np.nonzero(np.abs(d - r2[:, None]) <= HAIR * (size + r2[:, None]))
+    inside[i, j] = _differences2(x, y, i, j) <= r2[i]
+    return inside
+
+
+def ball_counts(left: DataFrame, right: DataFrame, key: str, vector: str, radius2: float | None = None, radius_col: str | None = None, weight_col: str | None = None, output: str = "n", block: int = BLOCK, backend: str = "kdtree") -> DataFrame:
     """``key, output``: number (or sum of ``weight_col``) of right vectors within the radius, the border included.
 
     The radius is one squared number, or a squared radius for each left row.
     """
+    check_backend(backend)
     a = left.select(F.col(key).alias("_id"), F.col(vector).alias("v"), (F.col(radius_col) if radius_col else F.lit(float(radius2))).alias("r2"))
     b = right.select(F.col(key).alias("_id"), F.col(vector).alias("v"), (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("w"))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"_id": [], "n": []})
-        return pd.DataFrame({"_id": x["_id"], "n": (_d2(x, y) <= x["r2"].to_numpy()[:, None]) @ y["w"].to_numpy()})
-
-    found = _block_pairs(a, b, run, "_id bigint, n double", block).groupBy("_id").agg(F.sum("n").alias("_n"))
+        return pd.DataFrame({"_id": x["_id"], "n": _within(stacked(x["v"]), stacked(y["v"]), x["r2"].to_numpy()) @ y["w"].to_numpy()})
+
+    a, b = a.filter("v is not null and r2 >= 0"), b.filter("v is not null")
+    if index := _index(a, b, block, backend):
+        reach = index.radius_of_cells(F.sqrt("r2"))
+        index.left = index.left.withColumn("_r", F.sqrt("r2"))
+        met = index.join(index.lower_bounds() <= reach[:, None], run, "_id bigint, n double", "_r")
+    else:
+        met = _block_pairs(a, b, run, "_id bigint, n double", block)
+    found = met.groupBy("_id").agg(F.sum("n").alias("_n"))
     kind = "double" if weight_col else "long"
     return left.select(F.col(key)).join(found, F.col(key) == F.col("_id"), "left").select(key, F.coalesce("_n", F.lit(0.0)).cast(kind).alias(output))
 
 
+def _index(a: DataFrame, b: DataFrame, block: int, backend: str) -> CellIndex | None:
+    """The index of two sides, or None where all blocks meet: asked for, or no side has more than one."""
+    if backend == "exact" or max(a.limit(block + 1).count(), b.limit(block + 1).count()) <= block or not a.take(1) or not b.take(1):
+        return None
+    return CellIndex(a, b, block)
+
+
+def join_within(a: DataFrame, b: DataFrame, run: Callable, schema: str, radius: float, block: int = BLOCK, backend: str = "kdtree", once: bool = False) -> DataFrame:
+    """``run(left block, right block)`` for all blocks of ``a`` and ``b`` (``_id, v``) that may hold a pair within the radius.
+
+    With ``once``, for one frame on both sides, two cells meet in one of both orders only.
+    """
+    if index := _index(a, b, block, backend):
+        needed = index.lower_bounds() <= radius
+        return index.join(np.triu(needed) if once else needed, run, schema)
+    return _block_pairs(a, b, run, schema, block)
+
+
+def within(x: pd.DataFrame, y: pd.DataFrame, radius2: float) -> np.ndarray:
+    """Which vectors of two blocks lie within a radius."""
+    return _within(stacked(x["v"]), stacked(y["v"]), np.full(len(x), float(radius2)))
+
+
 def sums_of_pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
     """One row of the sums that a correlation needs."""
     return pd.DataFrame([(float(len(x)), x.sum(), y.sum(), x @ x, y @ y, x @ y)], columns=["n", "x", "y", "xx", "yy", "xy"])
@@ -83,30 +144,78 @@ def distance_corr(df: DataFrame, key: str, one: str, other: str, block: int = BL
     return correlation(_block_pairs(a, b, run, PAIR_SUMS, block))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, skip_self: bool = False, block: int = BLOCK) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, skip_self: bool = False, block: int = BLOCK, backend: str = "kdtree", probes: int = 12) -> DataFrame:
     """``key, neighbor, d2, rank``: the ``k`` nearest right vectors of each left one, ties by id.
 
-    Each pair of blocks gives at most ``k`` rows for a left vector; they are merged by a rank.
+    Each pair of blocks gives at most ``k`` rows for a left vector; they are merged by a rank.  With the index, the
+    nearest cells that hold enough vectors give every left vector a radius, then all other cells that may reach into
+    its ball are visited.  ``ann`` stops after the ``probes`` nearest cells (more if they hold fewer than ``k``
+    vectors): what it finds is true, some neighbours may lack.
     """
     from pyspark.sql import Window as W
 
-    a, b = (x.select(F.col(key).alias("_id"), F.col(vector).alias("v")) for x in (left, right))
+    check_backend(backend)
+    a, b = (x.select(F.col(key).alias("_id"), F.col(vector).alias("v")).filter("v is not null") for x in (left, right))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"_id": [], "neighbor": [], "d2": []})
-        d, ids = _d2(x, y), y["_id"].to_numpy()
+        ids, v, u = y["_id"].to_numpy(), stacked(x["v"]), stacked(y["v"])
+        d = distances2(v, u)
         if skip_self:
             d[x["_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+        if d.shape[1] > k:  # differences for all that may be among the k nearest
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+            far = d > kth + HAIR * ((v * v).sum(1)[:, None] + (u * u).sum(1))
+            d[far] = np.inf
+        i, j = np.nonzero(np.isfinite(d))
+        d[i, j] = _differences2(v, u, i, j)
         order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
         out = pd.DataFrame({"_id": np.repeat(x["_id"].to_numpy(), order.shape[1]), "neighbor": ids[order].ravel(), "d2": np.take_along_axis(d, order, 1).ravel()})
         return out[np.isfinite(out["d2"])]
 
-    found = _block_pairs(a, b, run, "_id bigint, neighbor bigint, d2 double", block)
+    schema = "_id bigint, neighbor bigint, d2 double"
+    if index := _index(a, b, block, backend):
+        bounds, more = index.lower_bounds(), k + skip_self
+        order = np.argsort(_far_apart(index), axis=1, kind="stable")
+        enough = np.cumsum(index.n_right[order], axis=1) - index.n_right[order] < more
+        if backend == "ann":
+            enough |= np.cumsum(index.n_right[order] > 0, axis=1) <= probes
+        home = np.zeros(bounds.shape, bool)
+        np.put_along_axis(home, order, enough, 1)
+        home &= np.isfinite(bounds)
+        found = index.join(home, run, schema)
+        if backend != "ann":
+            found = staged(found, "near")
+            reach = found.groupBy("_id").agg(F.when(F.count("*") >= k, F.sqrt(F.element_at(F.array_sort(F.collect_list("d2")), k))).alias("_r"))
+            # at most k rows a pair of cells; a left vector with fewer than k neighbours so far has no bound
+            left_rows = staged(index.left.join(reach, "_id", "left").withColumn("_r", F.coalesce("_r", F.lit(float("inf")))), "reach")
+            rest = (bounds <= index.radius_of_cells(F.col("_r"), left_rows)[:, None]) & ~home
+            if rest.any():
+                found = found.unionByName(index.join(rest, run, schema, "_r", left_rows.select(*index.left.columns, "_r")))
+    else:
+        found = _block_pairs(a, b, run, schema, block)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("_id").orderBy("d2", "neighbor"))).filter(F.col("rank") <= k)
     return ranked.select(F.col("_id").alias(key), "neighbor", "d2", "rank")
 
 
+def found_within(left: DataFrame, right: DataFrame, key: str, vector: str, radius_col: str, k_max: int, output: str, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """``key, output``: how many of the ``k_max`` nearest that ``ann`` finds lie within a left row's squared radius; and the number of rows where all do."""
+    near = nearest(left, right, key, vector, k_max, block=block, backend="ann").select(F.col(key).alias("_k"), "d2")
+    met = near.join(left.select(F.col(key).alias("_k"), F.col(radius_col).alias("_r2")), "_k").filter("d2 <= _r2")
+    counts = staged(met.groupBy("_k").agg(F.count("*").alias("_n")), "found")
+    out = left.select(key).join(counts, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("_n", F.lit(0)).cast("long").alias(output))
+    return out, counts.filter(F.col("_n") >= k_max).count() if right.count() > k_max else 0
+
+
+def _far_apart(index: CellIndex) -> np.ndarray:
+    """How far the middles of the ranges of two cells are apart, over all pivots; infinite for an empty cell."""
+    middle = lambda low, high, n: np.where(n[:, None] > 0, np.nan_to_num(low) / 2 + np.nan_to_num(high) / 2, 0.0)
+    out = distances2(middle(index.left_low, index.left_high, index.n_left), middle(index.right_low, index.right_high, index.n_right))
+    out[:, index.n_right == 0] = np.inf
+    return out
+
+
 #: Dimensions from which bands of distances exclude next to nothing, and blocks are compared instead.
 MANY_DIMENSIONS = 20
 
@@ -117,20 +226,19 @@ def pairs_within(df: DataFrame, key: str, vector: str, radius2: float, pivots: i
     Up to ``MANY_DIMENSIONS``, by an equi-join: a vector belongs to the nearest of a few pivots and to a band
     of distances from it, one radius wide; by the triangle inequality its partners are, for every pivot,
     in three neighbouring bands of their own distances to that pivot.  Pivots are a fixed number of rows
-    and so may be broadcast.  Beyond, by pairs of blocks, of which only pairs within the radius come out.
+    and so may be broadcast.  Beyond, by pairs of blocks of the index, of which only pairs within the radius come out.
     """
     first = df.select(F.size(vector)).first()
     if first and first[0] > MANY_DIMENSIONS:
-        left, right = (df.select(F.col(key).alias("_id"), F.col(vector).alias("v")) for _ in range(2))
+        rows = df.select(F.col(key).alias("_id"), F.col(vector).alias("v")).filter("v is not null")
 
         def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(y):
                 return pd.DataFrame({"a": [], "b": [], "d2": []})
-            d = _d2(x, y)
-            i, j = np.nonzero((d <= radius2) & (x["_id"].to_numpy()[:, None] < y["_id"].to_numpy()[None, :]))
-            return pd.DataFrame({"a": x["_id"].to_numpy()[i], "b": y["_id"].to_numpy()[j], "d2": d[i, j]})
+            i, j = np.nonzero(within(x, y, radius2) & (x["_id"].to_numpy()[:, None] < y["_id"].to_numpy()[None, :]))
+            return pd.DataFrame({"a": x["_id"].to_numpy()[i], "b": y["_id"].to_numpy()[j], "d2": _differences2(stacked(x["v"]), stacked(y["v"]), i, j)})
 
-        return _block_pairs(left, right, run, "a bigint, b bigint, d2 double", block)
+        return join_within(rows, rows, run, "a bigint, b bigint, d2 double", float(np.sqrt(radius2)), block)
     return _pairs_by_bands(df, key, vector, radius2, pivots)
 
 

@@ -158,9 +158,9 @@ def stacked(embeddings: DataFrame) -> Column:
 
 
 def decode_metrics(vector: Sequence[float]) -> dict[str, float]:
-    """Names for a ``descriptor`` vector (log mass, log effective size, Simpson), and the effective size and diversity that follow."""
+    """Names for a ``descriptor`` vector (log mass, log effective size, Simpson): the log mass is also the infiltration, Simpson's index the clonality."""
     log_mass, log_neff, simpson = (float(x) for x in list(vector)[:3])
-    return {"log_mass": log_mass, "log_neff": log_neff, "simpson": simpson, "mass": float(np.expm1(log_mass)), "n_eff": float(np.exp(log_neff)), "diversity": float(np.exp(log_neff))}
+    return {"log_mass": log_mass, "log_neff": log_neff, "simpson": simpson, "mass": float(np.expm1(log_mass)), "n_eff": float(np.exp(log_neff)), "infiltration": log_mass, "clonality": simpson, "diversity": float(np.exp(log_neff))}
 
 
 def mmd(mean_a: Column, neff_a: Column, mean_b: Column, neff_b: Column, unbiased: bool = False) -> Column:
@@ -238,3 +238,16 @@ def downsample(df: DataFrame, sample: str, key: str, count: str, reads: int, see
     return df.drop(count).join(drawn.groupBy(sample, key).agg(F.count("*").alias(count)), [sample, key])
 
 
+
+
+def kmer_matrix(df: DataFrame, sample: str, sequence: str, k: int = 3, weight: str | None = None) -> tuple[DataFrame, list[str]]:
+    """``sample, x``: a sample's shares of all k-mers that any sample has, zeros included, and these k-mers in order.
+
+    The vocabulary has at most (letters) ** k entries, whatever the number of sequences.  Samples without a k-mer have zeros.
+    """
+    shares = kmer_profile(df, sample, sequence, k, weight)
+    words = [r[0] for r in shares.select("kmer").distinct().orderBy("kmer").collect()]
+    own = shares.groupBy(sample).agg(F.map_from_entries(F.collect_list(F.struct("kmer", "frequency"))).alias("_m"))
+    every = df.select(sample).distinct().join(own, sample, "left")
+    kinds = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    return every.select(sample, F.transform(kinds, lambda w: F.coalesce(F.try_element_at("_m", w), F.lit(0.0))).alias("x")), words

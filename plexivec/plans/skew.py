@@ -35,3 +35,10 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     joined = near.join(cold, on, "left")
     out = joined.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col(f"_hot_{v}"), F.col(f"_cold_{v}")).alias(v) for v in values])
     return out.filter(F.col(size).isNotNull()) if how == "inner" else out
+
+
+def lookup_value(rows: DataFrame, column: str, groups: DataFrame, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``groups`` (one row for each value of ``column``, not ``size``); hot values as in ``lookup``, values without a group get nulls."""
+    key = F.xxhash64(F.col(column) + F.lit(0))  # 0.0 and -0.0 are one value
+    met = lookup(rows.withColumn("_key", key), groups.withColumn("_key", key), ["_key", column], size, total, F.monotonically_increasing_id())
+    return met.drop("_key", size)

@@ -18,7 +18,8 @@ from plexivec.functions.stats import benjamini_hochberg, fisher_combine, poisson
 from plexivec.functions.vectors import l2sq
 from plexivec.operators import basis, cluster, cohort, density, embedding, evaluate, neighbors, repertoire, strings, theory
 from plexivec.plans.staging import staged
-from plexivec.sources.formats import allele_counts, antigen_subset, generate_background, library_consistency, load_labels
+from plexivec.sources.formats import allele_counts, antigen_subset, library_consistency, load_labels
+from plexivec.sources.generator import generate_records, generator_counts, learn_generator
 from plexivec.sources.tables import table
 from plexivec.streaming.incremental import windowed_descriptor
 
@@ -242,6 +243,13 @@ def ball_counts(spark, sf_dir):
     return own.join(neighbors.ball_counts(o, b, "vec_id", "embedding", RADIUS2, output="n_bg"), "vec_id")
 
 
+@query(f"WITH {_COUNTS} SELECT vec_id, n_bg FROM nb")
+def ball_counts_indexed(spark, sf_dir):
+    """The same through the metric index, in small blocks."""
+    o, b = sides(spark, sf_dir)
+    return neighbors.ball_counts(o, b, "vec_id", "embedding", RADIUS2, output="n_bg", block=64)
+
+
 @query(f"""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_D2.format('a.embedding', 'b.embedding')} <= {RADIUS2}""")
 def range_pairs(spark, sf_dir):
     return neighbors.pairs_within(vectors(spark, sf_dir), "vec_id", "embedding", RADIUS2).select("a", "b")
@@ -254,6 +262,13 @@ def knn_radius(spark, sf_dir):
     return neighbors.nearest(o, b, "vec_id", "embedding", 3).filter("rank = 3").select("vec_id", r6(F.sqrt("d2"), "radius"))
 
 
+@query(f"""WITH {_SIDES}, d AS (SELECT x.vec_id, y.vec_id AS y, {_D2.format('x.embedding', 'y.embedding')} AS d FROM o x, b y), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, y) AS r FROM d)
+SELECT vec_id, y AS neighbor, r::INT AS rank, round(sqrt(d), 6) AS dist FROM k WHERE r <= 5""")
+def nearest_indexed(spark, sf_dir):
+    o, b = sides(spark, sf_dir)
+    return neighbors.nearest(o, b, "vec_id", "embedding", 5, block=64).select("vec_id", "neighbor", "rank", r6(F.sqrt("d2"), "dist"))
+
+
 _ENRICH = f"""{_COUNTS}, s AS (SELECT (SELECT count(*) FROM o) AS no_, (SELECT count(*) FROM b) AS nb_), e0 AS (SELECT vec_id, n_obs, n_bg, (no_ - 1)::DOUBLE * ((n_bg + 1.0::DOUBLE) / (nb_ + 1.0::DOUBLE)) AS raw FROM no JOIN nb USING (vec_id), s),
 c AS (SELECT greatest(median(n_obs) / median(raw), 1.0::DOUBLE) AS c FROM e0 WHERE raw > 0), e AS (SELECT vec_id, n_obs, n_bg, raw * c AS expected FROM e0, c),
 t AS (SELECT *, CASE WHEN n_obs <= 0 THEN 1.0::DOUBLE ELSE greatest(0, 1 - coalesce(list_sum(list_transform(range(0, n_obs), lambda i: exp(-expected + i * ln(expected) - lgamma(i + 1)))), 0)) END AS pvalue, n_obs / expected AS fold FROM e)"""
@@ -329,6 +344,12 @@ def dbscan(spark, sf_dir):
     return cluster.dbscan(vectors(spark, sf_dir), "vec_id", "embedding", eps=float(np.sqrt(1.3)), min_samples=3)
 
 
+@query(ORACLE_SQL["dbscan"])
+def dbscan_indexed(spark, sf_dir):
+    """The same through the metric index, in small blocks."""
+    return cluster.dbscan(vectors(spark, sf_dir), "vec_id", "embedding", eps=float(np.sqrt(1.3)), min_samples=3, block=128)
+
+
 # ---- H: samples
 
 
@@ -494,6 +515,21 @@ def incidence_one_mismatch(spark, sf_dir):
     return cohort.incidence_biomarkers(i, "seq", "cust", "pos", match="1mm")
 
 
+@query()
+def ann_nearest(spark, sf_dir):
+    """The ten nearest of every vector that a few cells hold."""
+    v = vectors(spark, sf_dir)
+    return neighbors.nearest(v, v, "vec_id", "embedding", 10, skip_self=True, block=128, backend="ann")
+
+
+@query(f"""WITH s AS (SELECT p_brand AS brand, {_JUNCTION} AS s FROM part), k AS (SELECT brand, substr(s, i, 1) AS kmer, count(*) AS c FROM s, range(1, 40) r(i) WHERE i <= length(s) GROUP BY 1, 2),
+t AS (SELECT brand, sum(c) AS t FROM k GROUP BY 1), w AS (SELECT DISTINCT kmer FROM k), a AS (SELECT brand, kmer, coalesce(c, 0) / t AS f, row_number() OVER (PARTITION BY brand ORDER BY kmer) AS j FROM t CROSS JOIN w LEFT JOIN k USING (brand, kmer))
+SELECT brand, count(*)::INT AS width, round(sum(f * j), 6) AS total FROM a GROUP BY 1""")
+def kmer_matrix_query(spark, sf_dir):
+    m, words = repertoire.kmer_matrix(junctions(spark, sf_dir).withColumnRenamed("p_brand", "brand"), "brand", "seq", 1)
+    return m.select("brand", F.size("x").alias("width"), r6(F.aggregate(F.transform("x", lambda y, i: y * (i + 1)), F.lit(0.0), lambda s, y: s + y), "total"))
+
+
 @query()
 def ann_counts(spark, sf_dir):
     o, b = sides(spark, sf_dir)
@@ -620,9 +656,23 @@ def neighbour_convergence(spark, sf_dir):
 # ---- A-07 and the stream
 
 
+def _records(spark, sf_dir):
+    return junctions(spark, sf_dir).select(F.col("p_brand").alias("v_call"), F.col("p_type").alias("j_call"), F.col("seq").alias("junction_aa"))
+
+
+@query(f"""WITH r AS (SELECT p_brand AS v, p_type AS j, {_JUNCTION} AS s FROM part), x AS (
+SELECT 'genes' AS kind, v AS a, j AS b FROM r UNION ALL SELECT 'length', length(s)::VARCHAR, NULL FROM r UNION ALL SELECT 'first', NULL, left(s, 1) FROM r UNION ALL SELECT 'last', NULL, right(s, 1) FROM r
+UNION ALL SELECT 'next', substr(s, i, 1), substr(s, i + 1, 1) FROM r, range(1, 40) t(i) WHERE i < length(s) - 1)
+SELECT kind, a, b, count(*)::BIGINT AS n FROM x GROUP BY ALL""")
+def background_model(spark, sf_dir):
+    return generator_counts(_records(spark, sf_dir))
+
+
 @query()
 def background(spark, sf_dir):
-    return generate_background(spark, 1000, (["TRBV1", "TRBV2"], ["TRBJ1", "TRBJ2"]))
+    """As many records as the table has, drawn from the model that it teaches."""
+    own = _records(spark, sf_dir)
+    return generate_records(spark, learn_generator(own), own.count())
 
 
 @query("""WITH c AS (SELECT date_trunc('hour', ts) AS window_start, user_id, event_type, count(*) AS a FROM events GROUP BY ALL)
