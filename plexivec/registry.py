@@ -16,6 +16,7 @@ from plexivec.functions.names import allele_to_major, allele_with_default, strip
 from plexivec.functions.names import prototype_hash as names_hash
 from plexivec.functions.stats import benjamini_hochberg, fisher_combine, poisson_tail, size_weight
 from plexivec.functions.vectors import l2sq
+from plexivec.learn import sequences
 from plexivec.operators import basis, cluster, cohort, density, embedding, evaluate, neighbors, repertoire, strings, theory
 from plexivec.plans.staging import staged
 from plexivec.sources.formats import allele_counts, antigen_subset, library_consistency, load_labels
@@ -653,6 +654,46 @@ def neighbour_convergence(spark, sf_dir):
     return theory.neighbour_convergence(s, s.filter("p_partkey < 100").withColumn("proto_idx", F.col("p_partkey")), "p_partkey", "seq", 10)
 
 
+# ---- L: networks on sequences
+
+
+def _taught(spark, sf_dir, n_protos: int = 48):
+    """Sequences of parts with their distances to a few of them, ``embedding``."""
+    s = junctions(spark, sf_dir).select("p_partkey", F.col("seq").alias("junction_aa"))
+    protos = s.filter(F.col("p_partkey") <= n_protos).withColumn("proto_idx", F.col("p_partkey"))
+    return embedding.sequence_distances(s, protos, output="embedding")
+
+
+@query()
+def sequence_regressor(spark, sf_dir):
+    """Length and share of a letter class, learned from the sequence alone; ``test`` rows were not learned from."""
+    s = junctions(spark, sf_dir).select("p_partkey", "seq")
+    s = s.withColumn("label", -F.length("seq") + F.length(F.regexp_replace("seq", "[^DEKR]", "")) / 2.0)
+    m = sequences.train_regressor(s, "p_partkey", "seq", "label", rounds=40)
+    test = F.pmod(F.xxhash64(F.lit(0), F.lit("split"), "p_partkey"), F.lit(10)) == 9
+    return m.predict(s, "seq").select("p_partkey", "label", "predicted", test.alias("test"))
+
+
+@query()
+def sequence_encoder(spark, sf_dir):
+    """How near the encoder's vectors come to the distances that they stand for, as a cosine of each row."""
+    s = staged(_taught(spark, sf_dir), "taught")
+    m = sequences.train_encoder(s, "p_partkey", "junction_aa", "embedding", rounds=40)
+    out = m.encode(s, "junction_aa", "_e")
+    size = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x), F.lit(0.0), lambda t, x: t + x))
+    near = F.aggregate(F.zip_with("_e", "embedding", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) / (size("_e") * size("embedding"))
+    return out.select("p_partkey", near.alias("cosine"))
+
+
+@query()
+def sequence_codec(spark, sf_dir):
+    """What comes back of every sequence from its code, scored by place."""
+    s = staged(_taught(spark, sf_dir), "taught")
+    m = sequences.train_codec(s, "p_partkey", "junction_aa", "embedding", rounds=60)
+    back = m.decode(m.code(s, "junction_aa"), "code")
+    return evaluate.codec_losslessness(back, "p_partkey", "junction_aa", "code", "recon", eps=1e-6).select("n", "exact_match", "token_acc", "anchor_acc", "middle_acc")
+
+
 # ---- A-07 and the stream
 
 
