@@ -108,10 +108,13 @@ def _from_pairs(points: DataFrame, key: str, pairs: DataFrame, min_samples: int)
 
 
 def cluster(df: DataFrame, key: str, vector: str, method: str = "dbscan", **kwargs) -> DataFrame:
-    """Clusters by method name; ValueError for one that is not there."""
-    if method != "dbscan":
-        raise ValueError(f"unknown method {method!r}; choose dbscan")
-    return dbscan(df, key, vector, **kwargs)
+    """Clusters by method name, ``dbscan`` or ``hdbscan``; ValueError for one that is not there."""
+    from plexivec.operators.hierarchy import hdbscan
+
+    methods = {"dbscan": dbscan, "hdbscan": hdbscan}
+    if method not in methods:
+        raise ValueError(f"unknown method {method!r}; choose one of {sorted(methods)}")
+    return methods[method](df, key, vector, **kwargs)
 
 
 def cluster_hits(df: DataFrame, mask: str, key: str, vector: str, least: int = 5, **kwargs) -> DataFrame:

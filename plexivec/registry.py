@@ -351,6 +351,11 @@ def dbscan_indexed(spark, sf_dir):
     return cluster.dbscan(vectors(spark, sf_dir), "vec_id", "embedding", eps=float(np.sqrt(1.3)), min_samples=3, block=128)
 
 
+@query()
+def hdbscan(spark, sf_dir):
+    return cluster.cluster(vectors(spark, sf_dir), "vec_id", "embedding", method="hdbscan", min_samples=3, min_cluster_size=5)
+
+
 # ---- H: samples
 
 
