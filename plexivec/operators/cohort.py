@@ -151,7 +151,7 @@ def correct_batch(df: DataFrame, key: str, vector: str, batch: str, covariates:
     centers = np.array(KMeans(k=n_clusters, featuresCol="_u", distanceMeasure="cosine", seed=seed).fit(unit.select("_u")).clusterCenters())
     centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
     cols = [F.col(key).alias("key"), F.col(vector).alias("x"), F.col(batch).alias("b"), (F.col(covariates) if covariates else F.array().cast("array<double>")).alias("c")]
-    rows = df.select(*cols)
+    rows = staged(df.select(*cols), "batches")  # read in every round
     observed = np.ones((len(centers), len(names)))
     expected = np.ones_like(observed)
 

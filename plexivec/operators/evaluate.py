@@ -189,6 +189,10 @@ def logrank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     return out.select("statistic", chi2_tail("statistic", "df").alias("pvalue"))
 
 
+#: Events of one time that are handled together.
+TIED = 1000
+
+
 def cox_fit(df: DataFrame, time: str, event: str, vector: str, penalizer: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Coefficients of a ridge Cox regression with Efron's ties, by Newton's method.
 
@@ -196,6 +200,8 @@ def cox_fit(df: DataFrame, time: str, event: str, vector: str, penalizer: float
     sums over times; of d events at one time the l-th sees the risk set less l/d of the events.  The driver
     gets a gradient and a matrix of covariates.
     """
+    df = staged(df.select(time, event, vector), "risks")  # read in every round
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = len(df.select(vector).first()[0])
     beta = np.zeros(k)
     n = df.count()
@@ -206,8 +212,10 @@ def cox_fit(df: DataFrame, time: str, event: str, vector: str, penalizer: float
     for _ in range(rounds):
         risk = F.exp(sum((F.col(vector)[i] * float(b) for i, b in enumerate(beta)), F.lit(0.0)))
         by_time = df.groupBy(F.col(time).alias("t")).agg(F.sum(e).alias("d"), *[F.sum(e * value[str(i)]).alias(f"e{i}") for i in range(k)], *[F.sum(risk * value[m]).alias(f"s{m}") for m in names], *[F.sum(e * risk * value[m]).alias(f"f{m}") for m in names])
-        cum = by_time.select("d", *[f"e{i}" for i in range(k)], *[F.sum(f"s{m}").over(later).alias(f"s{m}") for m in names], *[f"f{m}" for m in names]).filter("d > 0")
-        tied = cum.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
+        cum = by_time.select("t", "d", *[f"e{i}" for i in range(k)], *[F.sum(f"s{m}").over(later).alias(f"s{m}") for m in names], *[f"f{m}" for m in names]).filter("d > 0")
+        # times, and the events of one time by the thousand, are dealt to all tasks before there is a row for each event
+        spread = cum.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d").cast("long") - 1, F.lit(TIED).cast("long")))).repartition(parts, "t", "_first")
+        tied = spread.withColumn("l", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + TIED, F.col("d").cast("long")) - 1)))
         left = {m: F.col(f"s{m}") - F.col("l") / F.col("d") * F.col(f"f{m}") for m in names}
         mean = lambda i: left[str(i)] / left[""]
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -274,13 +282,13 @@ def _gev_terms(v: Column, mu: float, sigma: float, xi: float) -> tuple[Column, C
     return density, F.when(inside, F.exp(-t)).otherwise(F.lit(0.0 if xi > 0 else 1.0))
 
 
-def _fit_gev(df: DataFrame, v: Column, mean: float, var: float, skew: float, rounds: int = 60) -> tuple[float, float, float]:
+def _fit_gev(counts: DataFrame, v: Column, weight: Column, mean: float, var: float, skew: float, rounds: int = 60) -> tuple[float, float, float]:
     """Maximum likelihood by Newton-like steps of a simplex whose corners are scored in one job a round."""
     sigma = math.sqrt(6 * var) / math.pi
     start = np.array([mean - 0.5772 * sigma, math.log(sigma), 0.1 if skew > 0 else -0.1])
 
     def score(points: list[np.ndarray]) -> np.ndarray:
-        got = df.agg(*[F.sum(_gev_terms(v, float(p[0]), float(np.exp(p[1])), float(p[2]))[0]).alias(f"l{i}") for i, p in enumerate(points)]).first()
+        got = counts.agg(*[F.sum(weight * _gev_terms(v, float(p[0]), float(np.exp(p[1])), float(p[2]))[0]).alias(f"l{i}") for i, p in enumerate(points)]).first()
         return -np.array([float(x) for x in got])
 
     corners = [start] + [start + np.eye(3)[i] * (0.5 * sigma, 0.3, 0.2)[i] for i in range(3)]
@@ -333,7 +341,7 @@ def fit_distributions(df: DataFrame, value: str) -> pd.DataFrame:
         slope = 1 / k - (digamma(k + 1e-3) - digamma(k - 1e-3)) / 2e-3
         k = max(k - f / slope, k / 2)
     theta = mean / k
-    mu, sigma, xi = _fit_gev(rows, v, mean, var, third)
+    mu, sigma, xi = _fit_gev(counts, v, weight, mean, var, third)
     likelihood, gev = _gev_terms(v, mu, sigma, xi)
     z = (v - mean) / sqrt(2 * var)
     fits = [

@@ -15,7 +15,7 @@ from plexivec.functions.vectors import l2sq
 from plexivec.operators.basis import fit_projection, transform
 from plexivec.operators.embedding import sequence_distances
 from plexivec.operators.evaluate import spearman
-from plexivec.operators.neighbors import PAIR_SUMS, _block_pairs, _d2, ball_counts, correlation, sums_of_pairs
+from plexivec.operators.neighbors import PAIR_SUMS, _block_pairs, _d2, ball_counts, correlation, distance_corr, sums_of_pairs
 from plexivec.operators.strings import one_mismatch_counts
 from plexivec.plans.staging import staged
 
@@ -66,7 +66,7 @@ def mutation_drift(df: DataFrame, prototypes: DataFrame, sequence: str, max_mut:
 def prototype_correlation(df: DataFrame, one: DataFrame, other: DataFrame, key: str, sequence: str, **kwargs) -> DataFrame:
     """One row ``r``: correlation of all distances between rows under two sets of prototypes."""
     e = sequence_distances(sequence_distances(df.select(key, sequence), one, sequence, "x", **kwargs), other, sequence, "y", **kwargs)
-    return _pairs(staged(e, "theory"), key, ["x", "y"]).agg(F.corr(F.sqrt(l2sq("x1", "x2")), F.sqrt(l2sq("y1", "y2"))).alias("r"))
+    return distance_corr(staged(e, "theory"), key, "x", "y").select("r")
 
 
 def neighbour_convergence(df: DataFrame, prototypes: DataFrame, key: str, sequence: str, n_components: int = 25, scales: Sequence[float] = (0.5, 1.0, 1.5, 2.0, 3.0), seed: int = 0) -> DataFrame:
