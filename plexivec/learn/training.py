@@ -91,6 +91,21 @@ def summed(net: Net, params: np.ndarray, rows: DataFrame, gradient: bool = True)
     return total[0], int(total[1]), total[2:]
 
 
+class Adam:
+    """Parameters that gradients move by Adam, slower in the second half of all rounds."""
+
+    def __init__(self, params: np.ndarray, rate: float, rounds: int):
+        self.params, self.rate, self.rounds, self.k = params, rate, rounds, 0
+        self.first, self.second = np.zeros_like(params), np.zeros_like(params)
+
+    def step(self, g: np.ndarray) -> None:
+        """One move against the gradient ``g``."""
+        self.first, self.second = 0.9 * self.first + 0.1 * g, 0.99 * self.second + 0.01 * g * g
+        step = self.first / (1 - 0.9 ** (self.k + 1)) / (np.sqrt(self.second / (1 - 0.99 ** (self.k + 1))) + 1e-8)
+        self.params = self.params - self.rate * min(1.0, 2 * (1 - self.k / self.rounds)) * step
+        self.k += 1
+
+
 @dataclass
 class Fitted:
     """Parameters, the losses of validation by round, and where the best parameters are kept."""
@@ -121,17 +136,15 @@ def fit(net: Net, rows: DataFrame, key: str, rounds: int = 60, batch_rows: int =
     if not n:
         raise ValueError("no rows to learn from")
     batches = max(1, round(n / batch_rows))
-    params, first, second = net.start(seed), np.zeros(net.size), np.zeros(net.size)
-    out, best, kept = Fitted(params), np.inf, None
+    adam, best, kept = Adam(net.start(seed), rate, rounds), np.inf, None
+    out = Fitted(adam.params)
     for k in range(rounds):
         turn, at = divmod(k, batches)
         batch = rows if batches == 1 else rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), F.col(key)), F.lit(batches)) == at)
-        _, m, g = summed(net, params, batch)
+        _, m, g = summed(net, adam.params, batch)
         if m:
-            g = g / m
-            first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-            step = first / (1 - 0.9 ** (k + 1)) / (np.sqrt(second / (1 - 0.99 ** (k + 1))) + 1e-8)
-            params = params - rate * min(1.0, 2 * (1 - k / rounds)) * step
+            adam.step(g / m)
+        params = adam.params
         if validation is not None and (k + 1) % every == 0 or k == rounds - 1:
             loss, m, _ = summed(net, params, rows if validation is None else validation, gradient=False)
             out.losses.append(loss / max(m, 1))

@@ -16,7 +16,7 @@ from plexivec.functions.names import allele_to_major, allele_with_default, strip
 from plexivec.functions.names import prototype_hash as names_hash
 from plexivec.functions.stats import benjamini_hochberg, fisher_combine, poisson_tail, size_weight
 from plexivec.functions.vectors import l2sq
-from plexivec.learn import sequences
+from plexivec.learn import sequences, sets
 from plexivec.operators import basis, cluster, cohort, density, embedding, evaluate, neighbors, repertoire, strings, theory
 from plexivec.plans.staging import staged
 from plexivec.sources.formats import allele_counts, antigen_subset, library_consistency, load_labels
@@ -699,6 +699,19 @@ def sequence_codec(spark, sf_dir):
     return evaluate.codec_losslessness(back, "p_partkey", "junction_aa", "code", "recon", eps=1e-6).select("n", "exact_match", "token_acc", "anchor_acc", "middle_acc")
 
 
+@query()
+def set_encoder(spark, sf_dir):
+    """Customers as samples of the parts they bought: the share of small ones, learned from the cloud alone; ``apart`` samples were not learned from."""
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    a = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").cast("double").alias("a"))
+    size = F.col("p_size") / 50.0
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.array(size, size * size, F.col("p_retailprice").cast("double") / 1000, F.lit(1.0)).alias("z"))
+    c = staged(a.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("o_custkey", "z", "a", "p_size"), "clouds")
+    y = c.groupBy("o_custkey").agg((F.sum(F.when(F.col("p_size") <= 15, F.col("a")).otherwise(0.0)) / F.sum("a")).alias("label"))
+    m = sets.train_set_encoder(c, y, "o_custkey", "z", "a", "label", rounds=16, every=8, hidden=16, queries=4, rate=1e-2)
+    return m.predict(c, "o_custkey", "z", "a").join(y, "o_custkey").select("o_custkey", "label", "predicted", sets.held_out(F.col("o_custkey"), 0.2).alias("apart"))
+
+
 # ---- A-07 and the stream
 
 
