@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plexivec.llm import queries
-from plexivec.llm.exact_dedup import exact_dedup
+from plexivec.llm.exact_dedup import exact_dedup, may_repeat, repeated_positions
 from plexivec.llm.line_dedup import dedup_lines
 from plexivec.llm.mixing import fair_schedule, mix_sources, mixed_documents, served, source_targets
 from plexivec.plans.skew import lookup
@@ -121,6 +121,27 @@ def test_exact_beyond_the_broadcast_limit(docs, monkeypatch):
     assert sorted(map(repr, exact_dedup(docs).collect())) == want
 
 
+def test_exact_moves_no_unique_row_behind_a_folded_filter(spark, monkeypatch):
+    """The second filter has bits for repeated positions only: it stays small beside many rows, and testing against it shuffles nothing."""
+    monkeypatch.setattr("plexivec.llm.exact_dedup.BLOCK_BITS", 64)
+    n = 20000
+    rows = spark.range(n).select(F.when(F.col("id") % 100 == 0, F.col("id") % 1000).otherwise(F.col("id")).alias("k"), F.col("id").alias("row"))
+    rows = rows.withColumn("position", F.pmod(F.xxhash64("k"), F.lit(1 << 20))).cache()
+    twice = repeated_positions(rows)
+    tested = may_repeat(rows, twice, n)
+    plan = tested._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(position" not in plan.split("BroadcastExchange")[0]
+    out = tested.groupBy("maybe", (F.col("row") % 100 == 0).alias("again")).count().collect()
+    count = {(r["maybe"], r["again"]): r["count"] for r in out}
+    assert count[True, True] == n // 100 and (False, True) not in count and sum(count.values()) == n
+    assert count[True, False] < 0.12 * n
+    monkeypatch.setattr("plexivec.llm.exact_dedup.BROADCAST_BYTES", 0)
+    apart = may_repeat(rows, twice, n).filter("maybe")
+    assert apart.filter("row % 100 = 0").count() == n // 100 and apart.count() < 0.05 * n
+    empty = rows.limit(0)
+    assert may_repeat(empty, repeated_positions(empty), 0).count() == 0
+
+
 def test_mixed_documents_by_either_join(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * (i % 9), ["a", "b", None][i % 3], "x") for i in range(300)], "doc_id long, text string, source string, _rows string")
     rows = sorted(map(repr, mixed_documents(docs).collect()))
