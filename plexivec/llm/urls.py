@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexivec.functions.text import ascii_lower
+from plexivec.plans.skew import lookup
+from plexivec.plans.staging import staged
 
-#: Rules are a list that people keep; they are compiled into the plan.
-MAX_RULES = 2000
+#: So many rules are compiled into the plan; more, or a table of any size, are joined.
+MAX_COMPILED = 16
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 BUCKETS = 1 << 14
 
@@ -80,18 +82,55 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> C
     """``struct(rule, verdict)`` of the longest rule that fits, or null.
 
     A rule is a host and a path that starts with ``/``; it fits its host and all subdomains if the path
-    starts with the rule's.  Of equally long rules the first in code-point order.
+    starts with the rule's.  Of equally long rules the first in code-point order; of two verdicts of a rule the later one (block).
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule, verdict in sorted(rules, key=lambda r: (len(r[0]), [-ord(c) for c in r[0]])):
+    for rule, verdict in sorted(rules, key=lambda r: (len(r[0]), [-ord(c) for c in r[0]], r[1])):
         name, _, tail = rule.partition("/")
         fits = ((host == name) | F.endswith(host, F.lit(f".{name}"))) & F.startswith(path, F.lit(f"/{tail}"))
         found = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
     return found
 
 
+def joined_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (with ``host, path``) with the struct ``_rule`` as ``best_rule`` finds it, for a table ``rule, verdict`` of any size.
+
+    Distinct hosts meet the names that rules have by their ends at the dots; distinct pairs of host and path meet the rules of these
+    names by the beginnings of the path of every length that the name's rules have.  Nothing else is compared; common hosts, ends
+    and pairs are looked up apart, and a row moves once at most.  Rules that are null are left out.
+    """
+    at = F.locate("/", F.col("rule"))
+    name = F.when(at > 0, F.expr("left(rule, locate('/', rule) - 1)")).otherwise(F.col("rule"))
+    start = F.when(at > 0, F.expr("substring(rule, locate('/', rule))")).otherwise("/")
+    known = rules.filter(F.col("rule").isNotNull()).select(name.alias("name"), start.alias("start"), "rule", "verdict")
+    # texts of one name and start differ by a lacking slash only: the longer counts
+    best = F.max(F.struct(F.length("rule").alias("n"), "verdict", "rule"))
+    known = staged(known.groupBy("name", "start").agg(best.alias("_b")).select("name", "start", F.struct("_b.rule", "_b.verdict").alias("_rule")), "rules")
+    lengths = known.groupBy("name").agg(F.collect_set(F.length("start")).alias("lengths"))
+    pairs = staged(rows.groupBy("host", "path").agg(F.count("*").alias("_n")), "pairs")
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = pairs.groupBy("host").agg(F.count("*").alias("_m")).select("host", "_m", F.explode(F.array_distinct(ends)).alias("name"))
+    fits = _met(hosts, lengths, ["name"]).groupBy("host", "_m").agg(F.collect_list(F.struct("name", "lengths")).alias("names"))
+    tries = _met(pairs, fits.drop("_m"), ["host"]).select("host", "path", "_n", F.explode("names").alias("_t"))
+    tries = tries.select("host", "path", "_n", F.col("_t.name").alias("name"), F.explode("_t.lengths").alias("_l")).filter(F.col("_l") <= F.length("path"))
+    tries = tries.select("host", "path", "_n", "name", F.expr("left(path, _l)").alias("start"))
+    order = F.struct((-F.length("_rule.rule")).alias("n"), F.col("_rule.rule").alias("rule"), F.col("_rule").alias("of"))
+    found = _met(tries, known, ["name", "start"]).groupBy("host", "path").agg(F.min(order).alias("_o"), F.first("_n").alias("_n"))
+    found = staged(found.select(F.xxhash64("host", "path").alias("_key"), "host", "path", F.col("_o.of").alias("_rule"), "_n"), "found")
+    total = pairs.agg(F.sum("_n")).first()[0] or 0
+    out = lookup(rows.withColumn("_key", F.xxhash64("host", "path")), found, ["_key", "host", "path"], "_n", total, F.monotonically_increasing_id())
+    return out.drop("_key", "_n")
+
+
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` that have a row of ``groups`` by ``keys``, with its columns; keys of many rows are looked up apart."""
+    rows = staged(rows.withColumn("_key", F.xxhash64(*keys)), "tries")
+    sizes = rows.groupBy("_key", *keys).agg(F.count("*").alias("_size"))
+    known = staged(sizes.join(groups, keys), "met")
+    return lookup(rows, known, ["_key", *keys], "_size", rows.count(), F.monotonically_increasing_id(), "inner").drop("_key", "_size")
+
+
 def _grams(text: str, mark: str) -> str:
     """SQL for the marked runs of 3 to 5 characters of a text with ``^`` and ``$`` around it."""
     t = f"concat('^', {text}, '$')"
@@ -110,18 +149,22 @@ def fit_url_model(spark: SparkSession, table: Sequence[tuple[str, float]] | None
     return Pipeline(stages=[grams, hashed, fit]).fit(rows.coalesce(1).select(host.alias("host"), path.alias("path"), "label", "weight"))
 
 
-def judge_urls(pages: DataFrame, model: PipelineModel, url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, model: PipelineModel, url_col: str = "url", rules: Sequence[tuple[str, str]] | DataFrame = RULES) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict, block_score``.
 
     The verdict is the best rule's, or the classifier's: block from a probability of 0.5.  A null URL or
     one without ``://`` has an empty host and path, which no rule fits, and is judged by the classifier
-    like any other.  URLs of any length are read whole.  Repeated rows have equal results; an empty table
+    like any other.  ``rules`` are pairs of rule and verdict, or a table of them, of any number.  URLs of any length are read whole.  Repeated rows have equal results; an empty table
     gives an empty result.  Columns of these names are replaced.
     """
     host, path = host_and_path(F.col(url_col))
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
     packed = pages.select(F.struct(*names).alias("_row"), host.alias("host"), path.alias("path"))
     scored = model.transform(packed).withColumn("block_score", vector_to_array("probability")[1])
-    scored = scored.withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules))
+    if isinstance(rules, DataFrame) or len(rules) > MAX_COMPILED:
+        listed = rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(list(rules), "rule string, verdict string")
+        scored = joined_rules(scored.select("_row", "host", "path", "block_score"), listed)
+    else:
+        scored = scored.withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return scored.select("_row.*", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "block_score")

@@ -1,5 +1,6 @@
 """Language, quality, URLs, licences, tokens and the pipeline."""
 
+import random
 import re
 import unicodedata
 from collections import Counter
@@ -193,8 +194,35 @@ def test_url_model_on_pages(spark):
     got = queries.op6_url_filter(spark, SF).filter("rule is null").toPandas()
     bad = got["host"].str.contains(r"(?:casino|pills|spam|ads-track|adult|bets)")
     assert (got[bad]["verdict"] == "block").mean() > 0.9 and (got[~bad]["verdict"] == "allow").mean() > 0.95
-    with pytest.raises(ValueError):
-        urls.best_rule(F.col("host"), F.col("path"), [("a/", "block")] * (urls.MAX_RULES + 1))
+
+
+def test_url_rules_of_any_number(spark):
+    """A table of rules gives what the compiled rules give and what every rule tried in turn gives."""
+    rng = random.Random(5)
+    label = lambda: rng.choice(["com", "net", "a", "b", "", "é"])
+    path = lambda: "/" + "".join(rng.choice(["x", "y/", "é", "", "."]) for _ in range(rng.randrange(5)))
+    name = lambda: ".".join(label() for _ in range(rng.randrange(1, 4)))
+    rules = [(name() + rng.choice([path(), "/", "/", ""]), rng.choice(["allow", "block"])) for _ in range(150)]
+    rules += [("com/", "allow"), ("com/", "block"), ("com", "allow")]
+    given = [None, "", "no scheme"] + [f"http://{name()}{rng.choice([path(), '', '?q', path() * 200])}" for _ in range(300)] + ["http://a.com/x"] * 300
+    df = spark.createDataFrame(list(enumerate(given)), "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("name", F.lit("clash"))
+    host, at = urls.host_and_path(F.col("url"))
+    rows = df.select("page_id", host.alias("host"), at.alias("path")).cache()
+    listed = spark.createDataFrame(rules + [(None, "block")], "rule string, verdict string")
+    got = {r["page_id"]: r["_rule"] for r in urls.joined_rules(rows, listed).collect()}
+    assert len(got) == len(given) and sum(r is not None for r in got.values()) > 100
+    order = lambda r: (-len(r[0]), r[0], r[1] != "block")
+    for r in rows.collect():
+        fits = [x for x in rules if (lambda n, t: (r["host"] == n or r["host"].endswith("." + n)) and r["path"].startswith("/" + t))(x[0].partition("/")[0], x[0].partition("/")[2])]
+        found = got[r["page_id"]]
+        assert (tuple(found) if found else None) == min(fits, key=order, default=None)
+    few = rules[:12] + rules[-3:]
+    want = {r["page_id"]: r["_rule"] for r in rows.withColumn("_rule", urls.best_rule(F.col("host"), F.col("path"), few)).collect()}
+    assert {r["page_id"]: r["_rule"] for r in urls.joined_rules(rows, spark.createDataFrame(few, "rule string, verdict string")).collect()} == want
+    model = urls.fit_url_model(spark)
+    judged = urls.judge_urls(df, model, rules=listed).select("page_id", "name", "rule", "verdict").collect()
+    assert {r["page_id"]: r["rule"] for r in judged} == {k: r and r["rule"] for k, r in got.items()} and {r["name"] for r in judged} == {"clash"}
+    assert urls.judge_urls(df.limit(0), model, rules=listed).count() == 0
 
 
 def test_url_model_against_numpy(spark):
