@@ -104,7 +104,7 @@ def test_tells_samples_with_a_planted_cluster(spark, toy):
 def test_regression_and_errors(spark, toy):
     df, labels = toy
     y = df.filter("z is not null and w > 0 and not isnan(w)").groupBy("sid").agg((F.sum(F.when(F.col("z")[0] > 0, F.col("w")).otherwise(0)) / F.sum("w") * 100 + 5).alias("y"))
-    m = train_set_encoder(df, y, "sid", "z", "w", "y", rounds=20, every=10, batch_samples=30, queries=2, hidden=16, least=None, rate=1e-2)
+    m = train_set_encoder(df, y, "sid", "z", "w", "y", rounds=30, every=15, batch_samples=30, queries=2, hidden=16, least=None, rate=1e-2)
     out = m.predict(df, "sid", "z", "w").join(y, "sid")
     assert set_score(out, "y", "regression") > 0.6
     train = lambda lab, **kw: train_set_encoder(df, lab, "sid", "z", "w", "y", **{"rounds": 1} | kw)
