@@ -41,6 +41,8 @@ MISS = 1e-9
 LONG_LIST = 16
 #: Classes in a block of the comparison within groups.
 BLOCK_CLASSES = 1024
+#: Rows of a class that share one copy of its text.
+TEXT_ROWS = 256
 #: Of these, classes compared at once.
 CHUNK_CLASSES = 128
 HALF = np.uint64(2**63 - 1)
@@ -97,14 +99,15 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int,
     The texts of the classes in question are read again and written once; each pair then meets both.
     """
     t = staged(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, nodes), "texts")
-    both = pairs.select("a", "b")
-    for x in "ab":  # one class may be in a third of all pairs
-        both = _with_class(both, t.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x)
+    both = _with_texts(pairs.select("a", "b"), t, ["b", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(shingle_sets(batch.column("text_a"), n_words), shingle_sets(batch.column("text_b"), n_words)):
+            a = batch.column("a").to_numpy()
+            new = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]  # pairs come by "a", so its set serves many
+            sets, x, keep = shingle_sets(batch.column("text_a").filter(pa.array(new)), n_words), None, []
+            for other, y in zip(new, shingle_sets(batch.column("text_b"), n_words)):
+                x = next(sets) if other else x
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -112,6 +115,25 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int,
     return small_batches(both).mapInArrow(run, "a bigint, b bigint")
 
 
+def _with_texts(rows: DataFrame, texts: DataFrame, of: list[str]) -> DataFrame:
+    """``rows`` with ``text_<x>`` for each column ``x`` of classes.
+
+    Texts are never broadcast: the rows of a class are dealt to parts of about ``TEXT_ROWS``, and its text is
+    copied once for each part, so a class in a third of all rows goes to many tasks.  Parts are told before any
+    text is joined, from the columns of ``rows`` alone.
+    """
+    dealt, copies, total = rows, {}, rows.count()
+    for x in of:
+        sizes = rows.groupBy(x).agg(F.count("*").alias("_rows")).withColumn("_last", F.expr(f"(_rows - 1) div {TEXT_ROWS}"))
+        copies[x] = sizes.select(F.col(x).alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("_part"))
+        spread = F.xxhash64(F.lit(x), *rows.columns)
+        dealt = lookup(dealt, sizes, [x], "_rows", total, spread, "inner").withColumn(f"_part_{x}", F.pmod(spread, F.col("_last") + 1)).drop("_rows", "_last")
+    for x in of:
+        own = copies[x].join(texts, "node").select(F.col("node").alias(x), F.col("_part").alias(f"_part_{x}"), F.col("text").alias(f"text_{x}"))
+        dealt = dealt.join(own, [x, f"_part_{x}"]).drop(f"_part_{x}")
+    return dealt.select(*rows.columns, *[f"text_{x}" for x in of])
+
+
 def _with_class(pairs: DataFrame, of: DataFrame, x: str) -> DataFrame:
     """``pairs`` with the columns of the class ``x`` of each; classes in many pairs are looked up apart."""
     other = F.xxhash64(*pairs.columns)
@@ -204,7 +226,7 @@ def _within_groups(long: DataFrame, leaders: DataFrame, comp: DataFrame, docs: D
     # sketches decide which classes' texts are read at all, and by which pairs of blocks
     close = staged(blocks_.groupBy("g", "i", "j").applyInPandas(near, blocks_.schema), "close")
     texts = staged(_texts(close.select("node"), docs, nodes), "close_texts")
-    rows = _with_class(close, texts, "node")
+    rows = _with_texts(close, texts, ["node"]).withColumnRenamed("text_node", "text")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         return _forest(x[x["outside"]], x[~x["outside"]], n_words, percent)

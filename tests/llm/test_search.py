@@ -59,8 +59,8 @@ def test_documents(spark, n):
     check(table(spark, SMALL, "documents"), n)
 
 
-def test_large_families(spark):
-    """Groups far beyond the long-list limit: near copies, and texts that share half of their words only."""
+def test_large_families(spark, monkeypatch):
+    """Groups far beyond the long-list limit: near copies, and texts that share half of their words only; texts come in copies for parts, never to the lookup that may broadcast."""
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     docs = []
@@ -74,6 +74,14 @@ def test_large_families(spark):
     docs += [(200, None), (201, " \t\n"), (202, "One"), (203, "one"), (204, "one two"), (205, "a b c d e"), (206, "a b c d e f")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("m", F.lit(1))
     check(df, 2)
+    lookup = nd.lookup
+
+    def without_texts(rows, groups, *args):
+        assert not any("text" in c.replace("text_hash", "") for c in rows.columns + groups.columns)
+        return lookup(rows, groups, *args)
+
+    monkeypatch.setattr(nd, "lookup", without_texts)
+    monkeypatch.setattr(nd, "TEXT_ROWS", 8)
     check(df, 2, long_list=4)
 
 
