@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,49 +24,106 @@ def size_weight(count: Column, weight: str) -> Column:
     return kinds[weight]
 
 
-def _gamma_head(x: float, shape: float) -> float:
-    """Regularised lower incomplete gamma, small values without cancellation."""
-    if x <= 0:
-        return 0.0
-    if x >= shape + 1:
-        return max(0.0, 1.0 - _log_gamma_tail(x, shape))
-    term = total = 1.0 / shape
-    k = shape
-    while term > 1e-16 * total:
-        k += 1
-        term *= x / k
-        total += term
-    return min(1.0, total * math.exp(-x + shape * math.log(x) - math.lgamma(shape)))
-
-
-def _beta_head(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta by its continued fraction, from the side where that converges."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return max(0.0, 1.0 - _beta_head(1 - x, b, a))
-    c, d = 1.0, 1.0 / (1 - (a + b) * x / (a + 1) or 1e-300)
-    h = d
+#: Counts up to which logs of factorials come from a table (8 MB in a worker).
+FACTORIALS = 1_000_000
+
+
+def _apart(x: np.ndarray) -> np.ndarray:
+    """``x`` with something tiny in place of 0."""
+    return np.where(x == 0, 1e-300, x)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logs of the gamma function of positive numbers: Stirling's series from 10 on, to which smaller ones are raised."""
+    x = np.asarray(x, float)
+    raised = np.prod([np.where(x < 10, x + i, 1.0) for i in range(10)], axis=0)
+    y = np.where(x < 10, x + 10, x)
+    z = 1 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * 691 / 360360))))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(raised)
+
+
+def gamma_parts(x: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Regularised lower and upper incomplete gamma, each without cancellation on its own side; NaN stays.
+
+    A power series below ``shape`` + 1 and a continued fraction above run over the whole array; a number
+    leaves the rounds when it no longer changes.
+    """
+    x, shape = (v.astype(float) for v in np.broadcast_arrays(x, shape))
+    lower = np.where(np.isnan(x + shape), np.nan, np.where(np.isposinf(x), 1.0, 0.0))
+    upper = 1 - lower
+    with np.errstate(all="ignore"):
+        front = np.exp(-x + shape * np.log(x) - log_gamma(shape))
+
+    low = np.flatnonzero((x > 0) & (x < shape + 1))
+    u, k, live = x[low], shape[low].copy(), np.arange(len(low))
+    term = 1 / k
+    total = term.copy()
+    while len(live):
+        k[live] += 1
+        term[live] *= u[live] / k[live]
+        total[live] += term[live]
+        live = live[term[live] > 1e-16 * total[live]]
+    lower[low] = np.minimum(1.0, total * front[low])
+    upper[low] = 1 - lower[low]
+
+    high = np.flatnonzero((x > 0) & (x >= shape + 1) & np.isfinite(x))
+    k, b, live = shape[high], x[high] + 1 - shape[high], np.arange(len(high))
+    c, d = np.full(len(high), 1e300), 1 / b
+    h = d.copy()
+    for n in range(1, 100_000):
+        if not len(live):
+            break
+        a = -n * (n - k[live])
+        b[live] += 2
+        d[live] = 1 / _apart(a * d[live] + b[live])
+        c[live] = _apart(b[live] + a / c[live])
+        step = c[live] * d[live]
+        h[live] *= step
+        live = live[np.abs(step - 1) >= 1e-15]
+    upper[high] = np.minimum(1.0, front[high] * h)
+    lower[high] = 1 - upper[high]
+    return lower, upper
+
+
+def beta_head(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta by its continued fraction, from the side where that converges, for whole arrays; NaN stays."""
+    x, a, b = (v.astype(float) for v in np.broadcast_arrays(x, a, b))
+    other = x > (a + 1) / (a + b + 2)
+    u, p, q = np.where(other, 1 - x, x), np.where(other, b, a), np.where(other, a, b)
+    out = np.where(np.isnan(x + a + b), np.nan, (u >= 1).astype(float))
+    at = np.flatnonzero((u > 0) & (u < 1))
+    u, p, q, live = u[at], p[at], q[at], np.arange(len(at))
+    c, d = np.ones(len(at)), 1 / _apart(1 - (p + q) * u / (p + 1))
+    h = d.copy()
     for m in range(1, 1_000_000):
-        before = h
-        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 / (1 + t * d or 1e-300)
-            c = 1 + t / c or 1e-300
-            h *= c * d
-        if abs(h - before) <= 1e-15 * abs(h):
+        if not len(live):
             break
-    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    return min(1.0, math.exp(front) * h / a)
+        before, v, r, t = h[live], u[live], p[live], q[live]
+        for step in (m * (t - m) * v / ((r + 2 * m - 1) * (r + 2 * m)), -(r + m) * (r + t + m) * v / ((r + 2 * m) * (r + 2 * m + 1))):
+            d[live] = 1 / _apart(1 + step * d[live])
+            c[live] = _apart(1 + step / c[live])
+            h[live] *= c[live] * d[live]
+        live = live[np.abs(h[live] - before) > 1e-15 * np.abs(h[live])]
+    front = log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * np.log(u) + q * np.log1p(-u)
+    out[at] = np.minimum(1.0, np.exp(front) * h / p)
+    return np.where(other, 1 - out, out)
 
 
 @F.pandas_udf(DoubleType())
 def _poisson(n: pd.Series, mean: pd.Series) -> pd.Series:
-    return pd.Series([None if math.isnan(k + m) else 1.0 if k <= 0 else _gamma_head(m, k) for k, m in zip(n, mean)], dtype=float)
+    k, m = n.to_numpy(float), mean.to_numpy(float)
+    some = k > 0
+    return pd.Series(np.where(some | np.isnan(k + m), gamma_parts(m, np.where(some, k, 1.0))[0] + 0 * k, 1.0))
 
 
 @F.pandas_udf(DoubleType())
 def _binomial(n: pd.Series, trials: pd.Series, p: pd.Series) -> pd.Series:
-    return pd.Series([None if math.isnan(k + t + q) else 1.0 if k <= 0 else 0.0 if k > t else _beta_head(q, k, t - k + 1) for k, t, q in zip(n, trials, p)], dtype=float)
+    k, t, q = (v.to_numpy(float) for v in (n, trials, p))
+    out = np.where(np.isnan(k + t + q), np.nan, (k <= 0).astype(float))
+    at = np.flatnonzero((k > 0) & (k <= t) & ~np.isnan(q))
+    out[at] = beta_head(q[at], k[at], t[at] - k[at] + 1)
+    return pd.Series(out)
 
 
 def poisson_tail(n: Column, mean: Column) -> Column:
@@ -84,60 +142,51 @@ def fisher_combine(p: Column, q: Column) -> Column:
     return F.exp(-half) * (1 + half)
 
 
-def _log_gamma_tail(x: float, shape: float) -> float:
-    """Regularised upper incomplete gamma by series below shape + 1, by continued fraction above."""
-    if x <= 0:
-        return 1.0
-    front = math.exp(-x + shape * math.log(x) - math.lgamma(shape))
-    if x < shape + 1:
-        term = total = 1.0 / shape
-        k = shape
-        while abs(term) > 1e-16 * abs(total):
-            k += 1
-            term *= x / k
-            total += term
-        return max(0.0, 1.0 - total * front)
-    b = x + 1 - shape
-    c, d = 1e300, 1.0 / b
-    h = d
-    for i in range(1, 10000):
-        a = -i * (i - shape)
-        b += 2
-        d = 1.0 / (a * d + b or 1e-300)
-        c = b + a / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
-
-
 @F.pandas_udf(DoubleType())
 def gamma_tail(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
     """P(X >= x) for a gamma variable."""
-    return pd.Series([_log_gamma_tail(a / s, k) for a, k, s in zip(x, shape, scale)], dtype=float)
+    return pd.Series(gamma_parts(x.to_numpy(float) / scale.to_numpy(float), shape.to_numpy(float))[1])
 
 
 @F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """P(Z <= z) for a standard normal variable."""
-    return pd.Series([0.5 * math.erfc(-x / math.sqrt(2)) for x in z], dtype=float)
+    x = z.to_numpy(float)
+    lower, upper = gamma_parts(x * x / 2, np.full(len(x), 0.5))
+    return pd.Series(np.where(x < 0, upper / 2, (1 + lower) / 2))
 
 
 @F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, degrees: pd.Series) -> pd.Series:
     """P(X >= x) for chi-square."""
-    return pd.Series([_log_gamma_tail(a / 2, k / 2) for a, k in zip(x, degrees)], dtype=float)
+    return pd.Series(gamma_parts(x.to_numpy(float) / 2, degrees.to_numpy(float) / 2)[1])
 
 
 _log_factorials = [np.zeros(1)]
 
 
-def _log_factorial(n: int) -> np.ndarray:
-    """Logs of the factorials of 0 .. ``n``, kept for the next batch."""
+def _log_factorial(n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Logs of factorials of 0 .. ``n``: from a table kept for the next batch, beyond ``FACTORIALS`` by Stirling's series."""
+    if n > FACTORIALS:
+        return lambda k: log_gamma(np.asarray(k) + 1.0)
     if len(_log_factorials[0]) <= n:
         size = max(n + 1, 2 * len(_log_factorials[0]))
         _log_factorials[0] = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, size)))])
-    return _log_factorials[0]
+    return _log_factorials[0].__getitem__
+
+
+def _likely(logs: Callable[[np.ndarray], np.ndarray], low: int, high: int, mode: int) -> tuple[int, int]:
+    """The ends of the run of places whose likelihood, rising to ``mode`` and falling after it, is not 0 in floats beside that at ``mode``."""
+    if high - low < 10_000:
+        return low, high
+    least = float(logs(np.array([mode]))[0]) - 745
+    ends = []
+    for inside, outside in ((mode, low - 1), (mode, high + 1)):
+        while abs(outside - inside) > 1:
+            k = (inside + outside) // 2
+            inside, outside = (k, outside) if float(logs(np.array([k]))[0]) >= least else (inside, k)
+        ends.append(inside)
+    return ends[0], ends[1]
 
 
 @F.pandas_udf(DoubleType())
@@ -145,7 +194,8 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
     """Two-sided Fisher exact p of the table [[a, b], [c, d]]: all tables no more likely than this one.
 
     Different tables of a batch are computed once, and the likelihoods of all tables with the same margins
-    at once, from one table of log factorials.
+    at once.  Of wide margins only tables that are not too unlikely for a float are looked at, some standard
+    deviations of them, so memory does not grow with the number of subjects.
     """
     cells = np.stack([x.to_numpy(np.int64) for x in (a, b, c, d)], 1)
     tables, where = np.unique(cells, axis=0, return_inverse=True)
@@ -153,16 +203,17 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
     out = np.ones(len(tables))
     margins = np.stack([tables[:, 0] + tables[:, 1], tables[:, 0] + tables[:, 2], tables.sum(1)], 1)
     for r, s, n in np.unique(margins, axis=0).tolist():
-        low = max(0, r + s - n)
-        k = np.arange(low, min(r, s) + 1)
-        logs = lf[s] - lf[k] - lf[s - k] + lf[n - s] - lf[r - k] - lf[n - s - r + k]
-        probs = np.exp(logs - logs.max())
+        logs = lambda k, r=r, s=s, n=n: lf(s) - lf(k) - lf(s - k) + lf(n - s) - lf(r - k) - lf(n - s - r + k)
+        low, high = _likely(logs, max(0, r + s - n), min(r, s), (r + 1) * (s + 1) // (n + 2))
+        probs = logs(np.arange(low, high + 1))
+        probs = np.exp(probs - probs.max())
         probs /= probs.sum()
         own = np.flatnonzero((margins == (r, s, n)).all(1))
         order = np.argsort(probs)
-        upto = np.cumsum(probs[order])
-        mine = probs[tables[own, 0] - low]
-        out[own] = np.minimum(1.0, upto[np.searchsorted(probs[order], mine * (1 + 1e-7), "right") - 1])
+        upto = np.concatenate([[0.0], np.cumsum(probs[order])])
+        place = tables[own, 0] - low
+        mine = np.where((place >= 0) & (place < len(probs)), probs[np.clip(place, 0, len(probs) - 1)], 0.0)
+        out[own] = np.minimum(1.0, upto[np.searchsorted(probs[order], mine * (1 + 1e-7), "right")])
     return pd.Series(out[where.ravel()])
 
 

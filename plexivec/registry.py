@@ -579,17 +579,21 @@ def logrank_table(spark, sf_dir):
     return evaluate.logrank_table(survival(spark, sf_dir), "t", "e", "g").select("group", "observed", r6("expected"))
 
 
-@query(f"""WITH {_SURVIVAL.replace("l_linestatus || l_returnflag", "l_linestatus")}, c AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE e) AS d, count(*) FILTER (WHERE g = 'F') AS nf, count(*) FILTER (WHERE e AND g = 'F') AS df FROM v GROUP BY 1),
+_LOGRANK = f"""WITH {_SURVIVAL.replace("l_linestatus || l_returnflag", "l_linestatus")}, c AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE e) AS d, count(*) FILTER (WHERE g = 'F') AS nf, count(*) FILTER (WHERE e AND g = 'F') AS df FROM v GROUP BY 1),
 k AS (SELECT d, df, (sum(n) OVER (ORDER BY t DESC))::DOUBLE AS r, (sum(nf) OVER (ORDER BY t DESC))::DOUBLE AS rf FROM c),
-u AS (SELECT sum(df - d * rf / r) AS u, sum(CASE WHEN r > 1 THEN d * (rf / r) * (1 - rf / r) * (r - d) / (r - 1) ELSE 0 END) AS w FROM k WHERE d > 0)
+u AS (SELECT sum(df - d * rf / r) AS u, sum(CASE WHEN r > 1 THEN d * (rf / r) * (1 - rf / r) * (r - d) / (r - 1) ELSE 0 END) AS w FROM k WHERE d > 0)"""
+
+
+@query(f"""{_LOGRANK}
 SELECT round(u * u / w, 4) AS statistic FROM u""")
 def logrank(spark, sf_dir):
     return evaluate.logrank(survival(spark, sf_dir), "t", "e", "g").select(F.round("statistic", 4).alias("statistic"))
 
 
-@query()
+@query(f"""{_LOGRANK}, p AS (SELECT u * u / w AS x, least(u * u / w, 200) / 2 AS y FROM u)
+SELECT round(x, 4) AS statistic, round(greatest(0, 1 - list_sum(list_transform(range(0, 400), lambda i: exp((i + 0.5::DOUBLE) * ln(y) - y - lgamma(i + 1.5::DOUBLE))))), 6) AS pvalue FROM p""")
 def logrank_pvalue(spark, sf_dir):
-    return evaluate.logrank(survival(spark, sf_dir), "t", "e", "g")
+    return evaluate.logrank(survival(spark, sf_dir), "t", "e", "g").select(F.round("statistic", 4).alias("statistic"), r6("pvalue"))
 
 
 @query()
@@ -628,10 +632,16 @@ def codec_losslessness(spark, sf_dir):
     return out.select("n", *[r6(c) for c in ("collision_rate", "ceiling", "exact_match", "mean_edit")])
 
 
-@query()
+_FRAME = "substr({0}, 1, 4) || rpad(substr({0}, 5, least(length({0}) - 7, 33)), 33, '-') || right({0}, 3)"
+
+
+@query(f"""WITH o AS (SELECT DISTINCT {_JUNCTION} AS s FROM part), x AS (SELECT s, 'CA' || substr(s, 3) AS r FROM o), f AS (SELECT {_FRAME.format('s')} AS a, {_FRAME.format('r')} AS b FROM x),
+p AS (SELECT i, avg((substr(a, i, 1) = substr(b, i, 1))::INTEGER) AS same FROM f, range(1, 41) t(i) GROUP BY 1)
+SELECT (SELECT count(*) FROM x)::BIGINT AS n, round((SELECT avg((s = r)::INTEGER) FROM x), 6) AS exact_match, round(avg(same), 6) AS token_acc, round(avg(same) FILTER (WHERE i <= 4 OR i > 37), 6) AS anchor_acc, round(avg(same) FILTER (WHERE i > 4 AND i <= 37), 6) AS middle_acc FROM p""")
 def token_accuracy(spark, sf_dir):
     s = junctions(spark, sf_dir).withColumn("code", F.array(F.col("p_partkey").cast("double"))).withColumn("recon", F.concat(F.lit("CA"), F.expr("substring(seq, 3)")))
-    return evaluate.codec_losslessness(s, "p_partkey", "seq", "code", "recon", eps=1e-3).select("n", "exact_match", "token_acc", "anchor_acc", "middle_acc")
+    out = evaluate.codec_losslessness(s, "p_partkey", "seq", "code", "recon", eps=1e-3)
+    return out.select("n", *[r6(c) for c in ("exact_match", "token_acc", "anchor_acc", "middle_acc")])
 
 
 @query()

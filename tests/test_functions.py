@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,15 @@ def test_aliases():
             f("frog")
 
 
+def test_aliases_of_a_column(spark):
+    names = ["Homo sapiens", " mus-musculus", "HSA", "frog", "", None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "i int, x string").orderBy("i").select(n.meant("species", F.col("x"))).collect()
+    assert [r[0] for r in got] == ["human", "mouse", "human", None, None, None]
+    names = ["heavy", "T-beta", "B_kappa", "igl", "T lambda", None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "i int, x string").orderBy("i").select(n.meant("locus", F.col("x"))).collect()
+    assert [r[0] for r in got] == ["IGH", "TRB", "IGK", "IGL", None, None]
+
+
 @pytest.mark.parametrize("seq", ["CAS", "CASSIRSSYEQYF", "C" * 60, "", None, "CAéS"])
 def test_tokens(spark, seq):
     ids = column(spark, seq, n.tokens(F.col("x")))[0]
@@ -137,3 +147,42 @@ def test_small_batches(spark):
         assert [r["n"] for r in small_batches(texts).mapInArrow(rows, "n bigint").collect()] == [1] * 30  # the caller's size holds
     finally:
         spark.conf.unset(SETTING) if before is None else spark.conf.set(SETTING, before)
+
+
+def test_tails_of_arrays():
+    from math import erfc, exp, lgamma, log, sqrt
+
+    x = np.concatenate([np.geomspace(1e-6, 1e9, 400), np.arange(1, 40) / 2])
+    want = np.array([lgamma(v) for v in x])
+    assert np.all(np.abs(st.log_gamma(x) - want) <= 1e-13 * np.maximum(1, np.abs(want)))
+    z = np.linspace(-30, 30, 601)
+    assert np.allclose(st.normal_cdf.func(pd.Series(z)), [0.5 * erfc(-v / sqrt(2)) for v in z], rtol=1e-12, atol=0)
+    k, m = (v.ravel() for v in np.meshgrid(np.arange(0, 60), [0.0, 1e-9, 0.5, 3.0, 40.0, 90.0]))
+    head = [1.0 if a == 0 else 0.0 if b == 0 else sum(exp(-b + i * log(b) - lgamma(i + 1)) for i in range(a, a + 600)) for a, b in zip(k.tolist(), m.tolist())]
+    assert np.allclose(st._poisson.func(pd.Series(k), pd.Series(m)), head, rtol=1e-10, atol=0)
+    t = k + k % 7
+    tail = [sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(q) + (n - i) * log(1 - q)) for i in range(a, n + 1)) for a, n, q in zip(k.tolist(), t.tolist(), (k % 9 / 10 + 0.05).tolist())]
+    assert np.allclose(st._binomial.func(pd.Series(k), pd.Series(t), pd.Series(k % 9 / 10 + 0.05)), tail, rtol=1e-10, atol=0)
+    assert list(st._binomial.func(pd.Series([3, 0, 2]), pd.Series([2, 2, 2]), pd.Series([0.5, 0.0, 1.0]))) == [0.0, 1.0, 1.0]
+    lost = pd.Series([np.nan, 1.0, 0.0]), pd.Series([1.0, np.nan, np.nan])
+    assert st._poisson.func(*lost).isna().all() and st._binomial.func(*lost, pd.Series([0.5] * 3)).isna().all() and st.chi2_tail.func(*lost).isna().all()
+    assert list(st.chi2_tail.func(pd.Series([0.0, np.inf]), pd.Series([3, 3]))) == [1.0, 0.0]
+
+
+def test_fisher_of_many_subjects(monkeypatch):
+    """Wide margins look at likely tables only, and large counts have no table of factorials: the same p as with all of them."""
+    rng = np.random.default_rng(5)
+    cells = [pd.Series(rng.integers(0, 30_000, 40)) for _ in range(4)]
+    cells[0][0], cells[1][0], cells[2][0], cells[3][0] = 30_000, 0, 0, 30_000
+    near = [pd.Series(20_000 + rng.integers(0, 300, 40)) for _ in range(4)]
+    for some in (cells, near):
+        got = st.fisher_exact.func(*some)
+        monkeypatch.setattr(st, "FACTORIALS", 10)
+        stirling = st.fisher_exact.func(*some)
+        monkeypatch.setattr(st, "_likely", lambda logs, low, high, mode: (low, high))
+        every = st.fisher_exact.func(*some)
+        monkeypatch.undo()
+        assert np.allclose(got, stirling, rtol=1e-6, atol=1e-300) and np.allclose(stirling, every, rtol=1e-9, atol=1e-300)
+    assert (got > 1e-6).sum() > 20
+    huge = st.fisher_exact.func(*[pd.Series([x]) for x in (60_000_000, 60_010_000, 60_000_000, 60_000_000)])
+    assert 0 < huge[0] < 1
