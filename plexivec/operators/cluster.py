@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plexivec.functions.stats import exact_quantiles
 from plexivec.operators.neighbors import BLOCK, ball_counts, check_backend, join_within, nearest, within
 from plexivec.plans.components import components
+from plexivec.plans.numbering import numbered
 from plexivec.plans.staging import staged
 
 
@@ -27,15 +28,45 @@ def knee(sorted_values: np.ndarray, degree: int = 7) -> float | None:
     return float(sorted_values[max(peaks, key=lambda i: gap[i])]) if peaks else None
 
 
-def estimate_eps(df: DataFrame, key: str, vector: str, k: int = 4, points: int = 2000) -> float:
+def knee_of_column(df: DataFrame, value: str, degree: int = 7, direct: int = 2000) -> float | None:
+    """``knee`` of all values in order, nulls left out: every value has its place, and the polynomial is fitted to all of them.
+
+    Up to ``direct`` values are sorted on the driver.  More are numbered by a range sort; the fit is one aggregate
+    of products with Chebyshev polynomials of the place, whose own products are such sums again.  The driver
+    holds the coefficients, and the knee is where the slope of the polynomial is that of the diagonal.
+    """
+    v = staged(df.select(F.col(value).cast("double").alias("v")).filter("v is not null"), "curve")
+    n = v.count()
+    if n <= direct:
+        return knee(np.sort(np.array([r[0] for r in v.collect()], float)), degree)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = numbered(v.repartitionByRange(parts, "v").sortWithinPartitions("v"), "i")
+    x = F.col("i") * (2.0 / (n - 1)) - 1
+    rows = placed.select("v", F.transform(F.array(*[F.lit(k) for k in range(2 * degree + 1)]), lambda k: F.cos(k * F.acos(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0))))).alias("t"))
+    sums = rows.agg(F.min("v").alias("low"), F.max("v").alias("high"), *[F.sum(F.col("t")[k]).alias(f"t{k}") for k in range(2 * degree + 1)], *[F.sum(F.col("t")[k] * F.col("v")).alias(f"y{k}") for k in range(degree + 1)]).first()
+    if sums["high"] <= sums["low"]:
+        return None
+    pairs = [[(sums[f"t{i + j}"] + sums[f"t{abs(i - j)}"]) / 2 for j in range(degree + 1)] for i in range(degree + 1)]
+    fit = np.polynomial.Chebyshev(np.linalg.solve(np.array(pairs), np.array([sums[f"y{k}"] for k in range(degree + 1)])))
+    between = lambda f: [z.real for z in f.roots() if abs(z.imag) < 1e-9 and -1 < z.real < 1]
+    ends = fit(np.array([-1.0, 1.0, *between(fit.deriv())]))
+    gap = np.polynomial.Chebyshev([0.5, 0.5]) - (fit - ends.min()) / max(ends.max() - ends.min(), 1e-300)
+    peaks = [z for z in between(gap.deriv()) if gap.deriv(2)(z) < 0]
+    if not peaks:
+        return None
+    place = (max(peaks, key=gap) + 1) / 2 * (n - 1)
+    at = max({int(place), min(int(place) + 1, n - 1)}, key=lambda i: gap(2.0 * i / (n - 1) - 1))
+    return placed.filter(F.col("i") == at).first()["v"]
+
+
+def estimate_eps(df: DataFrame, key: str, vector: str, k: int = 4) -> float:
     """Knee of the curve of distances to the ``k``-th nearest, the point itself counted; the median without a knee.
 
-    The curve is the quantile function, read at ``points`` even places whatever the number of rows.
+    Every row is a point of the curve.
     """
-    d = nearest(df, df, key, vector, k).filter(F.col("rank") == k).select(F.sqrt("d2").alias("d"))
-    qs = exact_quantiles(d, F.col("d"), np.linspace(0, 1, points).tolist())
-    found = knee(np.array(qs))
-    return found if found is not None else float(np.median(qs))
+    d = staged(nearest(df, df, key, vector, k).filter(F.col("rank") == k).select(F.sqrt("d2").alias("d")), "kth")
+    found = knee_of_column(d, "d")
+    return found if found is not None else exact_quantiles(d, F.col("d"), [0.5])[0]
 
 
 def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:

@@ -567,3 +567,19 @@ def test_projection_fits_all_rows(spark):
     df = spark.range(210_000).select(F.when(F.col("id") % 3 == 0, F.array(F.lit(9.0), F.lit(-9.0))).otherwise(F.array(F.col("id") % 7 * 1.0, F.col("id") % 11 * 1.0)).alias("v"))
     want = df.agg(F.avg(F.col("v")[0]), F.avg(F.col("v")[1])).first()
     assert basis.fit_projection(df, "v", 2).mean == pytest.approx(tuple(want), rel=1e-12)
+
+
+def test_knee_of_all_values(spark):
+    """The fit by sums is that of all values on the driver; ties, nulls, a flat and an empty column."""
+    rng = np.random.default_rng(8)
+    for values in (rng.exponential(1.0, 700), np.round(np.concatenate([rng.normal(1, 0.05, 600), rng.uniform(1, 9, 60)]), 2), rng.pareto(1.5, 500)):
+        df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "d double").repartition(5)
+        want = cluster.knee(np.sort(values))
+        at = np.sort(values)
+        got = cluster.knee_of_column(df, "d", direct=0)
+        assert cluster.knee_of_column(df, "d") == want
+        assert (got is None) == (want is None)
+        if want is not None:
+            assert got in at and abs(np.searchsorted(at, got) - np.searchsorted(at, want)) <= 1
+    flat = spark.createDataFrame([(1.0,)] * 50, "d double")
+    assert cluster.knee_of_column(flat, "d", direct=0) is None and cluster.knee_of_column(flat.limit(0), "d") is None
