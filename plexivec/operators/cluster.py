@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexivec.functions.stats import exact_quantiles
-from plexivec.operators.neighbors import BLOCK, ball_counts, check_backend, join_within, nearest, within
+from plexivec.operators.metric_index import Rows
+from plexivec.operators.neighbors import ACROSS, BLOCK, TILE, ball_counts, check_backend, join_within, nearest, tiles_within
 from plexivec.plans.components import components
 from plexivec.plans.numbering import numbered
 from plexivec.plans.staging import staged
@@ -86,6 +87,45 @@ def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def forest_of_links(x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray, r2: float) -> list[tuple[int, int]]:
+    """Pairs of ids that connect whatever all pairs within the radius connect, fewer than rows; each with itself if both sides have it.
+
+    Tiles of rows that are connected already are not looked at.
+    """
+    names, node = np.unique(np.concatenate([ids, others]), return_inverse=True)
+    up, (one, other) = np.arange(len(names)), (node[: len(ids)], node[len(ids) :])
+    out = [(int(i), int(i)) for i in np.intersect1d(ids, others)]
+
+    def joined(i: int, j: int) -> bool:
+        a, b = up[one[i : i + TILE]], up[other[j : j + ACROSS]]
+        return bool((a == a[0]).all() and (b == a[0]).all())
+
+    for i, j, inside in tiles_within(x, y, np.full(len(x), r2), joined):
+        a, b = one[i : i + len(inside)], other[j : j + inside.shape[1]]
+        while True:
+            apart = inside & (up[a][:, None] != up[b][None, :])
+            rows, columns = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
+            if not len(rows):
+                break
+            new = list(zip(a[rows].tolist(), b[apart[rows].argmax(1)].tolist())) + list(zip(a[apart[:, columns].argmax(0)].tolist(), b[columns].tolist()))
+            top = {int(r): int(r) for r in np.unique(up[np.array(new).ravel()])}
+
+            def root(k: int) -> int:
+                while top[k] != k:  # noqa: B023
+                    top[k] = k = top[top[k]]  # noqa: B023
+                return k
+
+            for p, q in new:
+                u, v = root(int(up[p])), root(int(up[q]))
+                if u != v:
+                    top[max(u, v)] = min(u, v)
+                    out.append((int(names[p]), int(names[q])))
+            ends = np.arange(len(names))
+            ends[list(top)] = [root(k) for k in list(top)]
+            up = ends[up]
+    return out
+
+
 def dbscan(df: DataFrame, key: str, vector: str, eps: float | None = None, min_samples: int = 3, k: int = 4, eps_factor: float = 0.4, backend: str = "kdtree", block: int = BLOCK) -> DataFrame:
     """``key, cluster``: the smallest core key of the cluster, -1 for noise.
 
@@ -103,21 +143,21 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float | None = None, min_s
     points = staged(df.select(F.col(key).alias("_id"), F.col(vector).alias("v")).join(degree.withColumnRenamed(key, "_id"), "_id").withColumn("core", F.col("_n") >= min_samples), "points")
     core = points.filter("core").select("_id", "v")
 
-    def forest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []})
-        links = np.array(spanning_links(within(x, y, r2)), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": x["_id"].to_numpy()[links[:, 0]], "b": y["_id"].to_numpy()[links[:, 1]]})
+    def forest(x: Rows, y: Rows) -> pd.DataFrame:
+        return pd.DataFrame(forest_of_links(x["v"], y["v"], x["_id"], y["_id"], r2), columns=["a", "b"])
 
     comp = components(join_within(core, core, forest, "a bigint, b bigint", float(eps), block, backend, once=True))
     labelled = staged(core.join(comp.select(F.col("node").alias("_id"), F.col("comp").alias("cluster")), "_id"), "labels")
 
-    def least(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"_id": [], "near": []})
-        best = np.where(within(x, y, r2), y["cluster"].to_numpy()[None, :], np.iinfo(np.int64).max).min(1)
-        there = best < np.iinfo(np.int64).max
-        return pd.DataFrame({"_id": x["_id"].to_numpy()[there], "near": best[there]})
+    def least(x: Rows, y: Rows) -> pd.DataFrame:
+        none, order = np.iinfo(np.int64).max, np.argsort(y["cluster"], kind="stable")
+        named, best = y["cluster"][order], np.full(len(x["v"]), np.iinfo(np.int64).max)
+        settled = lambda i, j: bool((best[i : i + TILE] <= named[j]).all())
+        for i, j, inside in tiles_within(x["v"], y["v"][order], np.full(len(x["v"]), r2), settled):
+            first = np.where(inside.any(1), named[j + inside.argmax(1)], none)
+            best[i : i + len(inside)] = np.minimum(best[i : i + len(inside)], first)
+        there = best < none
+        return pd.DataFrame({"_id": x["_id"][there], "near": best[there]})
 
     others = points.filter("not core and v is not null").select("_id", "v")
     border = join_within(others, labelled, least, "_id bigint, near bigint", float(eps), block, backend).groupBy("_id").agg(F.min("near").alias("cluster"))

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexivec.operators.neighbors import BLOCK, _block_pairs, _d2, _index, nearest
+from plexivec.operators.metric_index import Rows, distances2
+from plexivec.operators.neighbors import ACROSS, BLOCK, TILE, _block_pairs, _differences2, _index, nearest
 from plexivec.plans.components import components
 from plexivec.plans.staging import staged
 
@@ -44,18 +45,24 @@ def spanning_tree(df: DataFrame, key: str, vector: str, min_samples: int, block:
     index = _index(points, points, block, backend)
     labels, tree = staged(points.select("_id", F.col("_id").alias("comp")), "labels"), None
 
-    def cheapest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"comp": [], "w": [], "a": [], "b": []})
-        d = np.maximum(np.maximum(np.sqrt(_d2(x, y)), x["core"].to_numpy()[:, None]), y["core"].to_numpy()[None, :])
-        d[x["comp"].to_numpy()[:, None] == y["comp"].to_numpy()[None, :]] = np.inf
-        low, ids = d.min(1, keepdims=True), y["_id"].to_numpy()
-        own = x["_id"].to_numpy()[:, None]
-        # of equally light edges the first by ends
-        ends = np.where(d == low, np.minimum(own, ids) * 1.0, np.inf)
-        first = np.where((d == low) & (ends == ends.min(1, keepdims=True)), np.maximum(own, ids), np.iinfo(np.int64).max).argmin(1)
-        out = pd.DataFrame({"comp": x["comp"], "w": low[:, 0], "a": np.minimum(own[:, 0], ids[first]), "b": np.maximum(own[:, 0], ids[first])})
-        return out[np.isfinite(out["w"])].sort_values(["w", "a", "b"]).drop_duplicates("comp")
+    def cheapest(x: Rows, y: Rows) -> pd.DataFrame:
+        out = []
+        hair = 1e-9 * ((x["v"] ** 2).sum(1).max() + (y["v"] ** 2).sum(1).max())
+        for i in range(0, len(x["v"]), TILE):
+            at, best, found = slice(i, i + TILE), np.inf, []
+            for j in range(0, len(y["v"]), ACROSS):
+                to = slice(j, j + ACROSS)
+                d = np.maximum(np.maximum(distances2(x["v"][at], y["v"][to]), x["core"][at, None] ** 2), y["core"][to] ** 2)
+                d[x["comp"][at, None] == y["comp"][to]] = np.inf
+                best = np.minimum(best, d.min(1, keepdims=True) + hair + 1e-9 * d.min(1, keepdims=True))
+                near = np.nonzero((d <= best) & np.isfinite(d))
+                found.append((near[0] + i, near[1] + j))
+            a, b = (np.concatenate(z) for z in zip(*found))
+            w = np.maximum(np.maximum(np.sqrt(_differences2(x["v"], y["v"], a, b)), x["core"][a]), y["core"][b])
+            ends = x["_id"][a], y["_id"][b]
+            edges = pd.DataFrame({"comp": x["comp"][a], "w": w, "a": np.minimum(*ends), "b": np.maximum(*ends)})
+            out.append(edges.sort_values(["w", "a", "b"]).drop_duplicates("comp"))  # of equally light edges the first by ends
+        return pd.concat(out).sort_values(["w", "a", "b"]).drop_duplicates("comp")
 
     for _ in range(MAX_ROUNDS):
         other = labels.select(F.col("_id").alias("neighbor"), F.col("comp").alias("there"))

@@ -2,8 +2,8 @@
 
 Vectors are dealt to the ball of their nearest pivot, and balls are cut into shells by distance; a shell is a cell.
 For every cell the least and largest distance to each pivot are known, so for two cells no distance can be below the
-largest gap between their ranges.  Only pairs of cells that may hold neighbours are compared, in blocks of bounded
-size.  Pivots and cells have fixed bounds in number, so their tables fit the driver whatever the number of vectors.
+largest gap between their ranges.  Only pairs of cells that may hold neighbours are compared.  Cells travel in parts of
+either side, of which there are no more than a fixed number until parts have their largest size.  Pivots and cells have fixed bounds in number, so their tables fit the driver whatever the number of vectors.
 """
 
 from __future__ import annotations
@@ -115,25 +115,93 @@ class CellIndex:
         return out
 
     def join(self, needed: np.ndarray, run: Callable, schema: str, radius: str | None = None, left: DataFrame | None = None) -> DataFrame:
-        """``run(left block, right block)`` for all blocks of the needed pairs of cells.
+        """``run(left rows, right rows)`` (``Rows``) for the rows of all needed pairs of cells, as in ``meet``.
 
         With a column ``radius`` a left row goes only to cells that may reach into its own ball.
         """
-        left, spark = self.left if left is None else left, self.left.sparkSession
-        blocks = lambda n: np.maximum(1, -(-n // self.block))
-        pairs = np.argwhere(needed)
-        ball = pairs[:, 0] // max(1, len(self.n_left) // len(self.pivots))
-        table = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "na": blocks(self.n_left)[pairs[:, 0]], "nb": blocks(self.n_right)[pairs[:, 1]], "lo": self.right_low[pairs[:, 1], ball], "hi": self.right_high[pairs[:, 1], ball]})
-        table = spark.createDataFrame(table, "a int, b int, na long, nb long, lo double, hi double")
-        by = lambda k, others: table.groupBy(F.col(k).alias("cell")).agg(F.collect_list(F.struct(*others)).alias("_to"))
-        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-        x = left.join(F.broadcast(by("a", ["b", "na", "nb", "lo", "hi"])), "cell").withColumn("_t", F.explode("_to"))
-        if radius:
-            near = F.col(radius) * (1 + 1e-9) + 1e-6
-            x = x.filter((F.col("_t.lo") - F.col("far") <= near) & (F.col("far") - F.col("_t.hi") <= near))
-        number = lambda n: F.pmod(F.xxhash64("_id"), F.col(n))
-        x = x.select(*left.columns, F.col("cell").alias("_a"), F.col("_t.b").alias("_b"), number("_t.na").alias("_i"), F.col("_t.nb").alias("_nb")).withColumn("_j", upto(F.col("_nb")))
-        y = self.right.toDF(*self.right.columns).join(F.broadcast(by("b", ["a", "na", "nb"])), "cell").withColumn("_t", F.explode("_to"))
-        y = y.select(*self.right.columns, F.col("_t.a").alias("_a"), F.col("cell").alias("_b"), number("_t.nb").alias("_j"), F.col("_t.na").alias("_na")).withColumn("_i", upto(F.col("_na")))
-        on = ["_a", "_b", "_i", "_j"]
-        return x.drop("_nb").groupBy(*on).cogroup(y.drop("_na").groupBy(*on)).applyInPandas(run, schema)
+        left = self.left if left is None else left
+        ranges = (radius, self.right_low, self.right_high) if radius else None
+        return meet(left, self.right, self.n_left, self.n_right, needed, run, schema, self.block, ranges)
+
+
+#: A column of row values by name; ``v`` is a matrix.
+Rows = dict[str, np.ndarray]
+#: Parts that a side is dealt to while none is larger than ``PART`` rows: every row is sent to each part of the other
+#: side, so what is shuffled grows as the rows do, not as their pairs.
+GRID, PART = 24, 65536
+
+
+def rows_of(df: pd.DataFrame) -> Rows:
+    """Columns as arrays."""
+    return {c: stacked(df[c]) if df[c].dtype == object else df[c].to_numpy() for c in df.columns}
+
+
+def taken(rows: Rows, at: np.ndarray) -> Rows:
+    return {c: x[at] for c, x in rows.items()}
+
+
+def parts_of(n: int, block: int) -> int:
+    """Parts that a side of ``n`` rows is dealt to."""
+    return max(min(GRID, -(-n // block)), -(-n // PART), 1)
+
+
+def _dealt_cells(n: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first part of every cell and the number of its parts; a cell beyond the size of a part is spread, others share one."""
+    size = max(1, -(-int(n.sum()) // parts_of(int(n.sum()), block)))
+    return (np.cumsum(n) - n) // size, np.maximum(1, -(-n // size))
+
+
+def meet(left: DataFrame, right: DataFrame, n_left: np.ndarray, n_right: np.ndarray, needed: np.ndarray, run: Callable, schema: str, block: int, ranges: tuple | None = None) -> DataFrame:
+    """``run(left rows, right rows)`` for the rows of all needed pairs of cells (column ``cell``; rows of each cell are counted).
+
+    Cells are gathered in parts, and a task has one part of each side.  There ``run`` is called once for all cells that the
+    same left rows need.  ``ranges`` are a column of radii and the least and largest distances of right cells to the
+    pivots, by which a left row (``ball, far``) is spared cells.
+    """
+    spark = left.sparkSession
+    (first, span), (first_r, span_r) = _dealt_cells(n_left, block), _dealt_cells(n_right, block)
+    inside = lambda first, span: (first[:, None] <= np.arange((first + span).max())) & (np.arange((first + span).max()) < (first + span)[:, None])
+    held = needed & (n_left > 0)[:, None] & (n_right > 0)
+    pairs = np.argwhere(inside(first, span).T.astype(np.float32) @ held.astype(np.float32) @ inside(first_r, span_r).astype(np.float32) > 0)
+
+    def dealt(df: DataFrame, first: np.ndarray, span: np.ndarray, side: int) -> DataFrame:
+        cells = spark.createDataFrame([(c, int(a), int(n)) for c, (a, n) in enumerate(zip(first, span))], "cell int, _first long, _span long")
+        to: dict[int, list[int]] = {}
+        for pair in pairs.tolist():
+            to.setdefault(pair[side], []).append(pair[1 - side])
+        parts = spark.createDataFrame(list(to.items()), "_part long, _to array<long>")
+        rows = df.join(F.broadcast(cells), "cell").withColumn("_part", F.col("_first") + F.pmod(F.xxhash64("_id"), "_span"))
+        rows = rows.join(F.broadcast(parts), "_part").withColumn("_other", F.explode("_to"))
+        i, j = ("_part", "_other") if side == 0 else ("_other", "_part")
+        return rows.select(*df.columns, F.col(i).alias("_i"), F.col(j).alias("_j"))
+
+    bits, width = np.packbits(needed, axis=1), needed.shape[1]
+
+    def task(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame()
+        one, other = rows_of(x.drop(columns=["_i", "_j"])), rows_of(y.drop(columns=["_i", "_j"]).sort_values("cell"))
+        cells, at = np.unique(other["cell"], return_index=True)
+        ends = np.append(at[1:], len(other["cell"]))
+        own, place = np.unique(one["cell"], return_inverse=True)
+        wanted = np.unpackbits(bits[own], axis=1, count=width)[:, cells].astype(bool)[place]
+        if ranges:
+            radius, low, high = ranges
+            near, far = one[radius][:, None] * (1 + 1e-9) + 1e-6, one["far"][:, None]
+            wanted &= (low[cells][:, one["ball"]].T - far <= near) & (far - high[cells][:, one["ball"]].T <= near)
+        alike: dict[bytes, list[int]] = {}
+        for c, column in enumerate(np.packbits(wanted, axis=0).T):
+            alike.setdefault(column.tobytes(), []).append(c)
+        out = []
+        for group in alike.values():
+            rows = np.flatnonzero(wanted[:, group[0]])
+            if len(rows):
+                a = one if len(rows) == len(wanted) else taken(one, rows)
+                b = other if len(group) == len(cells) else taken(other, np.concatenate([np.arange(at[c], ends[c]) for c in group]))
+                found = run(a, b)
+                if len(found):
+                    out.append(found)
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
+
+    a, b = dealt(left, first, span, 0), dealt(right.toDF(*right.columns), first_r, span_r, 1)
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(task, schema)

@@ -15,7 +15,8 @@ from plexivec.functions.vectors import l2sq
 from plexivec.operators.basis import fit_projection, transform
 from plexivec.operators.embedding import sequence_distances
 from plexivec.operators.evaluate import spearman
-from plexivec.operators.neighbors import PAIR_SUMS, _block_pairs, _d2, ball_counts, correlation, distance_corr, sums_of_pairs
+from plexivec.operators.metric_index import Rows
+from plexivec.operators.neighbors import PAIR_SUMS, TILE, _block_pairs, _exact2, ball_counts, correlation, distance_corr, sums_of_pairs
 from plexivec.operators.strings import one_mismatch_counts
 from plexivec.plans.staging import staged
 
@@ -36,12 +37,14 @@ def distance_correlation(df: DataFrame, key: str, sequence: str, prototypes: Dat
     place = order.select(F.col("proto_idx").alias("_id"), F.rank().over(_all("proto_idx")).cast("int").alias("at"))
     rows = e.select(F.col(key).alias("_id"), F.col("e").alias("v")).join(F.broadcast(place), "_id", "left").fillna(0, ["at"])
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return sums_of_pairs(np.zeros(0), np.zeros(0))
-        one, other = x["_id"].to_numpy()[:, None], y["_id"].to_numpy()[None, :]
-        pair = (one < other) | ((x["at"].to_numpy()[:, None] == 0) & (one != other))
-        return sums_of_pairs(np.stack(x["v"].to_numpy()).astype(float)[:, y["at"].to_numpy() - 1][pair], np.sqrt(_d2(x, y)[pair]))
+    def run(x: Rows, y: Rows) -> pd.DataFrame:
+        out = []
+        for i in range(0, len(x["v"]), TILE):
+            part = slice(i, i + TILE)
+            one, other = x["_id"][part, None], y["_id"][None, :]
+            pair = (one < other) | ((x["at"][part, None] == 0) & (one != other))
+            out.append(sums_of_pairs(x["v"][part][:, y["at"] - 1][pair], np.sqrt(_exact2(x["v"][part], y["v"])[pair])))
+        return pd.concat(out).sum().to_frame().T
 
     protos = rows.filter("at > 0").select(*[F.col(c).alias(c) for c in rows.columns])
     return correlation(_block_pairs(rows, protos, run, PAIR_SUMS))
