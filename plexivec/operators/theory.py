@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,13 +13,16 @@ from plexivec.functions.names import mutate, mutate_places
 from plexivec.functions.stats import exact_quantiles
 from plexivec.functions.vectors import l2sq
 from plexivec.operators.basis import fit_projection, transform
-from plexivec.operators.embedding import sequence_distances
+from plexivec.operators.embedding import embedder, sequence_distances
 from plexivec.operators.evaluate import spearman
 from plexivec.operators.metric_index import Rows
 from plexivec.operators.neighbors import PAIR_SUMS, TILE, _block_pairs, _exact2, ball_counts, correlation, distance_corr, sums_of_pairs
 from plexivec.operators.strings import one_mismatch_counts
+from plexivec.plans.batches import spread
 from plexivec.plans.staging import staged
 
+#: Rows whose embeddings are compared at once.
+BATCH = 1024
 
 def _pairs(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """All pairs of a small sample (a check, at most as many rows as prototypes)."""
@@ -57,13 +60,27 @@ def _all(column: str):
 
 
 def mutation_drift(df: DataFrame, prototypes: DataFrame, sequence: str, max_mut: int = 8, n_rep: int = 3, seed: int = 0, **kwargs) -> DataFrame:
-    """``k, mean, std``: how far ``k`` substitutions at different interior places move an embedding."""
-    runs = df.select(F.col(sequence).alias("old")).withColumn("row", F.monotonically_increasing_id()).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max_mut)))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_rep))))
+    """``k, mean, std``: how far ``k`` substitutions at different interior places move an embedding.
+
+    Only a batch's embeddings exist, within its task; its distinct sequences are embedded once.
+    """
+    rows = spread(df.select(F.col(sequence).alias("old")).withColumn("row", F.monotonically_increasing_id()).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_rep)))))
     seeded = F.concat_ws(":", F.lit(str(seed)), "old", F.col("row").cast("string"), F.col("rep").cast("string"))
-    runs = staged(runs.withColumn("new", mutate_places(F.col("old"), seeded, F.col("k"))), "drift")
-    p = prototypes.select("proto_idx", F.col(sequence).alias("old"))
-    out = sequence_distances(sequence_distances(runs, p, "old", "e0", **kwargs), p.withColumnRenamed("old", "new"), "new", "e1", **kwargs)
-    return out.groupBy("k").agg(F.avg(F.sqrt(l2sq("e0", "e1"))).alias("mean"), F.stddev_pop(F.sqrt(l2sq("e0", "e1"))).alias("std")).orderBy("k")
+    runs = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max_mut))))
+    embed = embedder(df.sparkSession, prototypes, sequence, **kwargs)
+
+    @F.pandas_udf("double")
+    def moved(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for old, new in batches:
+            e, where = embed(pd.concat([old, new]))
+            e, out = e.astype(float), np.empty(len(old))
+            for a in range(0, len(old), BATCH):
+                at = slice(a, a + BATCH)
+                out[at] = np.sqrt(((e[where[: len(old)][at]] - e[where[len(old) :][at]]) ** 2).sum(1))
+            yield pd.Series(out)
+
+    out = runs.select("k", moved("old", mutate_places(F.col("old"), seeded, F.col("k"))).alias("d"))
+    return out.groupBy("k").agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("std")).orderBy("k")
 
 
 def prototype_correlation(df: DataFrame, one: DataFrame, other: DataFrame, key: str, sequence: str, **kwargs) -> DataFrame:
