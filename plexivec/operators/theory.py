@@ -16,7 +16,7 @@ from plexivec.operators.basis import fit_projection, transform
 from plexivec.operators.embedding import embedder, sequence_distances
 from plexivec.operators.evaluate import spearman
 from plexivec.operators.metric_index import Rows
-from plexivec.operators.neighbors import PAIR_SUMS, TILE, _block_pairs, _exact2, ball_counts, correlation, distance_corr, sums_of_pairs
+from plexivec.operators.neighbors import PAIR_SUMS, TILE, _block_pairs, _exact2, correlation, distance_corr, join_within, sums_of_pairs, weights_within
 from plexivec.operators.strings import one_mismatch_counts
 from plexivec.plans.batches import spread
 from plexivec.plans.staging import staged
@@ -92,17 +92,28 @@ def prototype_correlation(df: DataFrame, one: DataFrame, other: DataFrame, key:
 def neighbour_convergence(df: DataFrame, prototypes: DataFrame, key: str, sequence: str, n_components: int = 25, scales: Sequence[float] = (0.5, 1.0, 1.5, 2.0, 3.0), seed: int = 0) -> DataFrame:
     """``scale, radius, rho``: rank correlation of counts in balls with counts of sequences one letter away.
 
-    The radius is a multiple of the median way that one substitution moves a row.
+    The radius is a multiple of the median way that one substitution moves a row.  Equal sequences are one weighted point, and
+    all radii are counted in one join.
     """
-    changed = df.select(key, sequence).withColumn("_new", mutate(F.col(sequence), F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    changed = spread(df.select(key, sequence)).withColumn("_new", mutate(F.col(sequence), F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
     e = sequence_distances(changed, prototypes, sequence, "e0")
-    e = sequence_distances(e, prototypes.select("proto_idx", F.col(sequence).alias("_new")), "_new", "e1")
     basis = fit_projection(e, "e0", n_components, key=key)
-    z = staged(transform(transform(e, basis, "e0", "z0"), basis, "e1", "z1"), "theory")
-    r1 = exact_quantiles(z, F.sqrt(l2sq("z0", "z1")), [0.5])[0]
-    near = one_mismatch_counts(df, key, sequence, "near")
-    rows = []
-    for scale in scales:
-        n = ball_counts(z, z, key, "z0", (r1 * scale) ** 2, output="n")
-        rows.append((float(scale), float(r1 * scale), spearman(n.join(near, key), "n", "near").first()["rho"]))
+    e = sequence_distances(e, prototypes.select("proto_idx", F.col(sequence).alias("_new")), "_new", "e1")
+    z = staged(transform(transform(e, basis, "e0", "z0"), basis, "e1", "z1").select(key, sequence, "z0", F.sqrt(l2sq("z0", "z1")).alias("moved")), "theory")
+    r1 = exact_quantiles(z, F.col("moved"), [0.5])[0]
+    kinds = z.groupBy(F.col(sequence).alias("_s")).agg(F.min(key).alias("_id"), F.first("z0").alias("v"), F.count("*").cast("double").alias("w"))
+    kinds = staged(kinds, "kinds")
+    radii = [r1 * scale for scale in scales]
+    names = [f"n{i}" for i in range(len(radii))]
+
+    def counted(x: Rows, y: Rows) -> pd.DataFrame:
+        return pd.DataFrame({"_id": x["_id"]} | {c: weights_within(x["v"], y["v"], np.full(len(x["v"]), r * r), y["w"]) for c, r in zip(names, radii)})
+
+    points = kinds.select("_id", "v", "w")
+    met = join_within(points, points, counted, ", ".join(["_id bigint", *[f"{c} double" for c in names]]), max(radii))
+    near = one_mismatch_counts(df, key, sequence, "near").withColumnRenamed(key, "_id")
+    counts = met.groupBy("_id").agg(*[F.sum(c).alias(c) for c in names]).join(near, "_id").join(kinds.select("_id", "w"), "_id")
+    # equal sequences have equal counts of both kinds, so rows go to the ranks as many times as there are of them
+    counts = staged(counts.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).select("near", *names), "counts")
+    rows = [(float(scale), float(r), spearman(counts, c, "near").first()["rho"]) for scale, r, c in zip(scales, radii, names)]
     return df.sparkSession.createDataFrame(rows, "scale double, radius double, rho double")

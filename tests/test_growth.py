@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plexivec import registry
 from plexivec.functions.names import mutate_places
 from plexivec.operators import theory
+from plexivec.operators.neighbors import ball_counts
 from tests.conftest import SMALL
 
 
@@ -28,3 +29,25 @@ def test_places_are_drawn_once_a_sequence(spark):
     moved = [sum(a != b for a, b in zip(got[0], g)) for g in got[:4]]
     assert moved[1] <= 1 and 30 <= moved[2] <= 40 and moved[3] > 900 and all(len(g) == 1000 and g[0] + g[-1] == "AL" for g in got[:4])
     assert "array_contains" not in plan(df.select(mutate_places(F.col("s"), F.lit("x"), F.col("k"))))
+
+
+def test_neighbour_convergence_compares_equal_sequences_once(spark, monkeypatch):
+    """One join for all radii, over distinct sequences; the same ranks as counts over all rows."""
+    s = registry.junctions(spark, SMALL).selectExpr("p_partkey as id", "left(seq, 4) as seq").persist()
+    seen, join = [], theory.join_within
+
+    def watched(a, b, *rest):
+        seen.append((a.count(), b.count()))
+        return join(a, b, *rest)
+
+    monkeypatch.setattr(theory, "join_within", watched)
+    c = theory.neighbour_convergence(s, s.filter("id < 20").withColumn("proto_idx", F.col("id")), "id", "seq", 4, scales=(0.5, 1.2)).collect()
+    n = s.select("seq").distinct().count()
+    assert seen == [(n, n)] and n < s.count() and len(c) == 2
+    protos = s.filter("id < 20").withColumn("proto_idx", F.col("id"))
+    e = theory.sequence_distances(s, protos, "seq", "e")
+    z = theory.transform(e, theory.fit_projection(e, "e", 4), "e", "z")
+    near = theory.one_mismatch_counts(s, "id", "seq", "near")
+    for r in c:
+        counts = ball_counts(z, z, "id", "z", r["radius"] ** 2, backend="exact")
+        assert abs(theory.spearman(counts.join(near, "id"), "n", "near").first()[0] - r["rho"]) < 1e-9
