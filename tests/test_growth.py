@@ -1,10 +1,12 @@
 """What work grows with: plans and counts of jobs that larger tables depend on."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plexivec import registry
 from plexivec.functions.names import mutate_places
-from plexivec.operators import theory
+from plexivec.learn import sequences, training
+from plexivec.operators import evaluate, theory
 from plexivec.operators.neighbors import ball_counts
 from tests.conftest import SMALL
 
@@ -51,3 +53,44 @@ def test_neighbour_convergence_compares_equal_sequences_once(spark, monkeypatch)
     for r in c:
         counts = ball_counts(z, z, "id", "z", r["radius"] ** 2, backend="exact")
         assert abs(theory.spearman(counts.join(near, "id"), "n", "near").first()[0] - r["rho"]) < 1e-9
+
+
+def test_batches_are_written_once_and_are_those_of_the_hash(spark):
+    """A round reads its own folder; the rows are those that a filter of all rows by the hash of turn and key gives."""
+    rows = spark.range(500).select(F.col("id").alias("key"), F.array(F.col("id").cast("int")).alias("frame"))
+    rounds, batches, seed = 7, 3, 5
+    got = training._dealt(rows, "key", rounds, batches, seed)
+    assert {r[0] for r in got.select("round").distinct().collect()} == set(range(rounds))
+    for k in range(rounds):
+        turn, at = divmod(k, batches)
+        want = rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), F.col("key")), F.lit(batches)) == at)
+        mine = got.filter(F.col("round") == k)
+        assert sorted(r["frame"][0] for r in mine.collect()) == sorted(r["key"] for r in want.collect())
+        assert f"round={k}" in mine.inputFiles()[0] or "PartitionFilters: [isnotnull(round" in plan(mine)
+
+
+def test_the_convolution_is_that_of_one_hot_windows():
+    rng = np.random.default_rng(1)
+    net = sequences.EncoderNet(2)
+    flat = rng.standard_normal(net.size)
+    p, frames, target = net.views(flat), rng.integers(0, 21, (9, 40)), rng.standard_normal((9, 2))
+    padded = np.full((9, 44), 21)
+    padded[:, 2:42] = frames
+    hot = np.eye(22)[np.lib.stride_tricks.sliding_window_view(padded, 5, 1)][..., :21].reshape(360, -1)
+    a = np.maximum(hot @ p["conv"] + p["conv0"], 0).reshape(9, -1)
+    want = np.maximum(a @ p["deep"] + p["deep0"], 0) @ p["out"] + p["out0"]
+    assert np.allclose(sequences.encoded(p, frames)[0], want, atol=1e-9)
+    g, cols = np.zeros(net.size), {"frame": frames, "target": target}
+    net.loss(p, cols, net.views(g))
+    for i in rng.choice(105 * 16, 20, replace=False):  # places of the convolution, by differences
+        step = np.zeros(net.size)
+        step[i] = 1e-5
+        slope = (net.loss(net.views(flat + step), cols, None) - net.loss(net.views(flat - step), cols, None)) / 2e-5
+        assert abs(slope - g[i]) <= 1e-4 * max(1, abs(slope))
+
+
+def test_reconstruction_searches_no_neighbours(spark):
+    df = spark.createDataFrame([(1, "CAAF", [0.0], "CAAF"), (2, "CADF", [0.0], "CAAF"), (3, "CADF", [1.0], "CADF")], "k long, s string, c array<double>, r string")
+    whole = evaluate.codec_losslessness(df, "k", "s", "c", "r").first().asDict()
+    got = evaluate.reconstruction(df, "k", "s", "r")
+    assert got.first().asDict() == {c: v for c, v in whole.items() if c not in ("collision_rate", "ceiling")} and "Join" not in plan(got)
