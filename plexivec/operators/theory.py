@@ -13,10 +13,10 @@ from plexivec.functions.names import mutate, mutate_places
 from plexivec.functions.stats import exact_quantiles
 from plexivec.functions.vectors import l2sq
 from plexivec.operators.basis import fit_projection, transform
-from plexivec.operators.embedding import embedder, sequence_distances
+from plexivec.operators.embedding import MAX_PROTOTYPES, embedder, sequence_distances
 from plexivec.operators.evaluate import spearman
 from plexivec.operators.metric_index import Rows
-from plexivec.operators.neighbors import PAIR_SUMS, TILE, _block_pairs, _exact2, correlation, distance_corr, join_within, sums_of_pairs, weights_within
+from plexivec.operators.neighbors import PAIR_SUMS, TILE, _exact2, correlation, distance_corr, join_within, sums_of_pairs, weights_within
 from plexivec.operators.strings import one_mismatch_counts
 from plexivec.plans.batches import spread
 from plexivec.plans.staging import staged
@@ -33,30 +33,34 @@ def _pairs(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 def distance_correlation(df: DataFrame, key: str, sequence: str, prototypes: DataFrame | None = None, **kwargs) -> DataFrame:
     """One row ``r, n_pairs``: correlation of the sequences' distances with those of their embeddings.
 
-    Pairs are all rows with ``prototypes`` (rows of ``df``; all of them if none are named), each pair once.
+    Pairs are all rows with ``prototypes`` (rows of ``df``; all of them if none are named), each pair once.  Rows meet the
+    prototypes, which are no more than a fixed number, where they are embedded: neither embeddings nor pairs are ever written or shuffled.
     """
     order = (df if prototypes is None else prototypes).select(F.col(key).alias("proto_idx"), sequence)
-    e = staged(sequence_distances(df.select(key, sequence), order, sequence, "e", **kwargs), "theory")
-    place = order.select(F.col("proto_idx").alias("_id"), F.rank().over(_all("proto_idx")).cast("int").alias("at"))
-    rows = e.select(F.col(key).alias("_id"), F.col("e").alias("v")).join(F.broadcast(place), "_id", "left").fillna(0, ["at"])
-
-    def run(x: Rows, y: Rows) -> pd.DataFrame:
-        out = []
-        for i in range(0, len(x["v"]), TILE):
-            part = slice(i, i + TILE)
-            one, other = x["_id"][part, None], y["_id"][None, :]
-            pair = (one < other) | ((x["at"][part, None] == 0) & (one != other))
-            out.append(sums_of_pairs(x["v"][part][:, y["at"] - 1][pair], np.sqrt(_exact2(x["v"][part], y["v"])[pair])))
-        return pd.concat(out).sum().to_frame().T
-
-    protos = rows.filter("at > 0").select(*[F.col(c).alias(c) for c in rows.columns])
-    return correlation(_block_pairs(rows, protos, run, PAIR_SUMS))
-
-
-def _all(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
+    embed = embedder(df.sparkSession, order, sequence, **kwargs)
+    named = order.orderBy("proto_idx").limit(MAX_PROTOTYPES).toPandas()
+    ids = named["proto_idx"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast((ids, named[sequence]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, names = shared.value
+        e, where = embed(names)
+        protos = e[where]
+        first, out = np.sort(ids), []
+        for x in batches:
+            e, where = embed(x[sequence])
+            for i in range(0, len(x), TILE):
+                own, d = x[key].to_numpy()[i : i + TILE, None], e[where[i : i + TILE]].astype(float)
+                known = (first[np.minimum(np.searchsorted(first, own), len(first) - 1)] == own) if len(first) else np.zeros(own.shape, bool)
+                for j in range(0, len(ids), TILE):
+                    to = slice(j, j + TILE)
+                    pair = (own < ids[to]) | (~known & (own != ids[to]))
+                    out.append(sums_of_pairs(d[:, to][pair], np.sqrt(_exact2(d, protos[to].astype(float))[pair])))
+            if out:
+                out = [pd.concat(out).sum().to_frame().T]
+        yield from out
+
+    return correlation(spread(df.select(key, sequence)).mapInPandas(run, PAIR_SUMS))
 
 
 def mutation_drift(df: DataFrame, prototypes: DataFrame, sequence: str, max_mut: int = 8, n_rep: int = 3, seed: int = 0, **kwargs) -> DataFrame:

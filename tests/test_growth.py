@@ -94,3 +94,18 @@ def test_reconstruction_searches_no_neighbours(spark):
     whole = evaluate.codec_losslessness(df, "k", "s", "c", "r").first().asDict()
     got = evaluate.reconstruction(df, "k", "s", "r")
     assert got.first().asDict() == {c: v for c, v in whole.items() if c not in ("collision_rate", "ceiling")} and "Join" not in plan(got)
+
+
+def test_distance_correlation_is_one_pass_over_rows(spark):
+    """No embedding is written or shuffled; the sums are those of all pairs."""
+    s = registry.junctions(spark, SMALL).select("p_partkey", "seq")
+    protos = s.filter("p_partkey < 12")
+    out = theory.distance_correlation(s, "p_partkey", "seq", protos)
+    said = plan(out)
+    assert "MapInPandas" in said and "CoGroup" not in said and "array" not in said
+    e = theory.sequence_distances(s, protos.withColumn("proto_idx", F.col("p_partkey")), "seq", "e").select("p_partkey", "e").toPandas().sort_values("p_partkey")
+    x, ids = np.stack(e["e"]).astype(float), e["p_partkey"].to_numpy()
+    at = {p: i for i, p in enumerate(sorted(ids[ids < 12]))}
+    pairs = [(x[i, at[p]], np.sqrt(((x[i] - x[list(ids).index(p)]) ** 2).sum())) for i, k in enumerate(ids) for p in at if k != p and (k not in at or k < p)]
+    r, n = out.first()
+    assert n == len(pairs) and abs(r - np.corrcoef(np.array(pairs).T)[0, 1]) < 1e-9
