@@ -1,27 +1,28 @@
 """Clusters of any density: a spanning tree of mutual reachability, its condensed tree, and the most stable clusters.
 
 Every step is rounds of joins over tables of vectors, tree edges or clusters; nothing is merged one after the other in one
-task.  Three facts replace the usual pass over sorted edges.  An edge that is the lightest out of both its components joins
-exactly these two.  A component too small for a cluster joins a large one at its own lightest edge, however long the chain of
-lighter edges between them.  And only edges between two components that are both large by then split clusters, so all other
-edges contract, and the tree of clusters is built from what is left.
+task.  The edges of the spanning tree are taken in order in windows of a fixed size: what a window's edges do not join is merged
+apart, and between windows components are rows.  So rounds grow with the number of edges over the size of a window, not with
+the depth of the tree of clusters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plexivec.functions.stats import running_sums
 from plexivec.operators.metric_index import Rows, distances2
 from plexivec.operators.neighbors import ACROSS, BLOCK, TILE, _block_pairs, _differences2, _index, nearest
 from plexivec.plans.components import components
 from plexivec.plans.staging import staged
 
 MAX_ROUNDS = 200
-#: Steps that pointers are followed in a round, doubled each time.
-JUMPS = 3
 
 
 def _pair(w: Column, a: Column, b: Column) -> Column:
@@ -85,75 +86,152 @@ def spanning_tree(df: DataFrame, key: str, vector: str, min_samples: int, block:
     return staged(tree, "tree") if tree is not None else df.sparkSession.createDataFrame([], "w double, a bigint, b bigint")
 
 
-def _lightest_out(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """``comp, e, other``: of every component the lightest edge out of it and where that leads."""
-    ends = edges.join(labels.select(F.col("_id").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("_id").alias("b"), F.col("comp").alias("cb")), "b").filter("ca <> cb")
-    e = _pair(F.col("w"), F.col("a"), F.col("b"))
-    both = ends.select(F.col("ca").alias("comp"), e.alias("e"), F.col("cb").alias("other")).unionByName(ends.select(F.col("cb").alias("comp"), e.alias("e"), F.col("ca").alias("other")))
-    return both.groupBy("comp").agg(F.min("e").alias("e"), F.min_by("other", "e").alias("other"))
+#: Edges of the tree that are merged in one window, and so the most that one task holds.
+WINDOW = 65536
 
 
-def large_from(tree: DataFrame, points: DataFrame, least: int) -> DataFrame:
-    """``_id, e``: of every point the edge at which its component first has ``least`` points; null if none ever has."""
-    state = staged(points.select("_id", F.col("_id").alias("comp"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("struct<w:double,a:bigint,b:bigint>").alias("born")), "small")
+class _Merges:
+    """The components that a group's edges join, one after the other, and the clusters that they begin, join and end.
+
+    A component is its size and, once it has ``least`` points, its open cluster: the cluster's number, the edge that made it,
+    its own points with the sum of their densities, the points below it and the sum of the best of its two parts.
+    """
+
+    def __init__(self, least: int, density: Callable[[float], float]):
+        self.least, self.density = least, density
+        self.up: dict[int, int] = {}
+        self.size: dict[int, int] = {}
+        self.open: dict[int, dict] = {}
+        self.members: dict[int, list[int]] = {}  # components of before the window, while too small
+        self.joined: list[tuple] = []  # component of before the window, edge, cluster
+        self.ended: list[tuple] = []  # cluster, parent, whether chosen
+
+    def add(self, comp: int, size: int, cluster: dict | None) -> None:
+        self.up[comp], self.size[comp] = comp, size
+        if cluster is None:
+            self.members[comp] = [comp]
+        else:
+            self.open[comp] = cluster
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def stability(self, c: dict, end: float) -> float:
+        """Of a cluster until the density ``end``: nearer the root densities are smaller."""
+        below = c["n_below"] * (c["made"] - end) if c["n_below"] else 0.0
+        return c["total"] - c["n"] * end + below
+
+    def _end(self, c: dict, parent: int, end: float) -> float:
+        own = self.stability(c, end)
+        chosen = c["kids"] is None or own >= c["kids"]
+        self.ended.append((c["cluster"], parent, chosen))
+        return own if chosen else c["kids"]
+
+    def _points(self, comp: int, c: dict, edge: tuple) -> None:
+        """The points of a small component join a cluster."""
+        self.joined += [(m, *edge, c["cluster"]) for m in self.members.pop(comp)]
+        c["n"] += self.size[comp]
+        c["total"] += self.size[comp] * self.density(edge[0])
+
+    def merge(self, w: float, a: int, b: int, at: int, to: int) -> None:
+        """The edge ``w, a, b`` between the components ``at`` and ``to``; a new cluster is named by its edge."""
+        x, y, edge = self.find(at), self.find(to), (w, a, b)
+        cx, cy = self.open.pop(x, None), self.open.pop(y, None)
+        here = self.density(w)
+        fresh = lambda **of: {"cluster": f"{a},{b}", "made": here, "n": 0, "total": 0.0, "n_below": 0, "kids": None} | of
+        if cx and cy:
+            name = f"{a},{b}"
+            kids = self._end(cx, name, here) + self._end(cy, name, here)
+            c = fresh(n_below=self.size[x] + self.size[y], kids=kids)
+        elif cx or cy:
+            c = cx or cy
+            self._points(y if cx else x, c, edge)
+        elif self.size[x] + self.size[y] >= self.least:
+            c = fresh()
+            self._points(x, c, edge), self._points(y, c, edge)
+        else:
+            c = None
+            self.members[x] += self.members.pop(y)
+        self.up[y] = x
+        self.size[x] += self.size[y]
+        if c:
+            self.open[x] = c
+
+
+_CLUSTER = "cluster string, made double, n bigint, total double, n_below bigint, kids double"
+
+
+def _condensed(tree: DataFrame, points: DataFrame, least: int, smallest: float) -> tuple[DataFrame, DataFrame]:
+    """``_id, e, cluster``: of every point the edge at which its component first has ``least`` points, and the cluster it joins there;
+    and ``cluster, parent, chosen`` of every cluster but the root.
+
+    Edges are taken in windows of ``WINDOW``, in order.  In a window, each set of components that its edges join is merged by itself; between windows components and their open clusters are tables.
+    """
     if least <= 1:
         raise ValueError("clusters need two points at least")
-    for _ in range(MAX_ROUNDS * least):
-        comps = state.groupBy("comp").agg(F.first("size").alias("size"), F.first("born").alias("born"))
-        out = staged(_lightest_out(tree, state).join(comps, "comp").filter("born is null"), "out")
-        if not out.take(1):
-            break
-        big = state.filter("born is not null").select(F.col("comp").alias("other"), F.lit(True).alias("big")).distinct()
-        ptr = out.join(big, "other", "left").withColumn("big", F.coalesce("big", F.lit(False)))
-        mate = out.select(F.col("comp").alias("other"), F.col("e").alias("_e"), F.col("size").alias("mate_size"))
-        ptr = staged(ptr.join(mate, "other", "left").withColumn("mutual", F.coalesce(F.col("e") == F.col("_e"), F.lit(False))).select("comp", "e", "other", "size", "mate_size", "mutual", "big"), "pointers")
-        for _ in range(JUMPS):  # whose chain ends in a large component
-            after = ptr.select(F.col("comp").alias("other"), F.col("other").alias("next"), F.col("big").alias("next_big"), F.col("mutual").alias("next_mutual"))
-            ptr = ptr.join(after, "other", "left")
-            onward = F.col("next").isNotNull() & ~F.col("mutual") & ~F.col("next_mutual")
-            ptr = ptr.select("comp", "e", F.when(onward, F.col("next")).otherwise(F.col("other")).alias("other"), "size", "mate_size", "mutual", (F.col("big") | F.coalesce(F.col("next_big") & ~F.col("mutual"), F.lit(False))).alias("big"))
-        total = F.when(F.col("mutual"), F.col("size") + F.col("mate_size")).otherwise(F.col("size"))
-        new = ptr.select("comp", F.when(F.col("mutual"), F.least("comp", "other")).otherwise(F.col("comp")).alias("new"), total.alias("total"), F.when(F.col("big") | (F.col("mutual") & (total >= least)), F.col("e")).alias("then"))
-        state = staged(state.join(new, "comp", "left").select("_id", F.coalesce("new", "comp").alias("comp"), F.coalesce("total", "size").alias("size"), F.coalesce("born", "then").alias("born")), "small")
-    return state.select("_id", F.col("born").alias("e"))
-
-
-def _merged(splits: DataFrame, basins: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tree of clusters over ``basins`` (``basin``): of every basin its clusters from the lowest to the root, with the edge at
-    which each ends; and of every cluster its parent, the round it was made in and the edge that made it."""
-    edge = "struct<w:double,a:bigint,b:bigint>"
-    path = f"array<struct<cluster:bigint,ends:{edge}>>"
-    now = staged(basins.select("basin", F.col("basin").alias("comp"), F.array().cast(path).alias("path")), "basins")
-    made = None
-    clusters = basins.select(F.col("basin").alias("cluster"), F.lit(0).alias("round"), F.lit(None).cast(edge).alias("made_by"))
-    ends = splits.select(F.col("e.w").alias("w"), F.col("e.a").alias("a"), F.col("e.b").alias("b"), "ba", "bb")
-    for k in range(1, MAX_ROUNDS):
-        label = lambda x: now.select(F.col("basin").alias(f"b{x}"), F.col("comp").alias(f"c{x}"))  # noqa: B023, E731
-        open_ = ends.join(label("a"), "ba").join(label("b"), "bb").filter("ca <> cb")
-        e = _pair(F.col("w"), F.col("a"), F.col("b"))
-        both = open_.select(F.col("ca").alias("comp"), F.col("cb").alias("other"), e.alias("e")).unionByName(open_.select(F.col("cb").alias("comp"), F.col("ca").alias("other"), e.alias("e")))
-        out = staged(both.groupBy("comp").agg(F.min("e").alias("e"), F.min_by("other", "e").alias("other")), "out")
-        pairs = out.join(out.select(F.col("comp").alias("other"), F.col("e").alias("_e")), "other").filter(F.col("e") == F.col("_e")).select("comp", "e", F.least("comp", "other").alias("low"))
-        if not pairs.take(1):
-            break
-        # a cluster's number: its round and smallest basin, apart from basins themselves
-        name = F.lit(-k).cast("long") * F.lit(1 << 44) - 1 - F.dense_rank().over(_by_low())
-        pairs = staged(pairs.withColumn("new", name), "pairs")
-        clusters = clusters.unionByName(pairs.select(F.col("new").alias("cluster"), F.lit(k).alias("round"), F.col("e").alias("made_by")).distinct())
-        step = pairs.select("comp", F.col("new").alias("cluster"))
-        made = step if made is None else made.unionByName(step)
-        met = now.join(pairs.select("comp", "e", "new"), "comp", "left")
-        longer = F.concat("path", F.array(F.struct(F.col("comp").alias("cluster"), F.col("e").alias("ends"))))
-        now = staged(met.select("basin", F.coalesce("new", "comp").alias("comp"), F.when(F.col("new").isNotNull(), longer).otherwise(F.col("path")).alias("path")), "basins")
-    now = now.withColumn("path", F.concat("path", F.array(F.struct(F.col("comp").alias("cluster"), F.lit(None).cast(edge).alias("ends")))))
-    parents = made.toDF("cluster", "parent") if made is not None else basins.sparkSession.createDataFrame([], "cluster bigint, parent bigint")
-    return staged(now.select("basin", "path"), "paths"), staged(clusters.join(parents, "cluster", "left"), "clusters")
+    density = lambda w: 1 / max(w, smallest)
+    n = tree.count()
+    windows = max(1, -(-n // WINDOW))
+    ranked = running_sums(tree.withColumn("e", _pair(F.col("w"), F.col("a"), F.col("b"))).withColumn("one", F.lit(1)), [F.col("e")], ["one"])
+    edges = staged(ranked.select("w", "a", "b", F.floor((F.col("one_upto") - 1) / WINDOW).cast("int").alias("window")), "edges")
+    labels = staged(points.select("_id", F.col("_id").alias("comp")), "labels")
+    state = points.select(F.col("_id").alias("comp"), F.lit(1).cast("long").alias("size"), *[F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in _CLUSTER.split(", "))])
+    joined, ended = [], []
+    schema = f"kind string, comp bigint, new bigint, size bigint, {_CLUSTER}, w double, a bigint, b bigint, parent string, chosen boolean"
+    columns = [x.split()[0] for x in schema.split(", ")]
+    names = [x.split()[0] for x in _CLUSTER.split(", ")]
+
+    def merged(comps: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        m = _Merges(least, density)
+        for r in comps.itertuples(index=False):
+            c = None
+            if isinstance(r.cluster, str):
+                c = {"cluster": r.cluster, "made": r.made, "n": int(r.n), "total": r.total, "n_below": int(r.n_below), "kids": None if np.isnan(r.kids) else r.kids}
+            m.add(int(r.comp), int(r.size), c)
+        for r in own.sort_values(["w", "a", "b"]).itertuples(index=False):
+            m.merge(r.w, int(r.a), int(r.b), int(r.ca), int(r.cb))
+        out = [{"kind": "comp", "comp": x, "new": m.find(x)} for x in m.up]
+        out += [{"kind": "state", "comp": x, "size": m.size[x], **m.open.get(x, {})} for x, up in m.up.items() if x == up]
+        out += [{"kind": "joined", "comp": x, "w": w, "a": a, "b": b, "cluster": c} for x, w, a, b, c in m.joined]
+        out += [{"kind": "ended", "cluster": c, "parent": p, "chosen": k} for c, p, k in m.ended]
+        kinds = {"bigint": "Int64", "double": float, "boolean": "boolean", "string": object}
+        return pd.DataFrame(out, columns=columns, dtype=object).astype({c: kinds[k] for c, k in (x.split() for x in schema.split(", "))})
+
+    for k in range(windows):
+        side = lambda x: labels.select(F.col("_id").alias(x), F.col("comp").alias(f"c{x}"))  # noqa: B023, E731
+        own = staged(edges.filter(F.col("window") == k).join(side("a"), "a").join(side("b"), "b"), "window")
+        met = staged(components(own.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("comp", "group"), "met")
+        lines = own.join(met.select(F.col("comp").alias("ca"), "group"), "ca")
+        groups = state.join(met, "comp").groupBy("group").cogroup(lines.toDF(*lines.columns).groupBy("group"))
+        found = staged(groups.applyInPandas(merged, schema), "merged")
+        joined.append(staged(labels.join(found.filter("kind = 'joined'").select("comp", F.struct("w", "a", "b").alias("e"), "cluster"), "comp").select("_id", "e", "cluster"), "joined"))
+        ended.append(found.filter("kind = 'ended'").select("cluster", "parent", "chosen"))
+        if k + 1 < windows:
+            new = found.filter("kind = 'comp'").select("comp", "new")
+            labels = staged(labels.join(new, "comp", "left").select("_id", F.coalesce("new", "comp").alias("comp")), "labels")
+            state = staged(state.join(met, "comp", "left_anti").unionByName(found.filter("kind = 'state'").select("comp", "size", *names)), "state")
+    return reduce(DataFrame.unionByName, joined), reduce(DataFrame.unionByName, ended)
 
 
-def _by_low():
-    from pyspark.sql import Window as W
+def large_from(tree: DataFrame, points: DataFrame, least: int) -> DataFrame:
+    """``_id, e``: of every point the edge at which its component first has ``least`` points; null if none ever has."""
+    return points.select("_id").join(_condensed(tree, points, least, 1.0)[0].select("_id", "e"), "_id", "left")
+
+
+def _highest_chosen(clusters: DataFrame) -> DataFrame:
+    """``cluster, best``: of every cluster the chosen one nearest the root on its way there, itself counted; null if there is none.
 
-    return W.orderBy("low")  # two rows a merge of one round
+    Ways are doubled in every round: a row holds the best so far and how far it has come.
+    """
+    now = staged(clusters.select("cluster", F.when(F.col("chosen"), F.col("cluster")).alias("best"), F.col("parent").alias("next")), "ways")
+    for _ in range(MAX_ROUNDS):
+        after = now.select(F.col("cluster").alias("next"), F.col("best").alias("_best"), F.col("next").alias("_next"))
+        now = staged(now.join(after, "next", "left").select("cluster", F.coalesce("_best", "best").alias("best"), F.col("_next").alias("next")), "ways")
+        if not now.filter("next is not null").take(1):
+            return now.select("cluster", "best")
+    raise RuntimeError(f"ways to the root did not settle in {MAX_ROUNDS} rounds")
 
 
 def hdbscan(df: DataFrame, key: str, vector: str, min_samples: int = 3, min_cluster_size: int | None = None, block: int = BLOCK, backend: str = "kdtree") -> DataFrame:
@@ -161,8 +239,7 @@ def hdbscan(df: DataFrame, key: str, vector: str, min_samples: int = 3, min_clus
 
     Clusters are the nodes of the condensed tree (splits into parts of ``min_cluster_size``, by default ``min_samples`` and two at
     least) whose stability is not below that of the best clusters inside them; all vectors together are never one cluster.
-    Rounds grow with the depth of the tree of clusters and with ``min_cluster_size``.  Null vectors are noise; equal
-    vectors are at distance 0, whose density counts as that of the smallest positive distance.
+    Null vectors are noise; equal vectors are at distance 0, whose density counts as that of the smallest positive distance.
     """
     least = max(min_samples if min_cluster_size is None else min_cluster_size, 2)
     points = df.select(F.col(key).alias("_id")).filter(F.col(vector).isNotNull())
@@ -170,37 +247,9 @@ def hdbscan(df: DataFrame, key: str, vector: str, min_samples: int = 3, min_clus
     if points.count() < least:
         return noise
     tree = spanning_tree(df, key, vector, min_samples, block, backend)
-    born = staged(large_from(tree, points, least), "born")
-    e = _pair(F.col("w"), F.col("a"), F.col("b"))
-    side = lambda x: born.select(F.col("_id").alias(x), F.col("e").alias(f"e{x}"))
-    told = tree.withColumn("e", e).join(side("a"), "a").join(side("b"), "b").withColumn("splits", F.coalesce((F.col("ea") < F.col("e")) & (F.col("eb") < F.col("e")), F.lit(False)))
-    told = staged(told.select("a", "b", "e", "splits"), "told")
-    itself = points.select(F.col("_id").alias("a"), F.col("_id").alias("b"))
-    basin = staged(components(told.filter("not splits").select("a", "b").unionByName(itself)).toDF("_id", "basin"), "basin")
-    at = lambda x: basin.select(F.col("_id").alias(x), F.col("basin").alias(f"b{x}"))
-    splits = staged(told.filter("splits").join(at("a"), "a").join(at("b"), "b").select("e", "ba", "bb"), "splits")
-    paths, clusters = _merged(splits, basin.select("basin").distinct())
     smallest = tree.filter("w > 0").agg(F.min("w")).first()[0] or 1.0
-    density = lambda w: 1 / F.greatest(w, F.lit(smallest))
-    # the lowest cluster of its basin's path that a point belongs to: the first that ends after the point has joined
-    joined = basin.join(born, "_id").filter("e is not null").join(paths, "basin")
-    inside = F.filter("path", lambda c: c["ends"].isNull() | (c["ends"] > F.col("e")))
-    joined = staged(joined.select("_id", density(F.col("e.w")).alias("density"), F.transform(inside, lambda c: c["cluster"]).alias("up")), "joined")
-    direct = joined.groupBy(F.col("up")[0].alias("cluster")).agg(F.count("*").alias("n"), F.sum("density").alias("total"))
-    below = joined.select(F.explode(F.slice("up", 2, 1 << 30)).alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n_below"))
-    zero = F.lit(0.0)
-    ends = clusters.select(F.col("cluster").alias("parent"), F.col("made_by").alias("ended_by"))
-    c = clusters.join(ends, "parent", "left").join(direct, "cluster", "left").join(below, "cluster", "left")
-    start = F.when(F.col("ended_by").isNull(), zero).otherwise(density(F.col("ended_by.w")))
-    stability = F.coalesce("total", zero) - F.coalesce("n", F.lit(0)) * start + F.coalesce("n_below", F.lit(0)) * (density(F.col("made_by.w")) - start)
-    c = staged(c.select("cluster", "parent", "round", F.coalesce(stability, F.coalesce("total", zero) - F.coalesce("n", F.lit(0)) * start).alias("stability")), "stability")
-    best = c.filter("round = 0").select("cluster", "parent", F.col("stability").alias("best"), F.lit(True).alias("chosen"))
-    for k in range(1, (c.agg(F.max("round")).first()[0] or 0) + 1):
-        kids = best.groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("kids"))
-        new = c.filter(F.col("round") == k).join(kids, "cluster").select("cluster", "parent", F.when(F.col("parent").isNull(), F.col("kids")).otherwise(F.greatest("kids", "stability")).alias("best"), (F.col("parent").isNotNull() & (F.col("stability") >= F.col("kids"))).alias("chosen"))
-        best = staged(best.unionByName(new), "best")
-    chosen = best.filter(F.col("chosen") & F.col("parent").isNotNull()).select("cluster", F.lit(True).alias("chosen"))
-    up = joined.select("_id", F.posexplode("up").alias("depth", "cluster")).join(chosen, "cluster")
-    label = up.groupBy("_id").agg(F.max_by("cluster", "depth").alias("c"))
+    joined, clusters = _condensed(tree, points, least, float(smallest))
+    label = joined.join(_highest_chosen(clusters), "cluster").filter("best is not null").select("_id", F.col("best").alias("c"))
+    label = staged(label, "labels")
     named = label.join(label.groupBy("c").agg(F.min("_id").alias("cluster")), "c").select("_id", "cluster")
     return df.select(key).join(named, F.col(key) == F.col("_id"), "left").select(key, F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from plexivec import registry
 from plexivec.functions.names import mutate_places
 from plexivec.learn import sequences, training
-from plexivec.operators import evaluate, theory
+from plexivec.operators import evaluate, hierarchy, theory
 from plexivec.operators.neighbors import ball_counts
 from tests.conftest import SMALL
+from tests.test_hierarchy import plain_tree
 
 
 def plan(df) -> str:
@@ -109,3 +110,20 @@ def test_distance_correlation_is_one_pass_over_rows(spark):
     pairs = [(x[i, at[p]], np.sqrt(((x[i] - x[list(ids).index(p)]) ** 2).sum())) for i, k in enumerate(ids) for p in at if k != p and (k not in at or k < p)]
     r, n = out.first()
     assert n == len(pairs) and abs(r - np.corrcoef(np.array(pairs).T)[0, 1]) < 1e-9
+
+
+def test_clusters_of_a_deep_tree_take_windows_not_rounds(spark, monkeypatch):
+    """A tree of clusters as deep as it has clusters: no more jobs than for a flat one, and the same clusters in small windows."""
+    x = np.concatenate([[v, v + 0.01] for v in np.cumsum(np.arange(1, 31) * 0.5)])[:, None]
+    edges, ids = plain_tree(x, 1), spark.range(len(x)).withColumnRenamed("id", "_id")
+    tree = spark.createDataFrame([(float(w), i, j) for w, i, j in edges], "w double, a long, b long")
+    found = []
+    for window in (65536, 25):
+        calls, stage = [], hierarchy.staged
+        monkeypatch.setattr(hierarchy, "WINDOW", window)
+        monkeypatch.setattr(hierarchy, "staged", lambda df, name: calls.append(name) or stage(df, name))  # noqa: B023
+        joined, ended = hierarchy._condensed(tree, ids, 2, min(w for w, _, _ in edges))
+        monkeypatch.setattr(hierarchy, "staged", stage)
+        found.append((sorted(map(tuple, joined.select("_id", "e.w", "cluster").collect())), sorted(map(tuple, ended.collect()))))
+        assert len(calls) <= 2 + 6 * -(-len(edges) // window)
+    assert found[0] == found[1] and len(found[0][0]) == len(x) and len(found[0][1]) == 58
