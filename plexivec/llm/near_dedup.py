@@ -178,8 +178,8 @@ def links(docs: DataFrame, nodes: DataFrame, n_words: int, percent: int, long_li
     near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     other = short.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
     met = short.join(other, "key").filter((F.col("node") < F.col("b")) & near("n", "n_b")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k")).filter("k > 1").select("a", "b")
-    leaders = staged(long.groupBy("key").agg(F.max(F.struct("met", "node")).alias("top"), F.count("*").alias("m")).select("key", F.col("top.node").alias("lead"), "m"), "leaders")
-    led = lookup(long, leaders, ["key"], "m", _total(leaders, "m"), F.xxhash64("node", "key"), "inner").filter(F.col("lead") != F.col("node"))
+    leaders = staged(long.groupBy("key").agg(F.max(F.struct("met", "node")).alias("top"), F.count("*").alias("m")), "leaders")
+    led = lookup(long, leaders, ["key"], "m", _total(leaders, "m"), F.xxhash64("node", "key"), "inner").withColumn("lead", F.col("top.node")).filter(F.col("lead") != F.col("node"))
     pairs = met.withColumn("short", F.lit(1)).unionByName(led.select(F.col("lead").alias("a"), F.col("node").alias("b"), F.lit(0).alias("short")))
     cand = staged(_estimated(staged(pairs.groupBy("a", "b").agg(F.max("short").alias("short")), "met"), nodes, percent), "pairs")
 
@@ -194,6 +194,17 @@ def links(docs: DataFrame, nodes: DataFrame, n_words: int, percent: int, long_li
     return first.unionByName(last).unionByName(_within_groups(long, leaders, comp, docs, nodes, n_words, percent))
 
 
+def _hubs(met: DataFrame) -> DataFrame:
+    """Edges ``a, b`` that connect the same classes as each class (``node``) with the ``top.node`` of all its lists.
+
+    A class is an edge once, with the top class that most others meet; its other top classes are edges of that
+    one.  Classes of a group have these in common, so there is about one edge a class, and not one a list.
+    """
+    # as many lists as a class has keys, so they fit in a row
+    own = met.groupBy("node").agg(F.max("top").alias("hub"), F.collect_set("top.node").alias("tops"))
+    return own.select(F.col("hub.node").alias("a"), F.explode(F.array_union(F.array("node"), "tops")).alias("b")).distinct()
+
+
 def _within_groups(long: DataFrame, leaders: DataFrame, comp: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Links that are left among classes which meet in long lists only, as a forest for each pair of blocks.
 
@@ -203,8 +214,8 @@ def _within_groups(long: DataFrame, leaders: DataFrame, comp: DataFrame, docs: D
     pairs, that are close to one of the other block.  Only those are compared by their texts; a task skips
     pairs that are connected and returns only the links that connect something.
     """
-    met = lookup(long, leaders, ["key"], "m", _total(leaders, "m"), F.xxhash64("node", "key"), "inner").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    groups = components(met).withColumnRenamed("comp", "g")
+    met = lookup(long, leaders, ["key"], "m", _total(leaders, "m"), F.xxhash64("node", "key"), "inner")
+    groups = components(_hubs(met)).withColumnRenamed("comp", "g")
     placed = staged(groups.join(comp, "node", "left").select("node", "g", F.coalesce("comp", "node").alias("comp")), "groups")
     split = placed.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("m")).filter("parts > 1")
     split = staged(split.select("g", F.col("top.comp").alias("largest"), (F.col("m") - F.col("top.c")).alias("outside"), "m"), "split")

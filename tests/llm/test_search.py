@@ -85,6 +85,30 @@ def test_large_families(spark, monkeypatch):
     check(df, 2, long_list=4)
 
 
+def test_groups_are_about_one_edge_a_class(spark, monkeypatch):
+    """Classes that meet in many long lists are no edge for each list; the groups are those of all lists."""
+    seen, hubs = [], nd._hubs
+
+    def watched(met):
+        all_ = met.select(F.col("top.node").alias("a"), F.col("node").alias("b")).distinct()
+        seen.append((met.select("node").distinct().count(), all_.count(), hubs(met).count()))
+        by_node = lambda edges: sorted(map(tuple, nd.components(edges).collect()))
+        assert by_node(hubs(met)) == by_node(all_)
+        return hubs(met)
+
+    monkeypatch.setattr(nd, "_hubs", watched)
+    rng = np.random.default_rng(5)
+    docs = []
+    for i in range(240):
+        w = [f"w{k}" for k in range(120)]
+        for k in rng.integers(0, 120, 4):
+            w[k] = f"x{rng.integers(10**6)}"
+        docs.append((i, " ".join(w)))
+    check(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+    classes, before, now = seen[0]
+    assert now < 1.5 * classes and 2 * now < before
+
+
 def test_short_texts_at_the_threshold(spark):
     """Families around the long-list limit, each a text of 4, 8 or 12 shingles and others with 1, 2 or 3 more (4/5, 8/10, 12/15)."""
     docs = []
