@@ -16,17 +16,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plexivec.functions.names import prototype_hash
 from plexivec.learn.training import AT_ONCE, CHUNK, Adam, Net, load_params, matrix, save_params
 from plexivec.operators.basis import Basis
 from plexivec.operators.evaluate import roc_auc, spearman
-from plexivec.plans.skew import lookup
+from plexivec.plans.skew import MAX_HOT
 from plexivec.plans.staging import new_path, staged
 
 #: Records of a sample in one part of the staged table; larger samples are several parts.
@@ -87,74 +87,136 @@ class SetNet(Net):
         return loss, (dh @ p["head"].T).reshape(pooled.shape)
 
 
-def clouds(df: DataFrame, sample: str, vector: str, weight: str, deals: int = 1, seed: int = 0) -> DataFrame:
+def _records(df: DataFrame, sample: str, vector: str, weight: str) -> DataFrame:
+    """``sample, z, w, row, _key``: the records that count; others are without sample or vector, or their weight is null, NaN or not above 0."""
+    ok = F.col(sample).isNotNull() & F.col(vector).isNotNull() & (F.col(weight) > 0) & ~F.isnan(F.col(weight).cast("double"))
+    rows = df.filter(ok).select(F.col(sample).alias("sample"), F.col(vector).cast("array<double>").alias("z"), F.col(weight).cast("double").alias("w"))
+    return rows.withColumn("row", F.monotonically_increasing_id()).withColumn("_key", F.xxhash64("sample"))
+
+
+def _parted(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` with ``_part``: samples of more than ``PART_ROWS`` records are several parts, all others are one.
+
+    Only those samples are looked up.  They are few: a part has at least the 4,000th part of all ``total`` records.
+    """
+    most = max(PART_ROWS, -(-total // MAX_HOT))
+    large = rows.groupBy("_key", "sample").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(F.col("_key").alias("_large"), F.col("sample").alias("_of"), F.ceil(F.col("_n") / most).alias("_parts"))
+    met = rows.join(F.broadcast(large), (F.col("_key") == F.col("_large")) & F.col("sample").eqNullSafe(F.col("_of")), "left")
+    return met.withColumn("_part", F.pmod(F.xxhash64("row"), F.coalesce("_parts", F.lit(1)))).drop("_large", "_of", "_parts")
+
+
+def dealt(sample: Column, deals: int, seed: int) -> Column:
+    """The folder of a sample, by a hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit("deal"), sample), F.lit(deals)).cast("int")
+
+
+def clouds(df: DataFrame, sample: str, vector: str, weight: str, deals: int = 1, seed: int = 0, deal: Column | None = None) -> DataFrame:
     """``sample, z, w, row, deal``: the staged records of all samples, each sample's together in parts of about ``PART_ROWS``.
 
     Records without sample or vector, or whose weight is null, NaN or not above 0, count for nothing.  ``deal`` is a hash of the
-    sample, and a folder of its own.
+    sample, and a folder of its own; a caller's own ``deal`` is a column of ``sample``, and null for samples that are not wanted.
     """
-    ok = F.col(sample).isNotNull() & F.col(vector).isNotNull() & (F.col(weight) > 0) & ~F.isnan(F.col(weight).cast("double"))
-    rows = df.filter(ok).select(F.col(sample).alias("sample"), F.col(vector).cast("array<double>").alias("z"), F.col(weight).cast("double").alias("w"))
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("_key", F.xxhash64("sample")), "records")
-    sizes = staged(rows.groupBy("_key", "sample").agg(F.count("*").alias("_n")), "sizes")
-    known = lookup(rows, sizes, ["_key", "sample"], "_n", rows.count(), F.col("row"), "inner")
-    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("_n") / PART_ROWS))
-    dealt = known.withColumn("deal", F.pmod(F.xxhash64(F.lit(seed), F.lit("deal"), "sample"), F.lit(deals)).cast("int")).withColumn("_part", part)
-    out = dealt.repartitionByRange("deal", "_key", "_part").sortWithinPartitions("deal", "_key", "_part").select("sample", "z", "w", "row", "deal")
+    place = dealt(F.col("sample"), deals, seed) if deal is None else deal
+    # rows are numbered before any is left out, so that a row's number does not depend on the samples that are wanted
+    rows = staged(_records(df, sample, vector, weight).withColumn("deal", place).filter("deal is not null"), "records")
+    sizes = rows.groupBy("deal").agg(F.count("*").alias("_n"))  # as many as folders
+    known = _parted(rows, rows.count()).join(F.broadcast(sizes), "deal")
+    slot = F.pmod(F.xxhash64("_key", "_part"), F.ceil(F.col("_n") / PART_ROWS))
+    out = known.withColumn("_slot", slot).repartition("deal", "_slot").sortWithinPartitions("deal", "_key", "_part").select("sample", "z", "w", "row", "deal")
     path = new_path(df.sparkSession, "clouds")
     out.write.partitionBy("deal").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(out.schema).parquet(path)
 
 
+def _gathered(df: DataFrame, sample: str, vector: str, weight: str) -> DataFrame:
+    """``sample, z, w``: the records that count, to be read once; each sample's together in one task, or in several if it is large."""
+    rows = _records(df, sample, vector, weight)
+    rows = rows if hasattr(df, "_staged_at") else staged(rows, "records")
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return _parted(rows, rows.count()).repartition(tasks, "_key", "_part").sortWithinPartitions("_key", "_part").select("sample", "z", "w")
+
+
+def _merged(top: np.ndarray, sums: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest logits (n, queries) and sums (n, queries, numbers) of runs of rows, which begin at ``first``; sums are relative to the logits."""
+    most = np.maximum.reduceat(top, first)
+    level = np.exp(top - np.repeat(most, np.diff(np.append(first, len(top))), axis=0))
+    return most, np.add.reduceat(sums * level[:, :, None], first)
+
+
+def _runs(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal numbers together, and where each begins."""
+    order = np.argsort(place, kind="stable")
+    return order, np.flatnonzero(np.append(True, np.diff(place[order]) != 0))
+
+
 def pooled(net: SetNet, params: np.ndarray, rows: DataFrame) -> DataFrame:
     """``sample, norm, pooled``: of every sample each query's log normaliser and mean of the embedded records by its softmax, one after the other.
 
     A task's sums are relative to its own largest logit; they are brought to the largest of the sample, so nothing overflows.
     """
     shared = rows.sparkSession.sparkContext.broadcast(params)
-    kind = rows.select("sample").schema[0].dataType
-    asked = net.queries
+    kind = rows.select("sample").schema[0].dataType.simpleString()
+    shape = (-1, net.queries, net.hidden + 1)
+
+    def lists(x: np.ndarray) -> pa.Array:
+        flat = x.reshape(len(x), -1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, held = net.views(shared.value), {}
+        p, held, n = net.views(shared.value), [], 0
 
         def handed() -> pa.RecordBatch:
-            names = [name for name in held for _ in range(asked)]
-            top = np.concatenate([m for m, _ in held.values()])
-            sums = np.concatenate([s for _, s in held.values()])
-            cols = [pa.array(names, sample_type), pa.array(list(range(asked)) * len(held), pa.int32()), pa.array(top), pa.array(list(sums), pa.list_(pa.float64()))]
+            names = pa.concat_arrays([x[0] for x in held]).dictionary_encode()
+            order, first = _runs(names.indices.to_numpy())
+            most, sums = _merged(np.concatenate([x[1] for x in held])[order], np.concatenate([x[2] for x in held])[order], first)
             held.clear()
-            return pa.RecordBatch.from_arrays(cols, ["sample", "q", "top", "sums"])
+            return pa.RecordBatch.from_arrays([names.dictionary, lists(most), lists(sums)], ["sample", "top", "sums"])
 
         for batch in batches:
-            sample_type = batch.column("sample").type
             for at in range(0, len(batch), AT_ONCE):
                 some = batch.slice(at, AT_ONCE)
                 _, b, logits = net.records(p, matrix(some, "z"), matrix(some, "w")[:, 0])
                 names = some.column("sample").dictionary_encode()
-                place = names.indices.to_numpy()
-                for i, name in enumerate(names.dictionary.to_pylist()):
-                    own = place == i
-                    m, s = held.get(name, (np.full(asked, -np.inf), np.zeros((asked, net.hidden + 1))))
-                    new = np.maximum(m, logits[own].max(0))
-                    e = np.exp(logits[own] - new)
-                    s = s * np.exp(m - new)[:, None]
-                    s[:, 0] += e.sum(0)
-                    s[:, 1:] += e.T @ b[own]
-                    held[name] = new, s
-                if len(held) > MAX_HELD:
+                order, first = _runs(names.indices.to_numpy())
+                b = np.concatenate([np.ones((len(b), 1)), b], 1)[order]
+                held.append((names.dictionary, *_merged(logits[order], np.broadcast_to(b[:, None], (len(b), net.queries, b.shape[1])), first)))
+                n += len(first)
+                if n > MAX_HELD:
                     yield handed()
+                    n = 0
         if held:
             yield handed()
 
-    parts = rows.select("sample", "z", "w").mapInArrow(run, f"sample {kind.simpleString()}, q int, top double, sums array<double>").repartition("sample")
-    parts = parts.withColumn("most", F.max("top").over(W.partitionBy("sample", "q")))
-    level = F.transform("sums", lambda x: x * F.exp(F.col("top") - F.col("most")))
-    total = parts.groupBy("sample", "q").agg(F.first("most").alias("peak"), vector_to_array(Summarizer.sum(array_to_vector(level))).alias("s"))
-    mean = F.transform(F.slice("s", 2, net.hidden), lambda x: x / F.col("s")[0])
-    each = total.select("sample", F.struct("q", (F.col("peak") + F.log(F.col("s")[0])).alias("norm"), mean.alias("v")).alias("_q"))
-    one = each.groupBy("sample").agg(F.array_sort(F.collect_list("_q")).alias("_qs"))  # one a query
-    return one.select("sample", F.transform("_qs", lambda x: x["norm"]).alias("norm"), F.flatten(F.transform("_qs", lambda x: x["v"])).alias("pooled"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by sample; the last sample of a batch may go on in the next."""
+        rest = None
+
+        def told(name: pa.Array, top: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            size = sums[:, :, :1]
+            return pa.RecordBatch.from_arrays([name, lists(top + np.log(size[:, :, 0])), lists(sums[:, :, 1:] / size)], ["sample", "norm", "pooled"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, name, top, sums = batch.column("_key"), batch.column("sample"), matrix(batch, "top"), matrix(batch, "sums").reshape(shape)
+            if rest:
+                key, name = pa.concat_arrays([rest[0], key]), pa.concat_arrays([rest[1], name])
+                top, sums = np.concatenate([rest[2], top]), np.concatenate([rest[3], sums])
+            # equal hashes of different samples come by sample; NaN, which is unlike itself, is one sample
+            new = pc.or_(pc.not_equal(key[1:], key[:-1]), pc.and_(pc.not_equal(name[1:], name[:-1]), pc.or_(pc.equal(name[1:], name[1:]), pc.equal(name[:-1], name[:-1]))))
+            first = np.flatnonzero(np.append(True, new.to_numpy(zero_copy_only=False)))
+            top, sums = _merged(top, sums, first)
+            key, name = key.take(pa.array(first)), name.take(pa.array(first))
+            rest = key[-1:], name[-1:], top[-1:], sums[-1:]
+            if len(first) > 1:
+                yield told(name[:-1], top[:-1], sums[:-1])
+        if rest:
+            yield told(*rest[1:])
+
+    parts = rows.select("sample", "z", "w").mapInArrow(run, f"sample {kind}, top array<double>, sums array<double>")
+    parts = parts.withColumn("_key", F.xxhash64("sample")).repartition("_key").sortWithinPartitions("_key", "sample")
+    return parts.mapInArrow(add, f"sample {kind}, norm array<double>, pooled array<double>")
 
 
 def records_gradient(net: SetNet, params: np.ndarray, rows: DataFrame, state: dict) -> np.ndarray:
@@ -206,7 +268,7 @@ class SetModel:
         ValueError for vectors of another basis than the model learned from.
         """
         self._checked(df, vector)
-        return self._predicted(clouds(df, sample, vector, weight)).select(F.col("sample").alias(sample), F.col("predicted").alias(output))
+        return self._predicted(_gathered(df, sample, vector, weight)).select(F.col("sample").alias(sample), F.col("predicted").alias(output))
 
     def _predicted(self, rows: DataFrame) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(self)
@@ -247,11 +309,17 @@ def train_set_encoder(df: DataFrame, labels: DataFrame, sample: str, vector: str
     if task == "classification" and odd:
         raise ValueError("classes must be 0 and 1")
     center, spread = (float(mean), float(dev) or 1.0) if task == "regression" else (0.0, 1.0)
-    known = known.withColumn("y", (F.col("y") - center) / spread)
     batches = max(1, round(n / batch_samples))
     deals = min(batches, MAX_DEALS)
-    rows = clouds(df, sample, vector, weight, deals, seed)
-    head = rows.select(F.size("z")).first()
+    # a batch is a part of one folder; samples kept apart are a folder, samples of no round are not written
+    name, apart = F.col("sample"), held_out(F.col("sample"), share, seed)
+    first = dealt(name, deals, seed)
+    batch_of = first + F.pmod(F.xxhash64(F.lit(seed), F.lit("sub"), name), F.ceil((F.lit(batches) - first) / F.lit(deals))) * deals
+    used = batch_of < min(rounds, batches)
+    known = known.withColumn("y", (F.col("y") - center) / spread)
+    taught, known = staged(known.filter(~apart & used).select("sample", "y"), "taught"), staged(known.filter(apart).select("sample", "y"), "apart")
+    rows = clouds(df, sample, vector, weight, deals, seed, deal=F.when(apart, F.lit(-1)).when(used, first))
+    head = rows.select(F.size("z")).first() or _records(df, sample, vector, weight).select(F.size("z")).first()
     if head is None:
         raise ValueError("no samples to learn from")
     net = SetNet(head[0], hidden, queries)
@@ -259,16 +327,11 @@ def train_set_encoder(df: DataFrame, labels: DataFrame, sample: str, vector: str
     model = lambda flat: SetModel(net, flat, task, center, spread, df.schema[vector].metadata.get("basis"), losses)
     bits = 1 << 20
     for k in range(rounds):
-        # a batch is a part of one folder
-        deal, sub = k % batches % deals, k % batches // deals
-        subs = -(-(batches - deal) // deals)
-        mine = F.pmod(F.xxhash64(F.lit(seed), F.lit("sub"), "sample"), F.lit(subs)) == sub
-        learn = ~held_out(F.col("sample"), share, seed) & mine
-        batch = rows.filter((F.col("deal") == deal) & learn)
+        batch = rows.filter((F.col("deal") == k % batches % deals) & (batch_of == k % batches))
         if least is not None:
             draw = lambda *of: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *of), F.lit(bits)) / F.lit(float(bits))  # noqa: B023, E731
             batch = batch.filter(draw(F.lit("row"), F.col("row")) < F.lit(least) + draw(F.lit("share"), F.col("sample")) * F.lit(1 - least))
-        met = pooled(net, adam.params, batch).join(known, "sample").select("sample", "norm", "pooled", "y").collect()
+        met = pooled(net, adam.params, batch).join(F.broadcast(taught), "sample").select("sample", "norm", "pooled", "y").collect()
         if met:
             p, g = net.views(adam.params), np.zeros(net.size)
             pools = np.array([r["pooled"] for r in met]).reshape(len(met), queries, hidden)
@@ -276,7 +339,7 @@ def train_set_encoder(df: DataFrame, labels: DataFrame, sample: str, vector: str
             state = {r["sample"]: (np.array(r["norm"]), pools[i], d[i]) for i, r in enumerate(met)}
             adam.step((g + records_gradient(net, adam.params, batch, state)) / len(met))
         if (k + 1) % every == 0 or k == rounds - 1:
-            losses.append(_validation(model(adam.params), rows.filter(held_out(F.col("sample"), share, seed)), known))
+            losses.append(_validation(model(adam.params), rows.filter("deal = -1"), known))
             if losses[-1] < best or kept is None:
                 best, kept = losses[-1], adam.params
                 path = path or new_path(spark, "parameters")

@@ -36,6 +36,49 @@ def toy(spark):
     return spark.createDataFrame(rows, "sid string, z array<double>, w double").cache(), spark.createDataFrame(labels, "sid string, y int")
 
 
+def test_samples_of_no_round_are_not_written(spark, toy, monkeypatch):
+    """Learning stages the samples of its rounds and those kept apart, telling stages none; all are told."""
+    df, labels = toy
+    seen, staging = [], sets.clouds
+
+    def watched(*args, **kwargs):
+        seen.append(staging(*args, **kwargs))
+        return seen[-1]
+
+    monkeypatch.setattr(sets, "clouds", watched)
+    m = train_set_encoder(df, labels, "sid", "z", "w", "y", task="classification", rounds=2, batch_samples=8, every=2, queries=2, hidden=4)
+    assert m.predict(df, "sid", "z", "w").count() == 80 and len(seen) == 1
+    name = F.col("sample")
+    written = seen[0].select(name, sets.held_out(name, 0.2).alias("apart")).distinct()
+    own = df.filter("w > 0 and not isnan(w) and z is not null and sid is not null").select("sid").distinct()
+    assert written.filter("apart").count() == own.filter(sets.held_out(F.col("sid"), 0.2)).count()
+    assert 0 < written.filter("not apart").count() < 40 < own.filter(~sets.held_out(F.col("sid"), 0.2)).count()
+
+
+def test_sums_of_a_sample_meet_across_batches(spark, monkeypatch):
+    """Without a row for each query and a window; -0.0 and NaN as samples are one each."""
+    monkeypatch.setattr(sets, "MAX_HELD", 1)
+    monkeypatch.setattr(sets, "AT_ONCE", 2)
+    rng, net = np.random.default_rng(4), SetNet(3, 4, 2)
+    rows = [(float(n), z.tolist(), float(w)) for n in (0.0, -0.0, float("nan"), 1.0, 2.0) for z, w in zip(rng.standard_normal((23, 3)) * 9, rng.random(23) + 0.1)]
+    flat = net.start(0) + rng.normal(size=net.size)
+    df = spark.createDataFrame(rows, "sample double, z array<double>, w double").repartition(3)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "3")
+    try:
+        out = pooled(net, flat, df)
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+        found = {str(r["sample"] + 0.0): r for r in out.collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert sorted(found) == ["0.0", "1.0", "2.0", "nan"] and out.count() == 4
+    for n, r in found.items():
+        own = [x for x in rows if str(x[0] + 0.0) == n]
+        norm, pool = _plain(net, net.views(flat), np.array([x[1] for x in own]), np.array([x[2] for x in own]))
+        assert np.allclose(r["norm"], norm) and np.allclose(np.reshape(r["pooled"], pool.shape), pool)
+
+
 @pytest.mark.parametrize("task", sets.TASKS)
 def test_gradient_is_the_slope(task):
     rng, net = np.random.default_rng(1), SetNet(3, 5, 2)
