@@ -97,7 +97,10 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int,
     """The pairs ``a, b`` of classes whose full sets have the similarity.
 
     The texts of the classes in question are read again and written once; each pair then meets both.
+    Without pairs no text is read.
     """
+    if not pairs.take(1):
+        return pairs.select("a", "b")
     t = staged(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, nodes), "texts")
     both = _with_texts(pairs.select("a", "b"), t, ["b", "a"])
 
@@ -122,29 +125,30 @@ def _with_texts(rows: DataFrame, texts: DataFrame, of: list[str]) -> DataFrame:
     copied once for each part, so a class in a third of all rows goes to many tasks.  Parts are told before any
     text is joined, from the columns of ``rows`` alone.
     """
-    dealt, copies, total = rows, {}, rows.count()
+    dealt, copies = rows, {}
     for x in of:
-        sizes = rows.groupBy(x).agg(F.count("*").alias("_rows")).withColumn("_last", F.expr(f"(_rows - 1) div {TEXT_ROWS}"))
+        sizes = staged(rows.groupBy(x).agg(F.count("*").alias("_rows")).withColumn("_last", F.expr(f"(_rows - 1) div {TEXT_ROWS}")), "parts")
+        total, largest = _sizes(sizes, "_rows")
         copies[x] = sizes.select(F.col(x).alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("_part"))
         spread = F.xxhash64(F.lit(x), *rows.columns)
-        dealt = lookup(dealt, sizes, [x], "_rows", total, spread, "inner").withColumn(f"_part_{x}", F.pmod(spread, F.col("_last") + 1)).drop("_rows", "_last")
+        dealt = lookup(dealt, sizes, [x], "_rows", total, spread, "inner", largest).withColumn(f"_part_{x}", F.pmod(spread, F.col("_last") + 1)).drop("_rows", "_last")
     for x in of:
         own = copies[x].join(texts, "node").select(F.col("node").alias(x), F.col("_part").alias(f"_part_{x}"), F.col("text").alias(f"text_{x}"))
         dealt = dealt.join(own, [x, f"_part_{x}"]).drop(f"_part_{x}")
     return dealt.select(*rows.columns, *[f"text_{x}" for x in of])
 
 
-def _with_class(pairs: DataFrame, of: DataFrame, x: str) -> DataFrame:
-    """``pairs`` with the columns of the class ``x`` of each; classes in many pairs are looked up apart."""
-    other = F.xxhash64(*pairs.columns)
-    sizes = pairs.groupBy(x).agg(F.count("*").alias("_pairs"))
-    return lookup(pairs, of.join(sizes, x), [x], "_pairs", pairs.count(), other, "inner").drop("_pairs")
+def _with_class(rows: DataFrame, pairs: DataFrame, of: DataFrame, x: str) -> DataFrame:
+    """``rows``, one for each of ``pairs``, with the columns of the class ``x``; classes in many pairs are looked up apart."""
+    sizes = staged(pairs.groupBy(x).agg(F.count("*").alias("_pairs")), "in_pairs")
+    total, largest = _sizes(sizes, "_pairs")
+    return lookup(rows, of.join(sizes, x), [x], "_pairs", total, F.xxhash64(*pairs.columns), "inner", largest).drop("_pairs")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that can reach the similarity, with ``sure`` and the ``shared`` sketch values; ``sure`` where the sketches hold the whole sets and it is reached."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    p = _with_class(_with_class(pairs, side("a"), "a"), side("b"), "b")
+    p = _with_class(_with_class(pairs, pairs, side("a"), "a"), pairs, side("b"), "b")
     p = p.filter((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
     p = p.withColumn("both", F.array_intersect("s_a", "s_b")).withColumn("all", F.array_union("s_a", "s_b"))
     whole = (F.col("n_a") <= K) & (F.col("n_b") <= K)
@@ -163,7 +167,8 @@ def links(docs: DataFrame, nodes: DataFrame, n_words: int, percent: int, long_li
     """Verified links ``a, b`` between classes that give all components."""
     keyed = nodes.filter("n > 1").select("node", "n", F.explode(_keys(F.col("sketch"))).alias("key"))
     lists = staged(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "lists")
-    listed = staged(lookup(keyed, lists, ["key"], "m", _total(lists, "m"), F.xxhash64("node", "key"), "inner"), "listed")
+    total, largest = _sizes(lists, "m")
+    listed = staged(lookup(keyed, lists, ["key"], "m", total, F.xxhash64("node", "key"), "inner", largest), "listed")
 
     # n - 1 keys, two lost with each of n * (100 - percent) / 100 values; rounded up in integers, as floats give one more at 5, 10, 15
     sure = F.expr(f"(n * {2 * percent - 100} - 1) div 100")
@@ -179,7 +184,9 @@ def links(docs: DataFrame, nodes: DataFrame, n_words: int, percent: int, long_li
     other = short.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
     met = short.join(other, "key").filter((F.col("node") < F.col("b")) & near("n", "n_b")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k")).filter("k > 1").select("a", "b")
     leaders = staged(long.groupBy("key").agg(F.max(F.struct("met", "node")).alias("top"), F.count("*").alias("m")), "leaders")
-    led = lookup(long, leaders, ["key"], "m", _total(leaders, "m"), F.xxhash64("node", "key"), "inner").withColumn("lead", F.col("top.node")).filter(F.col("lead") != F.col("node"))
+    total, largest = _sizes(leaders, "m")
+    topped = lookup(long, leaders, ["key"], "m", total, F.xxhash64("node", "key"), "inner", largest)
+    led = topped.withColumn("lead", F.col("top.node")).filter(F.col("lead") != F.col("node"))
     pairs = met.withColumn("short", F.lit(1)).unionByName(led.select(F.col("lead").alias("a"), F.col("node").alias("b"), F.lit(0).alias("short")))
     cand = staged(_estimated(staged(pairs.groupBy("a", "b").agg(F.max("short").alias("short")), "met"), nodes, percent), "pairs")
 
@@ -190,8 +197,9 @@ def links(docs: DataFrame, nodes: DataFrame, n_words: int, percent: int, long_li
     apart = F.col("_a") != F.col("_b")
     rest = staged(label(label(cand.filter("short = 1 and not sure").select("a", "b"), "a"), "b").filter(apart).select("a", "b"), "rest")
 
-    last = verified(rest, docs, nodes, n_words, percent)
-    return first.unionByName(last).unionByName(_within_groups(long, leaders, comp, docs, nodes, n_words, percent))
+    # each written by itself: Spark plans a query anew on the driver after every shuffle in it
+    last = staged(verified(rest, docs, nodes, n_words, percent), "last")
+    return first.unionByName(last).unionByName(staged(_within_groups(topped, comp, docs, nodes, n_words, percent), "within"))
 
 
 def _hubs(met: DataFrame) -> DataFrame:
@@ -205,21 +213,23 @@ def _hubs(met: DataFrame) -> DataFrame:
     return own.select(F.col("hub.node").alias("a"), F.explode(F.array_union(F.array("node"), "tops")).alias("b")).distinct()
 
 
-def _within_groups(long: DataFrame, leaders: DataFrame, comp: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int, percent: int) -> DataFrame:
+def _within_groups(met: DataFrame, comp: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Links that are left among classes which meet in long lists only, as a forest for each pair of blocks.
 
-    Classes that meet in long lists form groups.  A group of one component is done.  In the others the
+    Classes that meet in long lists (``met``, with the list's ``top``) form groups.  A group of one component is done.  In the others the
     classes outside the largest component are compared with all of the group in blocks of about
     ``BLOCK_CLASSES``, first by their sketches: a task has two blocks and returns the classes, not the
     pairs, that are close to one of the other block.  Only those are compared by their texts; a task skips
     pairs that are connected and returns only the links that connect something.
     """
-    met = lookup(long, leaders, ["key"], "m", _total(leaders, "m"), F.xxhash64("node", "key"), "inner")
     groups = components(_hubs(met)).withColumnRenamed("comp", "g")
     placed = staged(groups.join(comp, "node", "left").select("node", "g", F.coalesce("comp", "node").alias("comp")), "groups")
     split = placed.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("m")).filter("parts > 1")
     split = staged(split.select("g", F.col("top.comp").alias("largest"), (F.col("m") - F.col("top.c")).alias("outside"), "m"), "split")
-    open_ = lookup(placed, split, ["g"], "m", _total(split, "m"), F.xxhash64("node"), "inner")
+    total, largest = _sizes(split, "m")
+    if not total:
+        return met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    open_ = lookup(placed, split, ["g"], "m", total, F.xxhash64("node"), "inner", largest)
     n_out, n_all = F.ceil(F.col("outside") / BLOCK_CLASSES), F.ceil(F.col("m") / BLOCK_CLASSES)
     of = lambda n: F.pmod(F.xxhash64("node"), n)
     open_ = staged(open_.join(nodes.select("node", "n", "sketch"), "node"), "open")
@@ -294,8 +304,10 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, n_words: int, percent: int)
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def _total(df: DataFrame, column: str) -> int:
-    return df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
+def _sizes(df: DataFrame, column: str) -> tuple[int, int]:
+    """The sum of a column of sizes and the largest of them."""
+    total, largest = df.agg(F.sum(column), F.max(column)).first()
+    return total or 0, largest or 0
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, long_list: int = LONG_LIST) -> DataFrame:
@@ -318,10 +330,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(links(base, nodes, n_words, percent, long_list))
     named = staged(comp.join(nodes.select("node", "first_id"), "node"), "components")
     least = staged(named.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("m")), "names")
-    names = lookup(named, least, ["comp"], "m", _total(least, "m"), F.xxhash64("node")).select(F.col("node").alias("_node"), "component_id")
+    total, largest = _sizes(least, "m")
+    names = lookup(named, least, ["comp"], "m", total, F.xxhash64("node"), "left", largest).select(F.col("node").alias("_node"), "component_id")
     labelled = nodes.join(names, F.col("node") == F.col("_node"), "left").select("d1", "d2", "n", "copies", F.coalesce("component_id", "first_id").alias("component_id"))
     labelled = staged(labelled, "labelled")
-    out = lookup(rows.drop("sketch"), labelled, ["d1", "d2", "n"], "copies", rows.count(), F.xxhash64("doc_id", "text_hash"))
+    total, largest = _sizes(labelled, "copies")
+    out = lookup(rows.drop("sketch"), labelled, ["d1", "d2", "n"], "copies", total, F.xxhash64("doc_id", "text_hash"), "left", largest)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 

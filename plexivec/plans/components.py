@@ -22,10 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"), F.count("*").alias("degree"))
     labels = staged(first, "labels")
-    n_edges, n_nodes = both.count(), labels.count()
+    n_nodes, n_edges, most = labels.agg(F.count("*"), F.coalesce(F.sum("degree"), F.lit(0)), F.coalesce(F.max("degree"), F.lit(0))).first()
+    if not n_nodes:
+        return labels.select("node", "comp")
     for _ in range(MAX_ROUNDS):
         by_neighbour = labels.select(F.col("node").alias("b"), "comp", "degree")
-        met = lookup(both, by_neighbour, ["b"], "degree", n_edges, F.xxhash64("a", "b"), "inner")
+        met = lookup(both, by_neighbour, ["b"], "degree", n_edges, F.xxhash64("a", "b"), "inner", most)
         heard = met.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
         near = labels.join(heard, "node").select("node", "degree", F.least("comp", "heard").alias("near"), F.col("comp").alias("old"))
         near = staged(near, "near")

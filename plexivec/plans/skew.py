@@ -15,16 +15,22 @@ def hot_size(total: int) -> int:
     return max(MIN_HOT, -(-total // MAX_HOT))
 
 
-def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, spread: Column, how: str = "left") -> DataFrame:
+def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, spread: Column, how: str = "left", largest: int | None = None) -> DataFrame:
     """Join every row with the row of its group.
 
     ``keys`` name columns of both sides, the first of type long; ``groups`` has one row per key, with
     its number of rows in the column ``size``.  The few groups of ``hot_size(total)`` rows or more are
     broadcast: their number has the bound ``MAX_HOT`` whatever the data.  All others are joined by a
     shuffle in which the rows of hot groups are spread by ``spread`` (a long) and match nothing.
+    ``largest`` is the size of the largest group, if known: where it is not hot, one plain join does, and
+    the driver has no broadcast to hold.
     """
     least = hot_size(total)
     values = [c for c in groups.columns if c not in keys]
+    if largest is not None and largest < least:
+        known = groups.filter(F.col(size).isNotNull()).select(*[F.col(k).alias(f"_cold_{k}") for k in keys], *values)
+        joined = rows.join(known, [F.col(k).eqNullSafe(F.col(f"_cold_{k}")) for k in keys], how)
+        return joined.select(*rows.columns, *values)
     hot = groups.filter(F.col(size) >= least).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], *[F.col(v).alias(f"_hot_{v}") for v in values])
     cold = groups.filter(F.col(size) < least).select(*[F.col(k).alias(f"_cold_{k}") for k in keys], *[F.col(v).alias(f"_cold_{v}") for v in values], F.lit(True).alias("_cold"))
     near = rows.join(F.broadcast(hot), [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys], "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plexivec.llm import decontaminate as dc
 from plexivec.llm import near_dedup as nd
 from plexivec.llm import queries, wordhash
+from plexivec.plans import components
 from plexivec.sources.tables import table
 from tests.conftest import SMALL
 
@@ -109,6 +110,36 @@ def test_groups_are_about_one_edge_a_class(spark, monkeypatch):
     assert now < 1.5 * classes and 2 * now < before
 
 
+def test_queries_are_planned_in_small_pieces(spark, monkeypatch):
+    """Spark plans a query anew on the driver after each shuffle and holds its broadcasts there: no query has many shuffles, and without hot groups none is told to broadcast."""
+    seen = []
+
+    def watched(f):
+        def staged(df, name):
+            said = df._jdf.queryExecution().executedPlan().toString()
+            seen.append((len(re.findall(r"(?<!\w)Exchange ", said)), said.count("BroadcastExchange"), name))
+            return f(df, name)
+
+        return staged
+
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    docs = [(i, " ".join(base[:60] + [f"y{rng.integers(10**6)}" for _ in range(40)])) for i in range(40)]
+    docs += [(i, " ".join(base[: 110 - i % 3])) for i in range(40, 70)] + [(i, " ".join(base[: 119 - i % 9])) for i in range(70, 80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(nd, "staged", watched(nd.staged))
+    monkeypatch.setattr(components, "staged", watched(components.staged))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(df, 2, long_list=4)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert {"best", "close", "last", "within"} <= {name for *_, name in seen}
+    assert max(shuffles for shuffles, *_ in seen) <= 12
+    assert all(broadcasts <= (name == "labels") for _, broadcasts, name in seen)  # the jump of components does not know its groups' sizes
+
+
 def test_short_texts_at_the_threshold(spark):
     """Families around the long-list limit, each a text of 4, 8 or 12 shingles and others with 1, 2 or 3 more (4/5, 8/10, 12/15)."""
     docs = []
