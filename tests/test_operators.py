@@ -219,6 +219,14 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 103: 100}
 
 
+def test_components_of_long_paths_in_any_order(spark):
+    """Labels that lie in no order on a path: what a label's nodes hear moves all of them."""
+    one, other = np.random.default_rng(0).permutation(300), 1000 + np.random.default_rng(1).permutation(200)
+    edges = [(int(a), int(b)) for path in (one, other) for a, b in zip(path[:-1], path[1:])]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**{i: 0 for i in range(300)}, **{1000 + i: 1000 for i in range(200)}}
+
+
 def test_cluster_metrics_by_hand(spark):
     df = spark.createDataFrame(list(zip([0, 0, 0, 1, 1, 1, -1], "AAABBBA")), "c int, l string")
     got = {r["label"]: r for r in cluster.cluster_metrics(df, "c", "l").collect()}
