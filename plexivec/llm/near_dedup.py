@@ -8,12 +8,13 @@
 3. Lists of up to ``long_list`` classes give pairs with the number of lists they share.  A class with so
    few long lists that a similar class must meet it in short ones leaves the long lists.  In those, each
    class is paired with the list's most listed class only.  Where that leaves a group in several
-   components, the classes outside the largest are compared with all of the group, block by block.
+   components, the classes outside the largest are compared with all of the group of about their size, block by block.
 4. Pairs are filtered by the estimate from the sketch of the union, then verified on the full sets,
    the best pair of each class first; pairs within a component need not be verified any more.
 
 Large groups of near copies cost a comparison with one class each, as long as most are linked to it.  A
-large group of texts that are all just too different costs the square of its size, in tasks of two blocks.
+large group of texts of about one size that are all just too different costs the square of its size, in tasks of
+two blocks.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ BLOCK_CLASSES = 1024
 TEXT_ROWS = 256
 #: Of these, classes compared at once.
 CHUNK_CLASSES = 128
+#: Multiplications in a product of matrices that take about as long as to intersect two sets, and values in a product.
+PAIR_PRODUCTS = 150_000
+PRODUCT_VALUES = 4096
 HALF = np.uint64(2**63 - 1)
 
 
@@ -213,29 +217,57 @@ def _hubs(met: DataFrame) -> DataFrame:
     return own.select(F.col("hub.node").alias("a"), F.explode(F.array_union(F.array("node"), "tops")).alias("b")).distinct()
 
 
+def _span(percent: int) -> Column:
+    """The span of the set size ``n``: sizes of similar sets are in one span or in two that are neighbours.
+
+    A span is wider than the ratio of two such sizes by a hair, so that rounding cannot put them two apart.
+    """
+    return F.floor(F.log("n") / F.lit(max(np.log(100 / percent), 0.01) * (1 + 1e-6))).cast("int")
+
+
+def _blocks(open_: DataFrame, percent: int) -> DataFrame:
+    """The classes ``g, comp, largest, node, n, sketch`` of groups, once for each pair of blocks ``g, p, q, i, j`` that they are compared in.
+
+    Left (``outside`` the largest component) are the classes of block ``i`` of a span ``p`` of sizes, right all classes of block
+    ``j`` of the same span or a neighbour, ``q``: elsewhere no set is similar.
+    """
+    open_ = open_.withColumn("span", _span(percent))
+    counts = open_.groupBy("g", "span").agg(F.count("*").alias("all"), F.count_if(F.col("comp") != F.col("largest")).alias("out"))
+    blocks_of = lambda c: F.map_from_entries(F.collect_list(F.struct("span", F.ceil(F.col(c) / BLOCK_CLASSES).alias("n"))))
+    # a group has few spans, so they fit in a row
+    spans = staged(counts.groupBy("g").agg(F.sum("all").alias("m"), blocks_of("out").alias("n_out"), blocks_of("all").alias("n_all")), "spans")
+    total, largest = _sizes(spans, "m")
+    kept = ["node", "comp", "n", "sketch"]
+    met = lookup(open_.select("g", "span", "largest", *kept), spans, ["g"], "m", total, F.xxhash64("node"), "inner", largest)
+    around = F.explode(F.sequence(F.col("span") - 1, F.col("span") + 1))
+    of = lambda n: F.pmod(F.xxhash64("node"), n)
+    each = lambda df, n, x: df.filter(n > 0).withColumn(x, F.explode(F.sequence(F.lit(0), n - 1)))
+    n_out, n_all = (F.try_element_at(c, F.col(k)) for c, k in (("n_out", "p"), ("n_all", "q")))
+    left = each(met.filter(F.col("comp") != F.col("largest")).withColumn("p", F.col("span")).withColumn("q", around), n_all, "j")
+    right = each(met.withColumn("q", F.col("span")).withColumn("p", around), n_out, "i")
+    side = lambda df, i, j, outside: df.select("g", "p", "q", i.alias("i"), j.alias("j"), *kept, F.lit(outside).alias("outside"))
+    return side(left, of(n_out), F.col("j"), True).unionByName(side(right, F.col("i"), of(n_all), False))
+
+
 def _within_groups(met: DataFrame, comp: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Links that are left among classes which meet in long lists only, as a forest for each pair of blocks.
 
     Classes that meet in long lists (``met``, with the list's ``top``) form groups.  A group of one component is done.  In the others the
-    classes outside the largest component are compared with all of the group in blocks of about
-    ``BLOCK_CLASSES``, first by their sketches: a task has two blocks and returns the classes, not the
+    classes outside the largest component are compared with all of the group that have about their size, in blocks of
+    about ``BLOCK_CLASSES``, first by their sketches: a task has two blocks and returns the classes, not the
     pairs, that are close to one of the other block.  Only those are compared by their texts; a task skips
     pairs that are connected and returns only the links that connect something.
     """
     groups = components(_hubs(met)).withColumnRenamed("comp", "g")
     placed = staged(groups.join(comp, "node", "left").select("node", "g", F.coalesce("comp", "node").alias("comp")), "groups")
     split = placed.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("m")).filter("parts > 1")
-    split = staged(split.select("g", F.col("top.comp").alias("largest"), (F.col("m") - F.col("top.c")).alias("outside"), "m"), "split")
+    split = staged(split.select("g", F.col("top.comp").alias("largest"), "m"), "split")
     total, largest = _sizes(split, "m")
     if not total:
         return met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     open_ = lookup(placed, split, ["g"], "m", total, F.xxhash64("node"), "inner", largest)
-    n_out, n_all = F.ceil(F.col("outside") / BLOCK_CLASSES), F.ceil(F.col("m") / BLOCK_CLASSES)
-    of = lambda n: F.pmod(F.xxhash64("node"), n)
     open_ = staged(open_.join(nodes.select("node", "n", "sketch"), "node"), "open")
-    kept = ["node", "comp", "n", "sketch"]
-    out = open_.filter(F.col("comp") != F.col("largest")).withColumn("j", F.explode(F.sequence(F.lit(0), n_all - 1))).select("g", of(n_out).alias("i"), "j", *kept, F.lit(True).alias("outside"))
-    all_ = open_.withColumn("i", F.explode(F.sequence(F.lit(0), n_out - 1))).select("g", "i", of(n_all).alias("j"), *kept, F.lit(False).alias("outside"))
+    blocks_ = _blocks(open_, percent)
 
     def near(x: pd.DataFrame) -> pd.DataFrame:
         """The rows of two blocks whose sketch is close to one of the other block and another component."""
@@ -243,16 +275,16 @@ def _within_groups(met: DataFrame, comp: DataFrame, docs: DataFrame, nodes: Data
         can = (_common(left, right, percent) > 0) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
         return pd.concat([left[can.any(1)], right[can.any(0)]])
 
-    blocks_ = out.unionByName(all_)
     # sketches decide which classes' texts are read at all, and by which pairs of blocks
-    close = staged(blocks_.groupBy("g", "i", "j").applyInPandas(near, blocks_.schema), "close")
+    pair = ["g", "p", "q", "i", "j"]
+    close = staged(blocks_.groupBy(*pair).applyInPandas(near, blocks_.schema), "close")
     texts = staged(_texts(close.select("node"), docs, nodes), "close_texts")
     rows = _with_texts(close, texts, ["node"]).withColumnRenamed("text_node", "text")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         return _forest(x[x["outside"]], x[~x["outside"]], n_words, percent)
 
-    return rows.groupBy("g", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return rows.groupBy(*pair).applyInPandas(run, "a bigint, b bigint")
 
 
 def _common(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> np.ndarray:
@@ -276,14 +308,43 @@ def _common(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> np.ndarray
     return np.where(can, common, 0)
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray], most: int) -> np.ndarray | None:
+    """How many values all pairs of two lists of sets share, by products of matrices; None if that takes more than ``most`` multiplications."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if len(left) * len(right) * len(both) > most:
+        return None
+    sides = []
+    for sets in (left, right):
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, flat), max(len(both) - 1, 0))
+        hit = np.flatnonzero(both[at] == flat) if len(both) else np.zeros(0, int)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        sides.append((len(sets), at[hit], owner[hit]))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for k in range(0, len(both), PRODUCT_VALUES):  # a product's sums stay far below what single precision counts
+        parts = []
+        for n, at, owner in sides:
+            own = slice(*np.searchsorted(at, [k, k + PRODUCT_VALUES]))
+            part = np.zeros((n, PRODUCT_VALUES), np.float32)
+            part[owner[own], at[own] - k] = 1
+            parts.append(part)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
 def _forest(left: pd.DataFrame, right: pd.DataFrame, n_words: int, percent: int) -> pd.DataFrame:
     """Links between two blocks of classes that connect different components, most similar sketches first."""
     if not len(left) or not len(right):
         return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
     common = _common(left, right, percent)
     a, b = np.nonzero(common)
-    order = np.argsort(-common[a, b], kind="stable")
     sets = [list(shingle_sets(pa.array(x["text"], pa.string()), n_words)) for x in (left, right)]
+    known = _shared(*sets, len(a) * PAIR_PRODUCTS)
+    if known is not None:
+        n, m = (np.array([len(s) for s in x]) for x in sets)
+        similar = 100 * known[a, b] >= percent * (n[a] + m[b] - known[a, b])
+        a, b = a[similar], b[similar]
+    order = np.argsort(-common[a, b], kind="stable")
     comps, nodes = [x["comp"].to_numpy() for x in (left, right)], [x["node"].to_numpy() for x in (left, right)]
     parent: dict[int, int] = {}
 
@@ -297,7 +358,7 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, n_words: int, percent: int)
         x, y = top(int(comps[0][i])), top(int(comps[1][j]))
         if x != y:
             s, t = sets[0][i], sets[1][j]
-            both = len(np.intersect1d(s, t, assume_unique=True))
+            both = len(np.intersect1d(s, t, assume_unique=True)) if known is None else known[i, j]
             if 100 * both >= percent * (len(s) + len(t) - both):
                 parent[x] = y
                 links.append((int(nodes[0][i]), int(nodes[1][j])))

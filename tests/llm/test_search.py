@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,40 @@ def test_queries_are_planned_in_small_pieces(spark, monkeypatch):
     assert all(broadcasts <= (name == "labels") for _, broadcasts, name in seen)  # the jump of components does not know its groups' sizes
 
 
+def test_groups_compare_only_sets_of_about_one_size(spark, monkeypatch):
+    """Each class outside the largest component meets each class that may be similar once, and few others."""
+    monkeypatch.setattr(nd, "BLOCK_CLASSES", 8)
+    rng = np.random.default_rng(6)
+    sizes = [80, 100, 64, 125, 1, 1, 5, 4] + np.exp(rng.uniform(2, 8, 300)).astype(int).tolist()
+    rows = [(1, i % 5, 0, i, n, [i]) for i, n in enumerate(sizes)] + [(2, i, i % 2, 1000 + i, 50, [i]) for i in range(2)]
+    df = spark.createDataFrame(rows, "g long, comp long, largest long, node long, n long, sketch array<long>")
+    x = nd._blocks(df, 80).toPandas()
+    pair = ["g", "p", "q", "i", "j"]
+    met = x[x["outside"]].merge(x[~x["outside"]], on=pair)
+    seen = set(zip(met["node_x"], met["node_y"]))
+    assert len(seen) == len(met) and x.groupby([*pair, "outside"]).size().max() < 24
+    outside = [i for i in range(len(sizes)) if i % 5]
+    assert {(i, j) for i in outside for j in range(len(sizes)) if 100 * sizes[i] >= 80 * sizes[j] and 100 * sizes[j] >= 80 * sizes[i]} <= seen
+    assert len(met) < len(outside) * len(sizes) / 4
+
+
+def test_sets_of_blocks_are_counted_by_products(monkeypatch):
+    """Many close pairs of two blocks are no intersection each; the links are those of single intersections."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"y{rng.integers(10**6)}" if rng.random() < 0.05 else f"w{k}" for k in range(90 + i % 3)) for i in range(60)]
+    sets = list(nd.shingle_sets(pa.array(texts), 2))
+    x = pd.DataFrame({"node": range(60), "comp": range(60), "n": [len(s) for s in sets], "sketch": [s[: nd.K].astype(np.int64) for s in sets], "text": texts})
+    monkeypatch.setattr(nd, "PRODUCT_VALUES", 50)
+    known = nd._shared(sets[:30], sets[30:], 10**12)
+    assert known.tolist() == [[len(set(s.tolist()) & set(t.tolist())) for t in sets[30:]] for s in sets[:30]]
+    assert nd._shared(sets[:1], [sets[0] + 1], 10**6).tolist() == [[len(np.intersect1d(sets[0], sets[0] + 1))]]
+    monkeypatch.setattr(nd, "PAIR_PRODUCTS", 0)
+    single = nd._forest(x[:30], x[30:], 2, 80)
+    monkeypatch.undo()
+    monkeypatch.setattr(nd.np, "intersect1d", lambda *a, f=np.intersect1d, **k: f(*a) if not k else pytest.fail("a pair by itself"))
+    assert len(single) and nd._forest(x[:30], x[30:], 2, 80).equals(single)
+
+
 def test_short_texts_at_the_threshold(spark):
     """Families around the long-list limit, each a text of 4, 8 or 12 shingles and others with 1, 2 or 3 more (4/5, 8/10, 12/15)."""
     docs = []
