@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,13 +27,16 @@ from plexivec.functions.names import prototype_hash
 from plexivec.learn.training import AT_ONCE, CHUNK, Adam, Net, load_params, matrix, save_params
 from plexivec.operators.basis import Basis
 from plexivec.operators.evaluate import roc_auc, spearman
-from plexivec.plans.skew import MAX_HOT
-from plexivec.plans.staging import new_path, staged
+from plexivec.plans.skew import MAX_HOT, lookup
+from plexivec.plans.staging import dropped, new_path, staged
 
 #: Records of a sample in one part of the staged table; larger samples are several parts.
 PART_ROWS = 65536
 #: Samples whose sums a task holds before it hands them on.
 MAX_HELD = 1024
+#: Samples of a batch, if all samples can be dealt to the rounds in such batches; and samples of a batch, about, up to
+#: which the driver sees their pooled vectors.
+BATCH_SAMPLES, MAX_SEEN = 128, 1024
 #: Folders of the staged table; a batch reads one of them.
 MAX_DEALS = 256
 TASKS = ("regression", "classification")
@@ -219,30 +223,61 @@ def pooled(net: SetNet, params: np.ndarray, rows: DataFrame) -> DataFrame:
     return parts.mapInArrow(add, f"sample {kind}, norm array<double>, pooled array<double>")
 
 
-def records_gradient(net: SetNet, params: np.ndarray, rows: DataFrame, state: dict) -> np.ndarray:
-    """The summed gradient of the records of a batch's samples, given (norm, pooled, gradient of pooled) of each."""
-    names = list(state)
-    shared = rows.sparkSession.sparkContext.broadcast((params, {n: i for i, n in enumerate(names)}, *(np.stack([state[n][k] for n in names]) for k in range(3))))
+def _added(net: SetNet, rows: DataFrame, shared: Broadcast, add: Callable, more: int = 0) -> np.ndarray:
+    """The sums, over all tasks, of what ``add(batch, value of shared, sums)`` adds up of at most ``AT_ONCE`` rows; as long as the network's parameters and ``more``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, place, norm, pools, d = shared.value
-        p, g, n = net.views(flat), np.zeros(net.size), 0
+        g = np.zeros(net.size + more)
         for batch in batches:
             for at in range(0, len(batch), AT_ONCE):
-                some = batch.slice(at, AT_ONCE)
-                of = np.array([place.get(x, -1) for x in some.column("sample").to_pylist()])
-                own = of >= 0
-                if own.any():
-                    of = of[own]
-                    net.records_gradient(p, net.views(g), matrix(some, "z")[own], matrix(some, "w")[own, 0], norm[of], pools[of], d[of])
-                    n += len(of)
-        if n:
-            parts = [g[k : k + CHUNK] for k in range(0, len(g), CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64()))], ["chunk", "g"])
-
-    found = rows.select("sample", "z", "w").mapInArrow(run, "chunk int, g array<double>").groupBy("chunk").agg(Summarizer.sum(array_to_vector("g")).alias("g")).orderBy("chunk").collect()
+                add(batch.slice(at, AT_ONCE), shared.value, g)
+        parts = [g[k : k + CHUNK] for k in range(0, len(g), CHUNK)] if g.any() else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64()))], ["chunk", "g"])
+
+    found = rows.mapInArrow(run, "chunk int, g array<double>").groupBy("chunk").agg(Summarizer.sum(array_to_vector("g")).alias("g")).orderBy("chunk").collect()
     shared.destroy()
-    return np.concatenate([r["g"].toArray() for r in found])
+    return np.concatenate([r["g"].toArray() for r in found]) if found else np.zeros(net.size + more)
+
+
+def records_gradient(net: SetNet, params: np.ndarray, rows: DataFrame, state: dict) -> np.ndarray:
+    """The summed gradient of the records of a batch's samples, given (norm, pooled, gradient of pooled) of each."""
+    names = list(state)
+    shared = rows.sparkSession.sparkContext.broadcast((params, {n: i for i, n in enumerate(names)}, *(np.stack([state[n][k] for n in names]) for k in range(3))))
+
+    def add(some: pa.RecordBatch, value: tuple, g: np.ndarray) -> None:
+        flat, place, norm, pools, d = value
+        of = np.array([place.get(x, -1) for x in some.column("sample").to_pylist()])
+        own = of >= 0
+        if own.any():
+            of = of[own]
+            net.records_gradient(net.views(flat), net.views(g), matrix(some, "z")[own], matrix(some, "w")[own, 0], norm[of], pools[of], d[of])
+
+    return _added(net, rows.select("sample", "z", "w"), shared, add)
+
+
+def batch_gradient(net: SetNet, params: np.ndarray, rows: DataFrame, taught: DataFrame, task: str, total: int, largest: int) -> tuple[np.ndarray, int]:
+    """The summed gradient of a batch of any size and its number of samples; ``taught``: ``sample, y, n``, with the records of a sample.
+
+    The samples' pooled vectors are a table that meets the records again; samples of many of all ``total`` records are looked up apart.
+    """
+    key, sc = F.xxhash64("sample").alias("_key"), rows.sparkSession.sparkContext
+    state = staged(pooled(net, params, rows).join(taught, "sample").select(key, "sample", "norm", "pooled", "y", "n"), "pooled")
+    shape = (-1, net.queries, net.hidden)
+
+    def heads(some: pa.RecordBatch, flat: np.ndarray, g: np.ndarray) -> None:
+        net.head_loss(net.views(flat), net.views(g[:-1]), matrix(some, "pooled").reshape(shape), matrix(some, "y")[:, 0], task)
+        g[-1] += len(some)
+
+    def records(some: pa.RecordBatch, flat: np.ndarray, g: np.ndarray) -> None:
+        p, pools = net.views(flat), matrix(some, "pooled").reshape(shape)
+        _, d = net.head_loss(p, net.views(np.zeros(net.size)), pools, matrix(some, "y")[:, 0], task)
+        net.records_gradient(p, net.views(g), matrix(some, "z"), matrix(some, "w")[:, 0], matrix(some, "norm"), pools, d)
+
+    met = lookup(rows.select(key, "sample", "z", "w", "row"), state, ["_key", "sample"], "n", total, F.xxhash64("row"), "inner", largest)
+    g = _added(net, state.select("pooled", "y"), sc.broadcast(params), heads, 1)
+    own = _added(net, met.select("z", "w", "norm", "pooled", "y"), sc.broadcast(params), records)
+    dropped(state)
+    return g[:-1] + own, int(g[-1])
 
 
 @dataclass(frozen=True)
@@ -288,12 +323,23 @@ def held_out(sample: Column, share: float, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.lit("held out"), sample), F.lit(1000)) < round(share * 1000)
 
 
-def train_set_encoder(df: DataFrame, labels: DataFrame, sample: str, vector: str, weight: str, label: str, task: str = "regression", rounds: int = 60, batch_samples: int = 128, rate: float = 5e-3, hidden: int = 32, queries: int = 8, share: float = 0.2, every: int = 10, least: float | None = 0.2, seed: int = 0) -> SetModel:
+def _shown(turn: int, least: float, seed: int) -> Column:
+    """Whether a record is shown in a turn through the batches: a share of a sample's, between ``least`` and 1, and in every other turn what the one before left out."""
+    bits, pair = 1 << 20, turn // 2
+    draw = lambda *of: F.pmod(F.xxhash64(F.lit(seed), F.lit(pair), *of), F.lit(bits)) / F.lit(float(bits))
+    share = lambda name: F.lit(least) + draw(F.lit(name), F.col("sample")) * F.lit(1 - least)
+    place = draw(F.lit("row"), F.col("row"))
+    return place < share("share") if turn % 2 == 0 else place >= F.least(1 - share("next"), share("share"))
+
+
+def train_set_encoder(df: DataFrame, labels: DataFrame, sample: str, vector: str, weight: str, label: str, task: str = "regression", rounds: int = 60, batch_samples: int | None = None, rate: float = 5e-3, hidden: int = 32, queries: int = 8, share: float = 0.2, every: int = 10, least: float | None = 0.2, seed: int = 0) -> SetModel:
     """A model of ``label`` (``labels``: one row a sample) from the samples' records in ``df``.
 
-    Each round takes the samples of one batch, about ``batch_samples`` by a hash; their pooled vectors are all that the driver
-    sees.  With ``least`` a sample shows a share of its records, drawn anew each round between ``least`` and 1, so that the model
-    learns to read shallow samples.  Every ``every`` rounds the loss on the ``share`` of samples kept apart is taken; the best
+    Each round takes the samples of one batch, by a hash.  All samples teach, in two rounds at least: batches are as large as that
+    needs, ``BATCH_SAMPLES`` or more, and only the pooled vectors of small ones are seen by the driver.  A caller's own ``batch_samples`` are
+    about that many a round, and then samples of no round teach nothing.  With ``least`` a sample shows a share of its records, drawn
+    between ``least`` and 1 for each round, so that the model learns to read shallow samples; what it does not show in one
+    turn through the batches it shows in the next.  Every ``every`` rounds the loss on the ``share`` of samples kept apart is taken; the best
     parameters go to the shared folder and are the result.  Samples without a label or a record teach nothing.  ValueError for an
     unknown task, two labels of a sample, no sample to learn from, or for classes other than 0 and 1.
     """
@@ -309,7 +355,9 @@ def train_set_encoder(df: DataFrame, labels: DataFrame, sample: str, vector: str
     if task == "classification" and odd:
         raise ValueError("classes must be 0 and 1")
     center, spread = (float(mean), float(dev) or 1.0) if task == "regression" else (0.0, 1.0)
-    batches = max(1, round(n / batch_samples))
+    batches = max(1, round(n / (batch_samples or BATCH_SAMPLES)))
+    if batch_samples is None:
+        batches = max(1, min(batches, rounds // 2))
     deals = min(batches, MAX_DEALS)
     # a batch is a part of one folder; samples kept apart are a folder, samples of no round are not written
     name, apart = F.col("sample"), held_out(F.col("sample"), share, seed)
@@ -322,17 +370,23 @@ def train_set_encoder(df: DataFrame, labels: DataFrame, sample: str, vector: str
     head = rows.select(F.size("z")).first() or _records(df, sample, vector, weight).select(F.size("z")).first()
     if head is None:
         raise ValueError("no samples to learn from")
+    large = n > MAX_SEEN * batches
+    if large:
+        sizes = rows.filter("deal >= 0").groupBy("sample").agg(F.count("*").alias("n"))
+        taught = staged(taught.join(sizes, "sample"), "taught")
+        total, largest = taught.agg(F.sum("n"), F.max("n")).first()
     net = SetNet(head[0], hidden, queries)
     adam, losses, best, kept, path = Adam(net.start(seed), rate, rounds), [], np.inf, None, None
     model = lambda flat: SetModel(net, flat, task, center, spread, df.schema[vector].metadata.get("basis"), losses)
-    bits = 1 << 20
     for k in range(rounds):
         batch = rows.filter((F.col("deal") == k % batches % deals) & (batch_of == k % batches))
         if least is not None:
-            draw = lambda *of: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *of), F.lit(bits)) / F.lit(float(bits))  # noqa: B023, E731
-            batch = batch.filter(draw(F.lit("row"), F.col("row")) < F.lit(least) + draw(F.lit("share"), F.col("sample")) * F.lit(1 - least))
-        met = pooled(net, adam.params, batch).join(F.broadcast(taught), "sample").select("sample", "norm", "pooled", "y").collect()
-        if met:
+            batch = batch.filter(_shown(k // batches, least, seed))
+        if large:
+            g, m = batch_gradient(net, adam.params, batch, taught, task, total or 0, largest or 0)
+            if m:
+                adam.step(g / m)
+        elif met := pooled(net, adam.params, batch).join(F.broadcast(taught), "sample").select("sample", "norm", "pooled", "y").collect():
             p, g = net.views(adam.params), np.zeros(net.size)
             pools = np.array([r["pooled"] for r in met]).reshape(len(met), queries, hidden)
             _, d = net.head_loss(p, net.views(g), pools, np.array([r["y"] for r in met]), task)

@@ -55,6 +55,50 @@ def test_samples_of_no_round_are_not_written(spark, toy, monkeypatch):
     assert 0 < written.filter("not apart").count() < 40 < own.filter(~sets.held_out(F.col("sid"), 0.2)).count()
 
 
+def test_all_samples_and_records_teach(spark, toy, monkeypatch):
+    """Without a size of batches of the caller's own, few rounds take larger batches, and leave out no sample and no record."""
+    df, labels = toy
+    monkeypatch.setattr(sets, "BATCH_SAMPLES", 8, raising=False)
+    monkeypatch.setattr(sets, "MAX_SEEN", 20, raising=False)
+    seen, embed = [], sets.pooled
+    monkeypatch.setattr(sets, "pooled", lambda net, params, rows: seen.append(rows) or embed(net, params, rows))
+    train_set_encoder(df, labels, "sid", "z", "w", "y", task="classification", rounds=4, every=4, queries=2, hidden=4)
+    name, own = F.col("sample"), df.filter("w > 0 and not isnan(w) and z is not null and sid is not null")
+    teach = own.filter(~sets.held_out(F.col("sid"), 0.2))
+    shown = [x.select(name, "row").filter(~sets.held_out(name, 0.2)) for x in seen[:4]]
+    assert len(seen) == 5 and min(x.count() for x in shown) < 0.45 * teach.count()  # the fifth tells the samples kept apart
+    union = shown[0].unionByName(shown[1]).unionByName(shown[2]).unionByName(shown[3]).distinct()
+    assert union.count() == teach.count() and union.select(name).distinct().count() == teach.select("sid").distinct().count()
+
+
+@pytest.mark.parametrize("turn", [0, 2])
+def test_two_turns_show_all_records(spark, turn):
+    rows = spark.range(4000).select((F.col("id") % 10).alias("sample"), F.col("id").alias("row"))
+    got = rows.groupBy("sample").agg(*[F.avg(sets._shown(turn + k, 0.2, 3).cast("int")).alias(f"s{k}") for k in (0, 1)], F.min((sets._shown(turn, 0.2, 3) | sets._shown(turn + 1, 0.2, 3)).cast("int")).alias("all")).collect()
+    assert len(got) == 10 and all(r["all"] == 1 and min(r["s0"], r["s1"]) > 0.1 for r in got) and min(r["s0"] for r in got) < 0.7
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_batches_of_any_size_have_the_same_gradient(spark, toy, monkeypatch, hot):
+    """By tables, with large samples looked up apart or not, as by the driver."""
+    from plexivec.plans import skew
+
+    df, labels = toy
+    if hot:
+        monkeypatch.setattr(skew, "MIN_HOT", 60)
+    rng, net = np.random.default_rng(8), SetNet(6, 4, 3)
+    flat = net.start(0) + rng.normal(size=net.size) * 0.3
+    rows = clouds(df, "sid", "z", "w", deals=2)
+    taught = labels.filter("sid < 's050'").select(F.col("sid").alias("sample"), F.col("y").cast("double"))
+    taught = taught.join(rows.groupBy("sample").agg(F.count("*").alias("n")), "sample").cache()
+    got, m = sets.batch_gradient(net, flat, rows, taught, "classification", rows.count(), 80)
+    met = pooled(net, flat, rows).join(taught, "sample").collect()
+    pools, g = np.array([r["pooled"] for r in met]).reshape(len(met), 3, 4), np.zeros(net.size)
+    _, d = net.head_loss(net.views(flat), net.views(g), pools, np.array([r["y"] for r in met]), "classification")
+    state = {r["sample"]: (np.array(r["norm"]), pools[i], d[i]) for i, r in enumerate(met)}
+    assert m == len(met) == 50 and np.allclose(got, g + records_gradient(net, flat, rows, state))
+
+
 def test_sums_of_a_sample_meet_across_batches(spark, monkeypatch):
     """Without a row for each query and a window; -0.0 and NaN as samples are one each."""
     monkeypatch.setattr(sets, "MAX_HELD", 1)
